@@ -1,3 +1,4 @@
 """Imports every query module so that all queries are registered."""
 
 from . import q_profile  # noqa: F401
+from . import q_eda  # noqa: F401
