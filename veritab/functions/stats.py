@@ -209,25 +209,27 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
 # --------------------------------------------------------------------------------------------
 
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
-                   buckets: int = 1000) -> DataFrame:
-    """Cumulative sums of ``value_cols`` in the global order of ``order_col`` (pre-aggregate first so
-    there is one row per distinct order value). Rows are cut into range buckets by approximate
-    quantile edges; bucket totals give each bucket's offset and a window inside each bucket adds the
-    rest. No single task sees more than one bucket. Adds ``cum_<col>`` columns."""
+                   partition_by: Sequence[str] = (), buckets: int = 1000) -> DataFrame:
+    """Cumulative sums of ``value_cols`` in the order of ``order_col`` (within ``partition_by`` groups).
+    Pre-aggregate first so there is one row per distinct order value. Rows are cut into range buckets
+    by approximate quantile edges (a small, bounded list); bucket totals give each bucket's offset and
+    a window inside each bucket adds the rest, so no task sees more than one bucket of one group.
+    Adds ``cum_<col>`` columns."""
+    part = list(partition_by)
     probs = [i / buckets for i in range(1, buckets)]
     edges = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * buckets)).first()[0] or []
     splits = [float("-inf")] + sorted(set(float(e) for e in edges)) + [float("inf")]
     bz = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bucket", handleInvalid="keep")
     b = bz.transform(df.withColumn("_ord", F.col(order_col).cast("double")))
     border = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in value_cols])
-    w_prev = Window.orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *[
+    totals = b.groupBy(*part, "_bucket").agg(*[F.sum(c).alias(c) for c in value_cols])
+    w_prev = (Window.partitionBy(*part) if part else Window).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, "_bucket", *[
         F.coalesce(F.sum(c).over(w_prev), F.lit(0)).alias("_off_" + c) for c in value_cols
     ])
     oorder = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w_in = Window.partitionBy("_bucket").orderBy(oorder).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(F.broadcast(offsets), "_bucket")
+    w_in = Window.partitionBy(*part, "_bucket").orderBy(oorder).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.join(maybe_broadcast(offsets), part + ["_bucket"])
     for c in value_cols:
         out = out.withColumn("cum_" + c, F.col("_off_" + c) + F.sum(c).over(w_in))
     return out.drop("_ord", "_bucket", *["_off_" + c for c in value_cols])
