@@ -256,7 +256,7 @@ def fit_preprocessing(train: DataFrame, features: list[str], kinds: dict[str, st
         oh_in = [f"__idx_{cats.index(c)}" for c in one_hot]
         if one_hot:
             ohe = OneHotEncoder(inputCols=oh_in, outputCols=[f"__ohe_{cats.index(c)}" for c in one_hot],
-                                dropLast=True, handleInvalid="keep").fit(idx.transform(staged))
+                                dropLast=True).fit(idx.transform(staged))
             stages.append(ohe)
             assemble += [f"__ohe_{cats.index(c)}" for c in one_hot]
             for c in one_hot:
