@@ -46,8 +46,10 @@ def _rules_sql(where: str = "TRUE") -> str:
         for i, (n, e) in enumerate(RULES))
 
 
-def _weighted_sql(preds: str, by: str = "model_order, model") -> str:
+def _weighted_sql(preds: str, by: str = "model_order, model", digits: int | None = 6) -> str:
     """Accuracy and support-weighted precision / recall / F1 per model, in long form."""
+    def rnd(e):
+        return f"ROUND({e}, {digits})" if digits is not None else e
     return f"""
 WITH p AS ({preds}),
 cm AS (SELECT {by}, actual, predicted, COUNT(*) AS c FROM p GROUP BY ALL),
@@ -64,10 +66,10 @@ w AS (SELECT {by},
                       ELSE 2.0 * tp / (2 * tp + (pred_n - tp) + (support - tp)) END * support) / SUM(support) AS f1
       FROM pc GROUP BY ALL),
 a AS (SELECT {by}, SUM(CASE WHEN actual = predicted THEN c ELSE 0 END)::DOUBLE / SUM(c) AS acc FROM cm GROUP BY ALL)
-SELECT {by}, 'Accuracy' AS metric, ROUND(acc, 6) AS value FROM a
-UNION ALL SELECT {by}, 'Precision', ROUND(prec, 6) FROM w
-UNION ALL SELECT {by}, 'Recall', ROUND(rec, 6) FROM w
-UNION ALL SELECT {by}, 'F1-Score', ROUND(f1, 6) FROM w"""
+SELECT {by}, 'Accuracy' AS metric, {rnd('acc')} AS value FROM a
+UNION ALL SELECT {by}, 'Precision', {rnd('prec')} FROM w
+UNION ALL SELECT {by}, 'Recall', {rnd('rec')} FROM w
+UNION ALL SELECT {by}, 'F1-Score', {rnd('f1')} FROM w"""
 
 
 RULE_METRICS_SQL = _weighted_sql(_rules_sql())
