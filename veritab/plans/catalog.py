@@ -6,3 +6,4 @@ from . import q_prep  # noqa: F401
 from . import q_metrics  # noqa: F401
 from . import q_models  # noqa: F401
 from . import q_trust  # noqa: F401
+from . import q_io  # noqa: F401
