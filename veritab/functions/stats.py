@@ -29,7 +29,8 @@ def guarded_corr(x: Column, y: Column) -> Column:
     xs = F.when(both, x.cast("double"))
     ys = F.when(both, y.cast("double"))
     r = F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    # clamp rounding overshoot; greatest/least skip NULLs, so keep an undefined r NULL explicitly
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -84,8 +84,8 @@ def _corr_sql(source, cols):
                 parts.append(f"SELECT '{a}' AS col_i, '{a}' AS col_j, CASE WHEN STDDEV_POP({a}) > 0 THEN 1.0::DOUBLE END AS r FROM {source}")
                 continue
             parts.append(
-                f"SELECT '{a}' AS col_i, '{b}' AS col_j, ROUND(GREATEST(-1.0::DOUBLE, LEAST(1.0::DOUBLE, CASE WHEN sa * sb = 0 THEN NULL "
-                f"ELSE cv / (sa * sb) END)), 6) AS r FROM (SELECT COVAR_POP({a}, {b}) AS cv, "
+                f"SELECT '{a}' AS col_i, '{b}' AS col_j, ROUND(CASE WHEN sa * sb = 0 OR sa IS NULL OR sb IS NULL THEN NULL "
+                f"ELSE GREATEST(-1.0::DOUBLE, LEAST(1.0::DOUBLE, cv / (sa * sb))) END, 6) AS r FROM (SELECT COVAR_POP({a}, {b}) AS cv, "
                 f"STDDEV_POP(CASE WHEN {b} IS NOT NULL THEN {a} END) AS sa, "
                 f"STDDEV_POP(CASE WHEN {a} IS NOT NULL THEN {b} END) AS sb FROM {source})")
     return " UNION ALL ".join(parts)

@@ -80,9 +80,9 @@ def sql_target_missing(source, target) -> str:
 
 
 def _corr(a, b):
-    return (f"GREATEST(-1.0::DOUBLE, LEAST(1.0::DOUBLE, CASE WHEN STDDEV_POP(CASE WHEN {b} IS NOT NULL THEN {a} END) * "
-            f"STDDEV_POP(CASE WHEN {a} IS NOT NULL THEN {b} END) = 0 THEN NULL ELSE COVAR_POP({a}, {b}) / "
-            f"(STDDEV_POP(CASE WHEN {b} IS NOT NULL THEN {a} END) * STDDEV_POP(CASE WHEN {a} IS NOT NULL THEN {b} END)) END))")
+    den = f"(STDDEV_POP(CASE WHEN {b} IS NOT NULL THEN {a} END) * STDDEV_POP(CASE WHEN {a} IS NOT NULL THEN {b} END))"
+    return (f"CASE WHEN {den} = 0 OR {den} IS NULL THEN NULL "
+            f"ELSE GREATEST(-1.0::DOUBLE, LEAST(1.0::DOUBLE, COVAR_POP({a}, {b}) / {den})) END")
 
 
 def sql_leakage(source, target, numeric_features, test_score_sql="NULL") -> str:
