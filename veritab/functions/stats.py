@@ -33,6 +33,16 @@ def guarded_corr(x: Column, y: Column) -> Column:
     return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+def materialize_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Run ``df`` once. A small result (<= ``limit`` rows, e.g. per-column or per-class summaries) is
+    rebuilt as a local relation, which cuts the lineage so later uses never rescan the input; a larger
+    result is checkpointed to the shared checkpoint folder instead."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.checkpoint()
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side only after counting it; larger sides go through a shuffle join."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -157,7 +167,7 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
             for j, p in enumerate(probs)
         ])).alias("b"),
     ).select(*keys, "n", "b.pi", "b.p", "b.lo", "b.hi")
-    brackets = brackets.cache()
+    brackets = materialize_small(brackets)
     n_br = brackets.count()
 
     def resolve(br: DataFrame, small: bool) -> DataFrame:
@@ -194,13 +204,13 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
         value = F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac")
         return agg.select(*keys, "pi", "p", "n", F.when(ok, value).alias("value"), ok.alias("ok"))
 
-    first = resolve(brackets, n_br <= BROADCAST_ROWS).cache()
-    bad = brackets.join(first.where("ok").select(*keys, "pi"), keys + ["pi"], "left_anti")
+    first = materialize_small(resolve(brackets, n_br <= BROADCAST_ROWS))
+    bad = materialize_small(brackets.join(first.where("ok").select(*keys, "pi"), keys + ["pi"], "left_anti"))
     n_bad = bad.count()
     result = first.where("ok")
     if n_bad:
         wide = bad.withColumn("lo", F.lit(float("-inf"))).withColumn("hi", F.lit(float("inf")))
-        result = result.unionByName(resolve(wide, n_bad <= BROADCAST_ROWS).where("ok"))
+        result = result.unionByName(materialize_small(resolve(wide, n_bad <= BROADCAST_ROWS).where("ok")))
     names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("ordinal") + 1)
     return result.select(*by, names.alias("column_name"), F.col("p").alias("prob"), "n", "value")
 
@@ -225,9 +235,9 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], des
     border = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     totals = b.groupBy(*part, "_bucket").agg(*[F.sum(c).alias(c) for c in value_cols])
     w_prev = (Window.partitionBy(*part) if part else Window).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, "_bucket", *[
+    offsets = materialize_small(totals.select(*part, "_bucket", *[
         F.coalesce(F.sum(c).over(w_prev), F.lit(0)).alias("_off_" + c) for c in value_cols
-    ])
+    ]))
     oorder = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w_in = Window.partitionBy(*part, "_bucket").orderBy(oorder).rowsBetween(Window.unboundedPreceding, 0)
     out = b.join(maybe_broadcast(offsets), part + ["_bucket"])

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.types import dtypes, is_numeric_or_bool, qc
+from ..functions.stats import value_counts
+from ..functions.types import dtypes, is_numeric_or_bool, normalise, qc
 from ..session import ensure_checkpoint_dir
 from .prep import feature_kinds, fit_preprocessing, valid_features
 
@@ -129,8 +130,10 @@ def cluster_profile(df: DataFrame, features: list[str], cluster_col: str) -> Dat
     base = df.select(lab, *[qc(c) for c in features])
     distinct = {}
     if features:
-        row = df.agg(*[F.count_distinct(qc(c)).alias(f"d{i}") for i, c in enumerate(features)]).first()
-        distinct = {c: row[f"d{i}"] for i, c in enumerate(features)}
+        sub = normalise(df.select(*[qc(c) for c in features]))
+        vc = value_counts(sub).groupBy("ordinal").agg(F.count(F.lit(1)).alias("k")).collect()
+        got = {int(r["ordinal"]): int(r["k"]) for r in vc}
+        distinct = {c: got.get(i, 0) for i, c in enumerate(features)}
     total = F.sum("Size (Rows)").over(Window.partitionBy())
     sizes = base.groupBy("Cluster").agg(F.count(F.lit(1)).alias("Size (Rows)"))
     out = sizes
@@ -143,7 +146,8 @@ def cluster_profile(df: DataFrame, features: list[str], cluster_col: str) -> Dat
         if c in mean_cols:
             continue
         vc = base.where(qc(c).isNotNull()).groupBy("Cluster", qc(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        w1 = Window.partitionBy("Cluster", F.pmod(F.xxhash64("v"), F.lit(64))).orderBy(F.col("n").desc(), F.col("v").asc())
+        salts = int(min(1 << 16, max(64, -(-distinct[c] // 1_000_000))))   # ~1M values per window partition
+        w1 = Window.partitionBy("Cluster", F.pmod(F.xxhash64("v"), F.lit(salts))).orderBy(F.col("n").desc(), F.col("v").asc())
         w2 = Window.partitionBy("Cluster").orderBy(F.col("n").desc(), F.col("v").asc())
         top = (vc.withColumn("r1", F.row_number().over(w1)).where("r1 = 1")
                .withColumn("r2", F.row_number().over(w2)).where("r2 = 1")

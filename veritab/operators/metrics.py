@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import running_totals, safe_ratio
+from ..functions.stats import materialize_small, running_totals, safe_ratio
 from ..functions.types import qc
 
 ACCURACY, PRECISION, RECALL, F1, ROC_AUC = "Accuracy", "Precision", "Recall", "F1-Score", "ROC-AUC"
@@ -18,9 +18,11 @@ REGRESSION_METRICS = [MAE, MSE, RMSE, R2]
 
 
 def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """(actual, predicted, count) for the pairs that occur; labels compared as text."""
-    return df.groupBy(qc(actual).cast("string").alias("actual"), qc(predicted).cast("string").alias("predicted")) \
-             .agg(F.count(F.lit(1)).alias("count"))
+    """(actual, predicted, count) for the pairs that occur; labels compared as text. The predictions are
+    scanned once; the pair counts (about one row per class) are kept as a local relation."""
+    return materialize_small(
+        df.groupBy(qc(actual).cast("string").alias("actual"), qc(predicted).cast("string").alias("predicted"))
+        .agg(F.count(F.lit(1)).alias("count")))
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:

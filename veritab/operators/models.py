@@ -32,7 +32,8 @@ def classifiers(n_train: int, n_classes: int):
                                 seed=R.SEED, maxMemoryInMB=1024, cacheNodeIds=True)
     gbt = GBTClassifier(maxIter=BOOST_ROUNDS, stepSize=BOOST_STEP, maxDepth=BOOST_MAX_DEPTH, seed=R.SEED,
                         cacheNodeIds=True)
-    boost = gbt if n_classes <= 2 else OneVsRest(classifier=gbt)   # Spark's GBT is binary only
+    # Spark's GBT is binary only: one-vs-rest, with the per-class models trained concurrently
+    boost = gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=min(n_classes, 4))
     return [(LOGISTIC, lr), (FOREST, rf), (BOOSTING, boost)]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..functions.stats import (
-    exact_percentiles, resolve_values, safe_ratio, top_k_per_key, value_counts,
+    exact_percentiles, materialize_small, resolve_values, safe_ratio, top_k_per_key, value_counts,
 )
 from ..functions.types import (
     as_text, is_boolean, is_complex, is_datetime, is_integral, is_numeric, is_string, normalise, qc,
@@ -133,17 +133,27 @@ class TableProfile:
         if self._top is None:
             cat = {i: c for i, c in enumerate(self.columns) if self.semantic[c] == R.CATEGORICAL}
             vc = self.counts.where(F.col("ordinal").isin(list(cat) or [-1]))
-            top = top_k_per_key(vc, "ordinal", [F.col("cnt").desc(), F.col("value_key").asc()], k, "value_key")
+            widest = max([r["unique_count"] for r in self.stats.where(F.col("semantic_type") == R.CATEGORICAL)
+                          .select("unique_count").collect()] or [0])
+            # about a million distinct values per first-level window partition, whatever the column width
+            salts = int(min(1 << 16, max(64, -(-widest // 1_000_000))))
+            top = top_k_per_key(vc, "ordinal", [F.col("cnt").desc(), F.col("value_key").asc()], k, "value_key",
+                                salts=salts)
             long_cols = {i: c for i, c in cat.items() if is_string(self.data.schema[c].dataType)}
             top = resolve_values(top, self.data, long_cols)
             nn = self.stats.select("ordinal", "column_name", "non_null")
-            self._top = (
+            self._top = materialize_small(
                 top.join(F.broadcast(nn), "ordinal")
                 .select("ordinal", "column_name", "rank", "value", F.col("cnt").alias("count"),
                         F.bround(safe_ratio(F.col("cnt"), F.col("non_null")) * 100, 2).alias("percentage"))
             )
+            self.release()
         return self._top
 
+    def release(self) -> None:
+        """Drop the persisted value counts (their last consumer is ``top_values``)."""
+        self.counts.unpersist()
+
     def medians(self) -> DataFrame:
         """(column_name, median) for Numeric columns, exact."""
         if self._medians is None:
@@ -153,7 +163,7 @@ class TableProfile:
                 self._medians = spark.createDataFrame([], "column_name string, median double")
             else:
                 med = exact_percentiles(self.data, num, [0.5])
-                self._medians = med.select("column_name", F.col("value").alias("median"))
+                self._medians = materialize_small(med.select("column_name", F.col("value").alias("median")))
         return self._medians
 
     def duplicates(self) -> int:
@@ -240,6 +250,15 @@ def profile_table(df: DataFrame, persist_counts: bool = True) -> TableProfile:
     return TableProfile(data=data, stats=stats, counts=counts, semantic=semantic, n_rows=n_rows)
 
 
+def profile_tables(tables: dict[str, DataFrame], max_workers: int = 4) -> dict[str, TableProfile]:
+    """Profile several tables with their Spark jobs submitted concurrently (the scheduler interleaves
+    them, so small tables do not wait behind large ones)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(tables)))) as pool:
+        futures = {name: pool.submit(profile_table, df) for name, df in tables.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 # --------------------------------------------------------------------------------------------
 # user-facing frames
 # --------------------------------------------------------------------------------------------

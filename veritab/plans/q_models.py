@@ -197,3 +197,46 @@ def q_pca_2d(spark, sf):
 def q_k_sweep(spark, sf):
     vec, _, _ = C.prepare_vectors(table(spark, sf, "customer"), CUST_FEATURES)
     return rounded(C.k_sweep(vec))
+
+
+# ---------------------------------------------------------------- indices of a fixed labelling (exact check)
+LABEL_SQL = """
+WITH p AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c,
+                  l_quantity::DOUBLE AS x1, l_discount::DOUBLE AS x2 FROM lineitem),
+cs AS (SELECT c, COUNT(*) AS n, AVG(x1) AS m1, AVG(x2) AS m2, AVG(x1 * x1 + x2 * x2) AS q FROM p GROUP BY c),
+w AS (SELECT MAX(CASE WHEN c = 0 THEN n END) AS n0, MAX(CASE WHEN c = 1 THEN n END) AS n1, MAX(CASE WHEN c = 2 THEN n END) AS n2,
+             MAX(CASE WHEN c = 0 THEN m1 END) AS a0, MAX(CASE WHEN c = 1 THEN m1 END) AS a1, MAX(CASE WHEN c = 2 THEN m1 END) AS a2,
+             MAX(CASE WHEN c = 0 THEN m2 END) AS b0, MAX(CASE WHEN c = 1 THEN m2 END) AS b1, MAX(CASE WHEN c = 2 THEN m2 END) AS b2,
+             MAX(CASE WHEN c = 0 THEN q END) AS q0, MAX(CASE WHEN c = 1 THEN q END) AS q1, MAX(CASE WHEN c = 2 THEN q END) AS q2 FROM cs),
+d AS (SELECT p.c, x1, x2,
+             (x1 * x1 + x2 * x2) - 2 * (x1 * a0 + x2 * b0) + q0 AS d0,
+             (x1 * x1 + x2 * x2) - 2 * (x1 * a1 + x2 * b1) + q1 AS d1,
+             (x1 * x1 + x2 * x2) - 2 * (x1 * a2 + x2 * b2) + q2 AS d2,
+             SQRT((x1 - CASE p.c WHEN 0 THEN a0 WHEN 1 THEN a1 ELSE a2 END) ^ 2 + (x2 - CASE p.c WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END) ^ 2) AS e,
+             n0, n1, n2 FROM p, w),
+s AS (SELECT c, e,
+             CASE c WHEN 0 THEN d0 * n0 / (n0 - 1) WHEN 1 THEN d1 * n1 / (n1 - 1) ELSE d2 * n2 / (n2 - 1) END AS a,
+             CASE c WHEN 0 THEN LEAST(d1, d2) WHEN 1 THEN LEAST(d0, d2) ELSE LEAST(d0, d1) END AS b FROM d),
+sil AS (SELECT AVG((b - a) / GREATEST(a, b)) AS v FROM s),
+si AS (SELECT c, AVG(e) AS sc, SUM(e * e) AS wc FROM s GROUP BY c),
+cc AS (SELECT cs.c, cs.n, cs.m1, cs.m2, si.sc, si.wc FROM cs JOIN si ON cs.c = si.c),
+db AS (SELECT AVG(mx) AS v FROM (SELECT i.c, MAX((i.sc + j.sc) / SQRT((i.m1 - j.m1) ^ 2 + (i.m2 - j.m2) ^ 2)) AS mx
+                                  FROM cc i JOIN cc j ON i.c <> j.c GROUP BY i.c)),
+g AS (SELECT SUM(n * m1) / SUM(n) AS g1, SUM(n * m2) / SUM(n) AS g2, SUM(n) AS nn, COUNT(*) AS k, SUM(wc) AS ww FROM cc),
+ch AS (SELECT (SUM(cc.n * ((cc.m1 - g1) ^ 2 + (cc.m2 - g2) ^ 2)) * (MAX(nn) - MAX(k))) / (MAX(ww) * (MAX(k) - 1)) AS v FROM cc, g)
+SELECT 'Silhouette Score' AS metric, ROUND((SELECT v FROM sil), 6) AS value
+UNION ALL SELECT 'Davies-Bouldin Index', ROUND((SELECT v FROM db), 6)
+UNION ALL SELECT 'Calinski-Harabasz Index', ROUND((SELECT v FROM ch), 6)"""
+
+
+@register("cluster_indices_labels", LABEL_SQL)
+def q_cluster_indices_labels(spark, sf):
+    """Silhouette (squared Euclidean), Davies-Bouldin and Calinski-Harabasz of lineitem grouped by
+    l_returnflag over (l_quantity, l_discount): the index code on a labelling SQL can reproduce."""
+    from pyspark.ml.feature import VectorAssembler
+    li = table(spark, sf, "lineitem")
+    lab = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    vec = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(
+        li.select("l_quantity", "l_discount", lab.cast("int").alias("prediction")))
+    m = C.quality_indices(vec.select("features", "prediction"))
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in m.items()], "metric string, value double"))

@@ -32,11 +32,16 @@ def _semantic_sql():
     return _union_sql(parts)
 
 
+def _profiles(spark, sf, names):
+    return P.profile_tables({t: table(spark, sf, t) for t in names})
+
+
 @register("semantic_types", _semantic_sql())
 def q_semantic_types(spark, sf):
+    profs = _profiles(spark, sf, PROFILE_TABLES)
     out = None
     for t in PROFILE_TABLES:
-        df = P.semantic_types(_profile(spark, sf, t)).select(F.lit(t).alias("table_name"), "*")
+        df = P.semantic_types(profs[t]).select(F.lit(t).alias("table_name"), "*")
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -46,8 +51,10 @@ def q_semantic_types(spark, sf):
     f"FROM {O.typed_stats(t, O.SCHEMAS[t])}" for t in ["customer", "orders", "part", "supplier", "nation"]))
 def q_id_rule(spark, sf):
     out = None
-    for t in ["customer", "orders", "part", "supplier", "nation"]:
-        df = P.id_rule(_profile(spark, sf, t)).select(F.lit(t).alias("table_name"), "*")
+    names = ["customer", "orders", "part", "supplier", "nation"]
+    profs = _profiles(spark, sf, names)
+    for t in names:
+        df = P.id_rule(profs[t]).select(F.lit(t).alias("table_name"), "*")
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -282,8 +289,9 @@ CAND_TABLES = ["lineitem", "orders", "customer", "part"]
     f"SELECT '{t}' AS table_name, * FROM ({_targets_sql(t, O.SCHEMAS[t])})" for t in CAND_TABLES]))
 def q_target_candidates(spark, sf):
     out = None
+    profs = _profiles(spark, sf, CAND_TABLES)
     for t in CAND_TABLES:
-        df = REC.target_candidates(_profile(spark, sf, t)).select(F.lit(t).alias("table_name"), "*")
+        df = REC.target_candidates(profs[t]).select(F.lit(t).alias("table_name"), "*")
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -292,8 +300,9 @@ def q_target_candidates(spark, sf):
     f"SELECT '{t}' AS table_name, * FROM ({_kpis_sql(t, O.SCHEMAS[t])})" for t in CAND_TABLES]))
 def q_kpi_candidates(spark, sf):
     out = None
+    profs = _profiles(spark, sf, CAND_TABLES)
     for t in CAND_TABLES:
-        df = REC.kpi_candidates(_profile(spark, sf, t)).select(F.lit(t).alias("table_name"), "*")
+        df = REC.kpi_candidates(profs[t]).select(F.lit(t).alias("table_name"), "*")
         out = df if out is None else out.unionByName(df)
     return out
 

@@ -1,0 +1,4 @@
+"""No streaming operators: the behaviour being reproduced reads every table as one batch (a file, a
+catalog table or a JDBC source) and has no watermarks, windows over event time or stateful operators.
+A streaming source can still be profiled by materialising a micro-batch with ``foreachBatch`` and
+passing that batch DataFrame to ``veritab.operators.profile.profile_table``."""
