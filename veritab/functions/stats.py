@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .types import as_text, qc
+from .types import as_text, is_complex, is_string, qc
 
 LONG_VALUE_LEN = 1024          # strings longer than this are counted by their SHA-256 digest
 DIGEST_MARK = "\u0000"         # prefix of a digest key; cannot start a real short value's key
@@ -53,29 +53,38 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 # --------------------------------------------------------------------------------------------
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(ordinal, value_key, value, cnt): one row per distinct non-null value of each column.
+    """(ordinal, value_key, cnt, value): one row per distinct non-null value of each column.
 
-    Values are compared as their text form. Strings longer than ``LONG_VALUE_LEN`` are keyed by a
-    SHA-256 digest so the shuffle carries 65 bytes instead of the whole text; their ``value`` is
+    One typed aggregation per column, unioned into one job: with a columnar source each branch reads
+    only its own column, so all branches together read the table once, and values are hashed in their
+    own type (the text form is made after aggregation, for distinct values only). Map-side partial
+    aggregation collapses hot values before the shuffle. Strings longer than ``LONG_VALUE_LEN`` are
+    keyed by a SHA-256 digest so the shuffle carries 65 bytes instead of the text; their ``value`` is
     NULL here and is fetched back only for the few rows a caller needs (``resolve_values``).
-    Map-side partial aggregation collapses hot values before the shuffle.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     order = {f.name: i for i, f in enumerate(df.schema.fields)}
-    arr = F.array(*[
-        F.struct(F.lit(order[f.name]).alias("ordinal"), as_text(f.name, f.dataType).alias("v"))
-        for f in fields
-    ])
-    v = F.col("v")
-    key = F.when(F.length(v) <= LONG_VALUE_LEN, v).otherwise(F.concat(F.lit(DIGEST_MARK), F.sha2(v, 256)))
-    return (
-        df.select(F.explode(arr).alias("kv"))
-        .select("kv.ordinal", "kv.v")
-        .where(v.isNotNull())
-        .groupBy("ordinal", key.alias("value_key"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("value", F.when(~F.col("value_key").startswith(DIGEST_MARK), F.col("value_key")))
-    )
+    parts = []
+    for f in fields:
+        c = qc(f.name)
+        if is_string(f.dataType):
+            key = F.when(F.length(c) <= LONG_VALUE_LEN, c).otherwise(F.concat(F.lit(DIGEST_MARK), F.sha2(c, 256)))
+            grouped = df.where(c.isNotNull()).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("cnt"))
+            text = F.col("k")
+        elif is_complex(f.dataType):
+            grouped = df.where(c.isNotNull()).groupBy(as_text(f.name, f.dataType).alias("k")).agg(
+                F.count(F.lit(1)).alias("cnt"))
+            text = F.col("k")
+        else:
+            grouped = df.where(c.isNotNull()).groupBy(c.alias("k")).agg(F.count(F.lit(1)).alias("cnt"))
+            text = as_text("k", f.dataType)
+        parts.append(grouped.select(F.lit(order[f.name]).alias("ordinal"), text.alias("value_key"), "cnt"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "ordinal int, value_key string, cnt long, value string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("value", F.when(~F.col("value_key").startswith(DIGEST_MARK), F.col("value_key")))
 
 
 def top_k_per_key(df: DataFrame, key: str, order: list[Column], k: int, salt_col: str, salts: int = 64) -> DataFrame:
