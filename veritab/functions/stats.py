@@ -141,8 +141,15 @@ def _long_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> Data
     )
 
 
+def approx_bracket(col: Column, p: float, accuracy: int = 10_000) -> Column:
+    """array(lo, hi) around the p-quantile of ``col`` for ``exact_percentiles(brackets=...)``; cheap
+    enough to ride along in another aggregate over the same rows."""
+    eps = 3.0 / accuracy
+    return F.percentile_approx(col.cast("double"), [max(0.0, p - eps), min(1.0, p + eps)], accuracy)
+
+
 def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                      accuracy: int = 10_000) -> DataFrame:
+                      accuracy: int = 10_000, brackets: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolated percentiles of ``cols`` (optionally per group ``by``).
 
     Pass 1: ``percentile_approx`` gives, per key, a value bracket around each wanted rank (its rank
@@ -151,6 +158,9 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     window. A hot value (a third of all rows) is one row of that window. Keys whose bracket fails the
     exact check are redone over the full range, so the result is exact either way.
 
+    ``brackets`` (ordinal = index in ``cols``, n, pi, p, lo, hi) may be given when an earlier aggregate
+    already computed them (see ``approx_bracket``); pass 1 is then skipped.
+
     Returns (*by, column_name, prob, n, value) with NULL value for keys without data.
     """
     by = list(by)
@@ -164,18 +174,19 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     for p in probs:
         approx_probs += [max(0.0, p - eps), min(1.0, p + eps)]
     keys = by + ["ordinal"]
-    st = long.groupBy(*keys).agg(
-        F.count("x").alias("n"),
-        F.percentile_approx("x", approx_probs, accuracy).alias("ap"),
-    )
-    brackets = st.select(
-        *keys, "n",
-        F.explode(F.array(*[
-            F.struct(F.lit(j).alias("pi"), F.lit(float(p)).alias("p"),
-                     F.col("ap")[2 * j].alias("lo"), F.col("ap")[2 * j + 1].alias("hi"))
-            for j, p in enumerate(probs)
-        ])).alias("b"),
-    ).select(*keys, "n", "b.pi", "b.p", "b.lo", "b.hi")
+    if brackets is None:
+        st = long.groupBy(*keys).agg(
+            F.count("x").alias("n"),
+            F.percentile_approx("x", approx_probs, accuracy).alias("ap"),
+        )
+        brackets = st.select(
+            *keys, "n",
+            F.explode(F.array(*[
+                F.struct(F.lit(j).alias("pi"), F.lit(float(p)).alias("p"),
+                         F.col("ap")[2 * j].alias("lo"), F.col("ap")[2 * j + 1].alias("hi"))
+                for j, p in enumerate(probs)
+            ])).alias("b"),
+        ).select(*keys, "n", "b.pi", "b.p", "b.lo", "b.hi")
     brackets = materialize_small(brackets)
     n_br = brackets.count()
 

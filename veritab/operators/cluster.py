@@ -96,15 +96,19 @@ def quality_indices(pred: DataFrame, k_expected: int | None = None) -> dict[str,
     return {SILHOUETTE: float(sil), DAVIES_BOULDIN: db, CALINSKI_HARABASZ: float(ch)}
 
 
-def train_clustering(df: DataFrame, features: list[str], k: int = 3, seed: int = R.SEED) -> Clustering:
+def train_clustering(df: DataFrame, features: list[str], k: int = 3, seed: int = R.SEED,
+                     only: list[str] | None = None) -> Clustering:
     vec, feats, names = prepare_vectors(df, features)
     vec = vec.persist()
     out = Clustering(vectors=vec, features=feats, feature_names=names)
-    km = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(vec)
-    kp = km.transform(vec).select("_rid", "features", "prediction")
-    m = quality_indices(kp)
-    m[INERTIA] = float(km.summary.trainingCost)
-    out.results.append(ClusterResult(0, KMEANS, km, kp, m))
+    if not only or KMEANS in only:
+        km = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(vec)
+        kp = km.transform(vec).select("_rid", "features", "prediction")
+        m = quality_indices(kp)
+        m[INERTIA] = float(km.summary.trainingCost)
+        out.results.append(ClusterResult(0, KMEANS, km, kp, m))
+    if only and GMM not in only:
+        return out
     gm = GaussianMixture(k=k, seed=seed, maxIter=100, tol=1e-3).fit(vec)
     gp = gm.transform(vec).select("_rid", "features", "prediction")
     m = quality_indices(gp)

@@ -56,7 +56,11 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, binary: b
                            positive=None) -> DataFrame:
     """(metric, value) for Accuracy, Precision, Recall, F1-Score. Binary uses the positive class;
     otherwise support-weighted averages over the labels seen in either column; 0 on zero division."""
-    cm = confusion_counts(df, actual, predicted)
+    return metrics_from_counts(confusion_counts(df, actual, predicted), binary, positive)
+
+
+def metrics_from_counts(cm: DataFrame, binary: bool, positive=None) -> DataFrame:
+    """The same metrics from a confusion-count frame (actual, predicted, count)."""
     pc = _per_class(cm)
     acc = cm.agg(safe_ratio(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0)),
                             F.sum("count")).alias("v"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..functions.stats import (
-    exact_percentiles, materialize_small, resolve_values, safe_ratio, top_k_per_key, value_counts,
+    approx_bracket, exact_percentiles, materialize_small, resolve_values, safe_ratio, top_k_per_key, value_counts,
 )
 from ..functions.types import (
     as_text, is_boolean, is_complex, is_datetime, is_integral, is_numeric, is_string, normalise, qc,
@@ -137,9 +137,11 @@ class TableProfile:
                           .select("unique_count").collect()] or [0])
             # about a million distinct values per first-level window partition, whatever the column width
             salts = int(min(1 << 16, max(64, -(-widest // 1_000_000))))
-            top = top_k_per_key(vc, "ordinal", [F.col("cnt").desc(), F.col("value_key").asc()], k, "value_key",
-                                salts=salts)
-            long_cols = {i: c for i, c in cat.items() if is_string(self.data.schema[c].dataType)}
+            top = materialize_small(top_k_per_key(vc, "ordinal", [F.col("cnt").desc(), F.col("value_key").asc()], k,
+                                                  "value_key", salts=salts))
+            # only columns whose top values include a digest-keyed long text need a look-up in the data
+            need = {int(r["ordinal"]) for r in top.where(F.col("value").isNull()).select("ordinal").distinct().collect()}
+            long_cols = {i: c for i, c in cat.items() if i in need}
             top = resolve_values(top, self.data, long_cols)
             nn = self.stats.select("ordinal", "column_name", "non_null")
             self._top = materialize_small(
@@ -162,7 +164,16 @@ class TableProfile:
             if not num:
                 self._medians = spark.createDataFrame([], "column_name string, median double")
             else:
-                med = exact_percentiles(self.data, num, [0.5])
+                # brackets from one wide aggregate over the Numeric columns only (kept apart from the
+                # profile's codegen'd aggregate: sketch aggregates would push it onto the slow path)
+                nn = {r["column_name"]: r["non_null"] for r in
+                      self.stats.where(F.col("column_name").isin(num)).select("column_name", "non_null").collect()}
+                b = self.data.agg(*[approx_bracket(qc(c), 0.5).alias(f"b{j}") for j, c in enumerate(num)]).first()
+                rows = [(j, nn[c], 0, 0.5, b[f"b{j}"][0] if b[f"b{j}"] else None, b[f"b{j}"][1] if b[f"b{j}"] else None)
+                        for j, c in enumerate(num)]
+                br = self.data.sparkSession.createDataFrame(
+                    rows, "ordinal int, n long, pi int, p double, lo double, hi double")
+                med = exact_percentiles(self.data, num, [0.5], brackets=br)
                 self._medians = materialize_small(med.select("column_name", F.col("value").alias("median")))
         return self._medians
 

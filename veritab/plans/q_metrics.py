@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import materialize_small
 from ..operators import metrics as M
 from . import oracle_sql as O
 from .registry import register, rounded
@@ -31,10 +32,16 @@ def rule_predictions(spark, sf, where: str | None = None) -> DataFrame:
 
 
 def rule_metrics(spark, sf, where: str | None = None) -> DataFrame:
+    """Metrics of every rule model from one scan: the confusion counts of all models are one aggregate
+    (a few rows per model), the metrics are computed from that small frame."""
     preds = rule_predictions(spark, sf, where)
+    cm_all = materialize_small(preds.groupBy("model_order", F.col("actual").cast("string").alias("actual"),
+                                             F.col("predicted").cast("string").alias("predicted"))
+                               .agg(F.count(F.lit(1)).alias("count")))
     out = None
     for i, (n, _) in enumerate(RULES):
-        m = M.classification_metrics(preds.where(F.col("model_order") == i), "actual", "predicted", binary=False)
+        cm = cm_all.where(F.col("model_order") == i).select("actual", "predicted", "count")
+        m = M.metrics_from_counts(cm, binary=False)
         m = m.select(F.lit(i).alias("model_order"), F.lit(n).alias("model"), "metric", "value")
         out = m if out is None else out.unionByName(m)
     return out

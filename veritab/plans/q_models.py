@@ -107,20 +107,20 @@ def q_train_score_model(spark, sf):
 CUST_FEATURES = ["c_acctbal", "c_nationkey", "c_mktsegment"]
 
 
-def _clusters(spark, sf, k=3):
-    return C.train_clustering(table(spark, sf, "customer"), CUST_FEATURES, k=k)
+def _clusters(spark, sf, k=3, only=None):
+    return C.train_clustering(table(spark, sf, "customer"), CUST_FEATURES, k=k, only=only)
 
 
 @register("kmeans")
 def q_kmeans(spark, sf):
-    cl = _clusters(spark, sf)
+    cl = _clusters(spark, sf, only=[C.KMEANS])
     return cl.results[0].predictions.select("_rid", "prediction")
 
 
 @register("gmm")
 def q_gmm(spark, sf):
-    cl = _clusters(spark, sf)
-    return cl.results[1].predictions.select("_rid", "prediction")
+    cl = _clusters(spark, sf, only=[C.GMM])
+    return cl.results[0].predictions.select("_rid", "prediction")
 
 
 @register("kmeans_embeddings")
