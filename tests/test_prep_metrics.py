@@ -116,3 +116,17 @@ def test_roc_curve_endpoints(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)], "y int, s double")
     c = M.roc_curve(df, F.col("y") == 1, F.col("s")).orderBy(F.col("threshold").desc()).collect()
     assert (c[0]["fpr"], c[0]["tpr"]) == (0.0, 0.0) and (c[-1]["fpr"], c[-1]["tpr"]) == (1.0, 1.0)
+
+
+def test_radix_split_equals_window_split(spark, monkeypatch):
+    """Groups larger than the window bound are narrowed by radix passes; the result must be the same
+    test set as ranking each group in one window, duplicates included."""
+    rows = [("a" if i % 3 else "b", float(i % 7)) for i in range(900)]      # many identical rows
+    df = spark.createDataFrame(rows, "y string, x double")
+    ref = PR.train_test_split(df, "y", stratify=True)
+    monkeypatch.setattr(PR, "EXACT_SPLIT_MAX_ROWS", 20)
+    got = PR.train_test_split(df, "y", stratify=True)
+    key = lambda d: sorted(tuple(r) for r in d.where("_split = 'test'").select("y", "x").collect())
+    assert key(ref) == key(got)
+    cnt = {(r["y"], r["_split"]): r["count"] for r in got.groupBy("y", "_split").count().collect()}
+    assert cnt[("a", "test")] + cnt[("b", "test")] == 180

@@ -16,7 +16,7 @@ from ..session import ensure_checkpoint_dir
 from ..functions.stats import exact_percentiles, value_counts
 from ..functions.types import as_text, dtypes, is_boolean, is_numeric_or_bool, qc
 
-EXACT_SPLIT_MAX_ROWS = 5_000_000   # per split group; above this the split is an exact-rate hash threshold
+EXACT_SPLIT_MAX_ROWS = 1_000_000   # rows a split group may rank in one window; larger groups are narrowed first
 MAX_CLASSES = 10_000
 
 
@@ -105,14 +105,93 @@ def split_key(df: DataFrame, seed: int = R.SEED) -> DataFrame:
              .withColumn("_rid", F.monotonically_increasing_id())
 
 
+def _kth_tuples(keyed: DataFrame, want: dict, sizes: dict) -> dict:
+    """For each group g, the ``want[g]``-th smallest (_h, _rid) tuple (1-based) of its rows.
+
+    Groups of at most ``EXACT_SPLIT_MAX_ROWS`` candidates are ranked by one window (bounded per task).
+    Larger ones are narrowed first by radix passes: count rows per 16-bit prefix of the hash (at most
+    65,536 counts per group come back), keep the prefix holding the wanted rank, repeat on the next
+    bits; identical rows (same hash) are then narrowed the same way on the scan position. Every pass
+    is one aggregate over the candidates, so no task ever holds more than the window bound.
+    """
+    g, h, rid = F.col("_g"), F.col("_h"), F.col("_rid")
+    # state per group: stage ('h' or 'rid'), candidate range, shift, rank wanted among candidates, size
+    state = {k: {"stage": "h", "lo": None, "hi": None, "H": None, "shift": 48, "need": want[k], "size": sizes[k]}
+             for k in want if want[k] > 0}
+    result = {}
+
+    def cond(k, st):
+        c = g == F.lit(k)
+        if st["stage"] == "h":
+            if st["lo"] is not None:
+                c = c & h.between(st["lo"], st["hi"])
+        else:
+            c = c & (h == F.lit(st["H"]))
+            if st["lo"] is not None:
+                c = c & rid.between(st["lo"], st["hi"])
+        return c
+
+    while state:
+        small = {k: st for k, st in state.items() if st["size"] <= EXACT_SPLIT_MAX_ROWS}
+        if small:
+            whole = [k for k, st in small.items() if st["stage"] == "h" and st["lo"] is None]
+            c = g.isin(whole) if whole else F.lit(False)
+            for k, st in small.items():
+                if k not in whole:
+                    c = c | cond(k, st)
+            w = Window.partitionBy("_g").orderBy("_h", "_rid")
+            need = F.create_map(*[x for k, st in small.items() for x in (F.lit(k), F.lit(st["need"]))])
+            rows = (keyed.where(c).withColumn("_rn", F.row_number().over(w))
+                    .where(F.col("_rn") == F.element_at(need, g)).select("_g", "_h", "_rid").collect())
+            for r in rows:
+                result[r["_g"]] = (r["_h"], r["_rid"])
+                state.pop(r["_g"])
+            continue
+        # one radix pass for all remaining (large) groups
+        c = F.lit(False)
+        for k, st in state.items():
+            c = c | cond(k, st)
+        key = {k: (h if st["stage"] == "h" else rid) for k, st in state.items()}
+        bucket = None
+        for k, st in state.items():
+            e = F.shiftright(key[k], st["shift"])
+            bucket = F.when(g == F.lit(k), e) if bucket is None else bucket.when(g == F.lit(k), e)
+        counts = (keyed.where(c).groupBy("_g", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+                  .collect())
+        per = {}
+        for r in counts:
+            per.setdefault(r["_g"], []).append((r["_b"], r["_c"]))
+        for k in list(state):
+            st = state[k]
+            acc = 0
+            for b, cnt in sorted(per.get(k, [])):
+                if acc + cnt >= st["need"]:
+                    st["need"] -= acc
+                    st["size"] = cnt
+                    sh = st["shift"]
+                    st["lo"], st["hi"] = b << sh, (b << sh) | ((1 << sh) - 1)
+                    if sh == 0 and st["stage"] == "h":            # one hash value: rank on position
+                        st.update(stage="rid", H=b, lo=None, hi=None, shift=48)
+                    elif sh == 0:                                # one row
+                        result[k] = (st["H"], b)
+                        state.pop(k)
+                    else:
+                        st["shift"] = sh - 16
+                    break
+                acc += cnt
+    return result
+
+
 def train_test_split(df: DataFrame, target: str | None = None, stratify: bool = False,
                      test_fraction: float = R.TEST_FRACTION, seed: int = R.SEED) -> DataFrame:
     """Adds ``_split`` in {'train','test'}: test = ceil(fraction * n) rows, per class when stratified
-    (train counts allocated first, largest remainder). Groups up to ``EXACT_SPLIT_MAX_ROWS`` rows are
-    ranked by (hash, position); larger groups take rows whose hash falls below the group's rate."""
-    keyed = split_key(df, seed)
+    (train counts allocated first, largest remainder). The test rows of a group are exactly its
+    smallest (content hash, scan position) tuples, found by ``_kth_tuples`` without ever sorting a
+    large group in one task. The keyed rows are checkpointed first so every pass sees the same
+    positions; the split itself is then a narrow projection."""
     grp = qc(target).cast("string") if stratify else F.lit(0)
-    counts_rows = keyed.groupBy(grp.alias("_g")).agg(F.count(F.lit(1)).alias("n")).collect()
+    keyed = split_key(df, seed).withColumn("_g", grp).checkpoint()
+    counts_rows = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r["_g"]: int(r["n"]) for r in counts_rows}
     n = sum(counts.values())
     n_test = math.ceil(test_fraction * n)
@@ -123,20 +202,15 @@ def train_test_split(df: DataFrame, target: str | None = None, stratify: bool =
         test_alloc = {k: counts[k] - train_alloc[k] for k in counts}
     else:
         test_alloc = {0: n_test}
+    cut = _kth_tuples(keyed, test_alloc, counts)
     spark = df.sparkSession
-    plan = spark.createDataFrame(
-        [(k, int(v), int(counts[k]), counts[k] <= EXACT_SPLIT_MAX_ROWS) for k, v in test_alloc.items()],
-        "_g " + ("string" if stratify else "int") + ", _ntest long, _n long, _exact boolean")
-    base = keyed.withColumn("_g", grp)
-    base = base.join(F.broadcast(plan), "_g", "left")
-    w = Window.partitionBy("_g").orderBy("_h", "_rid")
-    # exact rank for bounded groups; hash rate for larger groups (unsigned hash in [0, 1))
-    u = (F.col("_h").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
-    exact = base.where(F.col("_exact")).withColumn("_is_test", F.row_number().over(w) <= F.col("_ntest"))
-    approx = base.where(~F.col("_exact")).withColumn("_is_test", u < F.col("_ntest") / F.col("_n"))
-    out = exact.unionByName(approx)
-    return out.withColumn("_split", F.when(F.col("_is_test"), F.lit("test")).otherwise(F.lit("train"))) \
-              .drop("_g", "_ntest", "_n", "_exact", "_is_test", "_h")
+    cuts = spark.createDataFrame([(k, int(hh), int(rr)) for k, (hh, rr) in cut.items()],
+                                 "_g " + ("string" if stratify else "int") + ", _ch long, _cr long")
+    H, Rr = F.col("_ch"), F.col("_cr")
+    is_test = H.isNotNull() & ((F.col("_h") < H) | ((F.col("_h") == H) & (F.col("_rid") <= Rr)))
+    return (keyed.join(F.broadcast(cuts), "_g", "left")       # one row per group (<= MAX_CLASSES)
+            .withColumn("_split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+            .drop("_g", "_h", "_ch", "_cr"))
 
 
 def should_stratify(df: DataFrame, target: str, task: str) -> bool:
@@ -291,8 +365,7 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, seed: in
     ensure_checkpoint_dir(df.sparkSession)
     data = drop_null_target(select_features(df, features, target), target)
     strat = should_stratify(data, target, task)
-    data = train_test_split(data, target, strat, test_fraction, seed)
-    data = data.checkpoint()        # the split is reused by every model: cut lineage, survive executor loss
+    data = train_test_split(data, target, strat, test_fraction, seed)   # narrow over a checkpointed frame
     train = data.where(F.col("_split") == "train")
     feats = valid_features(train, features)
     kinds = {r["column_name"]: r["kind"] for r in feature_kinds(train, feats).collect()}
