@@ -18,6 +18,7 @@ from ..functions.types import as_text, dtypes, is_boolean, is_numeric_or_bool, q
 
 EXACT_SPLIT_MAX_ROWS = 1_000_000   # rows a split group may rank in one window; larger groups are narrowed first
 MAX_CLASSES = 10_000
+RADIX_GROUPS = 16                  # large split groups narrowed together in one pass
 
 
 class PrepError(ValueError):
@@ -147,13 +148,14 @@ def _kth_tuples(keyed: DataFrame, want: dict, sizes: dict) -> dict:
                 result[r["_g"]] = (r["_h"], r["_rid"])
                 state.pop(r["_g"])
             continue
-        # one radix pass for all remaining (large) groups
+        # one radix pass for up to RADIX_GROUPS large groups (at most 65,536 counts each come back)
+        batch = dict(sorted(state.items(), key=lambda kv: str(kv[0]))[:RADIX_GROUPS])
         c = F.lit(False)
-        for k, st in state.items():
+        for k, st in batch.items():
             c = c | cond(k, st)
-        key = {k: (h if st["stage"] == "h" else rid) for k, st in state.items()}
+        key = {k: (h if st["stage"] == "h" else rid) for k, st in batch.items()}
         bucket = None
-        for k, st in state.items():
+        for k, st in batch.items():
             e = F.shiftright(key[k], st["shift"])
             bucket = F.when(g == F.lit(k), e) if bucket is None else bucket.when(g == F.lit(k), e)
         counts = (keyed.where(c).groupBy("_g", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
@@ -161,7 +163,7 @@ def _kth_tuples(keyed: DataFrame, want: dict, sizes: dict) -> dict:
         per = {}
         for r in counts:
             per.setdefault(r["_g"], []).append((r["_b"], r["_c"]))
-        for k in list(state):
+        for k in list(batch):
             st = state[k]
             acc = 0
             for b, cnt in sorted(per.get(k, [])):
@@ -191,7 +193,9 @@ def train_test_split(df: DataFrame, target: str | None = None, stratify: bool =
     positions; the split itself is then a narrow projection."""
     grp = qc(target).cast("string") if stratify else F.lit(0)
     keyed = split_key(df, seed).withColumn("_g", grp).checkpoint()
-    counts_rows = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts_rows = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(counts_rows) > MAX_CLASSES:
+        raise PrepError("too many classes to stratify")
     counts = {r["_g"]: int(r["n"]) for r in counts_rows}
     n = sum(counts.values())
     n_test = math.ceil(test_fraction * n)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import messages as T
 from ..functions import rules as R
 from ..functions.stats import guarded_corr, value_counts
-from ..functions.types import dtypes, is_numeric_or_bool, normalise, qc
+from ..functions.types import as_text, dtypes, is_numeric_or_bool, normalise, qc
 from .eda import correlation_pairs
 
 LOG_SCHEMA = ("check_order int, seq int, status string, check_name string, subject string, value double, "
@@ -31,6 +31,7 @@ class Measurements:
     pairs: list[tuple[int, int, float | None]] = field(default_factory=list)
     cardinality: dict[str, int] = field(default_factory=dict)
     cluster_sizes: list[tuple[object, int]] = field(default_factory=list)
+    n_classes: int = 0
 
 
 def measure(df: DataFrame, target: str | None, features: list[str], task: str,
@@ -56,13 +57,19 @@ def measure(df: DataFrame, target: str | None, features: list[str], task: str,
         if is_numeric_or_bool(types[target]):
             m.target_corr = {c: row[f"tc{i}"] for i, c in enumerate(features) if c in numeric}
     if task == "Classification" and target is not None:
-        cc = data.where(qc(target).isNotNull()).groupBy(qc(target).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        m.class_counts = sorted(((r["v"], int(r["c"])) for r in cc.collect()), key=lambda t: (-t[1], str(t[0])))
+        # class counts stay distributed (a target may have many classes): only the number of classes,
+        # the largest and smallest counts and the majority class (ties -> smallest text) come back
+        cc = data.where(qc(target).isNotNull()).groupBy(as_text(target, types[target]).alias("v")) \
+            .agg(F.count(F.lit(1)).alias("c"))
+        s = cc.agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("mx"), F.min("c").alias("mn")).first()
+        m.n_classes = int(s["k"])
+        if m.n_classes:
+            maj = cc.where(F.col("c") == s["mx"]).agg(F.min("v").alias("v")).first()["v"]
+            m.class_counts = [(maj, int(s["mx"])), (None, int(s["mn"]))]
     if len(numeric) > 1:
         m.pairs = [(r["i"], r["j"], r["r"]) for r in correlation_pairs(data, numeric).collect()]
     nonnum = [c for c in features if c not in numeric]
     if nonnum:
-        order = {c: i for i, c in enumerate(data.columns)}
         vc = value_counts(data.select(*[qc(c) for c in nonnum]))
         cnt = {int(r["ordinal"]): int(r["k"]) for r in vc.groupBy("ordinal").agg(F.count(F.lit(1)).alias("k")).collect()}
         m.cardinality = {c: cnt.get(i, 0) for i, c in enumerate(nonnum)}
@@ -111,7 +118,7 @@ def build_log(m: Measurements, target: str | None, features: list[str], numeric:
         if not leak and test_score is not None and test_score > R.SUSPICIOUS_SCORE:
             rows.append(_row(SUSPICIOUS, T.WARNING, T.SUSPICIOUS, value=test_score, score=test_score))
     # 4. class imbalance
-    if task == "Classification" and target is not None and len(m.class_counts) >= 2:
+    if task == "Classification" and target is not None and m.n_classes >= 2:
         majority, maj_n = m.class_counts[0]
         min_n = m.class_counts[-1][1]
         ratio = maj_n / min_n
