@@ -47,6 +47,10 @@ class Clustering:
         rows = [(r.order, r.name, k, float(v)) for r in self.results for k, v in r.metrics.items()]
         return spark.createDataFrame(rows, "model_order int, model string, metric string, value double")
 
+    def release(self) -> None:
+        """Drop the cached vectors (their checkpoint stays as the lineage root)."""
+        self.vectors.unpersist()
+
     def best(self) -> ClusterResult:
         """Highest silhouette; the earlier model wins ties."""
         return max(self.results, key=lambda r: (r.metrics.get(SILHOUETTE, -1.0), -r.order))

@@ -72,6 +72,11 @@ class Baselines:
             out = m if out is None else out.unionByName(m)
         return out
 
+    def release(self) -> None:
+        """Drop the cached train vectors once the models are fitted and scored."""
+        if self.train is not None:
+            self.train.unpersist()
+
     def champion(self) -> ModelResult:
         row = M.champion(self.metrics(), self.prepared.task).first()
         return self.results[row["model_order"]]
