@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from ..operators import prep as PR
 from ..operators import profile as P
 from ..operators import report as RP
 from ..operators import trust as TR
@@ -93,7 +95,12 @@ def q_sink_artifacts(spark, sf):
     p = P.profile_table(li)
     prof = P.column_profile(p).drop("top_values")
     log = TR.run_checks(li, "l_returnflag", ["l_quantity", "l_discount", "l_linestatus"], "Classification")
-    SK.write_artifacts({"column_profile": prof, "trust_log": log}, base, "run-1")
+    kinds = {"l_quantity": "numeric", "l_discount": "one_hot", "l_linestatus": "one_hot"}
+    model, _ = PR.fit_preprocessing(li, list(kinds), kinds)
+    paths = SK.write_artifacts({"column_profile": prof, "trust_log": log}, base, "run-1",
+                               models={"preprocessing": model})
+    reloaded = PipelineModel.load(paths["model:preprocessing"])
+    assert len(reloaded.stages) == len(model.stages)
     return spark.read.parquet(f"{base}/column_profile").where(F.col("run_id") == "run-1")
 
 
