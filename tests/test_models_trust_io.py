@@ -125,3 +125,15 @@ def test_sink_roundtrip(spark, class_150):
     SK.write_dataset(class_150, os.path.join(d, "out.csv"))
     back = RD.load_dataset(spark, os.path.join(d, "out.csv"))
     assert back.count() == 150 and len(back.columns) == 6
+
+
+def test_csv_typing_like_a_dataframe_reader(spark):
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "f.csv")
+    with open(p, "w") as f:
+        f.write("a,b,c,d,e\n1.5,2,True,x,1e3\n2.0,NA,False,,7\n3,4,true,z,\n")
+    df = RD.load_dataset(spark, p)
+    assert df.dtypes == [("a", "double"), ("b", "bigint"), ("c", "boolean"), ("d", "string"), ("e", "double")]
+    rows = df.collect()
+    assert rows[1]["b"] is None and rows[1]["d"] is None and rows[2]["e"] is None
+    assert rows[0]["e"] == 1000.0
