@@ -323,7 +323,7 @@ def datetime_stats(p: TableProfile) -> DataFrame:
         st = (st.join(F.broadcast(fill), "column_name", "left")
               .withColumn("dt_min", F.coalesce("dt_min", "plo")).withColumn("dt_max", F.coalesce("dt_max", "phi"))
               .drop("plo", "phi"))
-    micros = F.unix_micros(F.col("dt_max").cast("timestamp")) - F.unix_micros(F.col("dt_min").cast("timestamp"))
+    micros = F.timestamp_diff("MICROSECOND", F.col("dt_min"), F.col("dt_max"))   # wall-clock, no time zone
     return st.where(F.col("dt_min").isNotNull()).select(
         "ordinal", "column_name", F.col("dt_min").alias("min"), F.col("dt_max").alias("max"),
         F.floor(micros / F.lit(86_400_000_000)).cast("long").alias("range_days"),

@@ -20,12 +20,19 @@ RULES = [
 ]
 
 
+def spark_sql(expr: str) -> str:
+    """The rules compare the time-zone-free ship date with a literal: make the literal time-zone-free
+    in Spark too, so the session time zone never shifts the comparison."""
+    return expr.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
+
+
 def rule_predictions(spark, sf, where: str | None = None) -> DataFrame:
     """Long frame (model_order, model, actual, predicted) of every rule over lineitem."""
     li = table(spark, sf, "lineitem")
     if where:
-        li = li.where(where)
-    arr = F.array(*[F.struct(F.lit(i).alias("model_order"), F.lit(n).alias("model"), F.expr(e).alias("predicted"))
+        li = li.where(spark_sql(where))
+    arr = F.array(*[F.struct(F.lit(i).alias("model_order"), F.lit(n).alias("model"),
+                             F.expr(spark_sql(e)).alias("predicted"))
                     for i, (n, e) in enumerate(RULES)])
     return li.select(F.col("l_returnflag").alias("actual"), F.explode(arr).alias("m")).select(
         "m.model_order", "m.model", "actual", "m.predicted")

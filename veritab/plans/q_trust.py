@@ -13,7 +13,7 @@ from ..functions import messages as T
 from ..operators import metrics as M
 from ..operators import trust as TR
 from . import oracle_sql as O
-from .q_metrics import RULES, _rules_sql, _weighted_sql, rule_metrics
+from .q_metrics import _rules_sql, _weighted_sql, rule_metrics, spark_sql
 from .registry import register, rounded
 from .tables import labeled_documents, priced_lineitem, table
 
@@ -239,7 +239,7 @@ S_SCORE_SQL = (f"(SELECT CASE WHEN VAR_POP(list_price) = 0 THEN 1.0 ELSE 1 - SUM
 @register("chk_suspicious_score", _final(sql_leakage(PRICED_SQL, B_TARGET, S_FEATURES, S_SCORE_SQL)))
 def q_chk_suspicious_score(spark, sf):
     df = priced_lineitem(spark, sf)
-    later = df.where(f"NOT ({TIME_SPLIT})").withColumn("rule", F.col("l_quantity") * F.col("p_retailprice"))
+    later = df.where(spark_sql(f"NOT ({TIME_SPLIT})")).withColumn("rule", F.col("l_quantity") * F.col("p_retailprice"))
     r2 = M.regression_metrics(later, B_TARGET, "rule").where(F.col("metric") == M.R2).first()["value"]
     log = TR.run_checks(df, B_TARGET, S_FEATURES, "Regression", None, r2)
     return _spark_rows(log, TR.LEAKAGE).unionByName(_spark_rows(log, TR.SUSPICIOUS))
