@@ -99,12 +99,15 @@ def q_date_parse_rule(spark, sf):
     " / 86400000000.0) AS BIGINT) AS range_days FROM " + O.TEXT_DATES + " t",
 ]))
 def q_datetime_stats(spark, sf):
+    names = ["lineitem", "orders", "events"]
+    tables = {t: table(spark, sf, t) for t in names}
+    tables["text_dates"] = text_dates(spark, sf)
+    profs = P.profile_tables(tables)
     out = None
-    for t in ["lineitem", "orders", "events"]:
-        df = P.datetime_stats(_profile(spark, sf, t)).select(F.lit(t).alias("table_name"), "*")
+    for t in names + ["text_dates"]:
+        df = P.datetime_stats(profs[t]).select(F.lit(t).alias("table_name"), "*")
         out = df if out is None else out.unionByName(df)
-    td = P.datetime_stats(P.profile_table(text_dates(spark, sf))).select(F.lit("text_dates").alias("table_name"), "*")
-    return out.unionByName(td)
+    return out
 
 
 # ---------------------------------------------------------------- per-column stats on lineitem / documents
@@ -209,15 +212,17 @@ DUP_TABLES = ["lineitem", "orders", "customer", "documents", "events", "conversa
     f"CAST((SELECT COUNT(*) FROM {t}) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {t})) AS BIGINT) AS n_duplicates"
     for t in DUP_TABLES]))
 def q_table_profile(spark, sf):
-    out = None
-    for t in DUP_TABLES:
+    """Rows, columns and duplicate rows of several tables; each table is one count and one grouping,
+    submitted concurrently."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(t):
         df = table(spark, sf, t)
-        n = df.count()
-        dup = P.duplicate_rows_frame(df)
-        row = dup.select(F.lit(t).alias("table_name"), F.lit(n).cast("long").alias("n_rows"),
-                         F.lit(len(df.columns)).alias("n_cols"), "n_duplicates")
-        out = row if out is None else out.unionByName(row)
-    return out
+        return t, df.count(), len(df.columns), P.duplicate_rows(df)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = list(pool.map(one, DUP_TABLES))
+    return spark.createDataFrame(rows, "table_name string, n_rows long, n_cols int, n_duplicates long")
 
 
 @register("duplicate_rows",
