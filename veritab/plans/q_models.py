@@ -34,6 +34,7 @@ def _regression(spark, sf, only=None):
 
 def _preds(b):
     r = b.results[0]
+    b.release()          # predictions read the checkpointed test vectors, not the cached train split
     return r.predictions.select(F.lit(r.name).alias("model"), "_rid", "label", "prediction")
 
 
@@ -78,12 +79,16 @@ def q_reg_boosting(spark, sf):
 @register("train_baselines")
 def q_train_baselines(spark, sf):
     """All three classifiers on labeled documents: (model_order, model, metric, value), 15 rows."""
-    return rounded(_binary(spark, sf).metrics())
+    b = _binary(spark, sf)
+    b.release()
+    return rounded(b.metrics())
 
 
 @register("train_baselines_regression")
 def q_train_baselines_regression(spark, sf):
-    return rounded(_regression(spark, sf).metrics())
+    b = _regression(spark, sf)
+    b.release()
+    return rounded(b.metrics())
 
 
 @register("feature_importance")
@@ -114,12 +119,14 @@ def _clusters(spark, sf, k=3, only=None):
 @register("kmeans")
 def q_kmeans(spark, sf):
     cl = _clusters(spark, sf, only=[C.KMEANS])
+    cl.release()
     return cl.results[0].predictions.select("_rid", "prediction")
 
 
 @register("gmm")
 def q_gmm(spark, sf):
     cl = _clusters(spark, sf, only=[C.GMM])
+    cl.release()
     return cl.results[0].predictions.select("_rid", "prediction")
 
 
