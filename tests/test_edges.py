@@ -92,3 +92,9 @@ def test_materialize_small_falls_back_to_checkpoint(spark):
     big = materialize_small(df, limit=10)
     assert small.count() == 50 and big.count() == 50
     assert sorted(r["x"] for r in big.collect()) == list(range(0, 100, 2))
+
+
+def test_concurrent_profiles_equal_sequential(spark, class_150, reg_150):
+    both = P.profile_tables({"c": class_150, "r": reg_150})
+    assert both["c"].semantic == P.profile_table(class_150).semantic
+    assert both["r"].semantic == P.profile_table(reg_150).semantic
