@@ -98,3 +98,9 @@ def test_concurrent_profiles_equal_sequential(spark, class_150, reg_150):
     both = P.profile_tables({"c": class_150, "r": reg_150})
     assert both["c"].semantic == P.profile_table(class_150).semantic
     assert both["r"].semantic == P.profile_table(reg_150).semantic
+
+
+def test_ignored_empty_features_are_reported(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b string")
+    kept, ignored = PR.select_valid_features(df, ["a", "b"])
+    assert kept == ["a"] and ignored == ["b"]

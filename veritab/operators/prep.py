@@ -63,6 +63,12 @@ def valid_features(df: DataFrame, features: list[str]) -> list[str]:
     return out
 
 
+def select_valid_features(df: DataFrame, features: list[str]) -> tuple[list[str], list[str]]:
+    """(kept, ignored): the features with data, and the entirely empty ones to report to the user."""
+    kept = valid_features(df, features)
+    return kept, [c for c in features if c not in kept]
+
+
 def cast_to_string(df: DataFrame, cols: list[str]) -> DataFrame:
     types = dtypes(df)
     return df.select(*[as_text(c, types[c]).alias(c) if c in cols else qc(c) for c in df.columns])
