@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality_votes, token_count
+from . import decontaminate, license_scan, quality_votes, simhash_pivots, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +39,43 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op8_decontamination", """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(words), 10) AS n,
+         array_to_string(list_slice(words, s, s + least(len(words), 10) - 1), ' ') AS win
+  FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM item WHERE len(words) > 0)),
+place AS (
+  SELECT r, n, s, array_to_string(list_slice(words, s, s + n - 1), ' ') AS win
+  FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS s
+        FROM doc, (SELECT DISTINCT n FROM win) WHERE len(words) >= n)),
+hit AS (SELECT r, place.n, s, item FROM place JOIN win ON place.n = win.n AND place.win = win.win),
+hits AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+""")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found)
+
+
+@register("op9_simhash_pivots")
+def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
