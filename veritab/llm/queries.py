@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, quality_votes, simhash_pivots, token_count
+from . import decontaminate, external_shuffle, license_scan, packing, quality_votes, simhash_pivots, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +79,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_simhash_pivots")
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op6_external_shuffle")
+def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return external_shuffle.digest(external_shuffle.external_shuffle(table(spark, sf_dir, "documents")))
+
+
+@register("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
