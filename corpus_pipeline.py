@@ -1,22 +1,52 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+All stages but the last return the columns of their input; rows that a stage rejects are gone for all later ones. The
+last one returns the packed pieces of the documents that are left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import quality_votes
+from veritab.llm import decontaminate, language_crf, packing, quality_votes, simhash_pivots
 from veritab.llm.common import written
 from veritab.llm.queries import table
 
 
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are probably good."""
     return quality_votes.kept_documents(docs)
 
 
-STAGES = [("quality_rules", keep_quality)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised: at least half of the words' posterior is on one language."""
+    return language_crf.known_language(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id."""
+    return simhash_pivots.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, packed into sequences of 2,048 tokens."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Expectation-maximisation, a trained language model and a bin-packing heuristic are no SQL.
+#: Expectation-maximisation, a trained random field and a packing heuristic are no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

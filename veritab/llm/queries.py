@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, external_shuffle, license_scan, packing, quality_votes, simhash_pivots, token_count
+from . import (decontaminate, external_shuffle, language_crf, license_scan, packing, quality_votes, simhash_pivots, site_bayes,
+               token_count, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +90,19 @@ def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@register("op4_language_crf")
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.languages(table(spark, sf_dir, "documents"))
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, labels).drop("passages")
+
+
+@register("op5_site_bayes")
+def op5_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_bayes.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
