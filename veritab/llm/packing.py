@@ -6,7 +6,7 @@ remains is bin packing of lengths below the capacity, and it depends only on how
 2,047 numbers, however many documents there are. So the plan is made from that histogram:
 
 * Reduction: from the longest length on, a set of at most three pieces is fixed for good if it provably dominates every
-  other feasible set with that longest piece: alone (nothing fits beside it), with the largest piece that fits if that
+  other feasible set with its first piece: alone (nothing fits beside it), with the largest piece that fits if that
   fills the sequence or if no two pieces fit, or with a pair that no other pair beats in both members.
 * Best fit, decreasing, for the rest: every piece goes to the fullest open sequence that it fits into; sequences with
   equal contents are handled together, with their number.
@@ -183,6 +183,11 @@ class Lengths:
             del self.n[length]
             self.order.pop(bisect_left(self.order, length))
 
+    def put(self, length: int) -> None:
+        self.n[length] = self.n.get(length, 0) + 1
+        if self.n[length] == 1:
+            insort(self.order, length)
+
     def largest(self, room: int) -> int | None:
         """The largest length of at most ``room``."""
         i = bisect_right(self.order, room)
@@ -199,42 +204,44 @@ class Lengths:
 def reduced(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, dict[int, int]]:
     """Martello-Toth reduction: (patterns fixed for good with their numbers, counts of the lengths that are left).
 
-    Each round looks at one piece of the longest length w that is left; equal cases are fixed many at a time.
+    Passes from the longest length down, until a pass fixes nothing. A set has to dominate all feasible sets of the
+    pieces that are left, longer ones that were not fixed included. Equal cases are fixed many at a time.
     """
     fixed: Counter = Counter()
     items = Lengths(counts)
-    left: dict[int, int] = {}
-    while items.order:
-        w = items.order[-1]
-        have = items.n[w]
-        items.take(w, 1)
-        room = capacity - w
+    again = True
+    while again:
+        again = False
+        for w in sorted(items.n, reverse=True):
+            while items.n.get(w):
+                pattern = _dominating(items, w, capacity - w)
+                if pattern is None:
+                    break
+                need = Counter(pattern)
+                times = min(items.n[k] // m for k, m in need.items())
+                if len(pattern) > 1:
+                    # equal cases in one go, as long as no length runs short: then the next round looks anew
+                    times = max(1, min(items.n[k] - m for k, m in need.items()) // max(need.values()))
+                fixed[pattern] += times
+                for k, m in need.items():
+                    items.take(k, m * times)
+                again = True
+    return fixed, items.n
+
+
+def _dominating(items: Lengths, w: int, room: int) -> tuple[int, ...] | None:
+    """A set with a piece of length w that dominates all feasible sets with it, if one is found."""
+    items.take(w, 1)
+    try:
         best = items.largest(room)
-        pattern: tuple[int, ...] | None = None
         if best is None:
-            pattern = (w,)
-        else:
-            a, b = items.smallest_two()
-            if best == room or b is None or a + b > room:
-                pattern = (w, best)
-            else:
-                pattern = _dominating_pair(items, w, best, room)
-        items.n[w] = items.n.get(w, 0) + 1
-        if not items.order or items.order[-1] != w:
-            insort(items.order, w)
-        if pattern is None:
-            left[w] = have
-            items.take(w, have)
-            continue
-        need = Counter(pattern)
-        times = min(items.n[k] // m for k, m in need.items())
-        if len(pattern) > 1:
-            # equal cases in one go, as long as no length runs short: then the next round looks anew
-            times = max(1, min(items.n[k] - m for k, m in need.items()) // max(need.values()))
-        fixed[pattern] += times
-        for k, m in need.items():
-            items.take(k, m * times)
-    return fixed, left
+            return (w,)
+        a, b = items.smallest_two()
+        if best == room or b is None or a + b > room:
+            return (w, best)
+        return _dominating_pair(items, w, best, room)
+    finally:
+        items.put(w)
 
 
 def _dominating_pair(items: Lengths, w: int, best: int, room: int) -> tuple[int, ...] | None:
