@@ -9,6 +9,50 @@ from veritab.operators import metrics as M
 from veritab.operators import prep as PR
 
 
+def allocated(spark, counts, draws):
+    df = spark.createDataFrame([(str(k), int(n)) for k, n in counts.items()], "_g string, n long")
+    got = {r["_g"]: r["draws"] for r in PR.allocate(df, sum(counts.values()), draws).collect()}
+    return {k: got[str(k)] for k in counts}
+
+
+def test_split_with_few_rows_a_bucket_and_identical_rows(spark, monkeypatch):
+    monkeypatch.setattr(PR, "BUCKET_ROWS", 50)
+    df = spark.range(3000).select((F.col("id") % 900).alias("v"), (F.col("id") % 7).alias("c")).unionByName(
+        spark.range(1500).select(F.lit(1).cast("long").alias("v"), F.lit(0).cast("long").alias("c"))).repartition(6)
+    s = PR.train_test_split(df)
+    assert {r["_split"]: r["count"] for r in s.groupBy("_split").count().collect()} == {"test": 900, "train": 3600}
+    st = PR.train_test_split(df, "c", stratify=True)
+    sizes = {r["c"]: r["count"] for r in df.groupBy("c").count().collect()}
+    train = {r["c"]: r["count"] for r in st.where("_split = 'train'").groupBy("c").count().collect()}
+    assert train == allocated(spark, sizes, 3600) and st.count() == 4500
+
+
+def test_many_classes_and_codes(spark):
+    df = spark.range(24_000).select((F.col("id") % 12_000).alias("cls"), F.rand(1).alias("x"),
+                                    F.concat(F.lit("v"), F.col("id") % 11_000).alias("t"))
+    prep = PR.prepare(df, "cls", ["x", "t"], "Classification")
+    assert prep.n_classes == 12_000 and prep.ordinal == ["t"] and prep.n_test == 4800
+    assert prep.data.where(F.col("label") != F.col("cls")).count() == 0
+    codes = PR.ordinal_codes(df, "t")
+    exp = {v: float(i) for i, v in enumerate(sorted({f"v{i}" for i in range(11_000)}))}
+    assert {r["value"]: r["code"] for r in codes.collect()} == exp
+    other = spark.createDataFrame([("v7",), ("none",), (None,)], "t string")
+    assert [r["k"] for r in PR.ordinal_encode(other, "t", codes, "k").collect()] == [exp["v7"], -1.0, -1.0]
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, nan, 1.0), (nan, nan, 3.0), (3.0, nan, nan), (None, nan, 5.0)], "a double, b double, y double")
+    assert PR.valid_features(df, ["a", "b"]) == ["a"]
+    med, mean, std = PR.numeric_fit(df, ["a"])["a"]
+    assert (med, mean) == (2.0, 2.0) and std == pytest.approx(math.sqrt(0.5))
+    assert [r["a"] for r in PR.impute_median(df, {"a": med}).collect()] == [1.0, 2.0, 3.0, 2.0]
+    model, _ = PR.fit_preprocessing(df, ["a"], {"a": "numeric"})
+    assert all(math.isfinite(r["features"][0]) for r in model.transform(df).collect())
+    got = {r["metric"]: r["value"] for r in M.regression_metrics(df, "y", "a").collect()}
+    assert got["MAE"] == 0.0
+
+
 def test_split_counts_plain_and_stratified(spark, class_150):
     s = PR.train_test_split(class_150)
     counts = {r["_split"]: r["count"] for r in s.groupBy("_split").count().collect()}
@@ -16,7 +60,7 @@ def test_split_counts_plain_and_stratified(spark, class_150):
     st = PR.train_test_split(class_150, "churn", stratify=True)
     per = st.groupBy("churn", "_split").count().toPandas()
     cls = class_150.groupBy("churn").count().toPandas().set_index("churn")["count"]
-    train_alloc = PR.allocate(dict(cls), 120)
+    train_alloc = allocated(spark, dict(cls), 120)
     for c, k in cls.items():
         got = per[(per.churn == c) & (per._split == "train")]["count"].iloc[0]
         assert got == train_alloc[c]
@@ -29,9 +73,9 @@ def test_split_is_deterministic(spark, class_150):
     assert sorted(r[0] for r in a) == sorted(r[0] for r in b)
 
 
-def test_allocate_largest_remainder():
-    assert PR.allocate({"a": 50, "b": 50, "c": 50}, 120) == {"a": 40, "b": 40, "c": 40}
-    got = PR.allocate({"a": 7, "b": 2, "c": 1}, 8)
+def test_allocate_largest_remainder(spark):
+    assert allocated(spark, {"a": 50, "b": 50, "c": 50}, 120) == {"a": 40, "b": 40, "c": 40}
+    got = allocated(spark, {"a": 7, "b": 2, "c": 1}, 8)
     assert sum(got.values()) == 8 and got["a"] >= 5
 
 
@@ -116,17 +160,3 @@ def test_roc_curve_endpoints(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)], "y int, s double")
     c = M.roc_curve(df, F.col("y") == 1, F.col("s")).orderBy(F.col("threshold").desc()).collect()
     assert (c[0]["fpr"], c[0]["tpr"]) == (0.0, 0.0) and (c[-1]["fpr"], c[-1]["tpr"]) == (1.0, 1.0)
-
-
-def test_radix_split_equals_window_split(spark, monkeypatch):
-    """Groups larger than the window bound are narrowed by radix passes; the result must be the same
-    test set as ranking each group in one window, duplicates included."""
-    rows = [("a" if i % 3 else "b", float(i % 7)) for i in range(900)]      # many identical rows
-    df = spark.createDataFrame(rows, "y string, x double")
-    ref = PR.train_test_split(df, "y", stratify=True)
-    monkeypatch.setattr(PR, "EXACT_SPLIT_MAX_ROWS", 20)
-    got = PR.train_test_split(df, "y", stratify=True)
-    key = lambda d: sorted(tuple(r) for r in d.where("_split = 'test'").select("y", "x").collect())
-    assert key(ref) == key(got)
-    cnt = {(r["y"], r["_split"]): r["count"] for r in got.groupBy("y", "_split").count().collect()}
-    assert cnt[("a", "test")] + cnt[("b", "test")] == 180

@@ -108,7 +108,9 @@ def test_nan_is_missing(spark):
 def test_repartition_invariance(spark, class_150):
     a = P.column_profile(P.profile_table(class_150)).drop("top_values").collect()
     b = P.column_profile(P.profile_table(class_150.repartition(7))).drop("top_values").collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    def near(rows):        # sums differ in the last bits with the order of the rows
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+    assert near(a) == near(b)
 
 
 def test_datetime_range_days(spark):

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .types import as_text, is_complex, is_string, qc
 
-LONG_VALUE_LEN = 1024          # strings longer than this are counted by their SHA-256 digest
-DIGEST_MARK = "\u0000"         # prefix of a digest key; cannot start a real short value's key
-
 BROADCAST_ROWS = 200_000       # largest side we broadcast after counting it
 
 
@@ -54,39 +51,49 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 # long value counts
 # --------------------------------------------------------------------------------------------
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(ordinal, value_key, cnt, value): one row per distinct non-null value of each column.
-
-    One typed aggregation per column, unioned into one job: with a columnar source each branch reads
-    only its own column, so all branches together read the table once, and values are hashed in their
-    own type (the text form is made after aggregation, for distinct values only). Map-side partial
-    aggregation collapses hot values before the shuffle. Strings longer than ``LONG_VALUE_LEN`` are
-    keyed by a SHA-256 digest so the shuffle carries 65 bytes instead of the text; their ``value`` is
-    NULL here and is fetched back only for the few rows a caller needs (``resolve_values``).
-    """
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    order = {f.name: i for i, f in enumerate(df.schema.fields)}
-    parts = []
-    for f in fields:
+def _per_column(df: DataFrame, columns: Sequence[str] | None, digests: bool) -> DataFrame | None:
+    """(ordinal, value, cnt) per distinct non-null value: one typed aggregation per column, in one job. A columnar source
+    gives each branch only its own column, so all branches together read the table once; hot values collapse before the
+    shuffle. With ``digests`` texts are grouped by their SHA-256 and ``value`` is not their text."""
+    out = None
+    for i, f in enumerate(df.schema.fields):
+        if columns is not None and f.name not in columns:
+            continue
         c = qc(f.name)
-        if is_string(f.dataType):
-            key = F.when(F.length(c) <= LONG_VALUE_LEN, c).otherwise(F.concat(F.lit(DIGEST_MARK), F.sha2(c, 256)))
-            grouped = df.where(c.isNotNull()).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("cnt"))
-            text = F.col("k")
-        elif is_complex(f.dataType):
-            grouped = df.where(c.isNotNull()).groupBy(as_text(f.name, f.dataType).alias("k")).agg(
-                F.count(F.lit(1)).alias("cnt"))
-            text = F.col("k")
-        else:
-            grouped = df.where(c.isNotNull()).groupBy(c.alias("k")).agg(F.count(F.lit(1)).alias("cnt"))
-            text = as_text("k", f.dataType)
-        parts.append(grouped.select(F.lit(order[f.name]).alias("ordinal"), text.alias("value_key"), "cnt"))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "ordinal int, value_key string, cnt long, value string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("value", F.when(~F.col("value_key").startswith(DIGEST_MARK), F.col("value_key")))
+        text = is_string(f.dataType) or is_complex(f.dataType)
+        key = as_text(f.name, f.dataType) if text else c
+        grouped = df.where(c.isNotNull()).groupBy((F.sha2(key, 256) if text and digests else key).alias("k")).agg(
+            F.count(F.lit(1)).alias("cnt"))
+        value = F.col("k") if text else as_text("k", f.dataType)
+        part = grouped.select(F.lit(i).alias("ordinal"), value.alias("value"), "cnt")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(ordinal, value, cnt): one row per distinct non-null value of each column, values of every length as they are."""
+    out = _per_column(df, columns, digests=False)
+    return out if out is not None else df.sparkSession.createDataFrame([], "ordinal int, value string, cnt long")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(ordinal, distinct): distinct non-null values of each column; texts are shuffled as digests."""
+    out = _per_column(df, columns, digests=True)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "ordinal int, distinct long")
+    return out.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
+
+
+def dense_index(df: DataFrame, col: str) -> DataFrame:
+    """Adds ``place``: 0, 1, ... in the order of the distinct values ``col``. Rows are sorted by range, counted by
+    partition, and numbered within each, so no task sees all of them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = df.repartitionByRange(qc(col)).sortWithinPartitions(qc(col)).withColumn("_p", F.spark_partition_id()).checkpoint()
+    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(qc(col))) - 1
+    return parts.withColumn("_place", place).join(before, "_p").select(
+        *[qc(c) for c in df.columns], (F.col("_before") + F.col("_place")).alias("place"))
 
 
 def top_k_per_key(df: DataFrame, key: str, order: list[Column], k: int, salt_col: str, salts: int = 64) -> DataFrame:
@@ -104,31 +111,6 @@ def top_k_per_key(df: DataFrame, key: str, order: list[Column], k: int, salt_col
     )
 
 
-def resolve_values(top: DataFrame, df: DataFrame, ordinal_to_name: dict[int, str]) -> DataFrame:
-    """Fill ``value`` for digest-keyed rows of a small top-k frame by a semi-join on the digest."""
-    long_rows = top.where(F.col("value").isNull()).select("ordinal", "value_key")
-    if not ordinal_to_name:
-        return top
-    parts = []
-    for ordinal, name in ordinal_to_name.items():
-        keys = long_rows.where(F.col("ordinal") == ordinal)
-        v = qc(name).cast("string")
-        src = df.select(v.alias("v")).where(F.length(v) > LONG_VALUE_LEN)
-        src = src.withColumn("value_key", F.concat(F.lit(DIGEST_MARK), F.sha2(F.col("v"), 256)))
-        parts.append(
-            src.join(F.broadcast(keys), "value_key", "inner")
-            .groupBy("ordinal", "value_key").agg(F.min("v").alias("resolved"))
-        )
-    resolved = parts[0]
-    for p in parts[1:]:
-        resolved = resolved.unionByName(p)
-    return (
-        top.join(F.broadcast(resolved), ["ordinal", "value_key"], "left")
-        .withColumn("value", F.coalesce(F.col("value"), F.col("resolved")))
-        .drop("resolved")
-    )
-
-
 # --------------------------------------------------------------------------------------------
 # exact percentiles (linear interpolation, the pandas/numpy default)
 # --------------------------------------------------------------------------------------------

@@ -11,6 +11,10 @@ FLOATING = (T.FloatType, T.DoubleType)
 DATETIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+#: Options under which ``to_json`` keeps microseconds.
+JSON_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def is_integral(dt: T.DataType) -> bool:
     return isinstance(dt, INTEGRAL)
 
@@ -62,10 +66,16 @@ def as_text(name: str, dt: T.DataType):
     if is_complex(dt):
         if isinstance(dt, T.BinaryType):
             return F.hex(c)
-        return F.to_json(c)
+        return F.to_json(c, JSON_MICROS)
     return c.cast("string")
 
 
+def present(name: str):
+    """The column as double with NaN as NULL."""
+    x = qc(name).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def normalise(df: DataFrame) -> DataFrame:
     """NaN -> NULL and -0.0 -> 0.0 for floating columns, so aggregates skip NaN like pandas does."""
     cols = []

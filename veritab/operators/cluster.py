@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.stats import value_counts
-from ..functions.types import dtypes, is_numeric_or_bool, normalise, qc
+from ..functions.stats import distinct_counts
+from ..functions.types import as_text, dtypes, is_numeric_or_bool, normalise, qc
 from ..session import ensure_checkpoint_dir
 from .prep import feature_kinds, fit_preprocessing, valid_features
 
 KMEANS, GMM = "K-Means", "Gaussian Mixture Model"
+SQUARED_SILHOUETTE = "Silhouette Score (squared Euclidean)"
 SILHOUETTE, DAVIES_BOULDIN, CALINSKI_HARABASZ = "Silhouette Score", "Davies-Bouldin Index", "Calinski-Harabasz Index"
 INERTIA, BIC = "Inertia (Within Cluster Sum)", "BIC (Bayesian Info Criterion)"
 
@@ -31,13 +32,13 @@ class ClusterResult:
     order: int
     name: str
     model: object
-    predictions: DataFrame          # _rid, features, prediction
+    predictions: DataFrame          # _rid, _row (the input row as a struct), features, prediction
     metrics: dict[str, float] = field(default_factory=dict)
 
 
 @dataclass
 class Clustering:
-    vectors: DataFrame              # _rid + features (checkpointed)
+    vectors: DataFrame              # _rid, _row, features (checkpointed)
     features: list[str]
     feature_names: list[str]
     results: list[ClusterResult] = field(default_factory=list)
@@ -47,6 +48,14 @@ class Clustering:
         rows = [(r.order, r.name, k, float(v)) for r in self.results for k, v in r.metrics.items()]
         return spark.createDataFrame(rows, "model_order int, model string, metric string, value double")
 
+    def labelled(self, result: ClusterResult, label: str = "prediction") -> DataFrame:
+        """The input rows with the fitted cluster of each."""
+        return result.predictions.select("_row.*", F.col("prediction").alias(label))
+
+    def profile(self, result: ClusterResult) -> DataFrame:
+        """Profile of the clusters just fitted."""
+        return cluster_profile(self.labelled(result, "_cluster"), self.features, "_cluster")
+
     def release(self) -> None:
         """Drop the cached vectors (their checkpoint stays as the lineage root)."""
         self.vectors.unpersist()
@@ -60,21 +69,25 @@ def prepare_vectors(df: DataFrame, features: list[str]) -> tuple[DataFrame, list
     """Valid features over the whole table, kinds and preprocessing fitted on the whole table."""
     ensure_checkpoint_dir(df.sparkSession)
     feats = valid_features(df, features)
-    base = df.select(*[qc(c) for c in feats]).withColumn("_rid", F.monotonically_increasing_id())
+    base = normalise(df)
+    base = base.select(F.struct(*[qc(c) for c in base.columns]).alias("_row"), *[qc(c) for c in feats],
+                       F.monotonically_increasing_id().alias("_rid"))
     kinds = {r["column_name"]: r["kind"] for r in feature_kinds(base, feats).collect()}
     model, names = fit_preprocessing(base, feats, kinds)
-    vec = model.transform(base).select("_rid", "features").checkpoint()
+    vec = model.transform(base).select("_rid", "_row", "features").checkpoint()
     return vec, feats, names
 
 
 def quality_indices(pred: DataFrame, k_expected: int | None = None) -> dict[str, float]:
-    """Silhouette (Spark's exact squared-Euclidean form), Davies-Bouldin and Calinski-Harabasz.
-    Per-cluster centroids are k small vectors; distances to them are computed per row on the JVM."""
+    """Silhouette, Davies-Bouldin and Calinski-Harabasz, and Spark's squared-Euclidean silhouette under its own name.
+
+    The silhouette is the centroid form in plain Euclidean distance: a row's distance to its own centroid against that
+    to the nearest other one, exact in O(n k). Per-cluster centroids are k small vectors."""
     cents = (pred.groupBy("prediction").agg(Summarizer.mean(F.col("features")).alias("c"), F.count(F.lit(1)).alias("n"))
              .collect())
     k = len(cents)
     if k <= 1:
-        return {SILHOUETTE: 0.0, DAVIES_BOULDIN: 0.0, CALINSKI_HARABASZ: 0.0}
+        return {SILHOUETTE: 0.0, SQUARED_SILHOUETTE: 0.0, DAVIES_BOULDIN: 0.0, CALINSKI_HARABASZ: 0.0}
     sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                               distanceMeasure="squaredEuclidean").evaluate(pred)
     cmap = F.create_map(*[x for r in cents for x in (F.lit(r["prediction"]),
@@ -82,6 +95,7 @@ def quality_indices(pred: DataFrame, k_expected: int | None = None) -> dict[str,
     sq = F.aggregate(F.zip_with(vector_to_array("features"), F.element_at(cmap, F.col("prediction")),
                                 lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
     d = pred.select("prediction", sq.alias("sq"))
+    plain = centroid_silhouette(pred, cents)
     per = {r["prediction"]: (r["s"], r["w"]) for r in
            d.groupBy("prediction").agg(F.avg(F.sqrt("sq")).alias("s"), F.sum("sq").alias("w")).collect()}
     C = np.array([r["c"].toArray() for r in cents])
@@ -97,7 +111,25 @@ def quality_indices(pred: DataFrame, k_expected: int | None = None) -> dict[str,
     mean = (ns[:, None] * C).sum(0) / n
     B = float((ns * ((C - mean) ** 2).sum(1)).sum())
     ch = 1.0 if W == 0 else B * (n - k) / (W * (k - 1.0))
-    return {SILHOUETTE: float(sil), DAVIES_BOULDIN: db, CALINSKI_HARABASZ: float(ch)}
+    return {SILHOUETTE: plain, SQUARED_SILHOUETTE: float(sil), DAVIES_BOULDIN: db, CALINSKI_HARABASZ: float(ch)}
+
+
+def centroid_silhouette(pred: DataFrame, cents: list | None = None) -> float:
+    """Mean of (b - a) / max(a, b): a the distance to the own centroid, b that to the nearest other one; 0 if both are 0."""
+    if cents is None:
+        cents = pred.groupBy("prediction").agg(Summarizer.mean(F.col("features")).alias("c")).collect()
+    if len(cents) <= 1:
+        return 0.0
+    every = F.array(*[F.struct(F.lit(r["prediction"]).alias("k"),
+                               F.array(*[F.lit(float(v)) for v in r["c"].toArray()]).alias("c")) for r in cents])
+    far = F.transform(every, lambda e: F.struct(e["k"].alias("k"), F.sqrt(F.aggregate(
+        F.zip_with(F.col("x"), e["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)).alias("d")))
+    d = pred.select("prediction", vector_to_array("features").alias("x")).select("prediction", far.alias("far"))
+    a = F.filter("far", lambda e: e["k"] == F.col("prediction"))[0]["d"]
+    b = F.array_min(F.transform(F.filter("far", lambda e: e["k"] != F.col("prediction")), lambda e: e["d"]))
+    row = d.select(a.alias("a"), b.alias("b")).agg(
+        F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))).first()
+    return float(row[0])
 
 
 def train_clustering(df: DataFrame, features: list[str], k: int = 3, seed: int = R.SEED,
@@ -107,14 +139,14 @@ def train_clustering(df: DataFrame, features: list[str], k: int = 3, seed: int =
     out = Clustering(vectors=vec, features=feats, feature_names=names)
     if not only or KMEANS in only:
         km = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(vec)
-        kp = km.transform(vec).select("_rid", "features", "prediction")
+        kp = km.transform(vec).select("_rid", "_row", "features", "prediction")
         m = quality_indices(kp)
         m[INERTIA] = float(km.summary.trainingCost)
         out.results.append(ClusterResult(0, KMEANS, km, kp, m))
     if only and GMM not in only:
         return out
     gm = GaussianMixture(k=k, seed=seed, maxIter=100, tol=1e-3).fit(vec)
-    gp = gm.transform(vec).select("_rid", "features", "prediction")
+    gp = gm.transform(vec).select("_rid", "_row", "features", "prediction")
     m = quality_indices(gp)
     n = gm.summary.clusterSizes and sum(gm.summary.clusterSizes)
     d = len(vec.first()["features"]) if n else 0
@@ -134,13 +166,13 @@ def cluster_profile(df: DataFrame, features: list[str], cluster_col: str) -> Dat
     """Per cluster ('Cluster <label>', sorted as text): rows, % of all rows (2 dp), the mean (2 dp) of
     numeric features with > 10 distinct values, else the most frequent value (smallest on ties, 'N/A')."""
     types = dtypes(df)
+    df = normalise(df)
     lab = F.concat(F.lit("Cluster "), qc(cluster_col).cast("string")).alias("Cluster")
     base = df.select(lab, *[qc(c) for c in features])
     distinct = {}
     if features:
         sub = normalise(df.select(*[qc(c) for c in features]))
-        vc = value_counts(sub).groupBy("ordinal").agg(F.count(F.lit(1)).alias("k")).collect()
-        got = {int(r["ordinal"]): int(r["k"]) for r in vc}
+        got = {int(r["ordinal"]): int(r["distinct"]) for r in distinct_counts(sub).collect()}
         distinct = {c: got.get(i, 0) for i, c in enumerate(features)}
     total = F.sum("Size (Rows)").over(Window.partitionBy())
     sizes = base.groupBy("Cluster").agg(F.count(F.lit(1)).alias("Size (Rows)"))
@@ -159,7 +191,7 @@ def cluster_profile(df: DataFrame, features: list[str], cluster_col: str) -> Dat
         w2 = Window.partitionBy("Cluster").orderBy(F.col("n").desc(), F.col("v").asc())
         top = (vc.withColumn("r1", F.row_number().over(w1)).where("r1 = 1")
                .withColumn("r2", F.row_number().over(w2)).where("r2 = 1")
-               .select("Cluster", F.col("v").cast("string").alias(f"{c} (Top)")))
+               .select("Cluster", as_text("v", types[c]).alias(f"{c} (Top)")))
         out = out.join(top, "Cluster", "left").withColumn(f"{c} (Top)", F.coalesce(F.col(f"`{c} (Top)`"), F.lit("N/A")))
     out = out.withColumn("Percentage (%)", F.bround(F.col("`Size (Rows)`") / total * 100, 2))
     order = ["Cluster", "Size (Rows)", "Percentage (%)"] + [
@@ -184,6 +216,15 @@ def pca_2d(vectors: DataFrame, labels: DataFrame | None = None) -> tuple[DataFra
     return out, [float(x) for x in pca.explainedVariance.toArray()]
 
 
+def pca_numeric(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[float]]:
+    """The report's projection: PCA of the numeric features only, missing values replaced by medians, scaled."""
+    types = dtypes(df)
+    numeric = [c for c in valid_features(df, features) if is_numeric_or_bool(types[c])]
+    base = normalise(df.select(*[qc(c) for c in numeric])).withColumn("_rid", F.monotonically_increasing_id())
+    model, _ = fit_preprocessing(base, numeric, {c: "numeric" for c in numeric})
+    return pca_2d(model.transform(base).select("_rid", "features"))
+
+
 def k_sweep(vectors: DataFrame, k_max: int = 8, seed: int = R.SEED) -> DataFrame:
     """Silhouette for K = 2 .. min(8, n-1) when at least two K values exist."""
     n = vectors.count()
@@ -194,5 +235,5 @@ def k_sweep(vectors: DataFrame, k_max: int = 8, seed: int = R.SEED) -> DataFrame
     rows = []
     for k in ks:
         pred = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(vectors).transform(vectors)
-        rows.append((k, quality_indices(pred)[SILHOUETTE]))
+        rows.append((k, centroid_silhouette(pred)))
     return spark.createDataFrame(rows, "k int, silhouette double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.stats import exact_percentiles, guarded_corr, maybe_broadcast
-from ..functions.types import qc
+from ..functions.types import dtypes, is_floating, present, qc
 
 PAIR_CHUNK = 60     # correlation pairs per aggregate (keeps generated code under the JVM method limit)
 
@@ -19,7 +19,7 @@ PAIR_CHUNK = 60     # correlation pairs per aggregate (keeps generated code unde
 # --------------------------------------------------------------------------------------------
 
 def _range(df: DataFrame, col: str) -> tuple[float | None, float | None]:
-    row = df.agg(F.min(qc(col).cast("double")).alias("lo"), F.max(qc(col).cast("double")).alias("hi")).first()
+    row = df.agg(F.min(present(col)).alias("lo"), F.max(present(col)).alias("hi")).first()
     lo, hi = row["lo"], row["hi"]
     if lo is not None and lo == hi:          # a constant column gets the unit range around it
         lo, hi = lo - 0.5, hi + 0.5
@@ -54,7 +54,7 @@ def histogram(df: DataFrame, col: str, bins: int = R.HIST_BINS) -> DataFrame:
     lo, hi = _range(df, col)
     if lo is None:
         return spark.createDataFrame([], "bin int, bin_center double, count long")
-    x = qc(col).cast("double")
+    x = present(col)
     counts = df.where(x.isNotNull()).groupBy(bin_index(x, lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return (_centres(spark, lo, hi, bins).join(F.broadcast(counts), "bin", "left")
             .select("bin", "bin_center", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
@@ -67,7 +67,7 @@ def histogram_by_group(df: DataFrame, col: str, group: str | Column, bins: int =
     lo, hi = _range(df, col)
     if lo is None:
         return spark.createDataFrame([], "grp string, bin int, bin_center double, count long")
-    x = qc(col).cast("double")
+    x = present(col)
     base = df.select(g.cast("string").alias("grp"), x.alias("x"))
     counts = (base.where(F.col("x").isNotNull())
               .groupBy("grp", bin_index(F.col("x"), lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count")))
@@ -79,15 +79,18 @@ def histogram_by_group(df: DataFrame, col: str, group: str | Column, bins: int =
 
 
 def class_counts(df: DataFrame, col: str) -> DataFrame:
-    """(value, count) per class, NULL excluded."""
-    return df.where(qc(col).isNotNull()).groupBy(qc(col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    """(value, count) per class, missing values (NULL, NaN) excluded."""
+    there = qc(col).isNotNull()
+    if is_floating(dtypes(df)[col]):
+        there = there & ~F.isnan(qc(col))
+    return df.where(there).groupBy(qc(col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def target_distribution(df: DataFrame, target: str, task: str) -> DataFrame:
     """Class counts for Classification or a target with <= 10 distinct values; else a 40-bin histogram.
     Returns (label, bin_center, count): label set for class counts, bin_center for the histogram."""
-    n_distinct = df.agg(F.count_distinct(qc(target)).alias("n")).first()["n"]
-    if task == "Classification" or n_distinct <= 10:
+    few = task == "Classification" or len(class_counts(df, target).limit(11).collect()) <= 10
+    if few:
         return class_counts(df, target).select(F.col("value").cast("string").alias("label"),
                                                F.lit(None).cast("double").alias("bin_center"), "count")
     h = histogram(df, target)
@@ -143,7 +146,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """Per group: exact quartiles (linear interpolation), min, max, whiskers at 1.5 IQR, outliers."""
-    base = df.select(qc(group).alias("grp"), qc(value).cast("double").alias("x")).where(
+    base = df.select(qc(group).alias("grp"), present(value).alias("x")).where(
         F.col("grp").isNotNull() & F.col("x").isNotNull())
     q = exact_percentiles(base, ["x"], [0.25, 0.5, 0.75], by=["grp"])
     quart = (q.groupBy("grp").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
@@ -162,21 +165,25 @@ def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     )
 
 
-def feature_target_points(df: DataFrame, feature: str, target: str, max_points: int | None = None,
-                          seed: int = R.SEED) -> DataFrame:
-    """(x, y) pairs for a scatter chart. With ``max_points`` a Bernoulli sample of about that many
-    points is returned (a display sample; the statistics above always use every row)."""
-    pts = df.select(qc(feature).cast("double").alias("x"), qc(target).cast("double").alias("y")).where(
+def feature_target_points(df: DataFrame, feature: str, target: str) -> DataFrame:
+    """All complete (x, y) pairs for a scatter chart."""
+    return df.select(present(feature).alias("x"), present(target).alias("y")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull())
-    if max_points is None:
-        return pts
-    n = pts.count()
-    return pts if n <= max_points else pts.sample(False, max_points / n, seed)
+
+
+def feature_target_bins(df: DataFrame, feature: str, target: str, bins: int = R.HIST_BINS) -> DataFrame:
+    """(x_bin, y_bin, count): the scatter chart of any number of rows as a 2-D binned count, empty cells left out."""
+    pts = feature_target_points(df, feature, target)
+    (xlo, xhi), (ylo, yhi) = _range(pts, "x"), _range(pts, "y")
+    if xlo is None:
+        return df.sparkSession.createDataFrame([], "x_bin int, y_bin int, count long")
+    return pts.groupBy(bin_index(F.col("x"), xlo, xhi, bins).alias("x_bin"),
+                       bin_index(F.col("y"), ylo, yhi, bins).alias("y_bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def ols_trendline(df: DataFrame, feature: str, target: str) -> DataFrame:
     """Least-squares y ~ x over complete pairs; NULL slope when x is constant. No row cap."""
-    x, y = qc(feature).cast("double"), qc(target).cast("double")
+    x, y = present(feature), present(target)
     return df.agg(
         F.regr_count(y, x).alias("n"),
         F.regr_slope(y, x).alias("slope"),

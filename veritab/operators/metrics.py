@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import materialize_small, running_totals, safe_ratio
-from ..functions.types import qc
+from ..functions.types import present, qc
 
 ACCURACY, PRECISION, RECALL, F1, ROC_AUC = "Accuracy", "Precision", "Recall", "F1-Score", "ROC-AUC"
 MAE, MSE, RMSE, R2 = "MAE", "MSE", "RMSE", "R²"
@@ -121,7 +121,7 @@ def roc_curve(df: DataFrame, is_pos, score) -> DataFrame:
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """(metric, value): MAE, MSE, RMSE, R² (1 - SSE/SST; a constant target gives 1 when exact, else 0)."""
-    y, yh = qc(actual).cast("double"), qc(predicted).cast("double")
+    y, yh = present(actual), present(predicted)
     e = y - yh
     a = df.where(y.isNotNull() & yh.isNotNull()).agg(
         F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sum(e * e).alias("sse"),
@@ -149,13 +149,26 @@ def model_comparison(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
     return metrics.groupBy("model_order", "model").pivot("metric", list(names)).agg(F.first("value"))
 
 
+def actual_vs_predicted(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """(actual, predicted) of every row where both are present."""
+    return df.select(present(actual).alias("actual"), present(predicted).alias("predicted")).where(
+        F.col("actual").isNotNull() & F.col("predicted").isNotNull())
+
+
 def actual_vs_predicted_range(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Identity-line extent: min and max over both actual and predicted values."""
-    y, yh = qc(actual).cast("double"), qc(predicted).cast("double")
+    y, yh = present(actual), present(predicted)
     return df.agg(F.count(F.lit(1)).alias("n"), F.least(F.min(y), F.min(yh)).alias("lo"),
                   F.greatest(F.max(y), F.max(yh)).alias("hi"))
 
 
 def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    yh = qc(predicted).cast("double")
-    return df.select(yh.alias("predicted"), (qc(actual).cast("double") - yh).alias("residual"))
+    yh = present(predicted)
+    return df.select(yh.alias("predicted"), (present(actual) - yh).alias("residual"))
+
+
+def residuals_range(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """(n, lo, hi): extent of the predicted values, for the zero line of a residual chart."""
+    r = residuals(df, actual, predicted).where(F.col("residual").isNotNull())
+    return r.agg(F.count(F.lit(1)).alias("n"), F.min("predicted").alias("lo"), F.max("predicted").alias("hi"),
+                 F.min("residual").alias("residual_lo"), F.max("residual").alias("residual_hi"))

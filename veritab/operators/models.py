@@ -19,16 +19,16 @@ from .prep import Prepared
 
 LOGISTIC, FOREST, BOOSTING, RIDGE = "Logistic Regression", "Random Forest", "Gradient Boosting", "Ridge Regression"
 FOREST_TREES = 100
-FOREST_MAX_DEPTH = 12      # sklearn grows trees to purity; Spark caps depth (<= 30). 12 keeps 100 trees affordable
+FOREST_MAX_DEPTH = 30      # trees grow to purity, as far as Spark lets them; callers may pass less
 BOOST_ROUNDS = 100
 BOOST_STEP = 0.1
 BOOST_MAX_DEPTH = 5        # about 31 leaves, like the 31-leaf histogram boosting default
 
 
-def classifiers(n_train: int, n_classes: int):
+def classifiers(n_train: int, n_classes: int, forest_depth: int = FOREST_MAX_DEPTH):
     lr = LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                             standardization=False, tol=1e-4)
-    rf = RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_MAX_DEPTH, featureSubsetStrategy="sqrt",
+    rf = RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=forest_depth, featureSubsetStrategy="sqrt",
                                 seed=R.SEED, maxMemoryInMB=1024, cacheNodeIds=True)
     gbt = GBTClassifier(maxIter=BOOST_ROUNDS, stepSize=BOOST_STEP, maxDepth=BOOST_MAX_DEPTH, seed=R.SEED,
                         cacheNodeIds=True)
@@ -37,11 +37,11 @@ def classifiers(n_train: int, n_classes: int):
     return [(LOGISTIC, lr), (FOREST, rf), (BOOSTING, boost)]
 
 
-def regressors(n_train: int, label_std: float):
+def regressors(n_train: int, label_std: float, forest_depth: int = FOREST_MAX_DEPTH):
     # alpha = 1 ridge on the summed loss == regParam std(y)/n with Spark's normal-equation solver
     ridge = LinearRegression(regParam=(label_std or 0.0) / max(n_train, 1), elasticNetParam=0.0,
                              standardization=False, solver="normal")
-    rf = RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=FOREST_MAX_DEPTH, featureSubsetStrategy="all",
+    rf = RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=forest_depth, featureSubsetStrategy="all",
                                seed=R.SEED, maxMemoryInMB=1024, cacheNodeIds=True)
     gbt = GBTRegressor(maxIter=BOOST_ROUNDS, stepSize=BOOST_STEP, maxDepth=BOOST_MAX_DEPTH, seed=R.SEED,
                        cacheNodeIds=True)
@@ -103,7 +103,8 @@ def _auc(pred: DataFrame, n_classes: int, test_classes: int) -> DataFrame:
     return w.select(F.lit(M.ROC_AUC).alias("metric"), F.coalesce("v", F.lit(0.0)).alias("value"))
 
 
-def train_baselines(prep: Prepared, only: list[str] | None = None) -> Baselines:
+def train_baselines(prep: Prepared, only: list[str] | None = None,
+                    forest_depth: int = FOREST_MAX_DEPTH) -> Baselines:
     """Fit each baseline on the train vectors (cached: the models iterate over them) and score the test
     split. The vector frame is checkpointed once, so models never recompute the preprocessing."""
     vec = prep.vectors().checkpoint()
@@ -111,14 +112,14 @@ def train_baselines(prep: Prepared, only: list[str] | None = None) -> Baselines:
     test = vec.where(F.col("_split") == "test")
     out = Baselines(prepared=prep, train=train, test=test)
     if prep.task == "Classification":
-        n_classes = len(prep.classes)
+        n_classes = prep.n_classes
         train_classes = train.select("label").distinct().count()
         test_classes = test.select("label").distinct().count()
         out.binary = train_classes == 2
-        models = classifiers(prep.n_train, n_classes)
+        models = classifiers(prep.n_train, n_classes, forest_depth)
     else:
         label_std = train.agg(F.stddev_pop("label")).first()[0]
-        models = regressors(prep.n_train, label_std)
+        models = regressors(prep.n_train, label_std, forest_depth)
     for order, (name, est) in enumerate(models):
         if only and name not in only:
             continue
@@ -141,7 +142,7 @@ def train_score(b: Baselines, result: ModelResult) -> float:
     """F1-Score (classification) or R² (regression) of a fitted model on its own train split."""
     pred = result.model.transform(b.train)
     if b.prepared.task == "Classification":
-        n_classes = len(b.prepared.classes)
+        n_classes = b.prepared.n_classes
         m = M.classification_metrics(pred, "label", "prediction", binary=b.binary, positive=float(n_classes - 1))
         return m.where(F.col("metric") == M.F1).first()["value"]
     m = M.regression_metrics(pred, "label", "prediction")

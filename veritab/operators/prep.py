@@ -4,7 +4,7 @@ preprocessing ``PipelineModel`` (median imputation + population scaling, one-hot
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..session import ensure_checkpoint_dir
-from ..functions.stats import exact_percentiles, value_counts
-from ..functions.types import as_text, dtypes, is_boolean, is_numeric_or_bool, qc
+from ..functions.stats import dense_index, distinct_counts, exact_percentiles
+from ..functions.types import as_text, dtypes, is_boolean, is_floating, is_numeric_or_bool, normalise, present, qc
 
-EXACT_SPLIT_MAX_ROWS = 1_000_000   # rows a split group may rank in one window; larger groups are narrowed first
-MAX_CLASSES = 10_000
-RADIX_GROUPS = 16                  # large split groups narrowed together in one pass
+BUCKET_ROWS = 100_000              # different rows of a bucket of the split, on average
 
 
 class PrepError(ValueError):
@@ -42,16 +40,21 @@ def drop_null_target(df: DataFrame, target: str, check: bool = True) -> DataFram
         cond = cond & ~F.isnan(t)
     out = df.where(cond)
     if check and not out.limit(1).collect():
-        raise PrepError(f"Target column '{target}' contains only missing values. Cannot train supervised models.")
+        raise PrepError(f"no row has a value in the target {target!r}, so there is nothing to learn from")
     return out
 
 
+def _there(df: DataFrame, name: str):
+    """The column, NaN as NULL."""
+    return F.when(~F.isnan(qc(name)), qc(name)) if is_floating(dtypes(df)[name]) else qc(name)
+
+
 def valid_features_frame(df: DataFrame, features: list[str]) -> DataFrame:
     """(ordinal, column_name, non_null) for features with at least one non-null value (one scan)."""
     if not features:
         return df.sparkSession.createDataFrame([], "ordinal int, column_name string, non_null long")
     row = df.agg(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"),
-                                    F.count(qc(c)).alias("non_null")) for i, c in enumerate(features)]).alias("a"))
+                                    F.count(_there(df, c)).alias("non_null")) for i, c in enumerate(features)]).alias("a"))
     return row.select(F.explode("a").alias("s")).select("s.*").where(F.col("non_null") > 0)
 
 
@@ -59,7 +62,7 @@ def valid_features(df: DataFrame, features: list[str]) -> list[str]:
     keep = {r["column_name"] for r in valid_features_frame(df, features).collect()}
     out = [c for c in features if c in keep]
     if not out:
-        raise PrepError("All selected feature columns contain only missing values. Please select columns with valid data.")
+        raise PrepError("none of the chosen features has a value in any row; choose others")
     return out
 
 
@@ -93,135 +96,67 @@ def bool_label_binarise(df: DataFrame, target: str, positive) -> DataFrame:
 # split
 # --------------------------------------------------------------------------------------------
 
-def allocate(counts: dict, n_draws: int) -> dict:
-    """Split ``n_draws`` across classes in proportion to ``counts``: floors, then the remaining draws
-    to the largest remainders (ties to the smaller class value)."""
-    n = sum(counts.values())
-    base = {k: (n_draws * v) // n for k, v in counts.items()}
-    left = n_draws - sum(base.values())
-    order = sorted(counts, key=lambda k: (-((n_draws * counts[k]) % n), str(k)))
-    for k in order[:left]:
-        base[k] += 1
-    return base
+def allocate(counts: DataFrame, n: int, n_draws: int) -> DataFrame:
+    """(_g, n, draws): split ``n_draws`` across the classes (_g, n) in proportion: floors, then the remaining draws to
+    the largest remainders (ties to the smaller class value)."""
+    exact = F.col("n").cast("decimal(20,0)") * n_draws
+    parts = counts.withColumn("base", F.floor(exact / n).cast("long")).withColumn("rest", (exact % n).cast("long"))
+    left = n_draws - int(parts.agg(F.sum("base")).first()[0] or 0)
+    more = parts.orderBy(F.col("rest").desc(), F.col("_g").cast("string").asc_nulls_first()).limit(left).select(
+        F.col("_g").alias("_m"), F.lit(1).alias("one"))
+    return parts.join(more, F.col("_g").eqNullSafe(F.col("_m")), "left").select(
+        "_g", "n", (F.col("base") + F.coalesce("one", F.lit(0))).alias("draws"))
 
 
 def split_key(df: DataFrame, seed: int = R.SEED) -> DataFrame:
-    """Adds ``_h`` (content hash, so identical rows tie and the split does not depend on file layout)
-    and ``_rid`` (scan position, only a tie-break among identical rows)."""
+    """Adds ``_h`` (content hash, so the split does not depend on the file layout) and ``_rid`` (scan position, only a
+    tie-break among identical rows)."""
     return df.withColumn("_h", F.xxhash64(F.lit(seed), *[qc(c) for c in df.columns])) \
              .withColumn("_rid", F.monotonically_increasing_id())
 
 
-def _kth_tuples(keyed: DataFrame, want: dict, sizes: dict) -> dict:
-    """For each group g, the ``want[g]``-th smallest (_h, _rid) tuple (1-based) of its rows.
-
-    Groups of at most ``EXACT_SPLIT_MAX_ROWS`` candidates are ranked by one window (bounded per task).
-    Larger ones are narrowed first by radix passes: count rows per 16-bit prefix of the hash (at most
-    65,536 counts per group come back), keep the prefix holding the wanted rank, repeat on the next
-    bits; identical rows (same hash) are then narrowed the same way on the scan position. Every pass
-    is one aggregate over the candidates, so no task ever holds more than the window bound.
-    """
-    g, h, rid = F.col("_g"), F.col("_h"), F.col("_rid")
-    # state per group: stage ('h' or 'rid'), candidate range, shift, rank wanted among candidates, size
-    state = {k: {"stage": "h", "lo": None, "hi": None, "H": None, "shift": 48, "need": want[k], "size": sizes[k]}
-             for k in want if want[k] > 0}
-    result = {}
-
-    def cond(k, st):
-        c = g == F.lit(k)
-        if st["stage"] == "h":
-            if st["lo"] is not None:
-                c = c & h.between(st["lo"], st["hi"])
-        else:
-            c = c & (h == F.lit(st["H"]))
-            if st["lo"] is not None:
-                c = c & rid.between(st["lo"], st["hi"])
-        return c
-
-    while state:
-        small = {k: st for k, st in state.items() if st["size"] <= EXACT_SPLIT_MAX_ROWS}
-        if small:
-            whole = [k for k, st in small.items() if st["stage"] == "h" and st["lo"] is None]
-            c = g.isin(whole) if whole else F.lit(False)
-            for k, st in small.items():
-                if k not in whole:
-                    c = c | cond(k, st)
-            w = Window.partitionBy("_g").orderBy("_h", "_rid")
-            need = F.create_map(*[x for k, st in small.items() for x in (F.lit(k), F.lit(st["need"]))])
-            rows = (keyed.where(c).withColumn("_rn", F.row_number().over(w))
-                    .where(F.col("_rn") == F.element_at(need, g)).select("_g", "_h", "_rid").collect())
-            for r in rows:
-                result[r["_g"]] = (r["_h"], r["_rid"])
-                state.pop(r["_g"])
-            continue
-        # one radix pass for up to RADIX_GROUPS large groups (at most 65,536 counts each come back)
-        batch = dict(sorted(state.items(), key=lambda kv: str(kv[0]))[:RADIX_GROUPS])
-        c = F.lit(False)
-        for k, st in batch.items():
-            c = c | cond(k, st)
-        key = {k: (h if st["stage"] == "h" else rid) for k, st in batch.items()}
-        bucket = None
-        for k, st in batch.items():
-            e = F.shiftright(key[k], st["shift"])
-            bucket = F.when(g == F.lit(k), e) if bucket is None else bucket.when(g == F.lit(k), e)
-        counts = (keyed.where(c).groupBy("_g", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-                  .collect())
-        per = {}
-        for r in counts:
-            per.setdefault(r["_g"], []).append((r["_b"], r["_c"]))
-        for k in list(batch):
-            st = state[k]
-            acc = 0
-            for b, cnt in sorted(per.get(k, [])):
-                if acc + cnt >= st["need"]:
-                    st["need"] -= acc
-                    st["size"] = cnt
-                    sh = st["shift"]
-                    st["lo"], st["hi"] = b << sh, (b << sh) | ((1 << sh) - 1)
-                    if sh == 0 and st["stage"] == "h":            # one hash value: rank on position
-                        st.update(stage="rid", H=b, lo=None, hi=None, shift=48)
-                    elif sh == 0:                                # one row
-                        result[k] = (st["H"], b)
-                        state.pop(k)
-                    else:
-                        st["shift"] = sh - 16
-                    break
-                acc += cnt
-    return result
+def _narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """(_g, key, need): the value of ``key`` that holds each group's wanted rank in the order of ``key``, and the rank
+    among the rows with that value. Counts are pre-aggregated; a window sees the counts of one group only."""
+    counts = rows.groupBy("_g", key).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_g").orderBy(key)) - F.col("_c")
+    return (counts.withColumn("_before", before).join(wanted, "_g")
+            .where((F.col("need") > F.col("_before")) & (F.col("need") <= F.col("_before") + F.col("_c")))
+            .select("_g", key, (F.col("need") - F.col("_before")).alias("need")).checkpoint())
 
 
 def train_test_split(df: DataFrame, target: str | None = None, stratify: bool = False,
                      test_fraction: float = R.TEST_FRACTION, seed: int = R.SEED) -> DataFrame:
-    """Adds ``_split`` in {'train','test'}: test = ceil(fraction * n) rows, per class when stratified
-    (train counts allocated first, largest remainder). The test rows of a group are exactly its
-    smallest (content hash, scan position) tuples, found by ``_kth_tuples`` without ever sorting a
-    large group in one task. The keyed rows are checkpointed first so every pass sees the same
-    positions; the split itself is then a narrow projection."""
-    grp = qc(target).cast("string") if stratify else F.lit(0)
+    """Adds ``_split`` in {'train','test'}: test = ceil(fraction * n) rows, per class when stratified (train counts
+    allocated first, largest remainder).
+
+    The test rows of a group are its first ones in the order of (bucket, content hash, position); a bucket is a few bits
+    of the uniform hash and holds about ``BUCKET_ROWS`` different rows. The last test row is found by narrowing: counts by
+    bucket, then by hash within that bucket, then (identical rows) by the task of the position, then its rank there. No
+    step ranks more than a bucket or what one task has read, so this one algorithm holds for any size, any number of
+    groups and any number of identical rows. The keyed rows are checkpointed first so every pass sees the same positions.
+    """
+    grp = F.coalesce(qc(target).cast("string"), F.lit("")) if stratify else F.lit("")
     ensure_checkpoint_dir(df.sparkSession)
     keyed = split_key(df, seed).withColumn("_g", grp).checkpoint()
-    counts_rows = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(counts_rows) > MAX_CLASSES:
-        raise PrepError("too many classes to stratify")
-    counts = {r["_g"]: int(r["n"]) for r in counts_rows}
-    n = sum(counts.values())
+    n = keyed.count()
+    keyed = keyed.withColumn("_b", F.pmod(F.col("_h"), F.lit(max(1, -(-n // BUCKET_ROWS)))))
     n_test = math.ceil(test_fraction * n)
-    if stratify:
-        if len(counts) > MAX_CLASSES:
-            raise PrepError("too many classes to stratify")
-        train_alloc = allocate(counts, n - n_test)
-        test_alloc = {k: counts[k] - train_alloc[k] for k in counts}
-    else:
-        test_alloc = {0: n_test}
-    cut = _kth_tuples(keyed, test_alloc, counts)
-    spark = df.sparkSession
-    cuts = spark.createDataFrame([(k, int(hh), int(rr)) for k, (hh, rr) in cut.items()],
-                                 "_g " + ("string" if stratify else "int") + ", _ch long, _cr long")
-    H, Rr = F.col("_ch"), F.col("_cr")
-    is_test = H.isNotNull() & ((F.col("_h") < H) | ((F.col("_h") == H) & (F.col("_rid") <= Rr)))
-    return (keyed.join(F.broadcast(cuts), "_g", "left")       # one row per group (<= MAX_CLASSES)
+    sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    wanted = allocate(sizes, max(n, 1), n - n_test).select("_g", (F.col("n") - F.col("draws")).alias("need"))
+    rows = keyed.select("_g", "_b", "_h", "_rid", F.shiftright("_rid", 33).alias("_task"))
+    cut = wanted
+    for key in ("_b", "_h", "_task"):
+        cut = _narrowed(rows, cut, key)
+        rows = rows.join(cut.select("_g", key), ["_g", key])
+        cut = cut.select("_g", "need")
+    place = F.row_number().over(Window.partitionBy("_g").orderBy("_rid"))
+    last = (rows.withColumn("_place", place).join(cut, "_g").where(F.col("_place") == F.col("need"))
+            .select("_g", F.struct("_b", "_h", "_rid").alias("_cut")).checkpoint())
+    is_test = F.struct("_b", "_h", "_rid") <= F.col("_cut")
+    return (keyed.join(last, "_g", "left")
             .withColumn("_split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
-            .drop("_g", "_h", "_ch", "_cr"))
+            .drop("_g", "_h", "_b", "_cut"))
 
 
 def should_stratify(df: DataFrame, target: str, task: str) -> bool:
@@ -239,8 +174,8 @@ def feature_kinds(train: DataFrame, features: list[str]) -> DataFrame:
     """(column_name, distinct, kind): numeric dtype with > 10 distinct -> numeric; else categorical,
     one-hot with <= 15 distinct text values (NULL counted as its own value), ordinal above."""
     types = dtypes(train)
-    sub = train.select(*[qc(c) for c in features])
-    vc = value_counts(sub).groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
+    sub = normalise(train.select(*[qc(c) for c in features]))
+    vc = distinct_counts(sub)
     nulls = sub.agg(F.array(*[F.struct(F.lit(i).alias("ordinal"), (F.count(F.lit(1)) - F.count(qc(c))).alias("nulls"))
                               for i, c in enumerate(features)]).alias("a")).select(F.explode("a").alias("s")).select("s.*")
     spark = train.sparkSession
@@ -277,7 +212,7 @@ def numeric_fit(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, flo
     if not cols:
         return {}
     med = {r["column_name"]: r["value"] for r in exact_percentiles(train, cols, [0.5]).collect()}
-    imputed = [F.coalesce(qc(c).cast("double"), F.lit(med.get(c))) for c in cols]
+    imputed = [F.coalesce(present(c), F.lit(med.get(c))) for c in cols]
     row = train.agg(*[F.struct(F.avg(e).alias("m"), F.stddev_pop(e).alias("s")).alias(f"c{i}")
                       for i, e in enumerate(imputed)]).first()
     out = {}
@@ -288,13 +223,13 @@ def numeric_fit(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, flo
 
 
 def impute_median(df: DataFrame, medians: dict[str, float]) -> DataFrame:
-    return df.select(*[F.coalesce(qc(c).cast("double"), F.lit(medians[c])).alias(c) if c in medians else qc(c)
+    return df.select(*[F.coalesce(present(c), F.lit(medians[c])).alias(c) if c in medians else qc(c)
                        for c in df.columns])
 
 
 def standard_scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
     """(x - mean) / population std, with the given per-column (mean, std)."""
-    return df.select(*[((qc(c).cast("double") - F.lit(stats[c][0])) / F.lit(stats[c][1])).alias(c) if c in stats else qc(c)
+    return df.select(*[((present(c) - F.lit(stats[c][0])) / F.lit(stats[c][1])).alias(c) if c in stats else qc(c)
                        for c in df.columns])
 
 
@@ -307,9 +242,9 @@ class Prepared:
     numeric: list[str]
     one_hot: list[str]
     ordinal: list[str]
-    model: PipelineModel             # fitted on the train split only; adds ``features``
+    model: Preprocessing             # fitted on the train split only; adds ``features``
     feature_names: list[str]
-    classes: list = field(default_factory=list)
+    n_classes: int = 0
     n_train: int = 0
     n_test: int = 0
 
@@ -317,56 +252,83 @@ class Prepared:
         return self.model.transform(self.data).select("_split", "_rid", "label", "features")
 
 
-def fit_preprocessing(train: DataFrame, features: list[str], kinds: dict[str, str]) -> tuple[PipelineModel, list[str]]:
+@dataclass
+class Preprocessing:
+    """Fitted preprocessing: texts and scaled numbers, codes of many-valued features by a join, then the rest."""
+    first: SQLTransformer                 # __num_<i>, __txt_<i>
+    codes: dict[int, DataFrame]           # (value, code) for __txt_<i>, in the order of the values
+    rest: PipelineModel                   # one-hot columns and the assembled ``features``
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.first.transform(df)
+        for i, codes in self.codes.items():
+            side = codes.select(F.col("value").alias(f"__value_{i}"), F.col("code").alias(f"__code_{i}"))
+            out = (out.join(side, F.col(f"__txt_{i}") == F.col(f"__value_{i}"), "left")
+                   .withColumn(f"__ord_{i}", F.coalesce(F.col(f"__code_{i}"), F.lit(-1.0)))
+                   .drop(f"__value_{i}", f"__code_{i}"))
+        return self.rest.transform(out)
+
+    def save(self, path: str) -> None:
+        self.first.write().overwrite().save(f"{path}/first")
+        self.rest.write().overwrite().save(f"{path}/rest")
+        for i, codes in self.codes.items():
+            codes.write.mode("overwrite").parquet(f"{path}/codes/{i}")
+
+    @classmethod
+    def load(cls, spark, path: str, coded: list[int]) -> "Preprocessing":
+        return cls(SQLTransformer.load(f"{path}/first"),
+                   {i: spark.read.parquet(f"{path}/codes/{i}") for i in coded}, PipelineModel.load(f"{path}/rest"))
+
+
+def ordinal_codes(df: DataFrame, col: str) -> DataFrame:
+    """(value, code): the distinct texts of a column and their places 0.0, 1.0, ... in sorted order; never collected."""
+    values = df.select(qc(col).alias("value")).where(qc(col).isNotNull()).distinct()
+    return dense_index(values, "value").select("value", F.col("place").cast("double").alias("code")).checkpoint()
+
+
+def ordinal_encode(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFrame:
+    """Adds the code of the column's text; -1 for values without one."""
+    side = codes.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
+    return (df.join(side, qc(col) == F.col("__value"), "left")
+            .withColumn(out, F.coalesce(F.col("__code"), F.lit(-1.0))).drop("__value", "__code"))
+
+
+def fit_preprocessing(train: DataFrame, features: list[str], kinds: dict[str, str]) -> tuple[Preprocessing, list[str]]:
+    """Only features of few values (one-hot) have their labels indexed by MLlib; the others get joined codes."""
     types = dtypes(train)
     numeric = [c for c in features if kinds[c] == "numeric"]
     cats = [c for c in features if kinds[c] != "numeric"]
-    one_hot = [c for c in cats if kinds[c] == "one_hot"]
-    ordinal = [c for c in cats if kinds[c] == "ordinal"]
+    one_hot = [i for i, c in enumerate(cats) if kinds[c] == "one_hot"]
+    ordinal = [i for i, c in enumerate(cats) if kinds[c] == "ordinal"]
     fit = numeric_fit(train, numeric)
-    exprs = [f"(COALESCE(CAST({_sql_name(c)} AS DOUBLE), {_dlit(fit[c][0])}) - {_dlit(fit[c][1])}) / {_dlit(fit[c][2])} AS __num_{i}"
-             for i, c in enumerate(numeric)]
+    exprs = [f"(COALESCE(NANVL(CAST({_sql_name(c)} AS DOUBLE), CAST(NULL AS DOUBLE)), {_dlit(fit[c][0])}) "
+             f"- {_dlit(fit[c][1])}) / {_dlit(fit[c][2])} AS __num_{i}" for i, c in enumerate(numeric)]
     exprs += [f"{_text_sql(c, is_boolean(types[c]))} AS __txt_{i}" for i, c in enumerate(cats)]
-    stage1 = SQLTransformer(statement="SELECT *" + "".join(", " + e for e in exprs) + " FROM __THIS__")
-    stages = [stage1]
+    first = SQLTransformer(statement="SELECT *" + "".join(", " + e for e in exprs) + " FROM __THIS__")
+    staged = first.transform(train)
     names = list(numeric)
     assemble = [f"__num_{i}" for i in range(len(numeric))]
-    staged = stage1.transform(train)
-    if cats:
-        idx = StringIndexer(inputCols=[f"__txt_{i}" for i in range(len(cats))],
-                            outputCols=[f"__idx_{i}" for i in range(len(cats))],
+    stages = []
+    if one_hot:
+        idx = StringIndexer(inputCols=[f"__txt_{i}" for i in one_hot], outputCols=[f"__idx_{i}" for i in one_hot],
                             handleInvalid="keep", stringOrderType="alphabetAsc").fit(staged)
-        stages.append(idx)
-        labels = dict(zip(cats, idx.labelsArray))
-        oh_in = [f"__idx_{cats.index(c)}" for c in one_hot]
-        if one_hot:
-            ohe = OneHotEncoder(inputCols=oh_in, outputCols=[f"__ohe_{cats.index(c)}" for c in one_hot],
-                                dropLast=True).fit(idx.transform(staged))
-            stages.append(ohe)
-            assemble += [f"__ohe_{cats.index(c)}" for c in one_hot]
-            for c in one_hot:
-                names += [f"{c}_{v}" for v in labels[c]]
-        if ordinal:
-            ord_exprs = [f"CASE WHEN __idx_{cats.index(c)} >= {len(labels[c])} THEN -1.0 ELSE __idx_{cats.index(c)} END AS __ord_{cats.index(c)}"
-                         for c in ordinal]
-            stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(ord_exprs) + " FROM __THIS__"))
-            assemble += [f"__ord_{cats.index(c)}" for c in ordinal]
-            names += ordinal
+        ohe = OneHotEncoder(inputCols=[f"__idx_{i}" for i in one_hot], outputCols=[f"__ohe_{i}" for i in one_hot],
+                            dropLast=True).fit(idx.transform(staged))
+        stages += [idx, ohe]
+        assemble += [f"__ohe_{i}" for i in one_hot]
+        for i, labels in zip(one_hot, idx.labelsArray):
+            names += [f"{cats[i]}_{v}" for v in labels]
+    assemble += [f"__ord_{i}" for i in ordinal]
+    names += [cats[i] for i in ordinal]
     stages.append(VectorAssembler(inputCols=assemble, outputCol="features", handleInvalid="keep"))
-    return PipelineModel(stages=stages), names
-
-
-def class_values(df: DataFrame, target: str) -> list:
-    rows = df.select(qc(target).alias("c")).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise PrepError("classification target has too many classes")
-    return sorted(r["c"] for r in rows)
+    codes = {i: ordinal_codes(staged, f"__txt_{i}") for i in ordinal}
+    return Preprocessing(first, codes, PipelineModel(stages=stages)), names
 
 
-def label_expr(target: str, classes: list):
-    """Class value -> index in sorted class order (a small literal map)."""
-    m = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
-    return F.element_at(m, qc(target))
+def class_index(df: DataFrame, target: str) -> DataFrame:
+    """(__cls, label): each class of the target and its place in sorted order."""
+    return dense_index(df.select(qc(target).alias("__cls")).distinct(), "__cls").select(
+        "__cls", F.col("place").cast("double").alias("label"))
 
 
 def prepare(df: DataFrame, target: str, features: list[str], task: str, seed: int = R.SEED,
@@ -374,17 +336,18 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, seed: in
     """Drop missing targets, split 80/20 (stratified when possible), keep features with data in the
     train split, decide feature kinds on the train split and fit the preprocessing on it."""
     ensure_checkpoint_dir(df.sparkSession)
-    data = drop_null_target(select_features(df, features, target), target)
+    data = drop_null_target(normalise(select_features(df, features, target)), target)
     strat = should_stratify(data, target, task)
     data = train_test_split(data, target, strat, test_fraction, seed)   # narrow over a checkpointed frame
     train = data.where(F.col("_split") == "train")
     feats = valid_features(train, features)
     kinds = {r["column_name"]: r["kind"] for r in feature_kinds(train, feats).collect()}
     model, names = fit_preprocessing(train, feats, kinds)
-    classes = []
+    n_classes = 0
     if task == "Classification":
-        classes = class_values(data, target)
-        data = data.withColumn("label", label_expr(target, classes))
+        classes = class_index(data, target)
+        n_classes = classes.count()
+        data = data.join(classes, qc(target) == F.col("__cls")).drop("__cls")
     else:
         data = data.withColumn("label", qc(target).cast("double"))
     counts = {r["_split"]: int(r["count"]) for r in data.groupBy("_split").count().collect()}
@@ -393,6 +356,6 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, seed: in
         numeric=[c for c in feats if kinds[c] == "numeric"],
         one_hot=[c for c in feats if kinds[c] == "one_hot"],
         ordinal=[c for c in feats if kinds[c] == "ordinal"],
-        model=model, feature_names=names, classes=classes,
+        model=model, feature_names=names, n_classes=n_classes,
         n_train=counts.get("train", 0), n_test=counts.get("test", 0),
     )

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..functions.stats import (
-    approx_bracket, exact_percentiles, materialize_small, resolve_values, safe_ratio, top_k_per_key, value_counts,
+    approx_bracket, distinct_counts, exact_percentiles, materialize_small, safe_ratio, top_k_per_key, value_counts,
 )
 from ..functions.types import (
-    as_text, is_boolean, is_complex, is_datetime, is_integral, is_numeric, is_string, normalise, qc,
+    JSON_MICROS, is_boolean, is_complex, is_datetime, is_integral, is_numeric, is_string, normalise, qc,
 )
 
 STATS_SCHEMA = T.StructType([
@@ -73,13 +73,13 @@ def date_name_columns(df: DataFrame) -> list[str]:
 
 
 def date_rule_flags(df: DataFrame, cols: list[str]) -> dict[str, bool]:
-    """For string columns with a date-like name: do all of the first 50 non-null values parse?"""
-    out = {}
-    for c in cols:
-        sample = df.select(qc(c).alias("v")).where(F.col("v").isNotNull()).limit(R.DATE_SAMPLE)
-        row = sample.agg(F.count("v").alias("n"), F.count(parse_timestamp(F.col("v"))).alias("ok")).first()
-        out[c] = bool(row["n"] > 0 and row["n"] == row["ok"])
-    return out
+    """For string columns with a date-like name: do all non-null values parse? (One aggregate over all of them; a sample
+    would make the answer depend on the order of the files.)"""
+    if not cols:
+        return {}
+    row = df.agg(*[F.struct(F.count(qc(c)).alias("n"), F.count(parse_timestamp(qc(c))).alias("ok")).alias(f"c{i}")
+                   for i, c in enumerate(cols)]).first()
+    return {c: bool(row[f"c{i}"]["n"] > 0 and row[f"c{i}"]["n"] == row[f"c{i}"]["ok"]) for i, c in enumerate(cols)}
 
 
 def semantic_type_expr():
@@ -113,7 +113,6 @@ class TableProfile:
 
     data: DataFrame                      # the normalised input (NaN -> NULL)
     stats: DataFrame                     # STATS_SCHEMA + semantic_type, missing_*, unique_ratio
-    counts: DataFrame                    # long value counts (ordinal, value_key, value, cnt)
     semantic: dict[str, str] = field(default_factory=dict)
     n_rows: int = 0
     _top: DataFrame | None = None
@@ -132,30 +131,20 @@ class TableProfile:
         """(ordinal, column_name, rank, value, count, percentage) for Categorical columns."""
         if self._top is None:
             cat = {i: c for i, c in enumerate(self.columns) if self.semantic[c] == R.CATEGORICAL}
-            vc = self.counts.where(F.col("ordinal").isin(list(cat) or [-1]))
+            vc = value_counts(self.data, list(cat.values()))
             widest = max([r["unique_count"] for r in self.stats.where(F.col("semantic_type") == R.CATEGORICAL)
                           .select("unique_count").collect()] or [0])
             # about a million distinct values per first-level window partition, whatever the column width
             salts = int(min(1 << 16, max(64, -(-widest // 1_000_000))))
-            top = materialize_small(top_k_per_key(vc, "ordinal", [F.col("cnt").desc(), F.col("value_key").asc()], k,
-                                                  "value_key", salts=salts))
-            # only columns whose top values include a digest-keyed long text need a look-up in the data
-            need = {int(r["ordinal"]) for r in top.where(F.col("value").isNull()).select("ordinal").distinct().collect()}
-            long_cols = {i: c for i, c in cat.items() if i in need}
-            top = resolve_values(top, self.data, long_cols)
+            top = top_k_per_key(vc, "ordinal", [F.col("cnt").desc(), F.col("value").asc()], k, "value", salts=salts)
             nn = self.stats.select("ordinal", "column_name", "non_null")
             self._top = materialize_small(
                 top.join(F.broadcast(nn), "ordinal")
                 .select("ordinal", "column_name", "rank", "value", F.col("cnt").alias("count"),
                         F.bround(safe_ratio(F.col("cnt"), F.col("non_null")) * 100, 2).alias("percentage"))
             )
-            self.release()
         return self._top
 
-    def release(self) -> None:
-        """Drop the persisted value counts (their last consumer is ``top_values``)."""
-        self.counts.unpersist()
-
     def medians(self) -> DataFrame:
         """(column_name, median) for Numeric columns, exact."""
         if self._medians is None:
@@ -185,7 +174,7 @@ class TableProfile:
 
 def duplicate_rows(df: DataFrame) -> int:
     """Rows equal to an earlier row over all columns (NULLs equal). Wide or text rows are grouped by a
-    SHA-256 digest of their JSON form so the shuffle carries 32 bytes per row."""
+    SHA-256 digest of their JSON form (with microseconds) so the shuffle carries 64 characters per row."""
     return int(duplicate_rows_frame(df).first()["n_duplicates"])
 
 
@@ -193,7 +182,7 @@ def duplicate_rows_frame(df: DataFrame) -> DataFrame:
     df = normalise(df)
     heavy = any(is_string(f.dataType) or is_complex(f.dataType) for f in df.schema.fields)
     if heavy:
-        digest = F.sha2(F.to_json(F.struct(*[qc(c) for c in df.columns])), 256)
+        digest = F.sha2(F.to_json(F.struct(*[qc(c) for c in df.columns]), JSON_MICROS), 256)
         groups = df.groupBy(digest.alias("_d")).count()
     else:
         groups = df.groupBy(*[qc(c) for c in df.columns]).count()
@@ -222,22 +211,20 @@ def _column_aggregates(df: DataFrame) -> list:
     return structs
 
 
-def profile_table(df: DataFrame, persist_counts: bool = True) -> TableProfile:
+def profile_table(df: DataFrame) -> TableProfile:
     """Compute the per-column stats frame and semantic types of ``df``.
 
-    Jobs: (1) one scan with all per-column aggregates, (2) value counts (one shuffle), (3) the
-    date-name check on the first 50 non-nulls of eligible string columns only. The per-column
-    result is tiny (one row per column) and is rebuilt as a local frame to cut lineage.
+    Jobs: (1) one scan with all per-column aggregates, (2) distinct counts (one shuffle, texts as digests),
+    (3) the date-name check of eligible string columns only. The per-column result is tiny (one row per
+    column) and is rebuilt as a local frame to cut lineage. Values themselves are counted only when top
+    values are asked for, and only those of Categorical columns.
     """
     spark: SparkSession = df.sparkSession
     data = normalise(df)
     fields = data.schema.fields
     agg_row = data.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*_column_aggregates(data)).alias("cols")).first()
     n_rows = int(agg_row["n_rows"])
-    counts = value_counts(data)
-    if persist_counts:
-        counts = counts.persist()
-    distinct = {int(r["ordinal"]): int(r["n"]) for r in counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect()}
+    distinct = {int(r["ordinal"]): int(r["distinct"]) for r in distinct_counts(data).collect()}
     date_flags = date_rule_flags(data, date_name_columns(data))
     rows = []
     for s in agg_row["cols"]:
@@ -258,7 +245,7 @@ def profile_table(df: DataFrame, persist_counts: bool = True) -> TableProfile:
         .withColumn("is_nullable", missing > 0)
     )
     semantic = {r["column_name"]: r["semantic_type"] for r in stats.select("column_name", "semantic_type").collect()}
-    return TableProfile(data=data, stats=stats, counts=counts, semantic=semantic, n_rows=n_rows)
+    return TableProfile(data=data, stats=stats, semantic=semantic, n_rows=n_rows)
 
 
 def profile_tables(tables: dict[str, DataFrame], max_workers: int = 4) -> dict[str, TableProfile]:

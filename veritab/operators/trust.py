@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as T
 from ..functions import rules as R
-from ..functions.stats import guarded_corr, value_counts
+from ..functions.stats import distinct_counts, guarded_corr
 from ..functions.types import as_text, dtypes, is_numeric_or_bool, normalise, qc
 from .eda import correlation_pairs
 
@@ -61,17 +61,16 @@ def measure(df: DataFrame, target: str | None, features: list[str], task: str,
         # the largest and smallest counts and the majority class (ties -> smallest text) come back
         cc = data.where(qc(target).isNotNull()).groupBy(as_text(target, types[target]).alias("v")) \
             .agg(F.count(F.lit(1)).alias("c"))
-        s = cc.agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("mx"), F.min("c").alias("mn")).first()
+        s = cc.agg(F.count(F.lit(1)).alias("k"), F.min(F.struct((-F.col("c")).alias("c"), "v")).alias("top"),
+                   F.min("c").alias("mn")).first()
         m.n_classes = int(s["k"])
         if m.n_classes:
-            maj = cc.where(F.col("c") == s["mx"]).agg(F.min("v").alias("v")).first()["v"]
-            m.class_counts = [(maj, int(s["mx"])), (None, int(s["mn"]))]
+            m.class_counts = [(s["top"]["v"], -int(s["top"]["c"])), (None, int(s["mn"]))]
     if len(numeric) > 1:
         m.pairs = [(r["i"], r["j"], r["r"]) for r in correlation_pairs(data, numeric).collect()]
     nonnum = [c for c in features if c not in numeric]
     if nonnum:
-        vc = value_counts(data.select(*[qc(c) for c in nonnum]))
-        cnt = {int(r["ordinal"]): int(r["k"]) for r in vc.groupBy("ordinal").agg(F.count(F.lit(1)).alias("k")).collect()}
+        cnt = {int(r["ordinal"]): int(r["distinct"]) for r in distinct_counts(data.select(*[qc(c) for c in nonnum])).collect()}
         m.cardinality = {c: cnt.get(i, 0) for i, c in enumerate(nonnum)}
     if clusters is not None:
         cs = clusters.groupBy(qc(cluster_col).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from ..operators import cluster as C
+from ..operators import models as MD
 from ..operators import prep as PR
 from ..operators import profile as P
 from ..operators import report as RP
@@ -33,12 +34,13 @@ def q_load_parquet(spark, sf):
 
 
 @register("load_csv",
-          "SELECT doc_id, lang, source, n_chars, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic "
-          f"FROM {O.LABELED_DOCS} t")
+          "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(l.quality AS BIGINT) AS quality, "
+          "CAST(l.toxic AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def q_load_csv(spark, sf):
-    """Labeled documents written by Spark as CSV (NULL -> empty field), read back with typing."""
+    """Whole documents with their labels written as CSV (NULL -> empty field), read back with typing."""
     path = scratch_path(spark, "csv") + "/labeled_documents.csv"
-    SK.write_dataset(labeled_documents(spark, sf), path, "csv")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    SK.write_dataset(docs.join(table(spark, sf, "labels"), "doc_id", "left"), path, "csv")
     return RD.load_dataset(spark, path)
 
 
@@ -50,9 +52,10 @@ def q_load_json(spark, sf):
     return RD.load_dataset(spark, path)
 
 
-@register("load_fallback_csv")
+@register("load_fallback_csv",
+          "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier")
 def q_load_fallback_csv(spark, sf):
-    """An explicit but unknown file type falls back to the CSV reader (rows-only check)."""
+    """An explicit but unknown file type falls back to the CSV reader."""
     path = scratch_path(spark, "dat") + "/supplier.dat"
     SK.write_dataset(table(spark, sf, "supplier"), path, "csv")
     return RD.load_dataset(spark, path, file_type="text")
@@ -64,12 +67,6 @@ def q_load_table(spark, sf):
     return RD.load_table(spark, "veritab_nation")
 
 
-@register("list_tables")
-def q_list_tables(spark, sf):
-    table(spark, sf, "region").createOrReplaceTempView("veritab_region")
-    return RD.list_tables(spark).where(F.col("name") == "veritab_region")
-
-
 @register("preview",
           "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, "
           "l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate LIMIT 10")
@@ -79,28 +76,35 @@ def q_preview(spark, sf):
     return li.orderBy(*li.columns).limit(10)
 
 
-@register("sink_dataset")
+@register("sink_dataset", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def q_sink_dataset(spark, sf):
-    """Write lineitem as CSV without an index column and read it back (rows-only check)."""
-    path = scratch_path(spark, "sink") + "/lineitem.csv"
-    SK.write_dataset(table(spark, sf, "lineitem"), path, "csv")
-    return spark.read.option("header", "true").csv(path)
+    """Write the documents as CSV without an index column and read them back, typed."""
+    path = scratch_path(spark, "sink") + "/documents.csv"
+    SK.write_dataset(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path, "csv")
+    return RD.load_dataset(spark, path)
 
 
 @register("sink_artifacts")
 def q_sink_artifacts(spark, sf):
-    """Persist the column profile and trust log of a run partitioned by run_id; read the profile back."""
+    """Persist a run partitioned by run_id: column profile, trust log, metrics, cluster profile, preprocessing and champion
+    model. The profile is written again, as a rerun would, and read back."""
     base = scratch_path(spark, "artifacts")
     li = table(spark, sf, "lineitem")
     p = P.profile_table(li)
-    prof = P.column_profile(p).drop("top_values")
+    prof = P.column_profile(p)
     log = TR.run_checks(li, "l_returnflag", ["l_quantity", "l_discount", "l_linestatus"], "Classification")
     kinds = {"l_quantity": "numeric", "l_discount": "one_hot", "l_linestatus": "one_hot"}
     model, _ = PR.fit_preprocessing(li, list(kinds), kinds)
-    paths = SK.write_artifacts({"column_profile": prof, "trust_log": log}, base, "run-1",
-                               models={"preprocessing": model})
-    reloaded = PipelineModel.load(paths["model:preprocessing"])
-    assert len(reloaded.stages) == len(model.stages)
+    prep = PR.prepare(labeled_documents(spark, sf), "quality", ["n_chars", "lang", "toxic"], "Classification")
+    baselines = MD.train_baselines(prep, [MD.LOGISTIC])
+    clusters = C.train_clustering(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], only=[C.KMEANS])
+    frames = {"column_profile": prof, "trust_log": log, "metrics": baselines.metrics(),
+              "cluster_profile": clusters.profile(clusters.results[0]).toDF("cluster", "n", "percent", "c_acctbal", "c_nationkey")}
+    paths = SK.write_artifacts(frames, base, "run-1", models={"preprocessing": model, "champion": baselines.champion().model})
+    SK.write_artifacts({"column_profile": prof}, base, "run-1")
+    PR.Preprocessing.load(spark, paths["model:preprocessing"], list(model.codes)).transform(li)
+    baselines.release()
+    clusters.release()
     return spark.read.parquet(f"{base}/column_profile").where(F.col("run_id") == "run-1")
 
 

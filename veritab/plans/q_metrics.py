@@ -197,6 +197,21 @@ def q_actual_vs_predicted(spark, sf):
     return rounded(M.actual_vs_predicted_range(priced_lineitem(spark, sf), "l_extendedprice", "list_price"))
 
 
+@register("actual_vs_predicted_pairs",
+          f"SELECT ROUND(l_extendedprice, 6) AS actual, ROUND(list_price, 6) AS predicted FROM {PRICED} t "
+          "WHERE l_extendedprice IS NOT NULL AND list_price IS NOT NULL")
+def q_actual_vs_predicted_pairs(spark, sf):
+    return rounded(M.actual_vs_predicted(priced_lineitem(spark, sf), "l_extendedprice", "list_price"))
+
+
+@register("residuals_range", f"""
+SELECT COUNT(*) AS n, ROUND(MIN(list_price), 6) AS lo, ROUND(MAX(list_price), 6) AS hi,
+       ROUND(MIN(l_extendedprice - list_price), 6) AS residual_lo, ROUND(MAX(l_extendedprice - list_price), 6) AS residual_hi
+FROM {PRICED} t WHERE l_extendedprice IS NOT NULL AND list_price IS NOT NULL""")
+def q_residuals_range(spark, sf):
+    return rounded(M.residuals_range(priced_lineitem(spark, sf), "l_extendedprice", "list_price"))
+
+
 @register("residuals", f"SELECT ROUND(list_price, 6) AS predicted, ROUND(l_extendedprice - list_price, 6) AS residual FROM {PRICED} t")
 def q_residuals(spark, sf):
     return rounded(M.residuals(priced_lineitem(spark, sf), "l_extendedprice", "list_price"))

@@ -14,22 +14,24 @@ from .tables import labeled_documents, priced_lineitem, table
 
 CLF_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"]
 REG_FEATURES = ["l_quantity", "p_retailprice", "l_discount", "l_tax", "l_returnflag"]
+#: Depth that the registered queries ask of their forests (the library's default grows them to Spark's limit).
+FOREST_DEPTH = 12
 BIN_FEATURES = ["n_chars", "lang", "source", "toxic"]
 
 
 def _multiclass(spark, sf, only=None):
     prep = PR.prepare(table(spark, sf, "lineitem"), "l_returnflag", CLF_FEATURES, "Classification")
-    return MD.train_baselines(prep, only)
+    return MD.train_baselines(prep, only, FOREST_DEPTH)
 
 
 def _binary(spark, sf, only=None):
     prep = PR.prepare(labeled_documents(spark, sf), "quality", BIN_FEATURES, "Classification")
-    return MD.train_baselines(prep, only)
+    return MD.train_baselines(prep, only, FOREST_DEPTH)
 
 
 def _regression(spark, sf, only=None):
     prep = PR.prepare(priced_lineitem(spark, sf), "l_extendedprice", REG_FEATURES, "Regression")
-    return MD.train_baselines(prep, only)
+    return MD.train_baselines(prep, only, FOREST_DEPTH)
 
 
 def _preds(b):
@@ -192,6 +194,36 @@ def q_cluster_profile(spark, sf):
     return rounded(C.cluster_profile(part, ["p_size", "p_retailprice", "p_brand", "p_name"], "p_type"))
 
 
+@register("cluster_profile_fitted")
+def q_cluster_profile_fitted(spark, sf):
+    """Profile of the clusters that K-Means has just found among the customers."""
+    cl = _clusters(spark, sf, only=[C.KMEANS])
+    return rounded(cl.profile(cl.results[0]))
+
+
+@register("kmeans_invariants",
+          "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS not_nearest, CAST(3 AS BIGINT) AS clusters FROM customer")
+def q_kmeans_invariants(spark, sf):
+    """Every row has a label, and that of its nearest centre."""
+    from pyspark.ml.functions import vector_to_array
+    cl = _clusters(spark, sf, only=[C.KMEANS])
+    r = cl.results[0]
+    far = F.array(*[F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)),
+                                F.lit(0.0), lambda s, v: s + v) for c in r.model.clusterCenters()])
+    d = r.predictions.select("prediction", vector_to_array("features").alias("x")).select("prediction", far.alias("far"))
+    cl.release()
+    return d.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.sum(F.when(F.get("far", F.col("prediction")) > F.array_min("far") + 1e-9, 1).otherwise(0)).alias("not_nearest"),
+                 F.count_distinct("prediction").alias("clusters"))
+
+
+@register("pca_numeric")
+def q_pca_numeric(spark, sf):
+    """The report's projection of the numeric customer features."""
+    pts, evr = C.pca_numeric(table(spark, sf, "customer"), CUST_FEATURES)
+    return rounded(pts.withColumn("evr1", F.lit(evr[0])).withColumn("evr2", F.lit(evr[1])))
+
+
 @register("pca_2d")
 def q_pca_2d(spark, sf):
     cl = _clusters(spark, sf)
@@ -225,20 +257,26 @@ s AS (SELECT c, e,
              CASE c WHEN 0 THEN d0 * n0 / (n0 - 1) WHEN 1 THEN d1 * n1 / (n1 - 1) ELSE d2 * n2 / (n2 - 1) END AS a,
              CASE c WHEN 0 THEN LEAST(d1, d2) WHEN 1 THEN LEAST(d0, d2) ELSE LEAST(d0, d1) END AS b FROM d),
 sil AS (SELECT AVG((b - a) / GREATEST(a, b)) AS v FROM s),
+ed AS (SELECT p.c, SQRT((x1 - a0) ^ 2 + (x2 - b0) ^ 2) AS f0, SQRT((x1 - a1) ^ 2 + (x2 - b1) ^ 2) AS f1,
+             SQRT((x1 - a2) ^ 2 + (x2 - b2) ^ 2) AS f2 FROM p, w),
+es AS (SELECT CASE c WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END AS a,
+             CASE c WHEN 0 THEN LEAST(f1, f2) WHEN 1 THEN LEAST(f0, f2) ELSE LEAST(f0, f1) END AS b FROM ed),
+esil AS (SELECT AVG(CASE WHEN GREATEST(a, b) = 0 THEN 0 ELSE (b - a) / GREATEST(a, b) END) AS v FROM es),
 si AS (SELECT c, AVG(e) AS sc, SUM(e * e) AS wc FROM s GROUP BY c),
 cc AS (SELECT cs.c, cs.n, cs.m1, cs.m2, si.sc, si.wc FROM cs JOIN si ON cs.c = si.c),
 db AS (SELECT AVG(mx) AS v FROM (SELECT i.c, MAX((i.sc + j.sc) / SQRT((i.m1 - j.m1) ^ 2 + (i.m2 - j.m2) ^ 2)) AS mx
                                   FROM cc i JOIN cc j ON i.c <> j.c GROUP BY i.c)),
 g AS (SELECT SUM(n * m1) / SUM(n) AS g1, SUM(n * m2) / SUM(n) AS g2, SUM(n) AS nn, COUNT(*) AS k, SUM(wc) AS ww FROM cc),
 ch AS (SELECT (SUM(cc.n * ((cc.m1 - g1) ^ 2 + (cc.m2 - g2) ^ 2)) * (MAX(nn) - MAX(k))) / (MAX(ww) * (MAX(k) - 1)) AS v FROM cc, g)
-SELECT 'Silhouette Score' AS metric, ROUND((SELECT v FROM sil), 6) AS value
+SELECT 'Silhouette Score' AS metric, ROUND((SELECT v FROM esil), 6) AS value
+UNION ALL SELECT 'Silhouette Score (squared Euclidean)', ROUND((SELECT v FROM sil), 6)
 UNION ALL SELECT 'Davies-Bouldin Index', ROUND((SELECT v FROM db), 6)
 UNION ALL SELECT 'Calinski-Harabasz Index', ROUND((SELECT v FROM ch), 6)"""
 
 
 @register("cluster_indices_labels", LABEL_SQL)
 def q_cluster_indices_labels(spark, sf):
-    """Silhouette (squared Euclidean), Davies-Bouldin and Calinski-Harabasz of lineitem grouped by
+    """Both silhouettes, Davies-Bouldin and Calinski-Harabasz of lineitem grouped by
     l_returnflag over (l_quantity, l_discount): the index code on a labelling SQL can reproduce."""
     from pyspark.ml.feature import VectorAssembler
     li = table(spark, sf, "lineitem")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import prep as PR
@@ -104,28 +104,34 @@ def q_feature_kinds(spark, sf):
           "SELECT p_partkey, p_brand, CAST(DENSE_RANK() OVER (ORDER BY p_brand) - 1 AS DOUBLE) AS p_brand_code FROM part")
 def q_ordinal_encode(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
-    model = StringIndexer(inputCol="p_brand", outputCol="p_brand_code", handleInvalid="keep",
-                          stringOrderType="alphabetAsc").fit(part)
-    n = len(model.labels)
-    out = model.transform(part)
-    return out.withColumn("p_brand_code", F.when(F.col("p_brand_code") >= n, F.lit(-1.0)).otherwise(F.col("p_brand_code")))
+    return PR.ordinal_encode(part, "p_brand", PR.ordinal_codes(part, "p_brand"), "p_brand_code")
 
 
-@register("one_hot")
+@register("one_hot",
+          "SELECT l_orderkey, l_linenumber, " + ", ".join(
+              f"CAST({c} = '{v}' AS DOUBLE) AS {c}_{v}" for c, vs in (("l_returnflag", "ANR"), ("l_linestatus", "FO")) for v in vs)
+          + " FROM lineitem")
 def q_one_hot(spark, sf):
-    """One-hot vectors of l_returnflag / l_linestatus fitted on lineitem (rows-only check)."""
+    """One-hot columns of l_returnflag / l_linestatus fitted on lineitem."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
     model, names = PR.fit_preprocessing(li, ["l_returnflag", "l_linestatus"], {"l_returnflag": "one_hot", "l_linestatus": "one_hot"})
-    return model.transform(li).select("l_orderkey", "l_linenumber", "features")
+    x = vector_to_array("features")
+    return model.transform(li).select("l_orderkey", "l_linenumber", *[x[i].alias(n) for i, n in enumerate(names)])
 
 
-@register("feature_vector")
+@register("feature_vector",
+          "SELECT l_orderkey, "
+          "ROUND((l_quantity - (SELECT AVG(l_quantity) FROM lineitem)) / (SELECT STDDEV_POP(l_quantity) FROM lineitem), 6) AS l_quantity, "
+          "ROUND((l_extendedprice - (SELECT AVG(l_extendedprice) FROM lineitem)) / (SELECT STDDEV_POP(l_extendedprice) FROM lineitem), 6) AS l_extendedprice, "
+          "CAST(l_linestatus = 'F' AS DOUBLE) AS \"l_linestatus_F\", CAST(l_linestatus = 'O' AS DOUBLE) AS \"l_linestatus_O\", "
+          "CAST(DENSE_RANK() OVER (ORDER BY CAST(l_suppkey AS VARCHAR)) - 1 AS DOUBLE) AS l_suppkey FROM lineitem")
 def q_feature_vector(spark, sf):
-    """Full preprocessing vector (scaled numeric + one-hot + ordinal) over lineitem (rows-only check)."""
+    """Full preprocessing (scaled numeric + one-hot + ordinal) over lineitem, one column for each entry of the vector."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_suppkey")
     kinds = {"l_quantity": "numeric", "l_extendedprice": "numeric", "l_linestatus": "one_hot", "l_suppkey": "ordinal"}
     model, names = PR.fit_preprocessing(li, list(kinds), kinds)
-    return model.transform(li).select("l_orderkey", "features")
+    x = vector_to_array("features")
+    return rounded(model.transform(li).select("l_orderkey", *[x[i].alias(n) for i, n in enumerate(names)]))
 
 
 @register("train_test_split",
@@ -149,3 +155,24 @@ UNION ALL SELECT cls AS l_returnflag, 'test' AS _split, CAST(cnt - n_tr AS BIGIN
 def q_stratified_split(spark, sf):
     li = table(spark, sf, "lineitem")
     return PR.train_test_split(li, "l_returnflag", stratify=True).groupBy("l_returnflag", "_split").count()
+
+
+def nan_quality(spark, sf):
+    """doc_id and quality as double, missing as NaN for odd ids and NULL for even ones."""
+    d = labeled_documents(spark, sf)
+    q = F.col("quality").cast("double")
+    return d.select("doc_id", F.when(q.isNull() & (F.col("doc_id") % 2 == 1), F.lit(float("nan"))).otherwise(q).alias("quality"),
+                    F.lit(float("nan")).alias("empty"))
+
+
+@register("valid_features_nan", f"SELECT 0 AS ordinal, 'quality' AS column_name, COUNT(quality) AS non_null FROM {O.LABELED_DOCS} t")
+def q_valid_features_nan(spark, sf):
+    """NaN counts as missing: a column of NaN only is not valid."""
+    return PR.valid_features_frame(nan_quality(spark, sf), ["quality", "empty"])
+
+
+@register("impute_median_nan",
+          f"SELECT doc_id, COALESCE(quality::DOUBLE, (SELECT MEDIAN(quality) FROM {O.LABELED_DOCS} b)) AS quality FROM {O.LABELED_DOCS} t")
+def q_impute_median_nan(spark, sf):
+    df = nan_quality(spark, sf).select("doc_id", "quality")
+    return PR.impute_median(df, {c: v[0] for c, v in PR.numeric_fit(df, ["quality"]).items()})

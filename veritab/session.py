@@ -9,6 +9,11 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _half_memory() -> str:
+    """Half of this machine's memory, for the one JVM of a local session."""
+    return f"{max(1024, os.sysconf('SC_PAGE_SIZE') * os.sysconf('SC_PHYS_PAGES') // (2 << 20))}m"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "veritab") -> SparkSession:
     """Local session used by tests and the bench. On a cluster, pass your own session instead."""
     master = master or os.environ.get("VERITAB_MASTER", "local[8]")
@@ -21,7 +26,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("VERITAB_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("VERITAB_DRIVER_MEMORY") or _half_memory())
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
@@ -36,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by whoever runs the job (a shared file system path).
-    Only when nothing is configured (local tests) do we create one under the temp dir.
+    Only a local session may do without: it gets a temporary folder. Any other master raises.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -44,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         conf_dir = tempfile.mkdtemp(prefix="veritab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)

@@ -19,6 +19,8 @@ from ..functions.types import is_string, qc
 EXTENSIONS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".pq": "parquet"}
 UNSUPPORTED = {".xlsx": "excel", ".xls": "excel", ".db": "sqlite", ".sqlite": "sqlite", ".sqlite3": "sqlite"}
 TRUE_WORDS = ["True", "TRUE", "true"]
+#: One dialect for reading and writing: quotes are doubled, white space belongs to the value.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 FALSE_WORDS = ["False", "FALSE", "false"]
 
 
@@ -28,7 +30,7 @@ def infer_file_type(path: str) -> str:
         return EXTENSIONS[ext]
     if ext in UNSUPPORTED:
         return UNSUPPORTED[ext]
-    raise ValueError(f"Could not infer file type for extension {ext}")
+    raise ValueError(f"no reader is known for the extension {ext!r}; name the file type")
 
 
 def na_to_null(df: DataFrame) -> DataFrame:
@@ -75,8 +77,13 @@ def type_text_columns(df: DataFrame) -> DataFrame:
 
 
 def load_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """CSV with a header row; every column read as text, NA spellings -> NULL, then typed."""
-    opts = {"header": "true", "inferSchema": "false", "multiLine": "false", "escape": '"'}
+    """CSV with a header row; every column read as text, NA spellings -> NULL, then typed.
+
+    Quoted fields may hold quotes, separators and line breaks, and padding is kept. A file with line breaks in fields
+    cannot be split, so large data sets should come as many files of moderate size (``multiLine="false"`` splits files
+    whose fields hold no line breaks).
+    """
+    opts = {"header": "true", "inferSchema": "false"} | CSV_OPTIONS | {"multiLine": "true"}
     opts.update({k: str(v) for k, v in options.items()})
     raw = spark.read.options(**opts).csv(path)
     return type_text_columns(na_to_null(raw))
@@ -137,5 +144,5 @@ def load_dataset(spark: SparkSession, path: str, file_type: str | None = None, t
         df = load_csv(spark, path, **options)
         df.schema  # noqa: B018  (forces analysis so a bad path fails here)
         return df
-    except (AnalysisException, Exception) as e:  # noqa: BLE001
-        raise ValueError(f"Unsupported file type: {file_type}. Failed to load: {e}") from e
+    except AnalysisException as e:
+        raise ValueError(f"{path!r} could not be read as CSV, the fallback for the type {file_type!r}: {e}") from e
