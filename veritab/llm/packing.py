@@ -22,6 +22,7 @@ a null id stays null; other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import zlib
@@ -40,7 +41,7 @@ CAPACITY = 2048
 END_ID = 0
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Pre-tokens whose ids a task remembers (memory only).
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 
 # -- tokens --------------------------------------------------------------------------------------------------------
@@ -77,19 +78,29 @@ class Encoder:
         self.library = Tokenizer.from_file(file)
         with open(file, encoding="utf-8") as f:
             self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no known pre-tokens; their ids lie one after another in one array."""
         self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = len(self.ids)
-            self.ids.append(e.ids)
+        new = list(pieces.difference(self.known))
+        if not new:
+            return
+        found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), "<u4", int(size.sum()))
+        self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.flat)])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, the end id last, as little-endian unsigned 32-bit numbers."""
         if len(self.known) > MEMORY:
-            self.known, self.ids = {}, []
+            self._forget()
         parts: list[list] = [self._split(t or "") for t in texts]
         segments = [p for ps in parts for p in ps if isinstance(p, str)]
         runs = self._runs(segments)
@@ -127,15 +138,9 @@ class Encoder:
         pieces = [joined[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         self._learn(set(pieces))
         which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        distinct, which = np.unique(which, return_inverse=True)
-        lists = [self.ids[i] for i in distinct.tolist()]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.array([x for ids in lists for x in ids], "<u4")
-        begin = np.cumsum(size) - size
-        n = size[which]
+        n = self.size[which]
         total = np.cumsum(n)
-        pos = np.arange(total[-1]) - np.repeat(total - n, n) + np.repeat(begin[which], n)
-        ids = flat[pos]
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.begin[which] - (total - n), n)]
         seg_first = np.append(0, np.cumsum([len(s) for s in segments])[:-1])
         cut = np.append(total - n, total[-1])[np.searchsorted(at, seg_first)][1:]
         return iter(np.split(ids, cut))
