@@ -24,6 +24,7 @@ repeated rows each give a row; null ids are never learnt from; other columns are
 from __future__ import annotations
 
 import math
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -245,6 +246,17 @@ def counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("everywhere", "toxic", "clean")))
 
 
+_SCORES: dict[str, TokenScores] = {}
+
+
+def _scores(key: str, drawn: np.ndarray) -> TokenScores:
+    """The word scores of a job, remembered in each process across its tasks."""
+    if key not in _SCORES:
+        _SCORES.clear()
+        _SCORES[key] = TokenScores(drawn)
+    return _SCORES[key]
+
+
 def _segments(text: str | None, scores: TokenScores) -> tuple[np.ndarray, list[Segment]]:
     own = scores.of(alnum_words(text))
     return own, maximal_segments(own)
@@ -260,10 +272,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             for kind in kinds:
                 table[("everywhere", "toxic", "clean").index(kind), batch.column("cell").to_numpy()] = batch.column(kind).to_numpy()
     drawn = drawn_odds(*table)
-    shared = docs.sparkSession.sparkContext.broadcast(drawn)
+    shared, key = docs.sparkSession.sparkContext.broadcast(drawn), uuid.uuid4().hex
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = TokenScores(shared.value)
+        scores = _scores(key, shared.value)
         n, tops, seen = [], [], np.zeros(int((HIGHEST - LOWEST) * STEPS) + 1, np.int64)
         for text, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic")), strict=True):
             own, found = _segments(text, scores)
@@ -299,13 +311,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted and the significant passages of every row."""
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     model = fit(base, written(sampled_labels(labels), "sampled-labels"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("past_word", pa.int64()), ("score", pa.float64()),
                                ("p_value", pa.float64())]))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = Model(*shared.value)
-        scores = TokenScores(m.drawn)
+        scores = _scores(key, m.drawn)
         out, passages = [], []
         for text in batch.column("text").to_pylist():
             own_scores, found = _segments(text, scores)
