@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veritab.llm import external_shuffle, packing, simhash_pivots
@@ -49,6 +50,27 @@ def test_external_shuffle_repeats_and_empties(small, no_docs, tmp_path, spark):
     assert sorted(r["text"] or "" for r in back.collect()) == sorted(r["text"] or "" for r in small("documents").collect())
 
 
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 1_000, 10_000_001, 32_000_000])
+def test_shards_of_many_places(spark, n):
+    shard, slot = external_shuffle.shard_and_slot("id", n, 16)
+    got = spark.range(n).select("id", shard.alias("shard"), slot.alias("slot")).groupBy("shard").agg(
+        F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.min("slot").alias("least"),
+        F.max("slot").alias("most"), F.countDistinct(F.col("id") - F.col("slot")).alias("starts")).collect()
+    first = [-(-s * n // 16) for s in range(17)]
+    expected = {(s, first[s + 1] - first[s], first[s], first[s + 1] - 1, 0, first[s + 1] - first[s] - 1, 1)
+                for s in range(16) if first[s] < first[s + 1]}
+    assert {tuple(r) for r in got} == expected
+
+
+def test_shards_of_very_many_places(spark):
+    n = 10**15 + 7
+    first = [-(-s * n // 16) for s in range(17)]
+    edges = [(x,) for s in range(17) for x in (first[s] - 1, first[s], first[s] + 1) if 0 <= x < n]
+    shard, slot = external_shuffle.shard_and_slot("at", n, 16)
+    for at, s, k in spark.createDataFrame(edges, "at long").select("at", shard, slot).collect():
+        assert first[s] <= at < first[s + 1] and k == at - first[s]
+
+
 # -- packing ---------------------------------------------------------------------------------------------------------
 def fewest(items, capacity):
     """The optimum by search over bins."""

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_package, written
@@ -83,6 +83,14 @@ def bucket_offsets(rows: DataFrame) -> DataFrame:
             .join(earlier, "part").select("bucket", (F.col("part_before") + F.col("inside")).alias("before")))
 
 
+def shard_and_slot(at: str, n: int, shards: int) -> tuple[Column, Column]:
+    """Shard and slot of the place in the column ``at`` among ``n`` ones. Whole numbers throughout: a quotient of decimals
+    or doubles is rounded, and places near the end of a shard would go to the next one."""
+    n = max(n, 1)
+    shard = f"({at} * {shards}L) div {n}L"
+    return F.expr(f"cast({shard} AS int)"), F.expr(f"{at} - ({shard} * {n}L + {shards - 1}L) div {shards}L")
+
+
 def external_shuffle(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col: str = "doc_id",
                      seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(row, shard, slot) of every row: the row as a struct of all its columns, slots without gaps from 0."""
@@ -91,9 +99,8 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, text_col: str = "tex
     offsets = bucket_offsets(rows)
     offsets = F.broadcast(offsets) if buckets <= BROADCAST_BUCKETS else offsets
     at = rows.join(offsets, "bucket").select("row", (F.col("before") + F.col("place")).alias("at"))
-    shard = F.floor(F.col("at") * F.lit(shards).cast("decimal(20,0)") / F.lit(max(n, 1))).cast("int")
-    first = F.ceil(F.col("shard") * F.lit(max(n, 1)).cast("decimal(20,0)") / F.lit(shards)).cast("bigint")
-    return at.select("row", "at", shard.alias("shard")).select("row", "shard", (F.col("at") - first).alias("slot"))
+    shard, slot = shard_and_slot("at", n, shards)
+    return at.select("row", shard.alias("shard"), slot.alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
