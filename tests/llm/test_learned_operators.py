@@ -145,6 +145,40 @@ def test_toxic_documents(small):
     assert all(r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == held_out(i) for i, r in got.items())
 
 
+def test_only_near_copies_are_merged(spark):
+    rng = random.Random(4)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    passage, base = words(60), words(200)
+    alike = [" ".join(base[:100 + k] + [f"other{k}"] + base[101 + k:]) for k in range(20)]  # similarity 0.94 to each other
+    shared = [" ".join(words(60) + passage + words(60)) for _ in range(60)]                 # 0.2, one passage
+    apart = [" ".join(base[:100] + words(100))]                                             # 0.3 to the alike ones
+    rows = [(t, 1) for t in [*alike, *shared, *apart, *["copy of one text"] * 9, "Copy of ONE text!"]] + [("copy of one text", 0)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "label_id long, toxic int")
+    got = toxicity.examples(docs, labels).collect()
+    weights = {r["text"]: r["weight"] for r in got if r["toxic"]}
+    assert set(shared) | set(apart) <= set(weights) and all(weights[t] == 1 for t in shared + apart)
+    assert [weights[t] for t in alike if t in weights] == [20] and len(weights) == 63
+    assert sorted(r["weight"] for r in got if r["text"].lower().startswith("copy of")) == [1, 10]
+    assert sum(r["weight"] for r in got) == len(rows)
+
+
+def test_merged_examples_of_documents(small):
+    docs = small("documents", "sf0.01").select("doc_id", "text")
+    labels = toxicity.sampled_labels(small("labels", "sf0.01"))
+    got = toxicity.examples(docs, labels).collect()
+    rows = docs.join(labels, docs["doc_id"] == labels["label_id"]).collect()
+    sets = [(toxicity.shingles(toxicity.alnum_words(r["text"])), r["toxic"]) for r in rows]
+    kept = [(toxicity.shingles(toxicity.alnum_words(r["text"])), r["toxic"]) for r in got]
+    assert sum(r["weight"] for r in got) == len(rows) > len(got) > 0.5 * len(rows)
+    for h, y in sets:  # all pairs: each document is like one that was kept, or linked to it through one that is
+        assert any(y == z and toxicity.similarity(h, g) >= 0.6 for g, z in kept)
+    assert not any(y == z and toxicity.similarity(h, g) >= 0.9 for (h, y), (g, z) in itertools.combinations(kept, 2))
+
+
 def test_toxicity_edges(edge_docs, no_docs, edge_labels):
     got = toxicity.toxicity(edge_docs, edge_labels).collect()
     assert len(got) == len(texts()) and all(0 <= r["score"] <= 1 for r in got)

@@ -2,14 +2,16 @@
 
 * Token scores: log-odds of a word, or of its beginning, in toxic against clean labelled documents with an informative
   Dirichlet prior, whose mean is the share in the whole corpus (counted over all documents). Documents that hold the word
-  are counted, near copies among the labelled documents once (texts that share one of ``SKETCHES`` smallest shingle
-  hashes), so that neither one repetitive text nor a group of copies makes its words telling. The log-odds are drawn towards zero
+  are counted, near copies among the labelled documents once, so that neither one repetitive text nor a group of copies
+  makes its words telling. Copies have the same words; near copies have a Jaccard similarity of ``SIMILAR`` or more of
+  their shingles, worked out for each pair (sketches only say which pairs to look at). The log-odds are drawn towards zero
   by ``ERRORS`` standard errors; the most telling of the word itself and its proper prefixes counts (words are compounds
   in several languages), and a drift is taken off, so that ordinary text scores negative. Words and prefixes are counted
   in ``BUCKETS`` hashed cells, which bounds every table whatever the vocabulary.
 * Passages: all maximal scoring segments of a document by the linear-time scan of Ruzzo and Tompa.
 * Calibration: for segments of clean text the expected number that score S or more is ``K n exp(-lambda S)`` (Karlin and
-  Altschul). lambda follows from the clean word distribution, K from the segments of clean labelled documents. A
+  Altschul). lambda follows from the clean word distribution, K from the segments of clean labelled documents, in which
+  as in the curve below a text counts as often as it and its near copies occur. A
   document's evidence is the best p-value of its r best segments together (their sum statistic), and a logistic curve
   fitted to the labelled documents turns it into a score from 0 to 1.
 
@@ -39,8 +41,13 @@ SEED = 10
 BUCKETS = 1 << 18
 #: Weight of the prior in texts, standard errors of shrinkage, drift, and bounds of a token score.
 PRIOR_TEXTS, ERRORS, DRIFT, LOWEST, HIGHEST = 200.0, 3.0, 0.3, -2.0, 6.0
-#: Smallest shingle hashes by which near copies among the labelled documents are found, and words of a shingle.
+#: Smallest shingle hashes that two labelled documents are paired by (one shared is enough), and words of a shingle.
 SKETCHES, SHINGLE = 5, 3
+#: Similarity of near copies. It is worked out for the pairs that share so many of the smallest hashes of a signature: at
+#: a similarity of 0.8, one pair in 2,000 is missed by the sketches and the signature together.
+SIMILAR, SIGNATURE, AGREED = 0.8, 64, 38
+#: Groups in which pairs are looked at.
+PAIR_GROUPS = 256
 #: Lengths in bytes of the proper prefixes that are counted besides the word, and steps of a score.
 PREFIXES, STEPS = (4, 5, 6, 7, 8, 9, 10), 10
 #: Words whose scores a task remembers (memory only).
@@ -168,16 +175,17 @@ def evidence(segments: list[Segment], n_words: int, lam: float, log_k: float) ->
     return best
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one number, by Newton steps with a small ridge; the slope is not negative."""
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Weighted logistic regression on one number, by Newton steps with a small ridge; the slope is not negative."""
+    share = (weight @ y + 0.5) / (weight.sum() + 1.0)
     w = np.array([math.log(share / (1 - share)), 0.0])
     if not len(y) or not 0 < y.sum() < len(y):
         return float(w[0]), 0.0
     a = np.stack([np.ones_like(x), x], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2),
+                               a.T @ (weight * (y - p)) - 1e-3 * w)
         w = w + np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
@@ -192,36 +200,100 @@ def sampled_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "
     return known.orderBy(F.xxhash64(F.lit(SEED), "label_id"), "label_id").limit(sample)
 
 
-def sketches(words: list[bytes]) -> np.ndarray:
-    """The smallest shingle hash of a text under each of ``SKETCHES`` hash functions."""
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted hashes of the different runs of ``SHINGLE`` words (a shorter text is one)."""
     from xxhash import xxh3_64_intdigest
     n = max(1, len(words) - SHINGLE + 1)
-    h = np.array([xxh3_64_intdigest(b" ".join(words[i:i + SHINGLE])) for i in range(n)], np.uint64)
-    out = []
-    for k in range(SKETCHES):
+    return np.unique(np.array([xxh3_64_intdigest(b" ".join(words[i:i + SHINGLE])) for i in range(n)], np.uint64))
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """The smallest shingle hash under each of ``SIGNATURE`` hash functions; the first ``SKETCHES`` are the sketches."""
+    from xxhash import xxh3_64_intdigest
+    out = np.empty(SIGNATURE, np.uint64)
+    for k in range(SIGNATURE):
         x = (h ^ np.uint64(xxh3_64_intdigest(bytes([k])))) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((x ^ (x >> np.uint64(32))).min())
-    return np.array(out, np.uint64).view(np.int64)
+        out[k] = (x ^ (x >> np.uint64(32))).min()
+    return out
 
 
-def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the sampled labels' documents, one of near copies with the same label (the smallest sketches)."""
-    names = [f"s{k}" for k in range(SKETCHES)]
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of different numbers."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def near_copies(texts: list[str | None], signs: np.ndarray) -> list[tuple[int, int]]:
+    """(text, earlier text that it is a near copy of). The earlier one is no near copy of one still earlier."""
+    known: dict[int, np.ndarray] = {}
 
+    def own(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = shingles(alnum_words(texts[i]))
+        return known[i]
+
+    kept, kept_signs, found = [], np.empty_like(signs), []
+    for i in range(len(texts)):
+        agreed = (kept_signs[:len(kept)] == signs[i]).sum(axis=1)
+        like = np.flatnonzero(agreed >= AGREED)
+        for j in like[np.argsort(-agreed[like], kind="stable")].tolist():
+            if similarity(own(i), own(kept[j])) >= SIMILAR:
+                found.append((i, kept[j]))
+                break
+        else:
+            kept_signs[len(kept)] = signs[i]
+            kept.append(i)
+            continue
+        known.pop(i, None)
+    return found
+
+
+def linked(texts: DataFrame) -> DataFrame:
+    """(toxic, digest, copy_of) of near copies in (toxic, digest, text, signature); copy_of is the smaller digest."""
+    keys = texts.select("toxic", "digest", F.posexplode(F.slice("signature", 1, SKETCHES)).alias("k", "key"))
+    shared = keys.groupBy("toxic", "k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = keys.join(shared, ["toxic", "k", "key"]).join(texts.select("toxic", "digest", "text", "signature"), ["toxic", "digest"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("toxic", "k", "key"), F.lit(PAIR_GROUPS)))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("toxic", "ascending"), ("k", "ascending"), ("key", "ascending"), ("digest", "ascending")])
+        names = list(zip(*(table.column(c).to_pylist() for c in ("toxic", "k", "key")), strict=True))
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            group = table.slice(a, b - a)
+            digests = group.column("digest").to_pylist()
+            signs = np.array(group.column("signature").to_pylist(), np.int64).reshape(b - a, SIGNATURE).astype(np.uint16)
+            out += [(names[a][0], digests[i], digests[j]) for i, j in near_copies(group.column("text").to_pylist(), signs)]
+        return pa.table({"toxic": pa.array([x[0] for x in out], pa.int32()), "digest": pa.array([x[1] for x in out], pa.string()),
+                         "copy_of": pa.array([x[2] for x in out], pa.string())})
+
+    return rows.groupBy("part").applyInArrow(pairs, "toxic int, digest string, copy_of string")
+
+
+def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic, weight) of the sampled labels' documents: one text of each group of near copies with the same label,
+    with the number of its documents. The links of near copies, two at most for each sampled text and sketch, are
+    followed on the driver to the text that stays."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [sketches(alnum_words(t)) for t in batch.column("text").to_pylist()]
+        from xxhash import xxh3_128_hexdigest
+        own = [alnum_words(t) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column("text"), batch.column("toxic"), *(pa.array([x[k] for x in own], pa.int64()) for k in range(SKETCHES))],
-            ["text", "toxic", *names])
+            [batch.column("text"), batch.column("toxic"), pa.array([xxh3_128_hexdigest(b" ".join(x)) for x in own], pa.string()),
+             pa.array([signature(shingles(x)).view(np.int64).tolist() for x in own], pa.list_(pa.int64()))],
+            ["text", "toxic", "digest", "signature"])
 
     rows = docs.join(F.broadcast(labels), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
-    found = map_slices(rows, one, "text string, toxic int" + "".join(f", {n} bigint" for n in names))
-    found = written(found.withColumn("row_no", F.monotonically_increasing_id()), "toxic-examples")
-    kept = found.drop("text")
-    for n in names:
-        rest = [c for c in [*names, "row_no"] if c != n]
-        kept = kept.groupBy("toxic", n).agg(F.min(F.struct(*rest)).alias("least")).select("toxic", n, "least.*")
-    return found.join(kept.select("row_no"), "row_no", "left_semi").select("text", "toxic")
+    found = map_slices(rows, one, "text string, toxic int, digest string, signature array<bigint>")
+    texts = written(found.groupBy("toxic", "digest").agg(
+        F.min("text").alias("text"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("n")), "toxic-examples")
+    stays: dict[tuple[int, str], str] = {}
+    for r in sorted(linked(texts).distinct().collect()):  # the smallest digest first, so the one it is like is settled
+        stays.setdefault((r["toxic"], r["digest"]), stays.get((r["toxic"], r["copy_of"]), r["copy_of"]))
+    copies = docs.sparkSession.createDataFrame([(t, d, s) for (t, d), s in stays.items()], "toxic int, digest string, stays string")
+    sizes = texts.select("toxic", "digest", "n").join(F.broadcast(copies), ["toxic", "digest"], "left").groupBy(
+        "toxic", F.coalesce("stays", "digest").alias("digest")).agg(F.sum("n").alias("weight"))
+    return texts.join(sizes, ["toxic", "digest"]).select("text", "toxic", "weight")
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -277,30 +349,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores = _scores(key, shared.value)
         n, tops, seen = [], [], np.zeros(int((HIGHEST - LOWEST) * STEPS) + 1, np.int64)
-        for text, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic")), strict=True):
+        for text, toxic, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "weight")), strict=True):
             own, found = _segments(text, scores)
             n.append(len(own))
             tops.append(sorted((float(s.score) for s in found), reverse=True)[:MOST_SEGMENTS])
             if not toxic:
-                seen += np.bincount(np.rint((own - LOWEST) * STEPS).astype(np.int64), minlength=len(seen))
+                seen += weight * np.bincount(np.rint((own - LOWEST) * STEPS).astype(np.int64), minlength=len(seen))
         return pa.RecordBatch.from_arrays(
-            [pa.array([batch.column("toxic").to_pylist()], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int64())),
+            [pa.array([batch.column("toxic").to_pylist()], pa.list_(pa.int32())),
+             pa.array([batch.column("weight").to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())),
              pa.array([tops], pa.list_(pa.list_(pa.float64()))), pa.array([seen.tolist()], pa.list_(pa.int64()))],
-            ["toxic", "n", "tops", "seen"])
+            ["toxic", "weight", "n", "tops", "seen"])
 
-    parts = map_slices(sample.select("text", "toxic"), one, "toxic array<int>, n array<bigint>, tops array<array<double>>, seen array<bigint>").collect()
+    kinds = "toxic array<int>, weight array<bigint>, n array<bigint>, tops array<array<double>>, seen array<bigint>"
+    parts = map_slices(sample.select("text", "toxic", "weight"), one, kinds).collect()
     steps = np.arange(int((HIGHEST - LOWEST) * STEPS) + 1) / STEPS + LOWEST
     share = np.sum([p["seen"] for p in parts], axis=0) if parts else np.zeros(len(steps))
     lam = karlin_lambda(share / max(1, share.sum()), steps)
-    seen = [x for p in parts for x in zip(p["toxic"], p["n"], p["tops"], strict=True)]
-    clean_words = sum(n for toxic, n, _ in seen if not toxic)
-    clean = np.sort(np.array([s for toxic, _, tops in seen if not toxic for s in tops]))
+    seen = [x for p in parts for x in zip(p["toxic"], p["weight"], p["n"], p["tops"], strict=True)]
+    clean_words = sum(w * n for toxic, w, n, _ in seen if not toxic)
+    clean = sorted((s, w) for toxic, w, _, tops in seen if not toxic for s in tops)
     log_k = math.log(1e-3)
-    if len(clean) and clean_words:
-        floor = clean[int(0.5 * (len(clean) - 1))]
-        log_k = math.log((clean >= floor).sum() / clean_words) + lam * float(floor)
-    x = np.array([evidence([Segment(0, 0, s) for s in tops], n, lam, log_k) for _, n, tops in seen])
-    bias, slope = fit_curve(np.log1p(x), np.array([float(toxic) for toxic, _, _ in seen]))
+    if clean and clean_words:
+        tops, often = np.array([s for s, _ in clean]), np.cumsum([w for _, w in clean])
+        floor = tops[np.searchsorted(often, int(0.5 * (often[-1] - 1)), side="right")]
+        above = often[-1] - (often[tops < floor][-1] if tops[0] < floor else 0)
+        log_k = math.log(above / clean_words) + lam * float(floor)
+    x = np.array([evidence([Segment(0, 0, s) for s in tops], n, lam, log_k) for _, _, n, tops in seen])
+    bias, slope = fit_curve(np.log1p(x), np.array([float(toxic) for toxic, *_ in seen]), np.array([float(w) for _, w, *_ in seen]))
     return Model(drawn, lam, log_k, bias, slope)
 
 
