@@ -145,6 +145,36 @@ def test_toxic_documents(small):
     assert all(r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == held_out(i) for i, r in got.items())
 
 
+def test_scores_of_words_are_exact(small):
+    docs = small("documents", "sf0.01").select("doc_id", "text")
+    labels = toxicity.sampled_labels(small("labels", "sf0.01"))
+    model = toxicity.fit(docs, labels)
+    sample = [(r["text"], r["toxic"]) for r in toxicity.examples(docs, labels).collect()]
+    counts = [{}, {}, {}]
+    for rows, kinds in ((((r["text"], None) for r in docs.collect()), (0,)), (sample, (1, 2))):
+        for text, y in rows:
+            own = {p for w in toxicity.alnum_words(text) for p in [b"=" + w, *(w[:k] for k in range(4, 11) if k < len(w))]}
+            for p in own | ({b""} if own else set()):
+                n = counts[kinds[0] if y is None else 1 if y else 2]
+                n[p] = n.get(p, 0) + 1
+    names = [b"", *sorted(counts[0].keys() - {b""})]
+    odds = toxicity.drawn_odds(*(np.array([n.get(p, 0) for p in names], float) for n in counts))
+    assert model.drawn == {p: x for p, x in zip(names, odds.tolist(), strict=True) if x} and len(model.drawn) > 20
+
+
+def test_words_never_learnt_score_nothing(spark):
+    rng = random.Random(3)
+    plain = [f"plain{k}" for k in range(300)]
+    bad = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(10)]
+    rows = [(i, " ".join(rng.sample(plain, 40) + (bad if i % 3 == 0 else []))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "label_id long, toxic int")
+    scores = toxicity.TokenScores(toxicity.fit(docs, labels).drawn)
+    assert all(scores[w.encode()] > 1 for w in bad)
+    strangers = [f"{rng.randrange(10**15):015d}".encode() for _ in range(100_000)]
+    assert {scores[w] for w in strangers} == {round(-toxicity.DRIFT * toxicity.STEPS) / toxicity.STEPS}
+
+
 def test_only_near_copies_are_merged(spark):
     rng = random.Random(4)
 

@@ -7,7 +7,9 @@
   their shingles, worked out for each pair (sketches only say which pairs to look at). The log-odds are drawn towards zero
   by ``ERRORS`` standard errors; the most telling of the word itself and its proper prefixes counts (words are compounds
   in several languages), and a drift is taken off, so that ordinary text scores negative. Words and prefixes are counted
-  in ``BUCKETS`` hashed cells, which bounds every table whatever the vocabulary.
+  as they are, first in the labelled documents. Those whose counts there can give other log-odds than zero, whatever the
+  corpus holds, are then counted in all documents; all others score zero. So the tables that are broadcast grow with the
+  sample of labels, not with the corpus.
 * Passages: all maximal scoring segments of a document by the linear-time scan of Ruzzo and Tompa.
 * Calibration: for segments of clean text the expected number that score S or more is ``K n exp(-lambda S)`` (Karlin and
   Altschul). lambda follows from the clean word distribution, K from the segments of clean labelled documents, in which
@@ -27,6 +29,8 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +42,6 @@ from .common import alnum_words, held_out, map_slices, ship_package, written
 
 SAMPLE = 20_000
 SEED = 10
-BUCKETS = 1 << 18
 #: Weight of the prior in texts, standard errors of shrinkage, drift, and bounds of a token score.
 PRIOR_TEXTS, ERRORS, DRIFT, LOWEST, HIGHEST = 200.0, 3.0, 0.3, -2.0, 6.0
 #: Smallest shingle hashes that two labelled documents are paired by (one shared is enough), and words of a shingle.
@@ -50,15 +53,15 @@ SIMILAR, SIGNATURE, AGREED = 0.8, 64, 38
 PAIR_GROUPS = 256
 #: Lengths in bytes of the proper prefixes that are counted besides the word, and steps of a score.
 PREFIXES, STEPS = (4, 5, 6, 7, 8, 9, 10), 10
-#: Words whose scores a task remembers (memory only).
-MEMORY = 400_000
+#: Words whose scores a task remembers, and words and prefixes that it sums before it hands them on (memory only).
+MEMORY, SUMMED = 400_000, 400_000
 #: Segments whose joint evidence is looked at, and the p-value up to which a passage is reported.
 MOST_SEGMENTS, REPORT_P = 8, 0.01
 THRESHOLD = 0.3
 
 
 class Model(NamedTuple):
-    drawn: np.ndarray
+    drawn: dict[bytes, float]
     lam: float
     log_k: float
     bias: float
@@ -71,42 +74,38 @@ class Segment(NamedTuple):
     score: float
 
 
-def cells(word: bytes) -> list[int]:
-    """Cells of a word and of its proper prefixes; cell 0 counts all words."""
-    from xxhash import xxh3_64_intdigest
-    own = [xxh3_64_intdigest(word, 1) % (BUCKETS - 1) + 1]
-    return own + [xxh3_64_intdigest(word[:k]) % (BUCKETS - 1) + 1 for k in PREFIXES if k < len(word)]
+def parts(word: bytes) -> list[bytes]:
+    """The word, marked with a byte that no word holds, and its proper prefixes."""
+    return [b"=" + word] + [word[:k] for k in PREFIXES if k < len(word)]
+
 
+class Numbers(dict):
+    """Numbers of each word's parts that have one, worked out when first asked for."""
 
-class Cells(dict):
-    """Cells of each word, worked out when first asked for."""
+    def __init__(self, of: dict[bytes, int]):
+        super().__init__()
+        self.numbers = of
 
     def __missing__(self, word: bytes) -> list[int]:
         if len(self) > MEMORY:
             self.clear()
-        found = self[word] = cells(word)
+        found = self[word] = [self.numbers[p] for p in parts(word) if p in self.numbers]
         return found
 
-    def of_text(self, words: set[bytes]) -> np.ndarray:
-        """All cells of a text, each once."""
-        every = {0}
-        every.update(*map(self.__getitem__, words))
-        return np.fromiter(every, np.int64, len(every))
-
 
 class TokenScores(dict):
     """Score of each word, worked out when first asked for."""
 
-    def __init__(self, drawn: np.ndarray):
+    def __init__(self, drawn: dict[bytes, float]):
         super().__init__()
         self.drawn = drawn
 
     def __missing__(self, word: bytes) -> float:
         if len(self) > MEMORY:
             self.clear()
-        odds = self.drawn[cells(word)]
-        best = float(odds.max())
-        score = min(HIGHEST, max(LOWEST, (best if best > 0 else float(odds[0])) - DRIFT))
+        odds = [self.drawn.get(p, 0.0) for p in parts(word)]
+        best = max(odds)
+        score = min(HIGHEST, max(LOWEST, (best if best > 0 else odds[0]) - DRIFT))
         score = self[word] = round(score * STEPS) / STEPS
         return score
 
@@ -135,7 +134,8 @@ def maximal_segments(scores: np.ndarray) -> list[Segment]:
 
 
 def drawn_odds(everywhere: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Log-odds of every cell, drawn towards zero, from its counts in the corpus, in toxic and in clean documents.
+    """Log-odds of words and prefixes, drawn towards zero, from their counts in the corpus, in toxic and in clean documents;
+    the first place has the numbers of documents.
 
     The prior's weight in each class is in proportion to the class, so a word that neither class has scores zero.
     """
@@ -150,6 +150,24 @@ def drawn_odds(everywhere: np.ndarray, toxic: np.ndarray, clean: np.ndarray) ->
     return (np.sign(odds) * np.maximum(0.0, np.abs(odds) - error)).astype(np.float32)
 
 
+def can_score(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+    """Where counts in labelled documents give other drawn log-odds than zero for some share in the corpus.
+
+    A larger prior draws the log-odds towards zero and makes the error smaller, so on each interval of the prior its lower
+    end bounds the log-odds and its upper end the error.
+    """
+    found = np.zeros(len(toxic), bool)
+    if not all_toxic or not all_clean:
+        return found
+    to_toxic, to_clean = all_toxic / (all_toxic + all_clean), all_clean / (all_toxic + all_clean)
+    ends = np.geomspace(1.0, PRIOR_TEXTS + 1.0, 200)
+    for low, high in zip(ends[:-1] * (1 - 1e-9), ends[1:] * (1 + 1e-9), strict=True):
+        odds = np.log((toxic + low * to_toxic) / all_toxic) - np.log((clean + low * to_clean) / all_clean)
+        error = ERRORS * np.sqrt(1 / (toxic + high * to_toxic) + 1 / (clean + high * to_clean))
+        found |= np.abs(odds) + 1e-9 > error
+    return found
+
+
 def karlin_lambda(share: np.ndarray, scores: np.ndarray) -> float:
     """The positive root of sum(share * exp(lambda * score)) = 1; a large value if no score is positive."""
     s, inverse = np.unique(scores.astype(np.float64), return_inverse=True)
@@ -296,32 +314,78 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(sizes, ["toxic", "digest"]).select("text", "toxic", "weight")
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """(cell, everywhere, toxic, clean): texts of (text, toxic) by hashed cell of their words, summed in the tasks first."""
+def labelled_counts(rows: DataFrame) -> DataFrame:
+    """(part, toxic, clean): texts of (text, toxic) with each word or prefix, summed in the tasks first; an empty part
+    counts the texts that have a word."""
     ship_package(rows.sparkSession)
 
+    def table(clean, toxic):
+        every = list(clean.keys() | toxic.keys())
+        for i in range(0, len(every), 100_000):
+            some = every[i:i + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.binary()), *(pa.array([n.get(p, 0) for p in some], pa.int64()) for n in (toxic, clean))],
+                ["part", "toxic", "clean"])
+
     def run(batches):
-        sums, known = np.zeros((3, BUCKETS), np.int64), Cells()
+        sums = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 words = alnum_words(text.as_py())
                 if words:
-                    at = known.of_text(set(words))
-                    sums[0, at] += 1
-                    if toxic is not None:
-                        sums[1 if toxic else 2, at] += 1
-        at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), *(pa.array(s[at]) for s in sums)], ["cell", "everywhere", "toxic", "clean"])
+                    sums[1 if toxic else 0].update({b"", *chain.from_iterable(map(parts, set(words)))})
+                    if len(sums[0]) + len(sums[1]) > SUMMED:
+                        yield from table(*sums)
+                        sums = (Counter(), Counter())
+        yield from table(*sums)
+
+    found = rows.select("text", "toxic").mapInArrow(run, "part binary, toxic bigint, clean bigint")
+    return found.groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
 
-    found = rows.select("text", "toxic").mapInArrow(run, "cell int, everywhere bigint, toxic bigint, clean bigint")
-    return found.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("everywhere", "toxic", "clean")))
+def telling(sample: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words and prefixes of the labelled texts whose log-odds can be other than zero, and in how many toxic and clean texts
+    they are; first an empty one that all texts with a word have."""
+    found = written(labelled_counts(sample), "labelled-counts")
+    total = found.where(F.octet_length("part") == 0).first() or {"toxic": 0, "clean": 0}
+    all_toxic, all_clean = total["toxic"], total["clean"]
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(can_score(*(batch.column(c).to_numpy() for c in ("toxic", "clean")), all_toxic, all_clean)))
+
+    chosen = found.where(F.octet_length("part") > 0).mapInArrow(run, found.schema).orderBy("part").toArrow()
+    names = [b"", *chosen.column("part").to_pylist()]
+    return names, *(np.concatenate([[float(total[c])], chosen.column(c).to_numpy()]) for c in ("toxic", "clean"))
+
+
+def corpus_counts(docs: DataFrame, names: list[bytes]) -> np.ndarray:
+    """Texts of all documents with each of the words and prefixes; the first place counts the texts that have a word."""
+    ship_package(docs.sparkSession)
+    shared, size = docs.sparkSession.sparkContext.broadcast(names), len(names)
+
+    def run(batches):
+        sums, known = np.zeros(size, np.int64), Numbers({p: i for i, p in enumerate(shared.value) if i})
+        for batch in batches:
+            for text in batch.column("text"):
+                words = alnum_words(text.as_py())
+                if words:
+                    every = {0}
+                    every.update(*map(known.__getitem__, set(words)))
+                    sums[np.fromiter(every, np.int64, len(every))] += 1
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["number", "n"])
+
+    found = docs.select("text").mapInArrow(run, "number int, n bigint").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[found.column("number").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 _SCORES: dict[str, TokenScores] = {}
 
 
-def _scores(key: str, drawn: np.ndarray) -> TokenScores:
+def _scores(key: str, drawn: dict[bytes, float]) -> TokenScores:
     """The word scores of a job, remembered in each process across its tasks."""
     if key not in _SCORES:
         _SCORES.clear()
@@ -337,13 +401,9 @@ def _segments(text: str | None, scores: TokenScores) -> tuple[np.ndarray, list[S
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from ``docs`` (doc_id, text) and sampled labels (label_id, toxic)."""
     sample = written(examples(docs, labels), "distinct-examples")
-    table = np.zeros((3, BUCKETS))
-    # at most BUCKETS rows of four numbers, and below at most a few numbers for each sampled document
-    for rows, kinds in ((docs.withColumn("toxic", F.lit(None).cast("int")), ("everywhere",)), (sample, ("toxic", "clean"))):
-        for batch in counts(rows).toArrow().to_batches():
-            for kind in kinds:
-                table[("everywhere", "toxic", "clean").index(kind), batch.column("cell").to_numpy()] = batch.column(kind).to_numpy()
-    drawn = drawn_odds(*table)
+    names, toxic, clean = telling(sample)  # as the rest on the driver, bounded by the sampled texts
+    odds = drawn_odds(corpus_counts(docs, names), toxic, clean)
+    drawn = {p: x for p, x in zip(names, odds.tolist(), strict=True) if x}
     shared, key = docs.sparkSession.sparkContext.broadcast(drawn), uuid.uuid4().hex
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -362,11 +422,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             ["toxic", "weight", "n", "tops", "seen"])
 
     kinds = "toxic array<int>, weight array<bigint>, n array<bigint>, tops array<array<double>>, seen array<bigint>"
-    parts = map_slices(sample.select("text", "toxic", "weight"), one, kinds).collect()
+    found = map_slices(sample.select("text", "toxic", "weight"), one, kinds).collect()
     steps = np.arange(int((HIGHEST - LOWEST) * STEPS) + 1) / STEPS + LOWEST
-    share = np.sum([p["seen"] for p in parts], axis=0) if parts else np.zeros(len(steps))
+    share = np.sum([p["seen"] for p in found], axis=0) if found else np.zeros(len(steps))
     lam = karlin_lambda(share / max(1, share.sum()), steps)
-    seen = [x for p in parts for x in zip(p["toxic"], p["weight"], p["n"], p["tops"], strict=True)]
+    seen = [x for p in found for x in zip(p["toxic"], p["weight"], p["n"], p["tops"], strict=True)]
     clean_words = sum(w * n for toxic, w, n, _ in seen if not toxic)
     clean = sorted((s, w) for toxic, w, _, tops in seen if not toxic for s in tops)
     log_k = math.log(1e-3)
