@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: at least half of the words' posterior is on one language."""
+    """Documents whose words are recognised, in one language or several: half of them by their best posterior at least."""
     return language_crf.known_language(docs)
 
 

@@ -64,6 +64,27 @@ def test_code_switched_words(small):
     assert np.mean(best[:half - 4] == m.labels.index("en")) > 0.8 and np.mean(best[half + 4:] == m.labels.index("fr")) > 0.8
 
 
+def test_texts_of_several_languages_are_recognised(small, spark):
+    rows = [r for r in small("documents", "sf0.01").collect() if r["lang"] and r["text"] and 300 < len(r["text"]) < 4000]
+    of = {x: [r["text"].split() for r in rows if r["lang"] == x] for x in ("en", "fr", "de", "es")}
+    rng = random.Random(2)
+    planted = [" ".join(" ".join(rng.choice(of[x])[:50]) for x in rng.sample(sorted(of), k)) for k in (2, 3, 4) for _ in range(30)]
+    junk = [" ".join("".join(rng.choice("qxzjkwvhpd") for _ in range(rng.randint(5, 9))) for _ in range(80)) for _ in range(20)]
+    junk += ["Это предложение написано на другом языке и никто его не учил " * 3]
+    every = [(i, r["text"], r["lang"]) for i, r in enumerate(rows)]
+    every += [(10_000 + i, t, None) for i, t in enumerate(planted)] + [(20_000 + i, t, None) for i, t in enumerate(junk)]
+    docs = spark.createDataFrame(every, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_crf.known_language(docs).collect()}
+    assert {10_000 + i for i in range(len(planted))} <= kept and not any(i >= 20_000 for i in kept)
+    assert len([i for i in kept if i < 10_000]) >= 0.99 * len(rows)
+    one = language_crf.known_language(docs.withColumn("lang", F.expr("if(lang = 'en', lang, null)"))).collect()
+    kept = {r["doc_id"] for r in one}
+    share = {x: np.mean([i in kept for i, r in enumerate(rows) if r["lang"] == x]) for x in of}
+    assert share["en"] >= 0.99 and max(share[x] for x in ("fr", "de", "es")) < 0.5 and not any(i >= 20_000 for i in kept)
+    unlabelled = language_crf.known_language(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert unlabelled.count() == docs.count()
+
+
 def test_language_edges(edge_docs, no_docs, spark):
     got = language_crf.languages(edge_docs).collect()
     assert len(got) == len(texts())

@@ -6,6 +6,11 @@ transitions between the languages of neighbouring words are learnt together by m
 (AdaGrad on forward-backward gradients). Forward-backward then gives each word's posterior; a text's language is the one
 with the largest mean posterior, which is the score.
 
+A text's language is recognised (stage ``language_id``) word by word, so that texts of several languages count too: a word
+counts with its largest posterior if there is evidence of that language, which is that the training texts of the language
+have the word, or its beginning and all of its runs of three letters and the shorter ones at its end. The mean over the
+words decides.
+
 The model is fitted on a bounded sample: for each language at most ``SAMPLE`` documents of at most ``SAMPLE_BYTES``
 bytes, in the order of a seeded hash, never held-out ones. Training documents are cut into runs of ``RUN`` words, and two
 runs of any languages make a training sequence, so transitions see switches. Lexicons are the ``LEXICON`` most frequent
@@ -13,7 +18,7 @@ words of each language in the sample.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything if there is nothing to learn
 from; a single language is predicted for all other texts; ties go to the first language in order; repeated rows each give
-a row; null ids are not learnt from; other columns are not read for predictions.
+a row; if there is nothing to learn from, every text with a letter counts as recognised, as nothing speaks against it; null ids are not learnt from; other columns are not read for predictions.
 """
 
 from __future__ import annotations
@@ -46,6 +51,7 @@ class Words(NamedTuple):
     three: np.ndarray
     affix: np.ndarray  # [word, 6]
     name: np.ndarray   # hash of each whole word
+    gram: np.ndarray   # the three letters from each letter on, fewer at the end of the word
 
 
 class Model(NamedTuple):
@@ -55,6 +61,7 @@ class Model(NamedTuple):
     member: np.ndarray       # [word of the lexicon, K]
     lexicon_weights: np.ndarray  # [K, K]
     transitions: np.ndarray  # [K, K], from - to
+    seen: np.ndarray         # bits of the words and letter runs of each language's training texts
 
 
 def _cell(x: np.ndarray, salt: int) -> np.ndarray:
@@ -94,7 +101,40 @@ def words_of(texts: list[str | None]) -> Words:
         name = (name ^ (name >> np.uint64(29))) * MIX
     ends = np.cumsum([len(t) for t in lowered])
     of = np.searchsorted(ends, where[start], side="right")
-    return Words(start, of, two, three, affix, name)
+    gram = (a << (shift + shift)) | (np.where(left >= 2, b, 0) << shift) | np.where(left >= 3, d, 0)
+    return Words(start, of, two, three, affix, name, gram)
+
+
+def _entries(x: np.ndarray, label: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of values of a label, of which ``seen`` takes as many bits as it needs."""
+    with np.errstate(over="ignore"):
+        x = (x + (label.astype(np.uint64) * np.uint64(3) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)) * MIX
+        x = (x ^ (x >> np.uint64(31))) * MIX
+    return x >> np.uint64(24)
+
+
+def _by_letter(w: Words, of_word: np.ndarray) -> np.ndarray:
+    return np.repeat(of_word, np.diff(np.append(w.first, len(w.gram))))
+
+
+def seen_bits(w: Words, label: np.ndarray) -> np.ndarray:
+    """Bits of all words, letter runs and beginnings with the labels of their words, 64 at least for each."""
+    every = np.unique(np.concatenate([_entries(w.name, label, 0), _entries(w.gram, _by_letter(w, label), 1),
+                                      _entries(w.gram[w.first], label, 2)]))
+    size = 1 << max(10, (64 * len(every) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[every & np.uint64(size - 1)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def evidence(w: Words, label: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Whether the training texts of each word's label have the word, or its beginning and all of its letter runs."""
+    def known(x):
+        x &= np.uint64(8 * len(seen) - 1)
+        return (seen[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    runs = np.logical_and.reduceat(known(_entries(w.gram, _by_letter(w, label), 1)), w.first)
+    return known(_entries(w.name, label, 0)) | runs & known(_entries(w.gram[w.first], label, 2))
 
 
 def membership(w: Words, lexicon: np.ndarray, member: np.ndarray) -> np.ndarray:
@@ -202,7 +242,8 @@ def train(texts: list[str], langs: list[str]) -> Model | None:
             s += (grad * 100) ** 2
             x -= RATE * grad * 100 / np.sqrt(s)
         weights[0] = 0.0
-    return Model(labels, weights.astype(np.float32), lexicon, member, lex.astype(np.float32), trans)
+    return Model(labels, weights.astype(np.float32), lexicon, member, lex.astype(np.float32), trans,
+                 seen_bits(w, truth))
 
 
 def _lexicon(names: np.ndarray, truth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +256,14 @@ def _lexicon(names: np.ndarray, truth: np.ndarray, k: int) -> tuple[np.ndarray,
     return lexicon, np.stack([np.isin(lexicon, e) for e in every], axis=1).astype(np.float32)
 
 
+def posteriors(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and number of words of each text that has one, and the posterior of each label for each word."""
+    begin = np.flatnonzero(np.append(True, np.diff(w.of) > 0))
+    size = np.diff(np.append(begin, len(w.of)))
+    e = emissions(w, model.weights, model.lexicon_weights, membership(w, model.lexicon, model.member))
+    return begin, size, messages(e, model.transitions, begin, size).posteriors()
+
+
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and mean posterior of each text."""
     w = words_of(texts)
@@ -222,16 +271,28 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
     langs = ["und"] * len(texts)
     if not len(w.first):
         return langs, score
-    begin = np.flatnonzero(np.append(True, np.diff(w.of) > 0))
-    size = np.diff(np.append(begin, len(w.of)))
-    e = emissions(w, model.weights, model.lexicon_weights, membership(w, model.lexicon, model.member))
-    p = messages(e, model.transitions, begin, size).posteriors()
+    begin, size, p = posteriors(w, model)
     mean = np.add.reduceat(p, begin, axis=0) / size[:, None]
     for text, m in zip(w.of[begin].tolist(), mean, strict=True):
         langs[text], score[text] = model.labels[int(m.argmax())], min(1.0, float(m.max()))
     return langs, score
 
 
+def recognised(texts: list[str | None], model: Model | None) -> np.ndarray:
+    """Mean over each text's words of the largest posterior, where there is evidence of that language; 0 without a word."""
+    w = words_of(texts)
+    score = np.zeros(len(texts))
+    if not len(w.first):
+        return score
+    if model is None:
+        score[w.of] = 1.0
+        return score
+    begin, size, p = posteriors(w, model)
+    of_word = p.max(axis=1) * evidence(w, p.argmax(axis=1), model.seen)
+    score[w.of[begin]] = np.add.reduceat(of_word, begin) / size
+    return score
+
+
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(text, lang) of the bounded sample. Ids are chosen first, from narrow rows; then only their texts are read."""
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
@@ -282,9 +343,16 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                    least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is recognised with a mean posterior of at least ``least``."""
-    model = fitted(docs, id_col, text_col, lang_col)
+    """The rows of ``docs``, all columns, whose words are recognised with a mean of at least ``least``, in one language or
+    several."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col, lang_col))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = None if shared.value is None else Model(*shared.value)
+        score = recognised(batch.column("text").to_pylist(), model)
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], ["row", "score"])
+
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.select("row", F.col("row").getField(text_col).alias("text"))
-    found = predicted(rows, model, carry=("row",))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    found = map_slices(rows, one, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return found.where(F.col("score") >= least).where("score > 0").select("row.*")
