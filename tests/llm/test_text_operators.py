@@ -42,6 +42,39 @@ def test_rules_are_many_and_hold_their_keywords():
     assert len(rules) > 200 and len({(r.label, r.regex.pattern) for r in rules}) == len(rules)
 
 
+def samples(tree):
+    """Texts that a parsed rule matches: every alternative, optional parts left out and put in."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            own = [chr(arg)]
+        elif kind == "SUBPATTERN":
+            own = samples(arg[3])
+        elif kind == "BRANCH":
+            own = [x for t in arg[1] for x in samples(t)]
+        elif kind == "MAX_REPEAT":
+            own = sorted({x * n for x in samples(arg[2]) for n in (arg[0], max(arg[0], 1))})
+        else:
+            assert kind == "IN", kind
+            first, value = arg[0]
+            own = [chr(value) if str(first) == "LITERAL" else chr(value[0]) if str(first) == "RANGE" else "z"]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_every_match_of_a_license_rule_holds_its_keyword():
+    n = 0
+    for rule in (r for rs in license_scan.rules().values() for r in rs):
+        regex = rule.regex.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )")
+        for text in samples(re._parser.parse(regex)):
+            n += 1
+            assert re.fullmatch(regex, text) and rule.keyword.decode() in text.split(), (rule.label, rule.keyword, text)
+    assert n > 700
+    for text, label in (("licence ouverte 2 0", "etalab"), ("May you do good and not evil", "sqlite-blessing"), ("0BSD", "bsd-zero")):
+        assert label in {d.label for d in license_scan.scan(text)[2]}, text
+
+
 def test_license_scan_base_places(spark, edge_docs, small):
     for docs, source in ((edge_docs, texts()), (small("documents"), None)):
         source = source or [(r["doc_id"], r["text"]) for r in small("documents").collect()]

@@ -42,7 +42,8 @@ bsd-4-clause ; 3 ; bsd ; (?:original|old) bsd license
 bsd-4-clause ; 3 ; bsd ; (?:4|four) clause bsd(?: license)?
 bsd-4-clause ; 3 ; bsd ; bsd 4 clause(?: license)?
 bsd-4-clause ; 2 ; advertising ; all advertising materials mentioning features or use of this software must display the following acknowledge?ment
-bsd-zero ; 3 ; bsd ; (?:zero clause bsd|bsd zero clause|0bsd)(?: license)?
+bsd-zero ; 3 ; bsd ; (?:zero clause bsd|bsd zero clause)(?: license)?
+bsd-zero ; 3 ; 0bsd ; 0bsd(?: license)?
 0bsd ; 3 ; 0bsd ; (?:spdx license identifier )?0bsd(?: license)?
 bsd ; 2 ; redistributions ; redistributions of source code must retain the above copyright notice
 bsd ; 2 ; redistributions ; redistributions in binary form must reproduce the above copyright notice
@@ -70,7 +71,7 @@ gpl-3.0-or-later ; 3 ; spdx ; spdx license identifier gpl 3 0 or later
 gpl-3.0-or-later ; 3 ; later ; gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
 gpl-3.0-or-later ; 3 ; gplv3 ; gplv3 or (?:any )?later
 gpl ; 2 ; gnu ; gnu general public license
-gpl ; 2 ; foundation ; you can redistribute it and or modify it under the terms of the gnu general public license
+gpl ; 2 ; redistribute ; you can redistribute it and or modify it under the terms of the gnu general public license
 gpl ; 2 ; merchantability ; without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
 gpl ; 2 ; received ; you should have received a copy of the gnu general public license along with this (?:program|file|library)
 gpl ; 1 ; general ; general public license
@@ -202,7 +203,8 @@ cdla-permissive ; 3 ; community ; community data license agreement permissive(?:
 cdla-sharing ; 3 ; community ; community data license agreement sharing(?: (?:version )?1 0)?
 ogl-uk ; 3 ; government ; open government licen[cs]e(?: v?[123](?: 0)?)?
 ogl-canada ; 3 ; canada ; open government licen[cs]e canada
-etalab ; 3 ; etalab ; licence ouverte(?: etalab)?(?: [12] 0)?|etalab open license
+etalab ; 3 ; ouverte ; licence ouverte(?: etalab)?(?: [12] 0)?
+etalab ; 3 ; etalab ; etalab open license
 ofl-1.1 ; 3 ; sil ; sil open font license(?: version 1 [01])?
 ofl-1.1 ; 3 ; spdx ; spdx license identifier ofl 1 1
 eupl-1.1 ; 3 ; eupl ; eupl (?:version |v)?1 1
@@ -227,7 +229,7 @@ ssleay ; 3 ; ssleay ; ssleay license
 curl ; 3 ; curl ; curl license
 ntp ; 3 ; ntp ; ntp license
 postgresql ; 3 ; postgresql ; postgresql licen[cs]e
-sqlite-blessing ; 3 ; blessing ; may you do good and not evil
+sqlite-blessing ; 3 ; evil ; may you do good and not evil
 json ; 3 ; evil ; the software shall be used for good not evil
 json ; 3 ; json ; json license
 icu ; 3 ; icu ; icu license
