@@ -122,6 +122,26 @@ def test_site_rates_are_shrunk(spark):
     assert pull(500, "rare") > pull(0, "h0") and got[500]["kept"] and not got[501]["kept"]
 
 
+def test_sites_and_paths_of_addresses(spark):
+    expected = {
+        "https://Host.org/a/b/c.html": ("host.org", "host.org/a/b"), "http://host.org/a/b/": ("host.org", "host.org/a/b"),
+        "//host.org/a/b?x=/y/z": ("host.org", "host.org/a"), "https://host.org": ("host.org", "host.org"),
+        "https://host.org/#/a/b": ("host.org", "host.org"), "https://host.org/a/b/c/d/e": ("host.org", "host.org/a/b/c/d"),
+        "src0": ("src0", "src0"), "h0/a1/x": ("h0", "h0/a1"), "": ("", ""), None: (None, None)}
+    rows = spark.createDataFrame([(s,) for s in expected], "source string")
+    got = {r[0]: (r[1], r[2]) for r in rows.select("source", *site_bayes.site_and_path(F.col("source"))).collect()}
+    assert got == expected
+
+
+def test_hosts_have_rates_of_their_own(spark):
+    good, bad = "plain words of a text " * 5, "### $$$ *** "
+    rows = [(i, bad if (i % 2 if i % 10 else not i % 2) else good, f"https://h{i % 2}.org/a/b{i % 4}/c{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(t == good)) for i, t, _ in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in site_bayes.site_quality(docs, labels).collect()}
+    assert len(got) == 400 and got[2]["site_rate"] > 0.7 > 0.3 > got[1]["site_rate"]
+
+
 def test_site_quality_edges(edge_docs, no_docs, edge_labels):
     got = site_bayes.site_quality(edge_docs, edge_labels).collect()
     assert len(got) == len(texts()) and all(0 <= r["score"] <= 1 for r in got)

@@ -2,8 +2,9 @@
 
 1. Evidence of the text: a logistic regression on a few shares of characters, words and lines, computed with SQL
    functions, and fitted to at most ``SAMPLE`` labelled documents that are not held out.
-2. Sites: the first segment of the source is the site, the first two are the path. Numbers of documents and sums of
-   text probabilities are aggregated by path (pre-aggregated before the shuffle, so a hot site is one small row from each
+2. Sites: the source without a scheme, query and fragment is cut at its slashes. The first segment is the site (the host
+   of an address, in lower case), all but the last one are the path. Numbers of documents and sums of text probabilities
+   are aggregated by path (pre-aggregated before the shuffle, so a hot site is one small row from each
    task) and rolled up to sites and to the whole corpus.
 3. Shrinkage: site rates are drawn to the corpus rate and path rates to their site's rate. The strength (pseudo-documents)
    of each level is estimated by moments: the spread of the groups' rates beyond what sampling explains. Sparse sites thus
@@ -35,6 +36,16 @@ WEAKEST, STRONGEST = 1.0, 10_000.0
 FEATURES = ["f_length", "f_symbols", "f_upper", "f_stops", "f_digits", "f_lines", "f_words", "f_size"]
 
 
+def site_and_path(source: Column) -> tuple[Column, Column]:
+    """The host, or first segment, of a source, and its whole directory with the host; null for null."""
+    scheme = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
+    plain = F.regexp_replace(F.regexp_replace(source, scheme, ""), r"(?s)[?#].*$", "")
+    host = F.substring_index(plain, "/", 1)
+    site = F.when(source.rlike(scheme), F.lower(host)).otherwise(host)
+    folders = F.regexp_replace(F.substring(plain, F.length(host) + 1, F.length(plain)), r"(?s)/[^/]*\z", "")
+    return site, F.concat(site, folders)
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc_id, site, path and the shares that describe the text of every row."""
     text = F.col("text")
@@ -44,9 +55,10 @@ def features(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
-                       F.split(F.col(f"`{source_col}`"), "/").alias("source"))
+                       F.col(f"`{source_col}`").alias("source"))
+    site, path = site_and_path(F.col("source"))
     rows = rows.select(
-        "doc_id", "text", F.get("source", F.lit(0)).alias("site"), F.array_join(F.slice("source", 1, 2), "/").alias("path"),
+        "doc_id", "text", site.alias("site"), path.alias("path"),
         F.array_remove(F.split(text, r"\s+"), "").alias("words"), F.array_remove(F.split(text, "\n"), "").alias("lines"))
     n, chars = F.size("words"), F.length("text")
     rows = rows.select(
