@@ -4,21 +4,23 @@ Texts are cut into pieces at ``.,;:!?`` and line ends; a phrase is a run of 2 to
 language.
 
 1. The documents are dealt into ``SHARDS`` shards by a hash of id and text. A shard is no task: any number of tasks count
-   their part of it, and Spark adds the counts up. Each shard is mined completely, level by level (words, pairs, longer
-   runs): a run is counted where the shard holds all its words, then all its pairs, often enough. The local support is the
-   global one times the shard's share of the words: ``count * words(language) >= support * words(shard, language)``. A
-   phrase that is frequent in the language reaches this in at least one shard.
-2. The locally frequent phrases of all shards are united. They are candidates only, so 64-bit hashes of them are enough,
-   and they go to the tasks as bit maps of at most ``MOST_BITS`` bits (32 MB): a stranger that hits the map by chance is
-   counted like a candidate and changes nothing.
+   their part of it, and the counts are added up by hash of the run. Each shard is mined completely, level by level (words,
+   pairs, longer runs): a run is counted where the shard holds all its words, then all its pairs, often enough. The local
+   support is the global one times the shard's share of the words: ``count * words(language) >= support * words(shard,
+   language)``. A phrase that is frequent in the language reaches this in at least one shard.
+2. The locally frequent phrases of all shards are united. A phrase whose counts where it is frequent, and one less than the
+   local support everywhere else, do not add up to the support is left out. What is left are candidates only, so 64-bit
+   hashes of them are enough, and they go to the tasks as bit maps of at most ``MOST_BITS`` bits (32 MB): a stranger that
+   hits the map by chance is counted like a candidate and changes nothing.
 3. A second pass over the texts counts the words and phrases of every candidate exactly, by their strings.
 4. Scores, the removal of phrases covered by longer ones and the ranking are joins and windows over the frequent phrases;
    products are decimals of 38 places.
 
-Counts are pre-aggregated in each slice and each task, so a word or phrase of any frequency is one small row a task.
+Counts are pre-aggregated in each slice, so a word or phrase of any frequency is one small row a slice.
 
 Memory: a task works on slices of ``SLICE`` bytes; longer texts are cut between pieces (a piece longer than a slice is one
-slice of its own). Recovery: counts of each level are written to the shared folder.
+slice of its own). Counts are added up in partitions that stand for ``PART_BYTES`` of text, by hash, so at most one row for
+each of their words. Recovery: counts of each level are written to the shared folder.
 
 Cases: null and empty texts have no words; a null language is ``und`` and is one with the language of that name; repeated
 rows count as often as they come; equal scores go by count, then by phrase in byte order; an empty table gives an empty
@@ -45,7 +47,13 @@ SHARDS = 8
 TOP = 2000
 COVERED = (80, 100)
 #: Text bytes of a slice.
-SLICE = 6 << 20
+SLICE = 4 << 20
+#: Text bytes whose counts meet in one partition.
+PART_BYTES = 48 << 20
+#: Counts of words that a task gathers before it hands them on.
+GATHER = 1 << 20
+#: Languages (and shards) whose local support goes to the tasks; in any others every run is a candidate.
+MOST_GROUPS = 500_000
 #: Largest bit map of candidates, 8 bits a candidate below that.
 MOST_BITS = 1 << 28
 KIND, LOWER = byte_table(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -116,64 +124,93 @@ class Runs:
 
 
 def _rows(batch: pa.RecordBatch):
-    """(texts, language number, shard) of the bounded slices of a batch, and the names of its languages."""
+    """(runs, language number of each row, their batch rows, names of the languages) of the bounded slices of a batch."""
     codes = batch.column("lang").dictionary_encode()
     names, langs = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
-    shards = batch.column("shard").to_numpy(zero_copy_only=False)
     for rows, texts in chunks(batch.column("text"), KIND, SLICE, BREAK):
-        yield Runs(texts, langs[rows], names), langs[rows], shards[rows], names
-
-
-def local_counts(docs: DataFrame, sizes: tuple[int, ...], known: KeySet | None) -> DataFrame:
-    """lang, shard, n, key, c: counts of the runs of the given sizes in each shard. ``known`` holds the keys (with the
-    shard mixed in) of the shard's frequent runs of one word (for pairs) or two words (for longer runs)."""
-    share = docs.sparkSession.sparkContext.broadcast(known.words) if known else None
-
-    def run(batches):
-        known = KeySet(share.value) if share else None
-        for batch in batches:
-            for runs, langs, shards, names in _rows(batch):
-                if not runs.n:
-                    continue
-                group = langs[runs.row].astype(np.int64) * SHARDS + shards[runs.row]
-                width = min(sizes) - 1 if known else 0
-                good = known.holds(shard_keys(runs.levels[width - 1], shards[runs.row])) if known else None
-                for n in sizes:
-                    at = runs.all_of(good, n, width) if known else runs.places(n)
-                    with np.errstate(over="ignore"):
-                        _, first, c = np.unique(shard_keys(runs.levels[n - 1][at], shards[runs.row[at]]),
-                                                return_index=True, return_counts=True)
-                    where = group[at[first]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.DictionaryArray.from_arrays(pa.array(where // SHARDS, pa.int32()), pa.array(names, pa.string())).cast(
-                            pa.string()), pa.array(where % SHARDS, pa.int32()), pa.array(np.full(len(c), n), pa.int32()),
-                         pa.array(runs.levels[n - 1][at[first]].view(np.int64)), pa.array(c, pa.int64())],
-                        names=["lang", "shard", "n", "key", "c"])
-    return docs.mapInArrow(run, "lang string, shard int, n int, key long, c long").groupBy("lang", "shard", "n", "key").agg(
-        F.sum("c").alias("c"))
+        runs = Runs(texts, langs[rows], names)
+        if runs.n:
+            yield runs, langs[rows], rows, names
 
 
 def shard_keys(keys: np.ndarray, shards: np.ndarray) -> np.ndarray:
-    """Keys with the shard mixed in (``sharded`` below is the same in SQL)."""
+    """Keys with the shard mixed in."""
     with np.errstate(over="ignore"):
         return keys + (shards.astype(np.uint64) + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)
 
 
-def sharded(key: str, shard: str) -> Column:
-    steps = F.array(*(F.lit(int(x)) for x in shard_keys(np.zeros(SHARDS, np.uint64), np.arange(SHARDS)).view(np.int64)))
-    step = F.element_at(steps, F.col(shard) + 1)
-    # 64-bit sums wrap around, also where the session has ANSI arithmetic: add the halves
-    low = F.col(key).bitwiseAND(F.lit(0xFFFFFFFF)) + step.bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned(F.col(key), 32) + F.shiftrightunsigned(step, 32) + F.shiftrightunsigned(low, 32)
-    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def _often(counts: DataFrame, totals: DataFrame, support: int) -> DataFrame:
-    """The rows of ``counts`` that reach the local support of their shard and language, with the key of their shard."""
-    whole = [F.col(c).cast("decimal(19,0)") for c in ("c", "lang_n", "shard_n")]
-    return counts.join(totals, ["lang", "shard"]).where(
-        whole[0] * whole[1] >= whole[2] * F.lit(support).cast("decimal(10,0)")).select(
-        "key", sharded("key", "shard").alias("at"))
+def added(at: np.ndarray, c: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys with the sums of their counts, and the first of their other values."""
+    at, first, place = np.unique(at, return_index=True, return_inverse=True)
+    total = np.zeros(len(at), np.int64)
+    np.add.at(total, place, c)
+    return at, total, *(x[first] for x in others)
+
+
+def local_counts(docs: DataFrame, sizes: tuple[int, ...], known: KeySet | None, parts: int,
+                 least: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+    """at, key, grp, c, over, slack: counts of the runs of the given sizes in each shard (``at``: key and shard; ``grp``:
+    language and shard). ``known`` holds the keys ``at`` of the shard's frequent runs of one word (for pairs) or two words
+    (for longer runs). With ``least``, the local support of the groups and what all shards of the language may hold
+    unseen (``slack``), only locally frequent runs are left, and ``over`` is what they hold beyond that."""
+    sc = docs.sparkSession.sparkContext
+    share = sc.broadcast((known.words if known else None, least))
+    names = ["at", "key", "grp", "c"]
+
+    def rows(columns):
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=names)
+
+    def count(batches):
+        known = share.value[0]
+        known = None if known is None else KeySet(known)
+        width = min(sizes) - 1 if known else 0
+        held, size = [], 0
+        for batch in batches:
+            shards, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "grp"))
+            for runs, _, at_rows, _ in _rows(batch):
+                row = at_rows[runs.row]
+                good = known.holds(shard_keys(runs.levels[width - 1], shards[row])) if known else None
+                for n in sizes:
+                    at = runs.all_of(good, n, width) if known else runs.places(n)
+                    keys, first, c = np.unique(shard_keys(runs.levels[n - 1][at], shards[row[at]]), return_index=True,
+                                               return_counts=True)
+                    found = keys, runs.levels[n - 1][at[first]], groups[row[at[first]]], c
+                    if known:
+                        yield rows(found)
+                    else:
+                        held.append(found)
+                        size += len(c)
+                if size > GATHER:
+                    at, key, group, c = (np.concatenate(x) for x in zip(*held, strict=True))
+                    at, c, key, group = added(at, c, key, group)
+                    yield rows((at, key, group, c))
+                    held, size = [], 0
+        for found in held:
+            yield rows(found)
+
+    def add(batches):
+        least = share.value[1]
+        got = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches if b.num_rows]
+        if not got:
+            return
+        at, key, group, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        at, c, key, group = added(at, c, key, group)
+        over, slack = c, np.zeros(len(c), np.int64)
+        if least is not None:
+            groups, place = np.unique(group, return_inverse=True)
+            bounds = np.array([least.get(g, (1, 1 << 60)) for g in groups.tolist()], np.int64).reshape(-1, 2)
+            over, slack = c - bounds[place, 0] + 1, bounds[place, 1]
+            at, key, group, c, over, slack = (x[over > 0] for x in (at, key, group, c, over, slack))
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, (at, key, group, c, over, slack))), names=[*names, "over", "slack"])
+    counted = docs.mapInArrow(count, "at long, key long, grp long, c long").repartition(parts, "at")
+    return counted.mapInArrow(add, "at long, key long, grp long, c long, over long, slack long")
+
+
+def candidates_of(counts: DataFrame, support: int) -> DataFrame:
+    """key, at: the locally frequent runs whose counts may add up to the support, and the keys of their shards."""
+    return counts.groupBy("key").agg(
+        (F.sum("over") + F.max("slack")).alias("most"), F.collect_set("at").alias("at")).where(F.col("most") >= support).drop("most")
 
 
 def global_counts(docs: DataFrame, candidates: KeySet, support: int) -> DataFrame:
@@ -184,8 +221,6 @@ def global_counts(docs: DataFrame, candidates: KeySet, support: int) -> DataFram
         known = KeySet(share.value)
         for batch in batches:
             for runs, langs, _, names in _rows(batch):
-                if not runs.n:
-                    continue
                 here = langs[runs.row].astype(np.int64)
                 ids, wide = runs.ids, max(len(runs.words), 1)
                 code, words = here * wide + ids, runs.words.cast(pa.large_string())
@@ -216,19 +251,35 @@ def frequent(docs: DataFrame, support: int = SUPPORT, id_col: str = "doc_id", te
     text, lang = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und"))
     rows = docs.select(lang.alias("lang"), text.alias("text"), F.pmod(
         F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(SHARDS)).cast("int").alias("shard"))
-    words = written(local_counts(rows, (1,), None), "phrase-words")
-    by_shard = words.groupBy("lang", "shard").agg(F.sum("c").alias("shard_n"))
-    by_shard = written(by_shard, "phrase-shards")
-    langs = by_shard.groupBy("lang").agg(F.sum("shard_n").alias("lang_n"))
-    totals = written(by_shard.join(langs, "lang"), "phrase-totals")      # a few rows a language: Spark broadcasts it if small
-    found = written(_often(words, totals, support), "phrase-level1")
+    rows = rows.withColumn("grp", F.xxhash64("lang", "shard"))
+    named = rows.groupBy("lang", "shard", "grp").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    named = written(named, "phrase-groups")
+    parts = max(1, -(-(named.agg(F.sum("bytes")).first()[0] or 0) // PART_BYTES))
+    words = written(local_counts(rows, (1,), None, parts), "phrase-words")
+    sizes = written(named.join(words.groupBy("grp").agg(F.sum("c").alias("shard_n")), "grp"), "phrase-sizes")
+    langs = sizes.groupBy("lang").agg(F.sum("shard_n").alias("n"))
+    least = local_supports(sizes.join(langs, "lang"), support)
+    bounds = docs.sparkSession.createDataFrame([(g, a, b) for g, (a, b) in least.items()], "grp long, least long, slack long")
+    words = words.select("at", "key", "grp", "c").join(F.broadcast(bounds), "grp", "left").select(
+        "at", "key", (F.col("c") - F.coalesce("least", F.lit(1)) + 1).alias("over"),
+        F.coalesce("slack", F.lit(1 << 60)).alias("slack")).where("over > 0")
+    found = written(candidates_of(words, support), "phrase-level1")
     levels = [found]
     for sizes in ((2,), tuple(range(3, LONGEST + 1))):
-        found = written(_often(local_counts(rows, sizes, key_set(found, "at")), totals, support), f"phrase-level{sizes[0]}")
+        known = key_set(found.select(F.explode("at").alias("key")))
+        found = written(candidates_of(local_counts(rows, sizes, known, parts, least), support), f"phrase-level{sizes[0]}")
         levels.append(found)
-    candidates = key_set(functools.reduce(DataFrame.unionByName, levels))
-    counts = written(global_counts(rows, candidates, support), "phrase-counts")
-    return counts, langs.withColumnRenamed("lang_n", "n")
+    known = key_set(functools.reduce(DataFrame.unionByName, levels).select("key"))
+    return written(global_counts(rows, known, support), "phrase-counts"), langs
+
+
+def local_supports(sizes: DataFrame, support: int) -> dict[int, tuple[int, int]]:
+    """grp: (least count in the shard, the sum over the language's shards of one less than that), largest groups first."""
+    least = F.expr(f"(cast(shard_n AS decimal(19,0)) * {support} + n - 1) div n")
+    bounds = sizes.select("lang", "grp", "shard_n", least.cast("long").alias("least"))
+    slack = bounds.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack"))
+    rows = bounds.join(slack, "lang").orderBy(F.col("shard_n").desc(), "grp").limit(MOST_GROUPS).collect()
+    return {r["grp"]: (r["least"], r["slack"]) for r in rows}
 
 
 def _whole(c: str) -> Column:
