@@ -43,7 +43,7 @@ from .wordruns import BREAK, KeySet, byte_table, chunks, mix, word_runs
 
 SUPPORT = 30
 LONGEST = 4
-SHARDS = 8
+SHARDS = 4
 TOP = 2000
 COVERED = (80, 100)
 #: Text bytes of a slice.
@@ -90,7 +90,7 @@ class Runs:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words.to_pylist()), np.uint64, len(self.words))
         salt = np.array([xxhash.xxh64_intdigest(x, 1) for x in lang_names], np.uint64)
         with np.errstate(over="ignore"):
-            self.word_keys = mix(hashes[self.ids] + salt[langs[self.row]]) if self.n else np.zeros(0, np.uint64)
+            self.levels = [mix(hashes[self.ids] + salt[langs[self.row]]) if self.n else np.zeros(0, np.uint64)]
         self.room = self._room(got.first)
 
     def _room(self, first: np.ndarray) -> np.ndarray:
@@ -100,17 +100,14 @@ class Runs:
         ends = np.append(np.flatnonzero(first)[1:], self.n)
         return ends[np.cumsum(first) - 1] - np.arange(self.n)
 
-    @functools.cached_property
-    def levels(self) -> list[np.ndarray]:
-        """Keys of the runs of 1, 2, ... words from every place (meaningless where the piece ends before)."""
-        out = [self.word_keys]
-        with np.errstate(over="ignore"):
-            for n in range(1, LONGEST):
-                tail = np.zeros(self.n, np.uint64)
-                if self.n > n:
-                    tail[:-n] = self.word_keys[n:]
-                out.append(mix(out[-1] * _STEP + tail))
-        return out
+    def keys(self, n: int) -> np.ndarray:
+        """Keys of the runs of n words from every place (meaningless where the piece ends before)."""
+        while len(self.levels) < n:
+            tail = np.zeros(self.n, np.uint64)
+            tail[:max(0, self.n - len(self.levels))] = self.levels[0][len(self.levels):]
+            with np.errstate(over="ignore"):
+                self.levels.append(mix(self.levels[-1] * _STEP + tail))
+        return self.levels[n - 1]
 
     def places(self, n: int) -> np.ndarray:
         return np.flatnonzero(self.room >= n)
@@ -133,18 +130,28 @@ def _rows(batch: pa.RecordBatch):
             yield runs, langs[rows], rows, names
 
 
-def shard_keys(keys: np.ndarray, shards: np.ndarray) -> np.ndarray:
-    """Keys with the shard mixed in."""
+def shard_keys(keys: np.ndarray, shards: np.ndarray, back: bool = False) -> np.ndarray:
+    """Keys with the shard mixed in, or taken out again."""
     with np.errstate(over="ignore"):
-        return keys + (shards.astype(np.uint64) + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)
+        step = (shards.astype(np.uint64) + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)
+        return keys - step if back else keys + step
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by value, and where in it each distinct key starts."""
+    order = np.argsort(keys)
+    held = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = held[1:] != held[:-1]
+    return order, np.flatnonzero(new)
 
 
-def added(at: np.ndarray, c: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct keys with the sums of their counts, and the first of their other values."""
-    at, first, place = np.unique(at, return_index=True, return_inverse=True)
-    total = np.zeros(len(at), np.int64)
-    np.add.at(total, place, c)
-    return at, total, *(x[first] for x in others)
+def added(at: np.ndarray, group: np.ndarray, shard: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, their group and shard, and the sums of their counts."""
+    order, start = distinct(at)
+    total = np.add.reduceat(c[order], start) if len(start) else c
+    one = order[start]
+    return at[one], group[one], shard[one], total
 
 
 def local_counts(docs: DataFrame, sizes: tuple[int, ...], known: KeySet | None, parts: int,
@@ -155,10 +162,10 @@ def local_counts(docs: DataFrame, sizes: tuple[int, ...], known: KeySet | None,
     unseen (``slack``), only locally frequent runs are left, and ``over`` is what they hold beyond that."""
     sc = docs.sparkSession.sparkContext
     share = sc.broadcast((known.words if known else None, least))
-    names = ["at", "key", "grp", "c"]
+    names = ["at", "grp", "shard", "c"]
 
-    def rows(columns):
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=names)
+    def rows(at, group, shard, c):
+        return pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(group), pa.array(shard), pa.array(c)], names=names)
 
     def count(batches):
         known = share.value[0]
@@ -169,41 +176,41 @@ def local_counts(docs: DataFrame, sizes: tuple[int, ...], known: KeySet | None,
             shards, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "grp"))
             for runs, _, at_rows, _ in _rows(batch):
                 row = at_rows[runs.row]
-                good = known.holds(shard_keys(runs.levels[width - 1], shards[row])) if known else None
+                good = known.holds(shard_keys(runs.keys(width), shards[row])) if known else None
                 for n in sizes:
                     at = runs.all_of(good, n, width) if known else runs.places(n)
-                    keys, first, c = np.unique(shard_keys(runs.levels[n - 1][at], shards[row[at]]), return_index=True,
-                                               return_counts=True)
-                    found = keys, runs.levels[n - 1][at[first]], groups[row[at[first]]], c
+                    keys = shard_keys(runs.keys(n)[at], shards[row[at]])
+                    order, start = distinct(keys)
+                    one = order[start]
+                    found = keys[one], groups[row[at[one]]], shards[row[at[one]]], np.diff(start, append=len(keys))
                     if known:
-                        yield rows(found)
+                        yield rows(*found)
                     else:
                         held.append(found)
-                        size += len(c)
+                        size += len(one)
                 if size > GATHER:
-                    at, key, group, c = (np.concatenate(x) for x in zip(*held, strict=True))
-                    at, c, key, group = added(at, c, key, group)
-                    yield rows((at, key, group, c))
+                    yield rows(*added(*(np.concatenate(x) for x in zip(*held, strict=True))))
                     held, size = [], 0
-        for found in held:
-            yield rows(found)
+        if held:
+            yield rows(*added(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     def add(batches):
         least = share.value[1]
         got = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches if b.num_rows]
         if not got:
             return
-        at, key, group, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        at, group, shard, c = added(*(np.concatenate(x) for x in zip(*got, strict=True)))
         del got
-        at, c, key, group = added(at, c, key, group)
         over, slack = c, np.zeros(len(c), np.int64)
         if least is not None:
             groups, place = np.unique(group, return_inverse=True)
             bounds = np.array([least.get(g, (1, 1 << 60)) for g in groups.tolist()], np.int64).reshape(-1, 2)
             over, slack = c - bounds[place, 0] + 1, bounds[place, 1]
-            at, key, group, c, over, slack = (x[over > 0] for x in (at, key, group, c, over, slack))
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, (at, key, group, c, over, slack))), names=[*names, "over", "slack"])
-    counted = docs.mapInArrow(count, "at long, key long, grp long, c long").repartition(parts, "at")
+            at, group, shard, c, over, slack = (x[over > 0] for x in (at, group, shard, c, over, slack))
+        key = shard_keys(at.view(np.uint64), shard, back=True).view(np.int64)
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, (at, key, group, c, over, slack))),
+                                         names=["at", "key", "grp", "c", "over", "slack"])
+    counted = docs.mapInArrow(count, "at long, grp long, shard int, c long").repartition(parts, "at")
     return counted.mapInArrow(add, "at long, key long, grp long, c long, over long, slack long")
 
 
@@ -226,9 +233,11 @@ def global_counts(docs: DataFrame, candidates: KeySet, support: int) -> DataFram
                 code, words = here * wide + ids, runs.words.cast(pa.large_string())
                 for n in range(1, LONGEST + 1):
                     at = runs.places(n)
-                    at = at[(code[at] >= 0) & known.holds(runs.levels[n - 1][at])]
-                    _, first, place, c = np.unique(code[at], return_index=True, return_inverse=True, return_counts=True)
-                    where = at[first]
+                    at = at[(code[at] >= 0) & known.holds(runs.keys(n)[at])]
+                    order, start = distinct(code[at])
+                    where, c = at[order[start]], np.diff(start, append=len(at))
+                    place = np.zeros(len(at), np.int64)
+                    place[order] = np.repeat(np.arange(len(start)), c)
                     parts = [words.take(pa.array(ids[where + i])) for i in range(n)]
                     phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if n > 1 else parts[0]
                     yield pa.RecordBatch.from_arrays(
