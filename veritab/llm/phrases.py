@@ -49,11 +49,13 @@ COVERED = (80, 100)
 #: Text bytes of a slice.
 SLICE = 4 << 20
 #: Text bytes whose counts meet in one partition.
-PART_BYTES = 48 << 20
+PART_BYTES = 24 << 20
 #: Counts of words that a task gathers before it hands them on.
 GATHER = 1 << 20
 #: Languages (and shards) whose local support goes to the tasks; in any others every run is a candidate.
 MOST_GROUPS = 500_000
+#: The number of a group is a multiple of this, from its language, plus its shard.
+GROUP_STEP = 64
 #: Largest bit map of candidates, 8 bits a candidate below that.
 MOST_BITS = 1 << 28
 KIND, LOWER = byte_table(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -146,12 +148,12 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def added(at: np.ndarray, group: np.ndarray, shard: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct keys, their group and shard, and the sums of their counts."""
+def added(at: np.ndarray, group: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, their groups, and the sums of their counts."""
     order, start = distinct(at)
     total = np.add.reduceat(c[order], start) if len(start) else c
     one = order[start]
-    return at[one], group[one], shard[one], total
+    return at[one], group[one], total
 
 
 def local_counts(docs: DataFrame, sizes: tuple[int, ...], known: KeySet | None, parts: int,
@@ -162,10 +164,10 @@ def local_counts(docs: DataFrame, sizes: tuple[int, ...], known: KeySet | None,
     unseen (``slack``), only locally frequent runs are left, and ``over`` is what they hold beyond that."""
     sc = docs.sparkSession.sparkContext
     share = sc.broadcast((known.words if known else None, least))
-    names = ["at", "grp", "shard", "c"]
+    names = ["at", "grp", "c"]
 
-    def rows(at, group, shard, c):
-        return pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(group), pa.array(shard), pa.array(c)], names=names)
+    def rows(at, group, c):
+        return pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(group), pa.array(c)], names=names)
 
     def count(batches):
         known = share.value[0]
@@ -182,7 +184,7 @@ def local_counts(docs: DataFrame, sizes: tuple[int, ...], known: KeySet | None,
                     keys = shard_keys(runs.keys(n)[at], shards[row[at]])
                     order, start = distinct(keys)
                     one = order[start]
-                    found = keys[one], groups[row[at[one]]], shards[row[at[one]]], np.diff(start, append=len(keys))
+                    found = keys[one], groups[row[at[one]]], np.diff(start, append=len(keys))
                     if known:
                         yield rows(*found)
                     else:
@@ -199,18 +201,18 @@ def local_counts(docs: DataFrame, sizes: tuple[int, ...], known: KeySet | None,
         got = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches if b.num_rows]
         if not got:
             return
-        at, group, shard, c = added(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        at, group, c = added(*(np.concatenate(x) for x in zip(*got, strict=True)))
         del got
         over, slack = c, np.zeros(len(c), np.int64)
         if least is not None:
             groups, place = np.unique(group, return_inverse=True)
             bounds = np.array([least.get(g, (1, 1 << 60)) for g in groups.tolist()], np.int64).reshape(-1, 2)
             over, slack = c - bounds[place, 0] + 1, bounds[place, 1]
-            at, group, shard, c, over, slack = (x[over > 0] for x in (at, group, shard, c, over, slack))
-        key = shard_keys(at.view(np.uint64), shard, back=True).view(np.int64)
+            at, group, c, over, slack = (x[over > 0] for x in (at, group, c, over, slack))
+        key = shard_keys(at.view(np.uint64), group % GROUP_STEP, back=True).view(np.int64)
         yield pa.RecordBatch.from_arrays(list(map(pa.array, (at, key, group, c, over, slack))),
                                          names=["at", "key", "grp", "c", "over", "slack"])
-    counted = docs.mapInArrow(count, "at long, grp long, shard int, c long").repartition(parts, "at")
+    counted = docs.mapInArrow(count, "at long, grp long, c long").repartition(parts, "at")
     return counted.mapInArrow(add, "at long, key long, grp long, c long, over long, slack long")
 
 
@@ -224,9 +226,16 @@ def global_counts(docs: DataFrame, candidates: KeySet, support: int) -> DataFram
     """lang, n, phrase, f: the exact number of every word and phrase that occurs ``support`` times or more."""
     share = docs.sparkSession.sparkContext.broadcast(candidates.words)
 
+    def gathered(parts):
+        return pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(
+            ["lang", "phrase", "f"]).to_batches(max_chunksize=100_000)
+
     def run(batches):
-        known = KeySet(share.value)
+        known, held = KeySet(share.value), []
         for batch in batches:
+            if sum(map(len, held)) > GATHER:
+                yield from gathered(held)
+                held = []
             for runs, langs, _, names in _rows(batch):
                 here = langs[runs.row].astype(np.int64)
                 ids, wide = runs.ids, max(len(runs.words), 1)
@@ -240,17 +249,17 @@ def global_counts(docs: DataFrame, candidates: KeySet, support: int) -> DataFram
                     place[order] = np.repeat(np.arange(len(start)), c)
                     parts = [words.take(pa.array(ids[where + i])) for i in range(n)]
                     phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if n > 1 else parts[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.DictionaryArray.from_arrays(pa.array(here[where], pa.int32()), pa.array(names, pa.string())).cast(
-                            pa.string()), pa.array(np.full(len(c), n), pa.int32()), phrase.cast(pa.string()),
-                         pa.array(c, pa.int64())], names=["lang", "n", "phrase", "f"])
+                    lang = pa.DictionaryArray.from_arrays(pa.array(here[where], pa.int32()), pa.array(names, pa.string()))
+                    held.append(pa.table({"lang": lang.cast(pa.string()), "phrase": phrase.cast(pa.string()), "f": c}))
                     # the exact number of a longer run: that of the run without its last word, and that word. A frequent
                     # run starts with a frequent one, so all others go without a number
                     on = runs.room[at] > n
                     code = np.full(runs.n, -1, np.int64)
                     code[at[on]] = place[on] * wide + ids[at[on] + n]
-    return docs.mapInArrow(run, "lang string, n int, phrase string, f long").groupBy("lang", "n", "phrase").agg(
-        F.sum("f").alias("f")).where(F.col("f") >= support)
+        if held:
+            yield from gathered(held)
+    counts = docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return counts.where(F.col("f") >= support).select("lang", F.size(F.split("phrase", " ")).alias("n"), "phrase", "f")
 
 
 def frequent(docs: DataFrame, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text",
@@ -260,7 +269,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, id_col: str = "doc_id", te
     text, lang = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und"))
     rows = docs.select(lang.alias("lang"), text.alias("text"), F.pmod(
         F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(SHARDS)).cast("int").alias("shard"))
-    rows = rows.withColumn("grp", F.xxhash64("lang", "shard"))
+    rows = rows.withColumn("grp", F.xxhash64("lang").bitwiseAND(F.lit(-GROUP_STEP)) + F.col("shard"))
     named = rows.groupBy("lang", "shard", "grp").agg(F.sum(F.octet_length("text")).alias("bytes"))
     named = written(named, "phrase-groups")
     parts = max(1, -(-(named.agg(F.sum("bytes")).first()[0] or 0) // PART_BYTES))
