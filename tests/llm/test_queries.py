@@ -15,6 +15,10 @@ PROMISED = {
     "op8_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op9_simhash_pivots": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_personal_data": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "
+                          "spans string",
+    "op12_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op13_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, external_shuffle, language_crf, license_scan, packing, phrases, quality_votes, shared_search,
-               simhash_pivots, site_bayes, token_count, toxicity)
+from . import (decontaminate, external_shuffle, language_crf, license_scan, packing, personal_data, phrases, quality_votes,
+               shared_search, simhash_pivots, site_bayes, token_count, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,6 +108,11 @@ def op5_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_bayes.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.personal_data(table(spark, sf_dir, "documents")))
+
+
 @register("op12_collocations", r"""
 WITH piece AS (
   SELECT coalesce(lang, 'und') AS lang,
