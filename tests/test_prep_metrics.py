@@ -15,6 +15,19 @@ def allocated(spark, counts, draws):
     return {k: got[str(k)] for k in counts}
 
 
+@pytest.mark.parametrize("n", [7, 10**7 + 3, 10**9 + 1, 10**10 + 19, 3 * 10**15 + 1])
+def test_shares_of_many_rows(spark, n):
+    def shares(counts, draws):
+        floors = {k: c * draws // n for k, c in counts.items()}
+        rest = sorted(counts, key=lambda k: (-(counts[k] * draws % n), str(k)))
+        return {k: floors[k] + (k in rest[:draws - sum(floors.values())]) for k in counts}
+    for parts in ([0.75, 0.125], [0.6, 0.2, 0.1, 0.05], [1 / 7] * 6):
+        counts = {k: int(n * p) for k, p in enumerate(parts)}
+        counts[len(parts)] = n - sum(counts.values())
+        for draws in (n - -(-n // 5), n // 3):
+            assert allocated(spark, counts, draws) == shares(counts, draws)
+
+
 def test_split_with_few_rows_a_bucket_and_identical_rows(spark, monkeypatch):
     monkeypatch.setattr(PR, "BUCKET_ROWS", 50)
     df = spark.range(3000).select((F.col("id") % 900).alias("v"), (F.col("id") % 7).alias("c")).unionByName(

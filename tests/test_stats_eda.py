@@ -18,14 +18,47 @@ def test_exact_percentiles_against_numpy(spark):
         assert abs(v - np.quantile(pdf.loc[pdf.g == grp, "x"], p)) < 1e-9
 
 
-def test_exact_percentiles_small_accuracy_fallback(spark):
-    # a tiny accuracy makes the approximate bracket unreliable; the exact fallback must still hold
-    x = np.arange(2000, dtype=float) ** 1.5
-    df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    r = exact_percentiles(df, ["x"], [0.5, 0.9], accuracy=10).collect()
-    got = {row["prob"]: row["value"] for row in r}
-    assert abs(got[0.5] - np.quantile(x, 0.5)) < 1e-9
-    assert abs(got[0.9] - np.quantile(x, 0.9)) < 1e-9
+def test_exact_percentiles_of_awkward_columns(spark):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    pdf = pd.DataFrame({
+        "constant": np.full(n, 7.25), "two": np.where(np.arange(n) % 3 == 0, -1e300, 1e-300), "dense": np.arange(n) ** 1.5,
+        "octaves": 2.0 ** rng.uniform(-1070, 1020, n) * rng.choice([-1, 1], n), "near": 1e15 + np.arange(n) % 97 * 0.125,
+        "ulps": np.nextafter(1.0, 2.0) + rng.integers(0, 5000, n) * 2.0 ** -52, "zeros": rng.choice([0.0, -0.0, 5e-324, -5e-324], n),
+        "ends": rng.choice([-np.inf, 1.7e308, np.inf, 3.0], n), "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.normal(0, 1, n))})
+    probs = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    got = {(r["column_name"], r["prob"]): (r["value"], r["n"]) for r in exact_percentiles(
+        spark.createDataFrame(pdf).repartition(3), list(pdf.columns), probs).collect()}
+    assert len(got) == len(probs) * len(pdf.columns)
+    for (c, p), (value, count) in got.items():
+        x = np.sort(pdf[c].dropna().to_numpy())
+        h = p * (len(x) - 1)
+        a, b = x[int(h)], x[min(int(h) + 1, len(x) - 1)]
+        assert count == len(x) and value == (a if a == b else a + (b - a) * (h - int(h))), (c, p)
+
+
+def test_exact_percentiles_of_many_values_against_duckdb(spark, tmp_path):
+    import duckdb
+    path = str(tmp_path / "many.parquet")
+    spark.range(1_000_000).select(F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("double").alias("x"),
+                                  (F.col("id") % 3).alias("g")).write.parquet(path)
+    sql = f"SELECT g, median(x), quantile_cont(x, 0.25) FROM '{path}/*.parquet' GROUP BY g"
+    expected = {g: (m, q) for g, m, q in duckdb.sql(sql).fetchall()}
+    got = exact_percentiles(spark.read.parquet(path), ["x"], [0.5, 0.25], by=["g"]).collect()
+    assert {(r["g"], r["prob"]): r["value"] for r in got} == {
+        (g, p): v for g, pair in expected.items() for p, v in zip((0.5, 0.25), pair, strict=True)}
+
+
+def test_percentiles_end_within_five_passes_and_order_no_values(spark, monkeypatch):
+    from veritab.functions import stats
+    passes = []
+    real = stats._holders
+    monkeypatch.setattr(stats, "_holders", lambda counts, *a: passes.append(counts) or real(counts, *a))
+    rng = np.random.default_rng(6)
+    x = 1.0 + rng.integers(0, 2**52, 4000) * 2.0 ** -52
+    exact_percentiles(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"], [0.5, 0.9]).collect()
+    assert 2 <= len(passes) <= 5
+    assert all("Window" not in c._jdf.queryExecution().optimizedPlan().toString() for c in passes)
 
 
 def test_running_totals_match_cumsum(spark):

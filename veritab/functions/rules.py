@@ -30,7 +30,6 @@ ID_MIN_DISTINCT = 5            # ... and more distinct values than this
 LOW_CARDINALITY = 15           # <= this many distinct values -> Categorical
 TEXT_MIN_AVG_LEN = 30          # avg length above which a unique-ish string is Text
 TEXT_MIN_RATIO = 0.5
-DATE_SAMPLE = 50               # first non-null values tried by the date-name rule
 TOP_K = 5                      # top values per categorical column
 CANDIDATE_MAX_MISSING = 50.0   # skip target/KPI candidates above this missing %
 NUMERIC_FEATURE_MIN_DISTINCT = 10   # numeric dtype and > this many distinct -> numeric feature

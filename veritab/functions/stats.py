@@ -125,98 +125,74 @@ def _long_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> Data
     )
 
 
-def approx_bracket(col: Column, p: float, accuracy: int = 10_000) -> Column:
-    """array(lo, hi) around the p-quantile of ``col`` for ``exact_percentiles(brackets=...)``; cheap
-    enough to ride along in another aggregate over the same rows."""
-    eps = 3.0 / accuracy
-    return F.percentile_approx(col.cast("double"), [max(0.0, p - eps), min(1.0, p + eps)], accuracy)
+#: First pass: buckets of an octave of absolute values. Later passes: buckets of a range.
+OCTAVE_BUCKETS, RANGE_BUCKETS = 512, 1 << 14
 
 
-def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                      accuracy: int = 10_000, brackets: DataFrame | None = None) -> DataFrame:
-    """Exact linear-interpolated percentiles of ``cols`` (optionally per group ``by``).
+def _magnitude_bucket(x: Column) -> Column:
+    """A whole number that never falls as ``x`` grows: sign, power of two and 512th of it (infinities beyond all)."""
+    power = F.greatest(F.lit(-1100.0), F.least(F.lit(1100.0), F.log2(F.abs(x)))) + 1101.0
+    step = F.floor(power * OCTAVE_BUCKETS).cast("long")
+    return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0).cast("long"))
 
-    Pass 1: ``percentile_approx`` gives, per key, a value bracket around each wanted rank (its rank
-    error is at most n/accuracy, we widen by 3x). Pass 2: one aggregate counts the values below the
-    bracket and counts each distinct value inside it; only those few distinct values are ordered by a
-    window. A hot value (a third of all rows) is one row of that window. Keys whose bracket fails the
-    exact check are redone over the full range, so the result is exact either way.
 
-    ``brackets`` (ordinal = index in ``cols``, n, pi, p, lo, hi) may be given when an earlier aggregate
-    already computed them (see ``approx_bracket``); pass 1 is then skipped.
+def _holders(counts: DataFrame, keys: Sequence[str], ranks: Column, before: Column, n: Column) -> DataFrame:
+    """(*keys, n, rank, below, lo, hi): the bucket that holds each rank, with the number of smaller values. ``counts`` has
+    c, lo and hi of each bucket; the window orders buckets, whose number does not grow with the rows."""
+    by_key = Window.partitionBy(*keys)
+    below = before + F.sum("c").over(by_key.orderBy("lo")) - F.col("c")
+    found = counts.select(*keys, "c", "lo", "hi", n.alias("n"), below.alias("below"), ranks.alias("ranks"))
+    mine = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c")))
+    return found.select(*keys, "n", F.explode(mine).alias("rank"), "below", "lo", "hi")
 
-    Returns (*by, column_name, prob, n, value) with NULL value for keys without data.
+
+def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolated percentiles of ``cols`` (optionally per group ``by``), by rank narrowing.
+
+    The first pass counts the values of every column by 512ths of an octave; the bucket that holds a wanted rank is kept with
+    its least and greatest value. Each later pass cuts the kept ranges into 2^14 equal buckets, until a bucket holds one
+    distinct value: 9 + 14 + 14 + 14 bits of the mantissa at most, so five passes for any data and two or three as a rule.
+    All columns, probabilities and groups narrow together; a value of any frequency is one count a task, and what is
+    ordered are buckets, never values.
+
+    Returns (*by, column_name, prob, n, value); keys without data have no row.
     """
-    by = list(by)
-    cols = list(cols)
+    by, cols = list(by), list(cols)
     if not cols:
         raise ValueError("exact_percentiles needs at least one column")
-    spark = df.sparkSession
-    long = _long_numeric(df, cols, by)
-    eps = 3.0 / accuracy
-    approx_probs = []
-    for p in probs:
-        approx_probs += [max(0.0, p - eps), min(1.0, p + eps)]
+    long = _long_numeric(df, cols, by).withColumn("x", F.col("x") + 0.0)      # one zero
     keys = by + ["ordinal"]
-    if brackets is None:
-        st = long.groupBy(*keys).agg(
-            F.count("x").alias("n"),
-            F.percentile_approx("x", approx_probs, accuracy).alias("ap"),
-        )
-        brackets = st.select(
-            *keys, "n",
-            F.explode(F.array(*[
-                F.struct(F.lit(j).alias("pi"), F.lit(float(p)).alias("p"),
-                         F.col("ap")[2 * j].alias("lo"), F.col("ap")[2 * j + 1].alias("hi"))
-                for j, p in enumerate(probs)
-            ])).alias("b"),
-        ).select(*keys, "n", "b.pi", "b.p", "b.lo", "b.hi")
-    brackets = materialize_small(brackets)
-    n_br = brackets.count()
-
-    def resolve(br: DataFrame, small: bool) -> DataFrame:
-        side = F.broadcast(br) if small else br
-        j = long.join(side, keys, "inner")
-        x = F.col("x")
-        zone = F.when(x < F.col("lo"), F.lit(0)).when(x <= F.col("hi"), F.lit(1)).otherwise(F.lit(2))
-        cnt = (
-            j.groupBy(*keys, "pi", zone.alias("zone"), F.when(zone == 1, x).alias("xv"))
-            .agg(F.count(F.lit(1)).alias("c"))
-        )
-        below = cnt.where("zone = 0").groupBy(*keys, "pi").agg(F.sum("c").alias("below"))
-        w = Window.partitionBy(*keys, "pi").orderBy("xv").rowsBetween(Window.unboundedPreceding, 0)
-        inside = cnt.where("zone = 1").withColumn("cum", F.sum("c").over(w))
-        meta = br.select(*keys, "pi", "p", "n")
-        h = F.col("p") * (F.col("n") - 1)
-        ranked = (
-            inside.join(meta, keys + ["pi"])
-            .join(below, keys + ["pi"], "left")
-            .withColumn("below", F.coalesce(F.col("below"), F.lit(0)))
-            .withColumn("k", F.floor(h))
-            .withColumn("frac", h - F.floor(h))
-            .withColumn("k2", F.least(F.col("k") + 1, F.col("n") - 1))
-        )
-        # first distinct value whose cumulative count passes rank k (0-based), and rank k2
-        first_k = F.min(F.when(F.col("below") + F.col("cum") > F.col("k"), F.col("xv")))
-        first_k2 = F.min(F.when(F.col("below") + F.col("cum") > F.col("k2"), F.col("xv")))
-        agg = ranked.groupBy(*keys, "pi", "p", "n").agg(
-            first_k.alias("v1"), first_k2.alias("v2"),
-            F.first("below").alias("below"), F.max("cum").alias("inside"), F.first("k").alias("k"),
-            F.first("k2").alias("k2"), F.first("frac").alias("frac"),
-        )
-        ok = (F.col("below") <= F.col("k")) & (F.col("below") + F.col("inside") > F.col("k2"))
-        value = F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac")
-        return agg.select(*keys, "pi", "p", "n", F.when(ok, value).alias("value"), ok.alias("ok"))
-
-    first = materialize_small(resolve(brackets, n_br <= BROADCAST_ROWS))
-    bad = materialize_small(brackets.join(first.where("ok").select(*keys, "pi"), keys + ["pi"], "left_anti"))
-    n_bad = bad.count()
-    result = first.where("ok")
-    if n_bad:
-        wide = bad.withColumn("lo", F.lit(float("-inf"))).withColumn("hi", F.lit(float("inf")))
-        result = result.unionByName(materialize_small(resolve(wide, n_bad <= BROADCAST_ROWS).where("ok")))
+    sums = [F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+    first = long.groupBy(*keys, _magnitude_bucket(F.col("x")).alias("b")).agg(*sums)
+    n = F.sum("c").over(Window.partitionBy(*keys))
+    at = [F.floor(F.lit(float(p)) * (n - 1)) for p in probs]
+    ranks = F.array_distinct(F.array(*[k for a in at for k in (a, F.least(a + 1, n - 1))]))
+    places = materialize_small(_holders(first, keys, ranks, F.lit(0), n))
+    done = places.where("lo = hi")
+    while True:
+        wide = places.where("lo < hi")
+        ranges = materialize_small(wide.groupBy(*keys, "lo", "hi").agg(
+            F.first("n").alias("n"), F.first("below").alias("below"), F.collect_list("rank").alias("ranks")))
+        n_ranges = ranges.count()
+        if not n_ranges:
+            break
+        side = ranges.select(*keys, F.col("lo").alias("from"), F.col("hi").alias("to"))
+        x, low, span = F.col("x"), F.col("from"), F.col("to") - F.col("from")
+        bucket = F.least(F.floor((x - low) / span * RANGE_BUCKETS), F.lit(RANGE_BUCKETS - 1))
+        inside = long.join(F.broadcast(side) if n_ranges <= BROADCAST_ROWS else side, keys).where((x >= low) & (x <= F.col("to")))
+        counts = inside.groupBy(*keys, "from", bucket.alias("b")).agg(*sums)
+        known = ranges.select(*keys, F.col("lo").alias("from"), "n", "below", "ranks")
+        counts = counts.join(F.broadcast(known) if n_ranges <= BROADCAST_ROWS else known, [*keys, "from"])
+        places = materialize_small(_holders(counts, [*keys, "from"], F.col("ranks"), F.col("below"), F.col("n")).drop("from"))
+        done = done.unionByName(places.where("lo = hi"))
+    values = done.groupBy(*keys).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("n") - 1)).alias("h")) for p in probs])
+    values = values.select("*", F.explode(wanted).alias("w"))
+    k = F.floor("w.h")
+    a, b = F.element_at("at", k), F.element_at("at", F.least(k + 1, F.col("n") - 1))
+    value = F.when(a == b, a).otherwise(a + (b - a) * (F.col("w.h") - k))
     names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("ordinal") + 1)
-    return result.select(*by, names.alias("column_name"), F.col("p").alias("prob"), "n", "value")
+    return values.select(*by, names.alias("column_name"), F.col("w.prob").alias("prob"), "n", value.alias("value"))
 
 
 # --------------------------------------------------------------------------------------------

@@ -99,8 +99,10 @@ def bool_label_binarise(df: DataFrame, target: str, positive) -> DataFrame:
 def allocate(counts: DataFrame, n: int, n_draws: int) -> DataFrame:
     """(_g, n, draws): split ``n_draws`` across the classes (_g, n) in proportion: floors, then the remaining draws to
     the largest remainders (ties to the smaller class value)."""
-    exact = F.col("n").cast("decimal(20,0)") * n_draws
-    parts = counts.withColumn("base", F.floor(exact / n).cast("long")).withColumn("rest", (exact % n).cast("long"))
+    # whole numbers throughout: a quotient of decimals is rounded, and a share just below a whole number would go up to it
+    exact = f"cast(n AS decimal(19,0)) * cast({n_draws} AS decimal(19,0))"
+    parts = counts.withColumn("base", F.expr(f"cast(({exact}) div cast({n} AS decimal(19,0)) AS bigint)")).withColumn(
+        "rest", F.expr(f"cast(({exact}) % cast({n} AS decimal(19,0)) AS bigint)"))
     left = n_draws - int(parts.agg(F.sum("base")).first()[0] or 0)
     more = parts.orderBy(F.col("rest").desc(), F.col("_g").cast("string").asc_nulls_first()).limit(left).select(
         F.col("_g").alias("_m"), F.lit(1).alias("one"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..functions.stats import (
-    approx_bracket, distinct_counts, exact_percentiles, materialize_small, safe_ratio, top_k_per_key, value_counts,
+    distinct_counts, exact_percentiles, materialize_small, safe_ratio, top_k_per_key, value_counts,
 )
 from ..functions.types import (
     JSON_MICROS, is_boolean, is_complex, is_datetime, is_integral, is_numeric, is_string, normalise, qc,
@@ -153,16 +153,7 @@ class TableProfile:
             if not num:
                 self._medians = spark.createDataFrame([], "column_name string, median double")
             else:
-                # brackets from one wide aggregate over the Numeric columns only (kept apart from the
-                # profile's codegen'd aggregate: sketch aggregates would push it onto the slow path)
-                nn = {r["column_name"]: r["non_null"] for r in
-                      self.stats.where(F.col("column_name").isin(num)).select("column_name", "non_null").collect()}
-                b = self.data.agg(*[approx_bracket(qc(c), 0.5).alias(f"b{j}") for j, c in enumerate(num)]).first()
-                rows = [(j, nn[c], 0, 0.5, b[f"b{j}"][0] if b[f"b{j}"] else None, b[f"b{j}"][1] if b[f"b{j}"] else None)
-                        for j, c in enumerate(num)]
-                br = self.data.sparkSession.createDataFrame(
-                    rows, "ordinal int, n long, pi int, p double, lo double, hi double")
-                med = exact_percentiles(self.data, num, [0.5], brackets=br)
+                med = exact_percentiles(self.data, num, [0.5])
                 self._medians = materialize_small(med.select("column_name", F.col("value").alias("median")))
         return self._medians
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions import messages as T
+from ..operators import cluster as C
 from ..operators import metrics as M
 from ..operators import trust as TR
 from . import oracle_sql as O
@@ -286,14 +286,30 @@ def q_chk_cluster_sizes(spark, sf):
     return _spark_rows(log, TR.CLUSTER_SIZES)
 
 
-@register("chk_silhouette")
+SILHOUETTE_SQL = """
+SELECT AVG(CASE WHEN GREATEST(a, b) = 0 THEN 0 ELSE (b - a) / GREATEST(a, b) END) FROM (
+  SELECT r, MAX(CASE WHEN k = label THEN d END) AS a, MIN(CASE WHEN k <> label THEN d END) AS b FROM (
+    SELECT r, label, k, SQRT(SUM((v - m) ^ 2)) AS d FROM v JOIN c ON v.i = c.i GROUP BY r, label, k) GROUP BY r)"""
+
+
+def sql_silhouette() -> str:
+    values = ("WITH v AS (SELECT r, label, UNNEST(embedding)::DOUBLE AS v, UNNEST(RANGE(1, LEN(embedding) + 1)) AS i FROM "
+              "(SELECT ROW_NUMBER() OVER () AS r, label, embedding FROM embeddings)), "
+              "c AS (SELECT label AS k, i, AVG(v) AS m FROM v GROUP BY label, i)")
+    src = f"FROM ({values} SELECT ({SILHOUETTE_SQL}) AS s) s"
+    return " UNION ALL ".join([
+        sql_row(10, "WARNING", T.WEAK_CLUSTERS, {"s": "s"}, value="s", where="s < 0.25", src=src),
+        sql_row(10, "INFO", T.STRONG_CLUSTERS, {"s": "s"}, value="s", where="s >= 0.5", src=src),
+        sql_row(10, "INFO", T.MODERATE_CLUSTERS, {"s": "s"}, value="s", where="s >= 0.25 AND s < 0.5", src=src)])
+
+
+@register("chk_silhouette", _final(sql_silhouette()))
 def q_chk_silhouette(spark, sf):
-    """Silhouette check for the embeddings grouped by their label (rows-only: Spark's silhouette)."""
+    """Silhouette check for the embeddings grouped by their label."""
     emb = table(spark, sf, "embeddings").select(array_to_vector("embedding").alias("features"),
                                                  F.col("label").cast("double").alias("prediction"))
-    s = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(emb)
     log = TR.run_checks(table(spark, sf, "embeddings").select("label", "vec_id"), None, ["vec_id"], "Clustering",
-                        best_metrics={"Silhouette Score": s})
+                        best_metrics={"Silhouette Score": C.centroid_silhouette(emb)})
     return _spark_rows(log, TR.SILHOUETTE)
 
 
