@@ -5,9 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from . import metrics as M
+from .boosting import SoftmaxBoosting
 from .prep import Prepared
 
 LOGISTIC, FOREST, BOOSTING, RIDGE = "Logistic Regression", "Random Forest", "Gradient Boosting", "Ridge Regression"
@@ -30,10 +29,7 @@ def classifiers(n_train: int, n_classes: int, forest_depth: int = FOREST_MAX_DEP
                             standardization=False, tol=1e-4)
     rf = RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=forest_depth, featureSubsetStrategy="sqrt",
                                 seed=R.SEED, maxMemoryInMB=1024, cacheNodeIds=True)
-    gbt = GBTClassifier(maxIter=BOOST_ROUNDS, stepSize=BOOST_STEP, maxDepth=BOOST_MAX_DEPTH, seed=R.SEED,
-                        cacheNodeIds=True)
-    # Spark's GBT is binary only: one-vs-rest, with the per-class models trained concurrently
-    boost = gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=min(n_classes, 4))
+    boost = SoftmaxBoosting(n_classes, BOOST_ROUNDS, BOOST_MAX_DEPTH, BOOST_STEP)
     return [(LOGISTIC, lr), (FOREST, rf), (BOOSTING, boost)]
 
 
@@ -83,9 +79,8 @@ class Baselines:
 
 
 def _score_columns(pred: DataFrame, n_classes: int) -> DataFrame:
-    """Per-class score array: probabilities when the model has them, else raw margins (one-vs-rest)."""
-    src = "probability" if "probability" in pred.columns else "rawPrediction"
-    return pred.withColumn("scores", vector_to_array(F.col(src)))
+    """Per-class probabilities as an array."""
+    return pred if "scores" in pred.columns else pred.withColumn("scores", vector_to_array(F.col("probability")))
 
 
 def _auc(pred: DataFrame, n_classes: int, test_classes: int) -> DataFrame:
@@ -157,9 +152,6 @@ def feature_importance(b: Baselines, result: ModelResult) -> DataFrame | None:
     imp = None
     if hasattr(model, "featureImportances"):
         imp = model.featureImportances.toArray()
-    elif hasattr(model, "models"):                      # one-vs-rest: mean of the per-class importances
-        arrs = [m.featureImportances.toArray() for m in model.models if hasattr(m, "featureImportances")]
-        imp = np.mean(arrs, axis=0) if arrs else None
     elif hasattr(model, "coefficientMatrix"):
         imp = np.mean(np.abs(model.coefficientMatrix.toArray()), axis=0)
     elif hasattr(model, "coefficients"):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +63,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for derived files (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/veritab-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_sources(spark: SparkSession) -> None:
+    """Give the executors this package's sources, as ``--py-files`` does, once for each Spark context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_veritab_shipped", False):
+        root = Path(__file__).resolve().parent
+        file = Path(tempfile.mkdtemp(prefix="veritab-")) / "veritab.zip"
+        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(file))
+        sc._veritab_shipped = True
