@@ -115,3 +115,60 @@ def test_histogram_by_group_zero_fill(spark):
     h = E.histogram_by_group(df, "x", "g")
     assert h.count() == 80
     assert h.where(F.col("grp") == "b").agg(F.sum("count")).first()[0] == 10
+
+
+def test_correlations_of_many_columns_in_one_scan(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(12)
+    n, c = 5000, 100
+    base = rng.normal(0, 1, (n, 5))
+    x = base @ rng.normal(0, 1, (5, c)) + rng.normal(0, 1, (n, c))
+    x[:, 1] += 1e9                                     # a large mean
+    x[:, 2] = np.arange(n) * 1e6 + x[:, 2]             # a trend, so that blocks differ
+    x[rng.random((n, c)) < 0.2] = np.nan
+    x[:, 3], x[:, 4] = 5.0, np.nan                     # constant, empty
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(c)])
+    path = str(tmp_path / "wide")
+    spark.createDataFrame(pdf).repartition(5).write.parquet(path)
+    df = spark.read.parquet(path)
+    scans = []
+    from veritab.functions import blocks
+    real = blocks.ship_sources
+    monkeypatch.setattr(blocks, "ship_sources", lambda s: scans.append(1) or real(s))
+    got = {(r["i"], r["j"]): r["r"] for r in E.correlation_pairs(df, list(pdf.columns), include_diagonal=True).collect()}
+    assert len(scans) == 1 and len(got) == c * (c + 1) // 2
+    expected = pdf.corr().to_numpy()
+    for (i, j), r in got.items():
+        if {i, j} & {3, 4}:
+            assert r is None
+        elif i == j:
+            assert r == 1.0
+        else:
+            assert abs(r - expected[i, j]) < 1e-6, (i, j)
+
+
+def test_block_statistics_merge_to_the_whole():
+    from veritab.functions import blocks
+    rng = np.random.default_rng(13)
+    x = rng.normal(1e8, 1, (1000, 6))
+    x[rng.random(x.shape) < 0.5] = np.nan
+    x[:400, 5] = np.nan                                # a block without any value of a column
+    whole = blocks.block_statistics(x)
+    total = None
+    for at in range(0, 1000, 100):
+        total = blocks.merged(total, blocks.block_statistics(x[at:at + 100]))
+    assert all(np.allclose(total[k], whole[k], rtol=1e-9, atol=1e-6) for k in blocks.NAMES)
+
+
+def test_block_and_aggregate_correlations_agree(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    pdf = pd.DataFrame(rng.normal(0, 1, (300, 4)), columns=list("abcd"))
+    pdf.loc[::3, "b"] = np.nan
+    pdf["d"] = 2.0
+    df = spark.createDataFrame(pdf).select(*[F.nanvl(F.col(c), F.lit(None)).alias(c) for c in "abcd"])
+    rows = lambda: {(r["i"], r["j"]): r["r"] for r in E.correlation_pairs(df, list("abcd"), True).collect()}
+    one = rows()
+    monkeypatch.setattr(E, "PAIR_CHUNK", 0)
+    many = rows()
+    assert one.keys() == many.keys()
+    assert all((a is None and many[k] is None) or abs(a - many[k]) < 1e-12 for k, a in one.items())
+    assert all(v is None for v in many.values()) is False and E.correlation_pairs(df.where("false"), list("abcd")).count() == 6

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.blocks import correlations, pair_statistics
 from ..functions.stats import exact_percentiles, guarded_corr, maybe_broadcast
 from ..functions.types import dtypes, is_floating, present, qc
 
@@ -105,28 +107,32 @@ def cluster_sizes(pred: DataFrame, cluster_col: str = "prediction") -> DataFrame
 # correlation
 # --------------------------------------------------------------------------------------------
 
+def _block_pairs(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]], include_diagonal: bool) -> DataFrame:
+    stats = pair_statistics(df, cols)
+    r = correlations(stats)
+    rows = [(i, j, None if np.isnan(r[i, j]) else float(r[i, j])) for i, j in pairs]
+    if include_diagonal:
+        rows += [(i, i, 1.0 if stats["dev"][i, i] > 0 else None) for i in range(len(cols))]
+    return df.sparkSession.createDataFrame(rows, "i int, j int, r double")
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str], include_diagonal: bool = False) -> DataFrame:
-    """(i, j, col_i, col_j, r) for i < j: pairwise-complete Pearson r, NULL where undefined.
-    All pairs of a chunk are aggregates of one scan; chunks keep generated code small."""
+    """(i, j, col_i, col_j, r) for i < j: pairwise-complete Pearson r, NULL where undefined. One scan: the pairs of few columns
+    are aggregates of one generated program, those of many columns come from matrix products over blocks of rows."""
     cols = list(cols)
     spark = df.sparkSession
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    out = None
-    for s in range(0, len(pairs), PAIR_CHUNK):
-        chunk = pairs[s:s + PAIR_CHUNK]
-        structs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                            guarded_corr(qc(cols[i]).cast("double"), qc(cols[j]).cast("double")).alias("r"))
-                   for i, j in chunk]
-        part = df.agg(F.array(*structs).alias("a")).select(F.explode("a").alias("p")).select("p.i", "p.j", "p.r")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "i int, j int, r double")
-    if include_diagonal and cols:
-        diag = df.agg(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"),
-                     F.when(F.stddev_pop(qc(c).cast("double")) > 0, F.lit(1.0)).alias("r"))
-            for i, c in enumerate(cols)]).alias("a")).select(F.explode("a").alias("p")).select("p.i", "p.j", "p.r")
-        out = out.unionByName(diag)
+    schema = "i int, j int, r double"
+    if len(pairs) > PAIR_CHUNK:
+        out = _block_pairs(df, cols, pairs, include_diagonal)
+    else:
+        found = [(i, j, guarded_corr(qc(cols[i]).cast("double"), qc(cols[j]).cast("double"))) for i, j in pairs]
+        if include_diagonal:
+            found += [(i, i, F.when(F.stddev_pop(qc(c).cast("double")) > 0, F.lit(1.0))) for i, c in enumerate(cols)]
+        structs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), r.alias("r")) for i, j, r in found]
+        out = spark.createDataFrame([], schema)
+        if structs:
+            out = df.agg(F.array(*structs).alias("a")).select(F.explode("a").alias("p")).select("p.i", "p.j", "p.r")
     names = F.array(*[F.lit(c) for c in cols]) if cols else F.array()
     return out.select("i", "j", F.element_at(names, F.col("i") + 1).alias("col_i"),
                       F.element_at(names, F.col("j") + 1).alias("col_j"), "r")
