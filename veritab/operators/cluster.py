@@ -7,6 +7,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.stats import distinct_counts
 from ..functions.types import as_text, dtypes, is_numeric_or_bool, normalise, qc
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_sources
 from .prep import feature_kinds, fit_preprocessing, valid_features
 
 KMEANS, GMM = "K-Means", "Gaussian Mixture Model"
 SQUARED_SILHOUETTE = "Silhouette Score (squared Euclidean)"
 SILHOUETTE, DAVIES_BOULDIN, CALINSKI_HARABASZ = "Silhouette Score", "Davies-Bouldin Index", "Calinski-Harabasz Index"
+#: Rows from which first centres are drawn, and tasks whose sums go to the driver without being added up in Spark.
+SEED_ROWS, FEW_TASKS = 10_000, 64
 INERTIA, BIC = "Inertia (Within Cluster Sum)", "BIC (Bayesian Info Criterion)"
 
 
@@ -225,15 +228,129 @@ def pca_numeric(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[flo
     return pca_2d(model.transform(base).select("_rid", "features"))
 
 
+def first_centres(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
+    """Up to k seeds by k-means++ from at most SEED_ROWS rows (those of the smallest hashes): each next one is drawn in
+    proportion to the squared distance from those before, so the first few of them serve a smaller k as well."""
+    rows = vectors.select(F.xxhash64(F.lit(seed), "features").alias("h"), "features").orderBy("h").limit(SEED_ROWS).collect()
+    x = np.array([r["features"].toArray() for r in rows])
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k and far.sum() > 0:
+        chosen.append(int(rng.choice(len(x), p=far / far.sum())))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """[rows, centres] squared distances."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :], 0.0)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _summed(rows: DataFrame, run, tasks: int) -> dict[int, np.ndarray]:
+    """(slot: sums) of the arrays that the tasks yield; those of many tasks are added up in Spark first."""
+    parts = rows.mapInArrow(run, "slot int, sums array<double>")
+    if tasks > FEW_TASKS:
+        parts = parts.select("slot", F.posexplode("sums")).groupBy("slot", "pos").agg(F.sum("col").alias("v"))
+        parts = parts.groupBy("slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("sums"))
+    out: dict[int, np.ndarray] = {}
+    for r in parts.collect():
+        out[r["slot"]] = out.get(r["slot"], 0) + np.array(r["sums"])
+    return out
+
+
+def _sums_batch(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([list(v) for v in sums.values()], pa.list_(pa.float64()))],
+                                      names=["slot", "sums"])
+
+
+def lloyd_step(rows: DataFrame, sets: list[np.ndarray], tasks: int) -> list[np.ndarray]:
+    """For each set of centres, [centres, 1 + d]: the number and the sum of the rows nearest to each centre; one scan."""
+    share = rows.sparkSession.sparkContext.broadcast(sets)
+    starts = np.cumsum([0, *map(len, sets)])
+
+    def run(batches):
+        sets, total = share.value, {}
+        for batch in batches:
+            x = _matrix(batch)
+            one = np.hstack([np.ones((len(x), 1)), x])
+            for first, centres in zip(starts.tolist(), sets, strict=False):
+                mine = _distances(x, centres).argmin(axis=1)
+                for c in range(len(centres)):
+                    total[first + c] = total.get(first + c, 0) + one[mine == c].sum(axis=0)
+        yield _sums_batch(total)
+    found = _summed(rows, run, tasks)
+    return [np.array([found[first + c] if first + c in found else np.zeros(1 + s.shape[1]) for c in range(len(s))])
+            for first, s in zip(starts.tolist(), sets, strict=False)]
+
+
+def lloyd_together(rows: DataFrame, sets: list[np.ndarray], tasks: int, max_iter: int = 300, tol: float = 1e-4) -> list[np.ndarray]:
+    """Lloyd's algorithm on all sets of centres side by side: one scan an iteration for all that still move; a set whose
+    centres have moved by ``tol`` at most is frozen. An empty cluster keeps its centre."""
+    sets, moving = list(sets), list(range(len(sets)))
+    for _ in range(max_iter):
+        sums = lloyd_step(rows, [sets[i] for i in moving], tasks)
+        still = []
+        for i, s in zip(moving, sums, strict=True):
+            new = np.where(s[:, :1] > 0, s[:, 1:] / np.maximum(s[:, :1], 1), sets[i])
+            if ((new - sets[i]) ** 2).sum(axis=1).max() > tol ** 2:
+                still.append(i)
+            sets[i] = new
+        moving = still
+        if not moving:
+            break
+    return sets
+
+
+def silhouettes_together(rows: DataFrame, sets: list[np.ndarray], tasks: int) -> list[float]:
+    """The centroid silhouette of each set of centres: rows go to their nearest centre, distances to the means of the rows
+    of a centre; two scans for all sets."""
+    sums = lloyd_step(rows, sets, tasks)
+    means = [np.where(s[:, :1] > 0, s[:, 1:] / np.maximum(s[:, :1], 1), np.inf) for s in sums]
+    share = rows.sparkSession.sparkContext.broadcast((sets, means))
+
+    def run(batches):
+        sets, means = share.value
+        total: dict = {}
+        for batch in batches:
+            x = _matrix(batch)
+            at = np.arange(len(x))
+            for i, (centres, mean) in enumerate(zip(sets, means, strict=True)):
+                there = np.isfinite(mean[:, 0])
+                if there.sum() < 2:
+                    continue
+                mine = _distances(x, centres).argmin(axis=1)
+                d = np.full((len(x), len(mean)), np.inf)
+                d[:, there] = np.sqrt(((x[:, None, :] - mean[there][None, :, :]) ** 2).sum(axis=2))
+                a = d[at, mine].copy()
+                d[at, mine] = np.inf
+                b = d.min(axis=1)
+                top = np.maximum(a, b)
+                s = np.divide(b - a, top, out=np.zeros(len(x)), where=top > 0)
+                total[i] = total.get(i, 0) + np.array([len(x), s.sum()])
+        yield _sums_batch(total)
+    found = _summed(rows, run, tasks)
+    return [float(found[i][1] / found[i][0]) if i in found else 0.0 for i in range(len(sets))]
+
+
 def k_sweep(vectors: DataFrame, k_max: int = 8, seed: int = R.SEED) -> DataFrame:
-    """Silhouette for K = 2 .. min(8, n-1) when at least two K values exist."""
-    n = vectors.count()
-    ks = list(range(2, min(k_max + 1, n)))
+    """Silhouette for K = 2 .. min(8, n-1) when at least two K values exist. All K are fitted side by side: as many scans as
+    the slowest K needs, over the vectors alone."""
     spark = vectors.sparkSession
+    ship_sources(spark)
+    rows = vectors.select(vector_to_array("features").alias("x")).persist()
+    n = rows.count()
+    ks = list(range(2, min(k_max + 1, n)))
     if len(ks) < 2:
+        rows.unpersist()
         return spark.createDataFrame([], "k int, silhouette double")
-    rows = []
-    for k in ks:
-        pred = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(vectors).transform(vectors)
-        rows.append((k, centroid_silhouette(pred)))
-    return spark.createDataFrame(rows, "k int, silhouette double")
+    tasks = rows.rdd.getNumPartitions()
+    seeds = first_centres(vectors, ks[-1], seed)
+    sets = lloyd_together(rows, [seeds[:k] for k in ks], tasks)
+    found = silhouettes_together(rows, sets, tasks)
+    rows.unpersist()
+    return spark.createDataFrame(list(zip(ks, found, strict=True)), "k int, silhouette double")
