@@ -63,10 +63,15 @@ def test_percentiles_end_within_five_passes_and_order_no_values(spark, monkeypat
 
 def test_running_totals_match_cumsum(spark):
     rng = np.random.default_rng(5)
-    pdf = pd.DataFrame({"s": np.arange(5000, dtype=float), "v": rng.integers(0, 5, 5000)})
+    pdf = pd.DataFrame({"s": np.arange(5000, dtype=float), "v": rng.integers(0, 5, 5000), "g": rng.choice(["a", "b", None], 5000)})
     df = spark.createDataFrame(pdf)
-    out = running_totals(df, "s", ["v"], descending=True, buckets=50).toPandas().sort_values("s", ascending=False)
-    assert (out["cum_v"].to_numpy() == pdf.sort_values("s", ascending=False)["v"].cumsum().to_numpy()).all()
+    expected = pdf.sort_values("s", ascending=False)
+    for range_rows in (10_000, 300):                   # one range, and as many as the rows need
+        out = running_totals(df, "s", ["v"], descending=True, range_rows=range_rows).toPandas().sort_values("s", ascending=False)
+        assert (out["cum_v"].to_numpy() == expected["v"].cumsum().to_numpy()).all()
+        by = running_totals(df, "s", ["v"], partition_by=["g"], range_rows=range_rows).toPandas().sort_values("s")
+        cum = pdf.groupby("g", dropna=False)["v"].cumsum()
+        assert (by["cum_v"].to_numpy() == cum.to_numpy()).all()
 
 
 def test_histogram_matches_numpy(spark):

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,28 +198,34 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
 # running totals over a global order
 # --------------------------------------------------------------------------------------------
 
+#: Rows of a range of running totals: what one window sorts.
+RANGE_ROWS = 1_000_000
+
+
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
-                   partition_by: Sequence[str] = (), buckets: int = 1000) -> DataFrame:
-    """Cumulative sums of ``value_cols`` in the order of ``order_col`` (within ``partition_by`` groups).
-    Pre-aggregate first so there is one row per distinct order value. Rows are cut into range buckets
-    by approximate quantile edges (a small, bounded list); bucket totals give each bucket's offset and
-    a window inside each bucket adds the rest, so no task sees more than one bucket of one group.
-    Adds ``cum_<col>`` columns."""
+                   partition_by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Cumulative sums of ``value_cols`` in the order of ``order_col`` (within ``partition_by`` groups). Pre-aggregate first
+    so there is one row per distinct order value.
+
+    The rows are counted and dealt by range into partitions of about ``range_rows`` each, whose number grows with the rows;
+    a partition's totals (one row each) give the offset of the next ones, and a window within each adds the rest. Rows that
+    fit one range need neither. Adds ``cum_<col>`` columns."""
     part = list(partition_by)
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * buckets)).first()[0] or []
-    splits = [float("-inf")] + sorted(set(float(e) for e in edges)) + [float("inf")]
-    bz = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bucket", handleInvalid="keep")
-    b = bz.transform(df.withColumn("_ord", F.col(order_col).cast("double")))
-    border = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    totals = b.groupBy(*part, "_bucket").agg(*[F.sum(c).alias(c) for c in value_cols])
-    w_prev = (Window.partitionBy(*part) if part else Window).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialize_small(totals.select(*part, "_bucket", *[
-        F.coalesce(F.sum(c).over(w_prev), F.lit(0)).alias("_off_" + c) for c in value_cols
-    ]))
-    oorder = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w_in = Window.partitionBy(*part, "_bucket").orderBy(oorder).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(maybe_broadcast(offsets), part + ["_bucket"])
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.checkpoint()
+    ranges = -(-rows.count() // range_rows)
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    if ranges <= 1:
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({"cum_" + c: F.sum(c).over(w) for c in value_cols})
+    dealt = rows.repartitionByRange(ranges, *part, order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    totals = dealt.groupBy(*part, "_p").agg(*[F.sum(c).alias(c) for c in value_cols])
+    earlier = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize_small(totals.select(*part, "_p", *[
+        F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias("_off_" + c) for c in value_cols]))
+    keys = [F.col("a." + c).eqNullSafe(F.col("b." + c)) for c in [*part, "_p"]]
+    within = Window.partitionBy(*part, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.alias("a").join(maybe_broadcast(offsets).alias("b"), keys).select("a.*", *["_off_" + c for c in value_cols])
     for c in value_cols:
-        out = out.withColumn("cum_" + c, F.col("_off_" + c) + F.sum(c).over(w_in))
-    return out.drop("_ord", "_bucket", *["_off_" + c for c in value_cols])
+        joined = joined.withColumn("cum_" + c, F.col("_off_" + c) + F.sum(c).over(within))
+    return joined.drop("_p", *["_off_" + c for c in value_cols])
