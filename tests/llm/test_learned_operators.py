@@ -257,3 +257,46 @@ def test_toxicity_edges(edge_docs, no_docs, edge_labels):
         scores = {r["score"] for r in toxicity.toxicity(edge_docs, labels).collect()}
         assert len(scores) == 1
     assert toxicity.toxicity(no_docs, edge_labels).count() == 0
+
+
+def _invented(rng, letters, n):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(n))
+
+
+def test_a_language_of_long_texts_only_is_learnt(spark):
+    rng = random.Random(21)
+    rows = [(i, "aa", _invented(rng, "abcde", 40)) for i in range(60)]
+    rows += [(100 + i, "zz", _invented(rng, "vwxyz", 3500)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    sample = language_crf.training_rows(docs).collect()
+    texts = {r[2] for r in rows}
+    assert {r["lang"] for r in sample} == {"aa", "zz"}
+    for r in sample:
+        assert len(r["text"].encode()) <= language_crf.SAMPLE_BYTES
+        assert any(f" {r['text']} " in f" {t} " for t in texts)          # whole words of one text
+    got = {r["doc_id"]: r["lang_pred"] for r in language_crf.languages(docs).collect()}
+    assert all(got[i] == lang for i, lang, _ in rows)
+
+
+def test_repeated_rows_do_not_shrink_the_sample(spark):
+    rng = random.Random(22)
+    rows = [(4 * i + 1, "aa", _invented(rng, "abcde", 10)) for i in range(300)]
+    one = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    many = one
+    for k in range(1, 5):
+        many = many.unionByName(one.withColumn("doc_id", F.col("doc_id") + 100_000 * k))
+    many = many.unionByName(many)
+    expected = {r["text"] for r in language_crf.training_rows(one).collect()}
+    got = [r["text"] for r in language_crf.training_rows(many).collect()]
+    assert len(got) == len(set(got)) == language_crf.SAMPLE and len(expected) == language_crf.SAMPLE
+
+
+def test_the_sample_of_all_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_crf, "SAMPLE_TOTAL", 12)
+    rng = random.Random(23)
+    rows = [(i, f"l{i % 5}", _invented(rng, "abcdefgh", 10)) for i in range(300)]
+    rows += [(1000 + i, f"m{i}", _invented(rng, "abc", 10)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    langs = [r["lang"] for r in language_crf.training_rows(docs).collect()]
+    assert len(langs) == 12 and {f"l{k}" for k in range(5)} <= set(langs)
+    assert len(language_crf.training_rows(docs.where("lang < 'm'")).collect()) == 10     # two of each of five

@@ -11,8 +11,9 @@ counts with its largest posterior if there is evidence of that language, which i
 have the word, or its beginning and all of its runs of three letters and the shorter ones at its end. The mean over the
 words decides.
 
-The model is fitted on a bounded sample: for each language at most ``SAMPLE`` documents of at most ``SAMPLE_BYTES``
-bytes, in the order of a seeded hash, never held-out ones. Training documents are cut into runs of ``RUN`` words, and two
+The model is fitted on a bounded sample: for each language at most ``SAMPLE`` different texts (copies and repeated rows
+are one), in the order of a seeded hash, never held-out ones, and ``SAMPLE_TOTAL`` of all languages. Of a text above
+``SAMPLE_BYTES`` a stretch of whole words is taken. Training documents are cut into runs of ``RUN`` words, and two
 runs of any languages make a training sequence, so transitions see switches. Lexicons are the ``LEXICON`` most frequent
 words of each language in the sample.
 
@@ -27,14 +28,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .charclass import LETTER, class_table, code_points
 from .common import held_out, map_slices, written
 
 SAMPLE = 150
+#: Texts of all languages together: where there are many languages, each gives fewer; beyond this many languages, those with
+#: the most different texts are learnt.
+SAMPLE_TOTAL = 6_000
 SAMPLE_BYTES = 16_384
+#: Letters times languages of a slice (a longer text is a slice of its own).
+CELL_BYTES = 4 << 20
 SEED = 4
 CELLS = 1 << 16
 RUN = 24
@@ -294,21 +300,36 @@ def recognised(texts: list[str | None], model: Model | None) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(text, lang) of the bounded sample. Ids are chosen first, from narrow rows; then only their texts are read."""
+    """(text, lang, rank) of the bounded sample: different texts of each language, chosen by hash from narrow rows; then only
+    the chosen texts are read. A longer text gives the words of a stretch of it."""
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.col(f"`{lang_col}`").alias("lang"))
-    base = base.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id") & (
-        F.octet_length("text") <= SAMPLE_BYTES))
-    rank = F.xxhash64(F.lit(SEED), "id", "text")
-    # two levels: the best of each language and part, then of each language, so that no task ranks all rows of one
-    part = F.pmod(rank, F.lit(64))
-    narrow = base.select("lang", rank.alias("rank"), part.alias("part"))
+    base = base.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    rank = F.xxhash64(F.lit(SEED), "text")
+    # copies and repeated rows are one text; then two levels, the best of each language and part, then of each language,
+    # so that no task ranks all texts of one
+    narrow = written(base.select("lang", rank.alias("rank")).distinct().withColumn("part", F.pmod("rank", F.lit(64))), "sample-ranks")
+    sizes = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.orderBy(F.col("n").desc(), "lang").limit(SAMPLE_TOTAL)
+    each = min(SAMPLE, max(1, SAMPLE_TOTAL // max(most.count(), 1)))
+    narrow = narrow.join(F.broadcast(most.select("lang")), "lang")
     for keys in (("lang", "part"), ("lang",)):
         w = Window.partitionBy(*keys).orderBy("rank")
-        narrow = narrow.withColumn("place", F.row_number().over(w)).where(F.col("place") <= SAMPLE).drop("place")
-    chosen = written(narrow.select("lang", "rank").distinct(), "sampled-rows")
-    return (base.withColumn("rank", rank).join(F.broadcast(chosen), ["lang", "rank"]).select("text", "lang", "rank")
-            .dropDuplicates(["lang", "rank"]))
+        narrow = narrow.withColumn("place", F.row_number().over(w)).where(F.col("place") <= each).drop("place")
+    chosen = written(narrow.select("lang", "rank"), "sampled-rows")
+    found = base.withColumn("rank", rank).join(F.broadcast(chosen), ["lang", "rank"])
+    return found.select(stretch("text", "rank").alias("text"), "lang", "rank").dropDuplicates(["lang", "rank"])
+
+
+def stretch(text: str, rank: str) -> Column:
+    """The text, or of one above SAMPLE_BYTES the whole words of a stretch of a quarter as many characters (a character has
+    four bytes at most) from a place that the hash decides."""
+    size = SAMPLE_BYTES // 4
+    start = F.pmod(F.shiftrightunsigned(rank, 7), F.greatest(F.length(text).cast("long") - size, F.lit(1))) + 1
+    cut = F.substring(F.col(text), start.cast("int"), F.lit(size))
+    whole = F.regexp_extract(cut, r"(?s)^\S*\s(.*)\s\S*$", 1)
+    return F.when((F.octet_length(text) <= SAMPLE_BYTES) | (F.length(text) <= size), F.col(text)).otherwise(
+        F.when(F.trim(whole) != "", whole).otherwise(cut))
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -316,6 +337,11 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
+def slice_bytes(model: Model | None) -> int:
+    """Bytes of text that are labelled at once: the work space has a few numbers for each letter and language."""
+    return max(64 << 10, CELL_BYTES // max(1, len(model.labels) if model else 1))
+
+
 def predicted(docs: DataFrame, model: Model | None, text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """lang_pred and score of every row, with the columns ``carry``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -330,7 +356,7 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text", carr
 
     rows = docs.select(*(F.col(c) for c in carry), F.col(f"`{text_col}`").alias("text"))
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return map_slices(rows, one, schema + "lang_pred string, score double")
+    return map_slices(rows, one, schema + "lang_pred string, score double", limit=slice_bytes(model))
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -345,7 +371,8 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose words are recognised with a mean of at least ``least``, in one language or
     several."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col, lang_col))
+    fit = fitted(docs, id_col, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(fit)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = None if shared.value is None else Model(*shared.value)
@@ -354,5 +381,5 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.select("row", F.col("row").getField(text_col).alias("text"))
-    found = map_slices(rows, one, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    found = map_slices(rows, one, f"row {rows.schema['row'].dataType.simpleString()}, score double", limit=slice_bytes(fit))
     return found.where(F.col("score") >= least).where("score > 0").select("row.*")
