@@ -58,3 +58,32 @@ def test_sweep_of_few_and_equal_rows(spark):
     assert same == {k: 0.0 for k in range(2, 9)}
     two = {r["k"]: r["silhouette"] for r in C.k_sweep(vectors(spark, np.repeat([[0.0], [1.0]], 20, axis=0))).collect()}
     assert two[2] == 1.0 and set(two) == set(range(2, 9))
+
+
+def plain(x, c):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    s = np.zeros(len(x))
+    for i in range(len(x)):
+        same = (c == c[i]) & (np.arange(len(x)) != i)
+        if same.any():
+            a = d[i, same].mean()
+            b = min(d[i, c == o].mean() for o in np.unique(c) if o != c[i])
+            s[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0
+    return s.mean()
+
+
+def test_plain_silhouette_exact_and_within_its_error(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(m, 1, (n, 3)) for m, n in ((0, 500), (2, 300), (5, 100))] + [np.full((1, 3), 30.0)])
+    x[10] = x[11]                                      # equal rows
+    c = np.repeat([0, 1, 2, 7], [500, 300, 100, 1])
+    df = spark.createDataFrame([(i, int(k), [float(v) for v in r]) for i, (k, r) in enumerate(zip(c, x, strict=True))],
+                               "_rid long, prediction int, x array<double>").select(
+        "_rid", "prediction", array_to_vector("x").alias("features")).repartition(4)
+    expected = plain(x, c)
+    exact = C.plain_silhouette(df)
+    assert abs(exact.value - expected) < 1e-9 and exact.error == 0 and exact.anchors == len(x)
+    some = C.plain_silhouette(df, anchors=160)
+    assert some.anchors < 160 and 0 < some.error < 0.1 and abs(some.value - expected) < 4 * some.error + 0.01
+    assert C.plain_silhouette(df.where("prediction = 0")).value == 0.0
+    assert C.plain_silhouette(df.where("false")).value == 0.0

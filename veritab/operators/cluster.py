@@ -27,6 +27,8 @@ SQUARED_SILHOUETTE = "Silhouette Score (squared Euclidean)"
 SILHOUETTE, DAVIES_BOULDIN, CALINSKI_HARABASZ = "Silhouette Score", "Davies-Bouldin Index", "Calinski-Harabasz Index"
 #: Rows from which first centres are drawn, and tasks whose sums go to the driver without being added up in Spark.
 SEED_ROWS, FEW_TASKS = 10_000, 64
+#: Anchors of the plain silhouette, and the parts of them that show its error.
+ANCHORS, ANCHOR_GROUPS = 4096, 8
 INERTIA, BIC = "Inertia (Within Cluster Sum)", "BIC (Bayesian Info Criterion)"
 
 
@@ -228,6 +230,81 @@ def pca_numeric(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[flo
     return pca_2d(model.transform(base).select("_rid", "features"))
 
 
+@dataclass
+class PlainSilhouette:
+    value: float
+    error: float                    # standard error that comes from the anchors; 0 if they are all rows
+    anchors: int
+
+
+def plain_silhouette(pred: DataFrame, id_col: str = "_rid", anchors: int = ANCHORS, seed: int = R.SEED) -> PlainSilhouette:
+    """Mean over all rows of (b - a) / max(a, b), a the mean distance to the other rows of the own cluster, b the least mean
+    distance to the rows of another one; 0 for a row alone in its cluster.
+
+    Mean distances are taken over anchors: of each cluster its rows of the smallest hashes of (seed, id), ``anchors`` in all
+    at most, an equal share a cluster. With anchors for all rows the value is exact; else their error is estimated from
+    ``ANCHOR_GROUPS`` values, each from its own part of the anchors. Every row is scored; one scan after the anchors are
+    chosen, no pairs of rows leave a task. Ids have to differ between rows."""
+    spark = pred.sparkSession
+    ship_sources(spark)
+    rows = pred.select(qc(id_col).cast("long").alias("id"), F.col("prediction").cast("int").alias("c"),
+                       vector_to_array("features").alias("x"))
+    sizes = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) <= 1:
+        return PlainSilhouette(0.0, 0.0, 0)
+    each = max(2, anchors // len(sizes))
+    salted = rows.withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("salt", F.pmod("h", F.lit(64)))
+    for keys in (("c", "salt"), ("c",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))
+        salted = salted.withColumn("place", place).where(F.col("place") <= each)
+    held = salted.select("id", "c", "x", "place").collect()
+    names = sorted(sizes)
+    number = {c: i for i, c in enumerate(names)}
+    x0 = np.array([r["x"] for r in held], float)
+    c0 = np.array([number[r["c"]] for r in held])
+    ids = np.array([r["id"] for r in held])
+    part = np.array([r["place"] % ANCHOR_GROUPS for r in held])
+    whole = len(held) == sum(sizes.values())
+    share = spark.sparkContext.broadcast((x0, c0, ids, part))
+    k = len(names)
+
+    def scores(d, own, mine, use):
+        member = np.eye(k)[c0_of(use)]
+        total, n = d[:, use] @ member, member.sum(axis=0)[None, :].repeat(len(d), axis=0)
+        at = np.arange(len(d))
+        n[at, own] -= mine[:, use].any(axis=1)         # a row is no neighbour of its own; its distance to itself is 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(n > 0, total / n, np.inf)
+        a = mean[at, own].copy()
+        mean[at, own] = np.inf
+        b = mean.min(axis=1)
+        top = np.maximum(a, b)
+        ok = np.isfinite(a) & np.isfinite(b) & (top > 0)
+        return np.divide(b - a, top, out=np.zeros(len(d)), where=ok).sum()
+
+    def c0_of(use):
+        return share.value[1][use]
+
+    def run(batches):
+        x0, _, ids, part = share.value
+        uses = [np.arange(len(x0))] + [np.flatnonzero(part == g) for g in range(ANCHOR_GROUPS)]
+        total = np.zeros(1 + len(uses))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                x = _matrix(some)
+                own = np.array([number[c] for c in some.column("c").to_pylist()])
+                mine = some.column("id").to_numpy(zero_copy_only=False)[:, None] == ids[None, :]
+                d = np.sqrt(_distances(x, x0))
+                d[mine] = 0.0
+                total += [len(x), *(scores(d, own, mine, use) for use in uses)]
+        yield _sums_batch({0: total})
+    found = _summed(rows, run, 0)[0]
+    value, parts = found[1] / found[0], found[2:] / found[0]
+    error = 0.0 if whole else float(parts.std(ddof=1) / math.sqrt(ANCHOR_GROUPS))
+    return PlainSilhouette(float(value), error, len(held))
+
+
 def first_centres(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
     """Up to k seeds by k-means++ from at most SEED_ROWS rows (those of the smallest hashes): each next one is drawn in
     proportion to the squared distance from those before, so the first few of them serve a smaller k as well."""

@@ -285,3 +285,23 @@ def q_cluster_indices_labels(spark, sf):
         li.select("l_quantity", "l_discount", lab.cast("int").alias("prediction")))
     m = C.quality_indices(vec.select("features", "prediction"))
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in m.items()], "metric string, value double"))
+
+
+PLAIN_SQL = """
+WITH e AS (SELECT vec_id, label AS c, embedding::DOUBLE[] AS x FROM embeddings),
+d AS (SELECT a.vec_id, a.c AS own, b.c AS other,
+             SUM(list_distance(a.x, b.x)) / CASE WHEN a.c = b.c THEN NULLIF(COUNT(*) - 1, 0) ELSE COUNT(*) END AS m
+      FROM e a, e b GROUP BY a.vec_id, a.c, b.c),
+s AS (SELECT vec_id, MAX(CASE WHEN own = other THEN m END) AS a, MIN(CASE WHEN own <> other THEN m END) AS b
+      FROM d GROUP BY vec_id)
+SELECT ROUND(AVG(CASE WHEN a IS NULL OR GREATEST(a, b) = 0 THEN 0 ELSE (b - a) / GREATEST(a, b) END), 6) AS silhouette,
+       COUNT(*) > 4096 AS estimated FROM s"""
+
+
+@register("silhouette_plain", PLAIN_SQL)
+def q_silhouette_plain(spark, sf):
+    """The plain silhouette of the embeddings by their label: exact up to 4,096 rows, against anchors beyond."""
+    emb = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("prediction"),
+                                                 array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    got = C.plain_silhouette(emb, "vec_id")
+    return rounded(spark.createDataFrame([(got.value, got.error > 0)], "silhouette double, estimated boolean"))
