@@ -80,7 +80,18 @@ def test_top_values_with_control_characters(spark):
 def test_date_rule_looks_at_all_values(spark):
     rows = [(f"2024-01-{1 + i % 28:02d}", "2024-02-03" if i < 180 else "soon") for i in range(200)]
     df = spark.createDataFrame(rows * 3, "good_date string, late_date string")
-    assert P.date_rule_flags(df, ["good_date", "late_date"]) == {"good_date": True, "late_date": False}
+    assert set(P.date_readings(df, ["good_date", "late_date"])) == {"good_date"}
+
+
+def test_one_reading_for_a_whole_date_column(spark):
+    rows = [("13/02/2024", "02/03/2024", "02/03/2024", "2024-01-05", "1/2/2024"), ("02/03/2024", "04/05/2024", "13/02/2024", "01/06/2024", "12/31/2024"),
+            ("01/12/2024", None, "02/28/2024", "2024-01-07", "3/4/2024")] * 20
+    df = spark.createDataFrame(rows, "day_date string, either_date string, mixed_date string, two_date string, month_date string")
+    assert P.date_readings(df, df.columns) == {"day_date": "dd/MM/yyyy", "either_date": "MM/dd/yyyy", "month_date": "M/d/yyyy"}
+    stats = {r["column_name"]: (str(r["min"])[:10], str(r["max"])[:10]) for r in P.datetime_stats(P.profile_table(df)).collect()}
+    assert stats == {"day_date": ("2024-02-13", "2024-12-01"), "either_date": ("2024-02-03", "2024-04-05"),
+                     "month_date": ("2024-01-02", "2024-12-31")}
+
 
 
 def test_long_text_top_values_are_resolved(spark):

@@ -61,9 +61,10 @@ NA_SPELLINGS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# ---- fixed values: timestamp patterns tried (after the ISO cast) by the date-name rule ----
+# ---- fixed values: timestamp patterns tried (after the ISO cast) by the date-name rule, in order of preference ----
 DATE_PATTERNS = [
-    "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "M/d/yyyy", "M/d/yyyy H:mm", "yyyy/MM/dd",
+    "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "M/d/yyyy", "M/d/yyyy H:mm",
+    "dd/MM/yyyy", "dd/MM/yyyy HH:mm:ss", "d/M/yyyy", "d/M/yyyy H:mm", "yyyy/MM/dd",
     "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy",
     "MMMM d, yyyy", "d MMMM yyyy", "yyyy-MM", "yyyy-MM-dd HH:mm",
 ]

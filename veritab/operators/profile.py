@@ -59,12 +59,14 @@ def name_has_any(name_col, parts: list[str]):
     return cond
 
 
-def parse_timestamp(c):
-    """Text -> timestamp: ISO cast first, then the fixed pattern list; NULL when nothing parses."""
-    tries = [c.try_cast("timestamp_ntz")] + [
-        F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in R.DATE_PATTERNS
-    ]
-    return F.coalesce(*tries)
+#: How a column of texts may be read as times: the ISO cast, or one of the fixed patterns.
+ISO = "iso"
+DATE_READINGS = [ISO, *R.DATE_PATTERNS]
+
+
+def read_as(c, reading: str):
+    """Text -> timestamp by one reading; NULL where it does not fit."""
+    return (c.try_cast("timestamp_ntz") if reading == ISO else F.try_to_timestamp(c, F.lit(reading)).cast("timestamp_ntz"))
 
 
 def date_name_columns(df: DataFrame) -> list[str]:
@@ -72,14 +74,22 @@ def date_name_columns(df: DataFrame) -> list[str]:
             if is_string(f.dataType) and any(p in f.name.lower() for p in R.DATE_NAME_PARTS)]
 
 
-def date_rule_flags(df: DataFrame, cols: list[str]) -> dict[str, bool]:
-    """For string columns with a date-like name: do all non-null values parse? (One aggregate over all of them; a sample
-    would make the answer depend on the order of the files.)"""
+def date_readings(df: DataFrame, cols: list[str]) -> dict[str, str]:
+    """The reading of each text column that fits all of its non-null values, the first in the order of DATE_READINGS; columns
+    without one are left out. One aggregate counts for every column and reading the values that it parses, so one value
+    of 13/02/2024 decides for a whole column between day and month, and a mix of two patterns is no date. (All values: a
+    sample would make the answer depend on the order of the files.)"""
     if not cols:
         return {}
-    row = df.agg(*[F.struct(F.count(qc(c)).alias("n"), F.count(parse_timestamp(qc(c))).alias("ok")).alias(f"c{i}")
-                   for i, c in enumerate(cols)]).first()
-    return {c: bool(row[f"c{i}"]["n"] > 0 and row[f"c{i}"]["n"] == row[f"c{i}"]["ok"]) for i, c in enumerate(cols)}
+    row = df.agg(*[F.struct(F.count(qc(c)).alias("n"), F.array(*[F.count(read_as(qc(c), r)) for r in DATE_READINGS]).alias("ok"))
+                   .alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    out = {}
+    for i, c in enumerate(cols):
+        n, ok = row[f"c{i}"]["n"], row[f"c{i}"]["ok"]
+        fits = [r for r, k in zip(DATE_READINGS, ok, strict=True) if n and k == n]
+        if fits:
+            out[c] = fits[0]
+    return out
 
 
 def semantic_type_expr():
@@ -115,6 +125,7 @@ class TableProfile:
     stats: DataFrame                     # STATS_SCHEMA + semantic_type, missing_*, unique_ratio
     semantic: dict[str, str] = field(default_factory=dict)
     n_rows: int = 0
+    readings: dict[str, str] = field(default_factory=dict)      # how date-named text columns are read as times
     _top: DataFrame | None = None
     _medians: DataFrame | None = None
     _duplicates: int | None = None
@@ -216,7 +227,8 @@ def profile_table(df: DataFrame) -> TableProfile:
     agg_row = data.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*_column_aggregates(data)).alias("cols")).first()
     n_rows = int(agg_row["n_rows"])
     distinct = {int(r["ordinal"]): int(r["distinct"]) for r in distinct_counts(data).collect()}
-    date_flags = date_rule_flags(data, date_name_columns(data))
+    named = date_name_columns(data)
+    readings = date_readings(data, named)
     rows = []
     for s in agg_row["cols"]:
         i = int(s["ordinal"])
@@ -224,7 +236,7 @@ def profile_table(df: DataFrame) -> TableProfile:
         rows.append((
             i, f.name, f.dataType.simpleString(), _kind(f.dataType), n_rows, int(s["non_null"]),
             s["num_min"], s["num_max"], s["mean"], s["std"], s["dt_min"], s["dt_max"], s["avg_len"],
-            distinct.get(i, 0), date_flags.get(f.name),
+            distinct.get(i, 0), f.name in readings if f.name in named else None,
         ))
     stats = spark.createDataFrame(rows, STATS_SCHEMA)
     missing = F.col("n_rows") - F.col("non_null")
@@ -236,7 +248,7 @@ def profile_table(df: DataFrame) -> TableProfile:
         .withColumn("is_nullable", missing > 0)
     )
     semantic = {r["column_name"]: r["semantic_type"] for r in stats.select("column_name", "semantic_type").collect()}
-    return TableProfile(data=data, stats=stats, semantic=semantic, n_rows=n_rows)
+    return TableProfile(data=data, stats=stats, semantic=semantic, n_rows=n_rows, readings=readings)
 
 
 def profile_tables(tables: dict[str, DataFrame], max_workers: int = 4) -> dict[str, TableProfile]:
@@ -293,7 +305,7 @@ def datetime_stats(p: TableProfile) -> DataFrame:
     st = p.stats.where(F.col("semantic_type") == R.DATETIME).select("ordinal", "column_name", "dt_min", "dt_max")
     if text_cols:
         parsed = p.data.agg(*[
-            F.struct(F.min(parse_timestamp(qc(c))).alias("lo"), F.max(parse_timestamp(qc(c))).alias("hi")).alias(c)
+            F.struct(F.min(read_as(qc(c), p.readings[c])).alias("lo"), F.max(read_as(qc(c), p.readings[c])).alias("hi")).alias(c)
             for c in text_cols
         ]).first()
         fill = spark.createDataFrame([(c, parsed[c]["lo"], parsed[c]["hi"]) for c in text_cols],
