@@ -177,3 +177,31 @@ def test_block_and_aggregate_correlations_agree(spark, monkeypatch):
     assert one.keys() == many.keys()
     assert all((a is None and many[k] is None) or abs(a - many[k]) < 1e-12 for k, a in one.items())
     assert all(v is None for v in many.values()) is False and E.correlation_pairs(df.where("false"), list("abcd")).count() == 6
+
+
+def test_distinct_counts_of_text_files_in_one_scan_and_by_sketch(spark, tmp_path):
+    from veritab.functions import stats
+    rng = np.random.default_rng(15)
+    n = 30_000
+    pdf = pd.DataFrame({"id": np.arange(n), "x": rng.integers(0, 9000, n) / 4, "t": rng.choice(["a", "b", None], n),
+                        "d": rng.integers(0, 20_000, n).astype(str), "e": [None] * n, "z": rng.choice([0.0, -0.0], n)})
+    schema = "id long, x double, t string, d string, e string, z double"
+    spark.createDataFrame(pdf, schema).write.parquet(str(tmp_path / "p"))
+    columnar = spark.read.parquet(str(tmp_path / "p"))
+    columnar.write.csv(str(tmp_path / "c"))
+    text = spark.read.schema(schema).csv(str(tmp_path / "c"))
+    joined = columnar.join(spark.range(n).withColumnRenamed("id", "k"), F.col("id") == F.col("k")).drop("k")
+    assert stats._reads_columns(columnar) and stats._reads_columns(columnar.where("x > 1").select("id", "x"))
+    assert not stats._reads_columns(text) and not stats._reads_columns(joined)
+    as_dict = lambda df: {r["ordinal"]: r["distinct"] for r in df.collect()}
+    expected = {0: n, 1: pdf["x"].nunique(), 2: 2, 3: pdf["d"].nunique(), 5: 1}
+    for df in (columnar, text, joined):
+        assert as_dict(stats.distinct_counts(df)) == expected
+    plan = stats.distinct_counts(text)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+    near = as_dict(stats.distinct_counts(text, approximate=True))
+    assert near.keys() == expected.keys() and all(abs(near[k] - v) <= 0.02 * v for k, v in expected.items())
+    halves = [stats.distinct_sketches(text.where(f"id % 2 = {h}")) for h in (0, 1)]
+    united = as_dict(stats.sketch_estimates(halves[0].unionByName(halves[1])))
+    assert all(abs(united[k] - v) <= 0.02 * v for k, v in expected.items())
+    assert as_dict(stats.distinct_counts(text.where("false"))) == {}
