@@ -300,3 +300,59 @@ def test_the_sample_of_all_languages_is_bounded(spark, monkeypatch):
     langs = [r["lang"] for r in language_crf.training_rows(docs).collect()]
     assert len(langs) == 12 and {f"l{k}" for k in range(5)} <= set(langs)
     assert len(language_crf.training_rows(docs.where("lang < 'm'")).collect()) == 10     # two of each of five
+
+
+SOURCES = [("https://Host.A/x/y/z.html?q=1/2", "host.a", "host.a/x/y"), ("host.b/dir/p", "host.b", "host.b/dir"),
+           ("host.b/dir/q", "host.b", "host.b/dir"), ("host.b/other/q", "host.b", "host.b/other"), ("src", "src", "src"),
+           ("//host.a/x/k#part", "host.a", "host.a/x"), (None, "", "\0")]
+
+
+def _strength(groups):
+    """Pseudo-documents by moments of [(documents, sum of probabilities, rate they are drawn to)]."""
+    groups = [(n, good / n, t) for n, good, t in groups if n > 1]
+    total = sum(n for n, _, _ in groups)
+    spread = sum(n * t * (1 - t) for n, _, t in groups)
+    if not total or not spread:
+        return site_bayes.STRONGEST
+    between = (sum(n * (m - t) ** 2 for n, m, t in groups) - sum(t * (1 - t) for _, _, t in groups)) / total
+    if between <= 0:
+        return site_bayes.STRONGEST
+    return min(site_bayes.STRONGEST, max(site_bayes.WEAKEST, spread / total / between - 1))
+
+
+def test_site_rates_strengths_and_scores_against_brute_force(small):
+    """From the text scores on: rates of sites and paths, both strengths, and each score without the document itself."""
+    pick = F.lit(None).cast("string")
+    for k, (source, _, _) in enumerate(SOURCES):
+        pick = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(len(SOURCES))) == k, F.lit(source).cast("string")).otherwise(pick)
+    docs = small("documents", "sf0.01").withColumn("source", pick).cache()
+    labels = small("labels", "sf0.01")
+    place = {s: (site, path) for s, site, path in SOURCES}
+    where = {r["doc_id"]: place[r["source"]] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in site_bayes.site_quality(docs, labels).collect()}
+    assert got.keys() == where.keys()
+    sites, paths = {}, {}
+    for i, r in got.items():
+        for table, key in ((sites, where[i][0]), (paths, where[i])):
+            n, good = table.get(key, (0, 0.0))
+            table[key] = n + 1, good + r["text_score"]
+    n, good = len(got), sum(r["text_score"] for r in got.values())
+    rate = good / n
+    k_site = _strength([(a, b, rate) for a, b in sites.values()])
+    site_rate = {s: (b + k_site * rate) / (a + k_site) for s, (a, b) in sites.items()}
+    k_path = _strength([(a, b, site_rate[s]) for (s, _), (a, b) in paths.items()])
+    known = {}
+    for r in labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").collect():
+        if not held_out(r["doc_id"]):
+            known[r["doc_id"]] = min(known.get(r["doc_id"], 1), int(r["quality"] > 0))
+    known = [v for i, v in known.items() if i in got]
+    sample = math.log(sum(known) / (len(known) - sum(known)))
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6)) - math.log(1 - min(max(p, 1e-6), 1 - 1e-6))
+    for i, r in got.items():
+        site, path = where[i]
+        a, b = paths[site, path]
+        t, p = site_rate[site], r["text_score"]
+        score = 1 / (1 + math.exp(-(odds(p) - sample + odds((b - p + k_path * t) / (a - 1 + k_path)))))
+        assert math.isclose(r["site_rate"], t, rel_tol=1e-9)
+        assert math.isclose(r["path_rate"], (b + k_path * t) / (a + k_path), rel_tol=1e-9)
+        assert math.isclose(r["score"], score, rel_tol=1e-9) and r["kept"] == (r["score"] >= site_bayes.KEEP_AT)
