@@ -3,7 +3,7 @@ the training algorithm, so most are rows-only checks; cluster profiles are check
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import cluster as C
@@ -305,3 +305,39 @@ def q_silhouette_plain(spark, sf):
                                                  array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     got = C.plain_silhouette(emb, "vec_id")
     return rounded(spark.createDataFrame([(got.value, got.error > 0)], "silhouette double, estimated boolean"))
+
+
+# ---------------------------------------------------------------- optimality of the linear fits (zero gradients)
+def _gradients(b, result, residuals):
+    """For each feature, the sum over the train rows of the feature times each residual, and the sum of its absolute terms."""
+    d = len(b.prepared.feature_names)
+    pred = result.model.transform(b.train).select(vector_to_array("features").alias("x"), *residuals)
+    names = [c for c in pred.columns if c != "x"]
+    sums = [F.sum(F.col("x")[j] * F.col(c)) for c in names for j in range(d)] + [
+        F.sum(F.abs(F.col("x")[j] * F.col(c))) for c in names for j in range(d)]
+    row = pred.agg(F.array(*sums).alias("s"), F.array(*[F.sum(c) for c in names]).alias("r"),
+                   F.array(*[F.sum(F.abs(c)) for c in names]).alias("a"), F.count(F.lit(1)).alias("n")).first()
+    k = len(names) * d
+    return row["s"][:k], row["s"][k:], row["r"], row["a"], row["n"]
+
+
+#: Columns of the fitted vectors: one a category of a text or of a number of few values, one for any other number.
+WIDTH_SQL = " + ".join([
+    *(f"(SELECT CASE WHEN COUNT(DISTINCT {c}) <= 10 THEN COUNT(DISTINCT {c}) ELSE 1 END FROM {t})" for c, t in
+      [("l_quantity", "lineitem"), ("p_retailprice", "part"), ("l_discount", "lineitem"), ("l_tax", "lineitem")]),
+    "(SELECT COUNT(DISTINCT l_returnflag) FROM lineitem)"])
+
+
+@register("reg_ridge_invariants", f"""
+SELECT {WIDTH_SQL} AS n_features, {WIDTH_SQL} AS n_zero_gradients, TRUE AS residuals_sum_to_zero,
+       COUNT(*) - CAST(CEIL(0.2 * COUNT(*)) AS BIGINT) AS n_train
+FROM lineitem WHERE l_extendedprice IS NOT NULL""")
+def q_reg_ridge_invariants(spark, sf):
+    """The ridge fit solves its normal equations: at the fitted weights the gradient of the penalised squares is zero."""
+    b = _regression(spark, sf, [MD.RIDGE])
+    r = b.results[0]
+    sums, sizes, total, absolute, n = _gradients(b, r, [(F.col("label") - F.col("prediction")).alias("e")])
+    zero = sum(bool(abs(s - w) <= 1e-6 * a + 1e-9) for s, a, w in zip(sums, sizes, r.model.coefficients, strict=True))
+    b.release()
+    return spark.createDataFrame([(len(sums), zero, abs(total[0]) <= 1e-6 * absolute[0], n)],
+                                 "n_features long, n_zero_gradients long, residuals_sum_to_zero boolean, n_train long")
