@@ -341,3 +341,25 @@ def q_reg_ridge_invariants(spark, sf):
     b.release()
     return spark.createDataFrame([(len(sums), zero, abs(total[0]) <= 1e-6 * absolute[0], n)],
                                  "n_features long, n_zero_gradients long, residuals_sum_to_zero boolean, n_train long")
+
+
+CLF_WIDTH_SQL = " + ".join(
+    [f"(SELECT CASE WHEN COUNT(DISTINCT {c}) <= 10 THEN COUNT(DISTINCT {c}) ELSE 1 END FROM lineitem)"
+     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")] + ["(SELECT COUNT(DISTINCT l_linestatus) FROM lineitem)"])
+
+
+@register("clf_logistic_invariants", f"""
+SELECT 3 * ({CLF_WIDTH_SQL}) AS n_weights, 3 * ({CLF_WIDTH_SQL}) AS n_small_gradients, TRUE AS shares_met
+FROM lineitem LIMIT 1""")
+def q_clf_logistic_invariants(spark, sf):
+    """The softmax fit is at its optimum: the gradient of the penalised loss by every weight is at most a thousandth of its
+    terms, and the mean probability of each class is its share of the train rows."""
+    b = _multiclass(spark, sf, [MD.LOGISTIC])
+    r = b.results[0]
+    errors = [((F.col("label") == float(k)).cast("double") - vector_to_array("probability")[k]).alias(f"e{k}") for k in range(3)]
+    sums, sizes, total, absolute, _ = _gradients(b, r, errors)
+    weights = [w for row in r.model.coefficientMatrix.toArray() for w in row]
+    small = sum(bool(abs(s - w) <= 1e-3 * a + 1e-9) for s, a, w in zip(sums, sizes, weights, strict=True))
+    met = all(abs(t) <= 1e-3 * a for t, a in zip(total, absolute, strict=True))
+    b.release()
+    return spark.createDataFrame([(len(sums), small, met)], "n_weights long, n_small_gradients long, shares_met boolean")
