@@ -363,3 +363,21 @@ def q_clf_logistic_invariants(spark, sf):
     met = all(abs(t) <= 1e-3 * a for t, a in zip(total, absolute, strict=True))
     b.release()
     return spark.createDataFrame([(len(sums), small, met)], "n_weights long, n_small_gradients long, shares_met boolean")
+
+
+@register("pca_2d_invariants", """
+SELECT COUNT(*) AS n, TRUE AS centred, TRUE AS uncorrelated, TRUE AS falling, TRUE AS shares_met FROM customer""")
+def q_pca_2d_invariants(spark, sf):
+    """The projection of ``pca_2d``: centred and uncorrelated coordinates of falling variance, whose shares of the whole
+    variance are the explained ones."""
+    vec, _, _ = C.prepare_vectors(table(spark, sf, "customer"), CUST_FEATURES)
+    points, shares = C.pca_2d(vec)
+    x = vec.select(vector_to_array("features").alias("x"))
+    d = x.select(F.size("x").alias("d")).first()["d"]
+    whole = sum(x.agg(F.array(*[F.var_pop(F.col("x")[j]) for j in range(d)]).alias("v")).first()["v"])
+    r = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{c}") for c in ("pca1", "pca2") for n, f in (("m", F.avg), ("v", F.var_pop))],
+                   F.covar_pop("pca1", "pca2").alias("c")).first()
+    v1, v2 = r["vpca1"], r["vpca2"]
+    met = all(abs(v / whole - s) < 1e-6 for v, s in zip((v1, v2), shares, strict=True))
+    return spark.createDataFrame([(r["n"], max(abs(r["mpca1"]), abs(r["mpca2"])) < 1e-9, abs(r["c"]) < 1e-9 * (v1 + v2) + 1e-12, v1 >= v2, met)],
+                                 "n long, centred boolean, uncorrelated boolean, falling boolean, shares_met boolean")
