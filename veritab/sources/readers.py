@@ -11,16 +11,20 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import rules as R
 from ..functions.types import is_string, qc
+from .records import csv_records
 
 EXTENSIONS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".pq": "parquet"}
 UNSUPPORTED = {".xlsx": "excel", ".xls": "excel", ".db": "sqlite", ".sqlite": "sqlite", ".sqlite3": "sqlite"}
 TRUE_WORDS = ["True", "TRUE", "true"]
 #: One dialect for reading and writing: quotes are doubled, white space belongs to the value.
 CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: Options that leave record boundaries as they are.
+SPLIT_OPTIONS = {"header", "sep", "delimiter", "nullvalue", "emptyvalue", "maxcolumns", "maxcharspercolumn"}
 FALSE_WORDS = ["False", "FALSE", "false"]
 
 
@@ -79,13 +83,22 @@ def type_text_columns(df: DataFrame) -> DataFrame:
 def load_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """CSV with a header row; every column read as text, NA spellings -> NULL, then typed.
 
-    Quoted fields may hold quotes, separators and line breaks, and padding is kept. A file with line breaks in fields
-    cannot be split, so large data sets should come as many files of moderate size (``multiLine="false"`` splits files
-    whose fields hold no line breaks).
+    Quoted fields may hold quotes, separators and line breaks, and padding is kept. A file is read by as many tasks as it has
+    byte ranges: ``records.csv_records`` finds the record starts. Lines end with a line feed (and carriage return or not);
+    with options that change quoting, escaping, encoding or line ends, Spark's reader takes each file in one task.
     """
     opts = {"header": "true", "inferSchema": "false"} | CSV_OPTIONS | {"multiLine": "true"}
     opts.update({k: str(v) for k, v in options.items()})
-    raw = spark.read.options(**opts).csv(path)
+    whole = spark.read.options(**opts).csv(path)
+    if any(k.lower() not in SPLIT_OPTIONS for k in options):
+        return type_text_columns(na_to_null(whole))
+    sep = next((v for k, v in opts.items() if k.lower() in ("sep", "delimiter")), ",")
+    header = next(v for k, v in reversed(opts.items()) if k.lower() == "header").lower() == "true"
+    rows = csv_records(spark, path, sep, opts["quote"], header)
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(whole.schema.fields)])
+    parsed = rows.select(F.from_csv("text", plain.simpleString()[len("struct<"):-1].replace(":", " "),
+                                    {k: v for k, v in opts.items() if k.lower() not in ("header", "inferschema")}).alias("row"))
+    raw = parsed.select(*(F.col("row")[f"c{i}"].alias(f.name) for i, f in enumerate(whole.schema.fields)))
     return type_text_columns(na_to_null(raw))
 
 
