@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -283,6 +284,68 @@ def test_decontamination_edges(edge_docs, no_docs, edge_benchmark):
     assert sorted(dirty) == [5, 5, 7, 8, 9, 9] and clean.count() == len(texts()) - len(dirty)
 
 
+def _blocks_of(items, window):
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def toLocalIterator(self):
+            return iter([{"item": i, "text": t} for i, t in items])
+    return list(decontaminate._item_blocks(Rows(), "item_id", "text", window))
+
+
+def test_long_items_are_cut_into_runs_that_hold_each_window_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 7)
+    items = [("a", " ".join(f"w{i}" for i in range(40))), ("b", "x y"), ("c", "w1 w2 w3 w4"), ("d", None)]
+    blocks = _blocks_of(items, 4)
+    sizes, seen = [], []
+    for block in blocks:
+        got = [(item, w[k:k + 4]) for item, text in block for w in [text.split()] if w for k in range(max(1, len(w) - 3))]
+        sizes.append(len(got))
+        seen += got
+    assert max(sizes) <= 7 + 4 and len(blocks) > 4
+    want = [(item, w[k:k + 4]) for item, text in items for w in [(text or "").encode().split()] if w
+            for k in range(max(1, len(w) - 3))]
+    assert sorted(seen) == sorted(want)
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_window_index_against_brute_force(monkeypatch, same_hash):
+    """Random words of few letters: many equal windows and prefixes; with all hashes equal, only the bytes decide."""
+    if same_hash:
+        monkeypatch.setattr(decontaminate, "word_hashes", lambda words: np.full(len(words), 7, np.uint64))
+    rng = np.random.default_rng(8)
+    draw = lambda n: [bytes([97 + x]) for x in rng.integers(0, 3, n)]
+    items = [(str(i % 5), b" ".join(draw(int(n)))) for i, n in enumerate(rng.integers(0, 9, 12))]
+    index = decontaminate.WindowIndex(items, window=5)
+    counts = {k: np.zeros(len(t.hashes), np.int64) for k, t in index.tables.items()}
+    docs = [draw(int(n)) for n in rng.integers(0, 60, 40)]
+    for words in docs:
+        index.counted(words, counts)
+    index.order_by(counts)
+    windows = {(item, tuple(w[k:k + min(5, len(w))])) for item, t in items for w in [t.split()] if w
+               for k in range(max(1, len(w) - 4))}
+    for words in docs:
+        want = {(s, s + len(w), item) for item, w in windows for s in range(len(words) - len(w) + 1)
+                if tuple(words[s:s + len(w)]) == w}
+        spans, found = index.hits(words)
+        assert sorted(spans) == sorted({(a, b) for a, b, _ in want}) and found == {i for *_, i in want}
+
+
+def test_window_index_memory():
+    """A tenth of a block stays within a tenth of 300 MB."""
+    import tracemalloc
+    rng = np.random.default_rng(2)
+    words = [b"%x" % x for x in rng.integers(0, 1 << 24, 50_000).tolist()]
+    items = [(str(i), b" ".join(words[x] for x in rng.integers(0, len(words), 120).tolist())) for i in range(1_340)]
+    tracemalloc.start()
+    index = decontaminate.WindowIndex(items)
+    index.order_by({})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.at) > decontaminate.BLOCK_WINDOWS / 11 and peak < 30e6 + 40e6 * (decontaminate.CHUNK / len(index.at))
+
+
 def test_covered_ranges():
     for spans in itertools.product([(0, 3), (2, 5), (5, 6), (8, 9)], repeat=3):
         got = decontaminate.covered(list(spans))

@@ -12,8 +12,10 @@ prefix of one shingle is enough: a document can hold a window only if it holds t
 4. Verification: the candidate's words are compared with the window's words, byte by byte.
 
 The index of windows is given to the tasks as a broadcast value. Its size is bounded: the benchmark is taken in blocks
-of at most ``BLOCK_BYTES`` bytes of items, one pair of passes each, and the blocks' hits are merged per document, so
-any size of benchmark works. Documents are never shuffled; hits (rows of documents that hold a window) are.
+of about ``BLOCK_BYTES`` bytes and at most ``BLOCK_WINDOWS`` windows of items (a longer item is cut into overlapping runs),
+one pair of passes each, and the blocks' hits are merged per document, so any size of benchmark works. The index is flat: a
+full block takes less than 300 MB in a worker. Documents are never shuffled; hits (rows of documents that hold a window)
+are. A document's words are in memory at once, about 100 bytes for each word of the longest text.
 
 Cases: null and empty texts have no words and are clean; items without words are passed over; null item ids count as the
 item ``""``; repeated items and documents are allowed (each document row gives a row); other columns are not read.
@@ -22,7 +24,6 @@ item ``""``; repeated items and documents are allowed (each document row gives a
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ from .common import alnum_words, map_slices, ship_package, written
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_BYTES = 16 << 20
+#: Bytes and windows of a block of items, and candidates and windows that are looked at together.
+BLOCK_BYTES, BLOCK_WINDOWS, RUN, CHUNK = 16 << 20, 1_500_000, 1_000_000, 65_536
 #: Width of the bit table that answers most look-ups.
 FILTER_BITS = 20
 
@@ -75,63 +77,135 @@ class Shingles:
 
 
 class WindowIndex:
-    """The distinct windows of a block of items, and after ``order_by`` their prefixes."""
+    """The distinct windows of a block of items, and after ``order_by`` their prefixes, in flat arrays.
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, shingle: int = SHINGLE):
+    The block's words stand in one byte string, one space around each; a window is the number of its first word and a size.
+    Some 70 bytes a window while it is built, 50 after, besides the text.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, shingle: int = SHINGLE):
+        items = [(item, text) for item, text in items if text]
         self.shingle = shingle
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, words in items:
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[k:k + window])].add(item)
-        self.windows = sorted(owners)
-        self.items = [sorted(owners[w]) for w in self.windows]
-        self.text = [b" " + b" ".join(w) + b" " for w in self.windows]
-        self.parts = [shingle_hashes(word_hashes(list(w)), min(shingle, len(w))) for w in self.windows]
+        self.names = [item for item, _ in items]
+        self.text = b" " + b" ".join(text for _, text in items) + b" "
+        spaces = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 0x20)
+        self.begin = spaces  # the space before each word, and after the last one
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *(word_hashes(text.split(b" ")) for _, text in items)])
+        many = np.array([text.count(b" ") + 1 for _, text in items], np.int64)
+        size = np.minimum(many, window)
+        places = many - size + 1
+        base = np.cumsum(many) - many
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), places)
+        at = (np.arange(places.sum()) - np.repeat(np.cumsum(places) - places - base, places)).astype(np.int32)
+        sizes = np.repeat(size.astype(np.int32), places)
+        self._distinct(at, sizes, owner)
         # shingles of short windows have fewer words, so look-ups go by shingle size
-        self.sizes = sorted({min(shingle, len(w)) for w in self.windows})
-        self.tables = {k: Shingles(np.concatenate(
-            [p for p, w in zip(self.parts, self.windows, strict=True) if min(shingle, len(w)) == k])) for k in self.sizes}
-        self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {}
-
-    def order_by(self, counts: dict[tuple[int, int], int]) -> None:
-        """File each window under its rarest shingle (ties: the smaller hash, then the earlier place)."""
-        self.prefix = {k: defaultdict(list) for k in self.sizes}
-        chosen: dict[int, list[np.uint64]] = {k: [] for k in self.sizes}
-        for i, (part, w) in enumerate(zip(self.parts, self.windows, strict=True)):
-            k = min(self.shingle, len(w))
-            idx = np.searchsorted(self.tables[k].hashes, part)
-            at = min(range(len(part)), key=lambda j: (counts.get((k, int(idx[j])), 0), int(part[j]), j))
-            chosen[k].append(part[at])
-            self.prefix[k][int(part[at])].append((i, at))
-        self.lookup = {k: Shingles(np.array(chosen[k], np.uint64)) for k in self.sizes}
-
-    def counted(self, words: list[bytes], into: dict[tuple[int, int], int]) -> None:
+        width = np.minimum(self.size, shingle)
+        self.sizes = np.unique(width).tolist()
+        self.tables = {}
+        for k in self.sizes:
+            used = np.zeros(len(self.hashes) + 1, np.int32)
+            of = width == k
+            np.add.at(used, self.at[of], 1)
+            np.add.at(used, self.at[of] + self.size[of] - k + 1, -1)
+            self.tables[k] = Shingles(shingle_hashes(self.hashes, k)[np.flatnonzero(np.cumsum(used[:-1]) > 0)])
+
+    def _window(self, at: int, size: int) -> bytes:
+        return self.text[self.begin[at]:self.begin[at + size] + 1]
+
+    def _distinct(self, at: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> None:
+        """Keep equal windows once (equal hashes are compared byte by byte), with their items."""
+        mark = np.zeros(len(at), np.uint64)
+        for n in np.unique(sizes).tolist():
+            of = np.flatnonzero(sizes == n)
+            mark[of] = shingle_hashes(self.hashes, n)[at[of]]
+        order = np.argsort(mark, kind="stable").astype(np.int32)
+        mark = mark[order]
+        new = np.concatenate(([True], mark[1:] != mark[:-1]))[:len(at)]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(at), dtype=np.int32), 0))
+        for i in np.flatnonzero(~new).tolist():
+            x, y = int(order[i]), int(order[first[i]])
+            new[i] = sizes[x] != sizes[y] or self._window(int(at[x]), int(sizes[x])) != self._window(int(at[y]), int(sizes[y]))
+        # number the different windows by their places, which keeps look-ups near each other
+        stays = np.sort(order[new])
+        number = np.empty(len(at), np.int32)
+        number[order] = order[new][np.cumsum(new) - 1]
+        self.at, self.size = at[stays].astype(np.int32), sizes[stays]
+        mark[order] = mark.copy()
+        self.mark = mark[stays]
+        number = np.searchsorted(stays, number)
+        items = max(1, len(self.names))
+        pairs = np.unique(number * items + owner)
+        self.owner = (pairs % items).astype(np.int32)
+        self.owners_of = np.searchsorted(pairs // items, np.arange(len(self.at) + 1)).astype(np.int32)
+
+    def order_by(self, counts: dict[int, np.ndarray]) -> None:
+        """File each window under its rarest shingle (ties: the smaller hash, then the earlier place). ``counts``: for each
+        shingle size the number of places of each shingle of the table; shingles past the end have none."""
+        self.offset = np.zeros(len(self.at), np.int32)
+        self.lookup, self.filed, self.bounds = {}, {}, {}
+        width = np.minimum(self.size, self.shingle)
+        for k in self.sizes:
+            of = np.flatnonzero(width == k)
+            table, known = self.tables[k].hashes, np.zeros(len(self.tables[k].hashes), np.int64)
+            given = counts.get(k, known[:0])
+            known[:len(given)] = given
+            h = shingle_hashes(self.hashes, k)
+            often = known[np.minimum(np.searchsorted(table, h), len(table) - 1)]
+            best = np.empty(len(of), np.uint64)
+            for a in range(0, len(of), CHUNK):
+                some = of[a:a + CHUNK]
+                span = np.arange(int(self.size[some].max()) - k + 1)
+                inside = span <= (self.size[some] - k)[:, None]
+                places = np.minimum(self.at[some][:, None] + span, len(h) - 1)
+                n = np.where(inside, often[places], np.iinfo(np.int64).max)
+                x = np.where(n == n.min(axis=1, keepdims=True), h[places], np.uint64(2**64 - 1))
+                self.offset[some] = np.argmin(np.where(inside, x, np.uint64(2**64 - 1)), axis=1)
+                best[a:a + CHUNK] = h[self.at[some] + self.offset[some]]
+            order = np.argsort(best, kind="stable").astype(np.int32)
+            self.lookup[k], self.filed[k] = Shingles(best), of[order].astype(np.int32)
+            self.bounds[k] = np.append(np.searchsorted(best[order], self.lookup[k].hashes), len(of))
+
+    def counted(self, words: list[bytes], into: dict[int, np.ndarray]) -> None:
         """Add the places of the benchmark shingles in a word sequence."""
         h = word_hashes(words)
         for k in self.sizes:
             _, idx = self.tables[k].find(shingle_hashes(h, k))
-            for i, n in zip(*(x.tolist() for x in np.unique(idx, return_counts=True)), strict=True):
-                into[k, i] = into.get((k, i), 0) + n
+            np.add.at(into[k], idx, 1)
+
+    def _candidates(self, h: np.ndarray):
+        """(first words, windows) that a prefix proposes and that keep the bounds, in runs of about ``RUN``."""
+        for k in self.sizes:
+            places, idx = self.lookup[k].find(shingle_hashes(h, k))
+            many = self.bounds[k][idx + 1] - self.bounds[k][idx]
+            cuts = np.flatnonzero(np.diff(np.cumsum(many) // RUN)) + 1
+            for part in np.split(np.arange(len(places)), cuts):
+                each = many[part]
+                inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                which = self.filed[k][np.repeat(self.bounds[k][idx[part]], each) + inner]
+                start = np.repeat(places[part], each) - self.offset[which]
+                ok = (start >= 0) & (start + self.size[which] <= len(h))
+                yield start[ok], which[ok]
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """(start, end) word ranges of all windows in a word sequence, and the items that they come from."""
         h = word_hashes(words)
         joined, begin = None, None
-        spans, items = [], set()
-        for k in self.sizes:
-            at, idx = self.lookup[k].find(shingle_hashes(h, k))
-            for pos, x in zip(at.tolist(), self.lookup[k].hashes[idx].tolist(), strict=True):
-                for i, offset in self.prefix[k][x]:
-                    start, size = pos - offset, len(self.windows[i])
-                    if start < 0 or start + size > len(words):
-                        continue
+        spans, found, marks = [], set(), {}
+        for starts, which in self._candidates(h):
+            for n in np.unique(self.size[which]).tolist():
+                if n not in marks:
+                    marks[n] = shingle_hashes(h, n)
+                of = self.size[which] == n
+                like = of.nonzero()[0][marks[n][starts[of]] == self.mark[which[of]]]
+                for start, w in zip(starts[like].tolist(), which[like].tolist(), strict=True):
                     if joined is None:
                         joined = b" " + b" ".join(words) + b" "
                         begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
-                    if joined.startswith(self.text[i], int(begin[start])):
-                        spans.append((start, start + size))
-                        items.update(self.items[i])
-        return spans, items
+                    if joined.startswith(self._window(int(self.at[w]), n), int(begin[start])):
+                        spans.append((start, start + n))
+                        found.add(w)
+        return spans, {self.names[i] for w in found for i in self.owner[self.owners_of[w]:self.owners_of[w + 1]].tolist()}
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -145,17 +219,28 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items in blocks of bounded size, read through a local iterator (one partition at a time)."""
+def _runs(words: list[bytes], window: int):
+    """The words in runs of at most ``BLOCK_WINDOWS`` windows that hold each window once."""
+    for k in range(0, max(1, len(words) - window + 1), BLOCK_WINDOWS):
+        yield words[k:k + BLOCK_WINDOWS + window - 1]
+
+
+def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int):
+    """The items' words, joined, in blocks of bounded size, read through a local iterator (one partition at a time)."""
     rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("item"),
                             F.col(f"`{text_col}`").alias("text"))
-    block, size = [], 0
+    block, size, windows = [], 0, 0
     for r in rows.toLocalIterator():
-        block.append((r["item"], alnum_words(r["text"])))
-        size += len(r["text"] or "")
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
+        for words in _runs(alnum_words(r["text"]), window):
+            if block and windows + len(words) > BLOCK_WINDOWS + window:
+                yield block
+                block, size, windows = [], 0, 0
+            block.append((r["item"], b" ".join(words)))
+            size += len(block[-1][1])
+            windows += max(1, len(words) - window + 1)
+            if size >= BLOCK_BYTES:
+                yield block
+                block, size, windows = [], 0, 0
     if block:
         yield block
 
@@ -167,7 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ship_package(spark)
     more = [carry] if carry else []
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *more)
-    blocks = _item_blocks(benchmark, item_id_col, "text")
+    blocks = _item_blocks(benchmark, item_id_col, "text", window)
     block, following = next(blocks, []), next(blocks, None)
     if following is None:
         return _block_hits(base, block, window, more)
@@ -182,40 +267,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _block_hits(base: DataFrame, block: list, window: int, more: list[str]) -> DataFrame:
     sc, key = base.sparkSession.sparkContext, uuid.uuid4().hex
     shared = sc.broadcast((block, window))
-    counts = {(r["size"], r["shingle"]): r["n"] for r in _shingle_counts(base, key, shared).collect()}
-    return _find(base, key, shared, sc.broadcast(counts), more)
+    return _find(base, key, shared, sc.broadcast(_shingle_counts(base, key, shared)), more)
 
 
-_INDEX: dict[tuple, WindowIndex] = {}
+_INDEX: dict[str, WindowIndex] = {}
 
 
 def _index(key: str, shared, ordered=None) -> WindowIndex:
     """The index of a broadcast block, built once in each process."""
-    of = (key, ordered is None)
-    if of not in _INDEX:
+    if key not in _INDEX:
         _INDEX.clear()
-        block, window = shared.value
-        index = WindowIndex(block, window)
-        if ordered is not None:
-            index.order_by(ordered.value)
-        _INDEX[of] = index
-    return _INDEX[of]
+        _INDEX[key] = WindowIndex(*shared.value)
+    index = _INDEX[key]
+    if ordered is not None and not hasattr(index, "lookup"):
+        index.order_by(ordered.value)
+    return index
 
 
-def _shingle_counts(base: DataFrame, key: str, shared) -> DataFrame:
-    """(size, shingle, n): places of each benchmark shingle of the block in all documents."""
+def _shingle_counts(base: DataFrame, key: str, shared) -> dict[int, np.ndarray]:
+    """For each shingle size the places of each benchmark shingle of the block in all documents: one number a shingle that
+    occurs, gathered on the driver (a block has at most ``BLOCK_WINDOWS`` windows)."""
     def run(batches):
-        counts: dict[tuple[int, int], int] = {}
+        index = _index(key, shared)
+        counts = {k: np.zeros(len(t.hashes), np.int64) for k, t in index.tables.items()}
         for batch in batches:
             for text in batch.column("text"):
-                _index(key, shared).counted(alnum_words(text.as_py()), counts)
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in keys], pa.int32()), pa.array([i for _, i in keys], pa.int32()),
-             pa.array(list(counts.values()), pa.int64())], ["size", "shingle", "n"])
+                index.counted(alnum_words(text.as_py()), counts)
+        for k, n in counts.items():
+            found = np.flatnonzero(n)
+            for i in range(0, len(found), 100_000):
+                some = found[i:i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)),
+                                                  pa.array(n[some])], ["size", "shingle", "n"])
 
     rows = base.select("text").mapInArrow(run, "size int, shingle int, n bigint")
-    return rows.groupBy("size", "shingle").agg(F.sum("n").alias("n"))
+    sums = rows.groupBy("size", "shingle").agg(F.sum("n").alias("n")).toArrow()
+    size, shingle, n = (sums.column(c).to_numpy() for c in ("size", "shingle", "n"))
+    out = {}
+    for k in np.unique(size).tolist():
+        of = size == k
+        out[k] = np.zeros(int(shingle[of].max()) + 1, np.int64)
+        out[k][shingle[of]] = n[of]
+    return out
 
 
 SPANS = "array<struct<first:bigint,past:bigint>>"
