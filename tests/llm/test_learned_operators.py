@@ -175,6 +175,65 @@ def test_karlin_lambda():
     assert toxicity.karlin_lambda(np.array([1.0]), np.array([-1.0])) > 0
 
 
+def evidence_brute(scores, n, lam, log_k):
+    own = [x for x in sorted((lam * s - log_k - math.log(n) for s in scores), reverse=True) if x > 0]
+    return max((t - (r - 1) * math.log(max(t, 1.0)) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1))
+                for r in range(1, len(own) + 1) for t in [sum(own[:r])]), default=0.0)
+
+
+def test_evidence_of_all_segments():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 3, 12, 40):
+        scores = rng.exponential(4.0, n)
+        assert toxicity.evidence(scores, 50, 0.9, -1.0) == pytest.approx(max(0.0, evidence_brute(scores, 50, 0.9, -1.0)))
+    strong = [toxicity.evidence(np.full(n, 9.0), 1000, 0.9, -1.0) for n in (1, 8, 50)]
+    assert 0 < strong[0] < strong[1] < strong[2]
+
+
+def test_k_from_the_upper_half_of_the_segments():
+    rng = np.random.default_rng(5)
+    found = np.minimum(rng.geometric(0.05, 301), toxicity.TOP_STEPS - 1)
+    counts = np.bincount(found, minlength=toxicity.TOP_STEPS)
+    floor = max(s for s in found.tolist() if (found >= s).sum() >= toxicity.TAIL_SHARE * len(found))
+    expected = math.log((found >= floor).sum() / 9_000) + 0.4 * floor / toxicity.STEPS
+    assert toxicity.karlin_log_k(counts, 9_000, 0.4) == pytest.approx(expected)
+    assert toxicity.karlin_log_k(counts * 0, 9_000, 0.4) == toxicity.karlin_log_k(counts, 0, 0.4) == math.log(1e-3)
+
+
+def every_lambda(steps, times):
+    """The root for counts of scores; the bound of the search is that of all scores a word can have."""
+    share = np.zeros(toxicity.SCORE_STEPS)
+    for s, n in zip(steps, times, strict=True):
+        share[int(round(s - toxicity.LOWEST * toxicity.STEPS))] = n / times.sum()
+    return toxicity.karlin_lambda(share, np.arange(toxicity.SCORE_STEPS) / toxicity.STEPS + toxicity.LOWEST)
+
+
+def test_the_calibration_by_brute_force(small):
+    """lambda, K and the curve from all segments of the examples, one after another."""
+    docs = small("documents", "sf0.01").select("doc_id", "text")
+    labels = toxicity.sampled_labels(small("labels", "sf0.01"))
+    model = toxicity.fit(docs, labels)
+    scores = toxicity.TokenScores(model.drawn)
+    rows = [(r["toxic"], r["weight"], scores.of(toxicity.alnum_words(r["text"]))) for r in toxicity.examples(docs, labels).collect()]
+    clean = [(w, own) for y, w, own in rows if not y]
+    values = np.concatenate([np.repeat(own, w) for w, own in clean])
+    steps, times = np.unique(np.rint(values * toxicity.STEPS), return_counts=True)
+    assert model.lam == pytest.approx(every_lambda(steps, times))
+    found = sorted((round(s.score * toxicity.STEPS) / toxicity.STEPS for w, own in clean
+                    for s in toxicity.maximal_segments(own) for _ in range(w)), reverse=True)
+    if found:
+        floor = max(s for s in found if sum(x >= s for x in found) >= toxicity.TAIL_SHARE * len(found))
+        above = sum(x >= floor for x in found)
+        assert model.log_k == pytest.approx(math.log(above / len(values)) + model.lam * floor)
+    else:
+        assert model.log_k == math.log(1e-3)
+    x = [evidence_brute([s.score for s in toxicity.maximal_segments(own)], max(1, len(own)), model.lam, model.log_k)
+         for _, _, own in rows]
+    bias, slope = toxicity.fit_curve(np.log1p(np.maximum(0, x)), np.array([float(y) for y, *_ in rows]),
+                                     np.array([float(w) for _, w, _ in rows]))
+    assert (model.bias, model.slope) == pytest.approx((bias, slope), rel=1e-4)
+
+
 def test_toxic_documents(small):
     docs, labels = small("documents", "sf0.1"), small("labels", "sf0.1")
     got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}

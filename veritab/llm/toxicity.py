@@ -12,10 +12,11 @@
   sample of labels, not with the corpus.
 * Passages: all maximal scoring segments of a document by the linear-time scan of Ruzzo and Tompa.
 * Calibration: for segments of clean text the expected number that score S or more is ``K n exp(-lambda S)`` (Karlin and
-  Altschul). lambda follows from the clean word distribution, K from the segments of clean labelled documents, in which
-  as in the curve below a text counts as often as it and its near copies occur. A
-  document's evidence is the best p-value of its r best segments together (their sum statistic), and a logistic curve
-  fitted to the labelled documents turns it into a score from 0 to 1.
+  Altschul). lambda follows from the clean word distribution, K from the counts by score of all segments of clean labelled
+  documents, in which as in the curve below a text counts as often as it and its near copies occur. A document's evidence
+  is the best p-value of its r best segments together (their sum statistic), where r may be as large as the document has
+  segments that are evidence by themselves, and a logistic curve fitted to the labelled documents turns it into a score
+  from 0 to 1.
 
 Labels are learnt from at most ``SAMPLE`` labelled documents that are not held out, taken in the order of a seeded hash
 of the id; only their ids and labels are broadcast (that many rows at most). All other counts cover all documents.
@@ -55,8 +56,10 @@ PAIR_GROUPS = 256
 PREFIXES, STEPS = (4, 5, 6, 7, 8, 9, 10), 10
 #: Words whose scores a task remembers, and words and prefixes that it sums before it hands them on (memory only).
 MEMORY, SUMMED = 400_000, 400_000
-#: Segments whose joint evidence is looked at, and the p-value up to which a passage is reported.
-MOST_SEGMENTS, REPORT_P = 8, 0.01
+#: Scores of a word, and of a segment (higher ones count as the highest), in steps.
+SCORE_STEPS, TOP_STEPS = int((HIGHEST - LOWEST) * STEPS) + 1, 1_000
+#: Share of the clean segments that K is taken from, and the p-value up to which a passage is reported.
+TAIL_SHARE, REPORT_P = 0.5, 0.01
 THRESHOLD = 0.3
 
 
@@ -181,16 +184,26 @@ def karlin_lambda(share: np.ndarray, scores: np.ndarray) -> float:
     return max(lo, 1e-3)
 
 
-def evidence(segments: list[Segment], n_words: int, lam: float, log_k: float) -> float:
-    """Minus the log of the best p-value of the r highest segments together, r = 1, 2, ...; 0 without segments."""
-    best = total = 0.0
-    for r, s in enumerate(sorted((x.score for x in segments), reverse=True)[:MOST_SEGMENTS], 1):
-        total += max(0.0, lam * s - log_k - math.log(max(n_words, 1)))
-        if total <= 0:
-            break
-        log_p = -total + (r - 1) * math.log(max(total, 1.0)) - math.lgamma(r + 1) - math.lgamma(r)
-        best = max(best, -log_p)
-    return best
+def evidence(scores: np.ndarray, n_words: int, lam: float, log_k: float) -> float:
+    """Minus the log of the best p-value of the r highest segments together, r = 1, 2, ... up to the last segment that is
+    evidence by itself; 0 without such segments."""
+    own = np.sort(lam * scores - log_k - math.log(max(n_words, 1)))[::-1]
+    total = np.cumsum(own[own > 0])
+    if not len(total):
+        return 0.0
+    r = np.arange(1, len(total) + 1)
+    faculty = np.concatenate(([0.0], np.cumsum(np.log(r))))  # of 0, 1, ..., r
+    return max(0.0, float((total - (r - 1) * np.log(np.maximum(total, 1.0)) + faculty[r] + faculty[r - 1]).max()))
+
+
+def karlin_log_k(segments: np.ndarray, clean_words: int, lam: float) -> float:
+    """log K from the number of segments of clean text by score (in steps): the upper ``TAIL_SHARE`` of them are as many as
+    expected."""
+    if not clean_words or not segments.sum():
+        return math.log(1e-3)
+    above = np.cumsum(segments[::-1])[::-1]
+    floor = int(np.flatnonzero(above >= TAIL_SHARE * above[0])[-1])
+    return math.log(above[floor] / clean_words) + lam * floor / STEPS
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -406,40 +419,45 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     drawn = {p: x for p, x in zip(names, odds.tolist(), strict=True) if x}
     shared, key = docs.sparkSession.sparkContext.broadcast(drawn), uuid.uuid4().hex
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = _scores(key, shared.value)
-        n, tops, seen = [], [], np.zeros(int((HIGHEST - LOWEST) * STEPS) + 1, np.int64)
-        for text, toxic, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "weight")), strict=True):
+    def clean_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scores, words, segments = _scores(key, shared.value), np.zeros(SCORE_STEPS, np.int64), np.zeros(TOP_STEPS, np.int64)
+        for text, weight in zip(batch.column("text").to_pylist(), batch.column("weight").to_pylist(), strict=True):
             own, found = _segments(text, scores)
-            n.append(len(own))
-            tops.append(sorted((float(s.score) for s in found), reverse=True)[:MOST_SEGMENTS])
-            if not toxic:
-                seen += weight * np.bincount(np.rint((own - LOWEST) * STEPS).astype(np.int64), minlength=len(seen))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([batch.column("toxic").to_pylist()], pa.list_(pa.int32())),
-             pa.array([batch.column("weight").to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())),
-             pa.array([tops], pa.list_(pa.list_(pa.float64()))), pa.array([seen.tolist()], pa.list_(pa.int64()))],
-            ["toxic", "weight", "n", "tops", "seen"])
-
-    kinds = "toxic array<int>, weight array<bigint>, n array<bigint>, tops array<array<double>>, seen array<bigint>"
-    found = map_slices(sample.select("text", "toxic", "weight"), one, kinds).collect()
-    steps = np.arange(int((HIGHEST - LOWEST) * STEPS) + 1) / STEPS + LOWEST
-    share = np.sum([p["seen"] for p in found], axis=0) if found else np.zeros(len(steps))
-    lam = karlin_lambda(share / max(1, share.sum()), steps)
-    seen = [x for p in found for x in zip(p["toxic"], p["weight"], p["n"], p["tops"], strict=True)]
-    clean_words = sum(w * n for toxic, w, n, _ in seen if not toxic)
-    clean = sorted((s, w) for toxic, w, _, tops in seen if not toxic for s in tops)
-    log_k = math.log(1e-3)
-    if clean and clean_words:
-        tops, often = np.array([s for s, _ in clean]), np.cumsum([w for _, w in clean])
-        floor = tops[np.searchsorted(often, int(0.5 * (often[-1] - 1)), side="right")]
-        above = often[-1] - (often[tops < floor][-1] if tops[0] < floor else 0)
-        log_k = math.log(above / clean_words) + lam * float(floor)
-    x = np.array([evidence([Segment(0, 0, s) for s in tops], n, lam, log_k) for _, _, n, tops in seen])
-    bias, slope = fit_curve(np.log1p(x), np.array([float(toxic) for toxic, *_ in seen]), np.array([float(w) for _, w, *_ in seen]))
+            words += weight * np.bincount(np.rint((own - LOWEST) * STEPS).astype(np.int64), minlength=SCORE_STEPS)
+            steps = np.rint(np.array([x.score for x in found]) * STEPS).astype(np.int64)
+            segments += weight * np.bincount(np.minimum(steps, TOP_STEPS - 1), minlength=TOP_STEPS)
+        return pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.int64())) for x in (words, segments)],
+                                          ["words", "segments"])
+
+    counted = map_slices(sample.where("toxic = 0").select("text", "weight"), clean_text, "words array<bigint>, segments array<bigint>")
+    words, segments = (_summed(counted.selectExpr(f"posexplode({c}) AS (k, n)"), size)
+                       for c, size in (("words", SCORE_STEPS), ("segments", TOP_STEPS)))
+    lam = karlin_lambda(words / max(1, words.sum()), np.arange(SCORE_STEPS) / STEPS + LOWEST)
+    log_k = karlin_log_k(segments, int(words.sum()), lam)
+
+    def weighed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scores, x = _scores(key, shared.value), []
+        for text in batch.column("text").to_pylist():
+            own, found = _segments(text, scores)
+            x.append(evidence(np.array([s.score for s in found]), len(own), lam, log_k))
+        return pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), pa.array(x, pa.float64())],
+                                          ["toxic", "weight", "x"])
+
+    seen = map_slices(sample.select("text", "toxic", "weight"), weighed, "toxic int, weight bigint, x double").toArrow()
+    toxic, weight, x = (seen.column(c).to_numpy().astype(float) for c in ("toxic", "weight", "x"))
+    order = np.lexsort((x, weight, toxic))  # sums do not depend on the order in which tasks end
+    bias, slope = fit_curve(np.log1p(x[order]), toxic[order], weight[order])
     return Model(drawn, lam, log_k, bias, slope)
 
 
+def _summed(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums of n by k = 0, 1, ..., size - 1."""
+    found = rows.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[found.column("k").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
 PASSAGES = "array<struct<first_word:bigint,past_word:bigint,score:double,p_value:double>>"
 
 
@@ -458,7 +476,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for text in batch.column("text").to_pylist():
             own_scores, found = _segments(text, scores)
             n = len(own_scores)
-            z = m.bias + m.slope * math.log1p(evidence(found, n, m.lam, m.log_k))
+            z = m.bias + m.slope * math.log1p(evidence(np.array([x.score for x in found]), n, m.lam, m.log_k))
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             own = []
             for s in found:
