@@ -352,8 +352,9 @@ def packed(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, i
     counts = written(rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "length-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     offsets = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
+    # the offsets grow with the tasks, so they are not broadcast: the rows lie by (length, part) already for the window
     inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("row_no")) - 1
-    ranked = rows.withColumn("inside", inside).join(offsets.drop("n"), ["length", "part"])
+    ranked = rows.withColumn("inside", inside).join(offsets.drop("n").hint("merge"), ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside")).alias("rank"))
     return placed(ranked, segments(plan(histogram, capacity)))
 
