@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from veritab.llm import decontaminate, packing, quality_votes, simhash_pivots
-from veritab.llm.common import written
+from veritab.llm.common import remove, scratch, written
 
 
 def test_stages(spark, small):
@@ -41,3 +41,17 @@ def test_stages_on_edges(spark, edge_docs, no_docs):
             out = stage(spark, docs, "/root/testdata/sf0.001")
             assert out.columns == docs.columns and out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() >= docs.count()
+
+
+def test_scratch_is_removed(spark, small):
+    with scratch() as made:
+        first = written(small("documents").select("doc_id"), "first")
+        second = written(first.where("doc_id % 2 = 0"), "second")
+        with scratch() as inner:
+            written(second, "third")
+    assert len(made) == 2 and len(inner) == 1
+    n = second.count()
+    remove(spark, made[:1] + inner)
+    assert second.count() == n and spark.read.parquet(made[1]).count() == n
+    folder = spark._jvm.org.apache.hadoop.fs.Path(made[0])
+    assert not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
