@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veritab.llm import decontaminate, language_crf, packing, quality_votes, simhash_pivots
-from veritab.llm.common import written
+from veritab.llm.common import remove, scratch, written
 from veritab.llm.queries import table
 
 
@@ -51,8 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over the table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The result of all stages over the table ``documents``. Once a stage's rows are written, its scratch folders and its
+    input's go; those of the last stage stay, because its result is read from them."""
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+        remove(spark, read + made[:-1])
+        read = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
