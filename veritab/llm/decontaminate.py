@@ -171,12 +171,15 @@ class WindowIndex:
         h = word_hashes(words)
         for k in self.sizes:
             _, idx = self.tables[k].find(shingle_hashes(h, k))
-            np.add.at(into[k], idx, 1)
+            if len(idx):
+                np.add.at(into[k], idx, 1)
 
     def _candidates(self, h: np.ndarray):
         """(first words, windows) that a prefix proposes and that keep the bounds, in runs of about ``RUN``."""
         for k in self.sizes:
             places, idx = self.lookup[k].find(shingle_hashes(h, k))
+            if not len(places):
+                continue
             many = self.bounds[k][idx + 1] - self.bounds[k][idx]
             cuts = np.flatnonzero(np.diff(np.cumsum(many) // RUN)) + 1
             for part in np.split(np.arange(len(places)), cuts):
