@@ -245,6 +245,21 @@ def test_toxic_documents(small):
     assert all(r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == held_out(i) for i, r in got.items())
 
 
+def test_few_labels_rank_held_out_documents(spark):
+    """Nine toxic of 90 texts to learn from, four of ten bad words in each: held-out ones are told apart all the same."""
+    rng = random.Random(8)
+    bad = [f"{c}{c}{c}{c}vile" for c in "abcdefghij"]
+    plain = [f"{a}{b}plain" for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    ids = [i for i in range(400) if not held_out(i)][:90] + [i for i in range(400) if held_out(i)][:80]
+    rows = [(i, int(n % 10 == 0)) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(plain, 60) + (rng.sample(bad, 4) if y else []))) for i, y in rows],
+                                 "doc_id long, text string")
+    got = toxicity.toxicity(docs, spark.createDataFrame(rows, "doc_id long, toxic int")).collect()
+    toxic = dict(rows)
+    pairs = [(r["score"], toxic[r["doc_id"]]) for r in got if r["held_out"]]
+    assert len(pairs) == 80 and auc(pairs) > 0.85
+
+
 def test_scores_of_words_are_exact(small):
     docs = small("documents", "sf0.01").select("doc_id", "text")
     labels = toxicity.sampled_labels(small("labels", "sf0.01"))

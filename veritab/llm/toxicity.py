@@ -5,7 +5,8 @@
   are counted, near copies among the labelled documents once, so that neither one repetitive text nor a group of copies
   makes its words telling. Copies have the same words; near copies have a Jaccard similarity of ``SIMILAR`` or more of
   their shingles, worked out for each pair (sketches only say which pairs to look at). The log-odds are drawn towards zero
-  by ``ERRORS`` standard errors; the most telling of the word itself and its proper prefixes counts (words are compounds
+  by ``ERRORS`` of the errors that the counts are from equal shares (the root of their deviance, which holds for a handful
+  of texts as well, where a word of no clean text has no standard error to speak of); the most telling of the word itself and its proper prefixes counts (words are compounds
   in several languages), and a drift is taken off, so that ordinary text scores negative. Words and prefixes are counted
   as they are, first in the labelled documents. Those whose counts there can give other log-odds than zero, whatever the
   corpus holds, are then counted in all documents; all others score zero. So the tables that are broadcast grow with the
@@ -43,7 +44,7 @@ from .common import alnum_words, held_out, map_slices, ship_package, written
 
 SAMPLE = 20_000
 SEED = 10
-#: Weight of the prior in texts, standard errors of shrinkage, drift, and bounds of a token score.
+#: Weight of the prior in texts, errors of shrinkage, drift, and bounds of a token score.
 PRIOR_TEXTS, ERRORS, DRIFT, LOWEST, HIGHEST = 200.0, 3.0, 0.3, -2.0, 6.0
 #: Smallest shingle hashes that two labelled documents are paired by (one shared is enough), and words of a shingle.
 SKETCHES, SHINGLE = 5, 3
@@ -136,6 +137,15 @@ def maximal_segments(scores: np.ndarray) -> list[Segment]:
     return [Segment(a, b, hi - lo) for a, b, lo, hi, _ in kept]
 
 
+def errors_off(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> np.ndarray:
+    """How many errors the counts are from equal shares of the toxic and the clean texts: the root of their deviance."""
+    n = toxic + clean
+    with np.errstate(divide="ignore", invalid="ignore"):
+        off = [np.where(x > 0, x * np.log(x / n / (total / (all_toxic + all_clean))), 0.0)
+               for x, total in ((toxic, all_toxic), (clean, all_clean))]
+    return np.sqrt(np.maximum(0.0, 2 * (off[0] + off[1])))
+
+
 def drawn_odds(everywhere: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """Log-odds of words and prefixes, drawn towards zero, from their counts in the corpus, in toxic and in clean documents;
     the first place has the numbers of documents.
@@ -147,28 +157,17 @@ def drawn_odds(everywhere: np.ndarray, toxic: np.ndarray, clean: np.ndarray) ->
     a, b = toxic + prior * toxic[0] / both, clean + prior * clean[0] / both
     with np.errstate(divide="ignore", invalid="ignore"):
         odds = np.log(a / max(1.0, toxic[0])) - np.log(b / max(1.0, clean[0]))
-        error = ERRORS * np.sqrt(1 / a + 1 / b)
+        odds *= np.maximum(0.0, 1 - ERRORS / errors_off(toxic, clean, toxic[0], clean[0]))
     odds = np.nan_to_num(odds, nan=0.0, posinf=0.0, neginf=0.0)
     odds[0] = 0.0
-    return (np.sign(odds) * np.maximum(0.0, np.abs(odds) - error)).astype(np.float32)
+    return odds.astype(np.float32)
 
 
 def can_score(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
-    """Where counts in labelled documents give other drawn log-odds than zero for some share in the corpus.
-
-    A larger prior draws the log-odds towards zero and makes the error smaller, so on each interval of the prior its lower
-    end bounds the log-odds and its upper end the error.
-    """
-    found = np.zeros(len(toxic), bool)
+    """Where counts in labelled documents give other drawn log-odds than zero, whatever the share in the corpus."""
     if not all_toxic or not all_clean:
-        return found
-    to_toxic, to_clean = all_toxic / (all_toxic + all_clean), all_clean / (all_toxic + all_clean)
-    ends = np.geomspace(1.0, PRIOR_TEXTS + 1.0, 200)
-    for low, high in zip(ends[:-1] * (1 - 1e-9), ends[1:] * (1 + 1e-9), strict=True):
-        odds = np.log((toxic + low * to_toxic) / all_toxic) - np.log((clean + low * to_clean) / all_clean)
-        error = ERRORS * np.sqrt(1 / (toxic + high * to_toxic) + 1 / (clean + high * to_clean))
-        found |= np.abs(odds) + 1e-9 > error
-    return found
+        return np.zeros(len(toxic), bool)
+    return errors_off(toxic, clean, all_toxic, all_clean) > ERRORS
 
 
 def karlin_lambda(share: np.ndarray, scores: np.ndarray) -> float:
