@@ -134,3 +134,13 @@ def test_ignored_empty_features_are_reported(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b string")
     kept, ignored = PR.select_valid_features(df, ["a", "b"])
     assert kept == ["a"] and ignored == ["b"]
+
+
+def test_split_rows_of_a_large_table_stay_in_their_tasks(spark, monkeypatch):
+    """Three classes and 4,000 rows in 8 tasks: the split and the class labels leave rows in more tasks than classes."""
+    monkeypatch.setattr(PR, "BUCKET_ROWS", 500)
+    df = spark.range(4000).repartition(8).select(F.concat(F.lit("c"), F.col("id") % 3).alias("y"), F.col("id").cast("double").alias("x"))
+    data = PR.prepare(df, "y", ["x"], "Classification").data
+    tasks = data.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(tasks) >= 8 and max(r["n"] for r in tasks) < 1000
+    assert {(r["_split"], r["count"]) for r in data.groupBy("_split").count().collect()} == {("test", 800), ("train", 3200)}

@@ -13,6 +13,7 @@ from ..session import ensure_checkpoint_dir
 from .types import as_text, is_complex, is_string, qc
 
 BROADCAST_ROWS = 200_000       # largest side we broadcast after counting it
+TASK_ROWS = 250_000            # rows of a task that keeps, or goes over and over, whole rows
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
@@ -46,6 +47,13 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """The ``rows`` rows, dealt by the hash of a key of different values over as many tasks as hold ``TASK_ROWS`` each, if
+    the files give fewer tasks than that (a small or well compressed file is one task, whatever its rows)."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, qc(key)) if df.rdd.getNumPartitions() < tasks else df
+
+
 # --------------------------------------------------------------------------------------------
 # long value counts
 # --------------------------------------------------------------------------------------------

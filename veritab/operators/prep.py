@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..session import ensure_checkpoint_dir
-from ..functions.stats import dense_index, distinct_counts, exact_percentiles
+from ..functions.stats import dense_index, distinct_counts, exact_percentiles, maybe_broadcast, spread
 from ..functions.types import as_text, dtypes, is_boolean, is_floating, is_numeric_or_bool, normalise, present, qc
 
 BUCKET_ROWS = 100_000              # different rows of a bucket of the split, on average
@@ -137,11 +137,13 @@ def train_test_split(df: DataFrame, target: str | None = None, stratify: bool =
     bucket, then by hash within that bucket, then (identical rows) by the task of the position, then its rank there. No
     step ranks more than a bucket or what one task has read, so this one algorithm holds for any size, any number of
     groups and any number of identical rows. The keyed rows are checkpointed first so every pass sees the same positions.
+    The last test rows go to the rows of a larger table by broadcast: rows dealt by their group would be as many tasks as
+    there are classes.
     """
     grp = F.coalesce(qc(target).cast("string"), F.lit("")) if stratify else F.lit("")
     ensure_checkpoint_dir(df.sparkSession)
-    keyed = split_key(df, seed).withColumn("_g", grp).checkpoint()
-    n = keyed.count()
+    n = df.count()
+    keyed = spread(split_key(df, seed).withColumn("_g", grp), n, "_rid").checkpoint()
     keyed = keyed.withColumn("_b", F.pmod(F.col("_h"), F.lit(max(1, -(-n // BUCKET_ROWS)))))
     n_test = math.ceil(test_fraction * n)
     sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
@@ -156,7 +158,7 @@ def train_test_split(df: DataFrame, target: str | None = None, stratify: bool =
     last = (rows.withColumn("_place", place).join(cut, "_g").where(F.col("_place") == F.col("need"))
             .select("_g", F.struct("_b", "_h", "_rid").alias("_cut")).checkpoint())
     is_test = F.struct("_b", "_h", "_rid") <= F.col("_cut")
-    return (keyed.join(last, "_g", "left")
+    return (keyed.join(maybe_broadcast(last) if n > BUCKET_ROWS else last, "_g", "left")
             .withColumn("_split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
             .drop("_g", "_h", "_b", "_cut"))
 
@@ -345,14 +347,16 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, seed: in
     feats = valid_features(train, features)
     kinds = {r["column_name"]: r["kind"] for r in feature_kinds(train, feats).collect()}
     model, names = fit_preprocessing(train, feats, kinds)
+    counts = {r["_split"]: int(r["count"]) for r in data.groupBy("_split").count().collect()}
     n_classes = 0
     if task == "Classification":
         classes = class_index(data, target)
         n_classes = classes.count()
+        if sum(counts.values()) > BUCKET_ROWS:
+            classes = maybe_broadcast(classes)             # dealt by class, the rows would be as many tasks as classes
         data = data.join(classes, qc(target) == F.col("__cls")).drop("__cls")
     else:
         data = data.withColumn("label", qc(target).cast("double"))
-    counts = {r["_split"]: int(r["count"]) for r in data.groupBy("_split").count().collect()}
     return Prepared(
         data=data, target=target, task=task, features=feats,
         numeric=[c for c in feats if kinds[c] == "numeric"],
