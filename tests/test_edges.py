@@ -144,3 +144,12 @@ def test_split_rows_of_a_large_table_stay_in_their_tasks(spark, monkeypatch):
     tasks = data.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(tasks) >= 8 and max(r["n"] for r in tasks) < 1000
     assert {(r["_split"], r["count"]) for r in data.groupBy("_split").count().collect()} == {("test", 800), ("train", 3200)}
+
+
+def test_vectors_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr("veritab.functions.stats.TASK_ROWS", 100)
+    df = spark.range(1000).coalesce(1).select(F.col("id").cast("double").alias("x"), (F.col("id") * 7 % 31).cast("double").alias("z"))
+    vec, _, _ = C.prepare_vectors(df, ["x", "z"])
+    rows = vec.select("_rid", F.col("_row.x").alias("x")).collect()
+    assert vec.rdd.getNumPartitions() == 10 and sorted(r["x"] for r in rows) == [float(i) for i in range(1000)]
+    assert all(r["_rid"] == int(r["x"]) for r in rows)

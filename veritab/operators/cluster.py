@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.stats import distinct_counts
+from ..functions.stats import distinct_counts, spread
 from ..functions.types import as_text, dtypes, is_numeric_or_bool, normalise, qc
 from ..session import ensure_checkpoint_dir, ship_sources
 from .prep import feature_kinds, fit_preprocessing, valid_features
@@ -79,7 +79,7 @@ def prepare_vectors(df: DataFrame, features: list[str]) -> tuple[DataFrame, list
                        F.monotonically_increasing_id().alias("_rid"))
     kinds = {r["column_name"]: r["kind"] for r in feature_kinds(base, feats).collect()}
     model, names = fit_preprocessing(base, feats, kinds)
-    vec = model.transform(base).select("_rid", "_row", "features").checkpoint()
+    vec = spread(model.transform(base).select("_rid", "_row", "features"), base.count(), "_rid").checkpoint()
     return vec, feats, names
 
 
