@@ -174,3 +174,10 @@ def test_no_python_in_the_plans(planted):
     for df in (out, P.matches(docs, "doc_id", "text"), P.examples(P.matches(docs, "doc_id", "text"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_examples_of_all_base_matches(spark):
+    """20,500 failed matches give 20,500 examples: none are left out, whatever their number."""
+    span = "named_struct('kind', 2, 'value', cast(id + 1000 as string), 'before', '', 'after', '', 'from', 0L, 'to', 4L, 'ok', false)"
+    table = spark.range(20_500).selectExpr(f"array({span}) AS base")
+    assert P.examples(table).select("value").distinct().count() == 20_500

@@ -9,8 +9,7 @@
    before the span). Spans are short, so features are SQL functions over arrays within the row.
 4. Training without labels: base matches that pass their check are examples of personal data, those that fail are not.
    Both are rewritten as the loose patterns would meet them (plus sign dropped, "(at)", other separators) or spoilt
-   (checksum broken, part out of range, cut to a date or a plain number). Of all base matches at most ``SAMPLE`` are taken,
-   in the order of a hash. One half trains gradient-boosted trees, the other calibrates: a kind's threshold is the lowest score
+   (checksum broken, part out of range, cut to a date or a plain number). All base matches are taken. One half trains gradient-boosted trees, the other calibrates: a kind's threshold is the lowest score
    at and above which ``PRECISION`` of its calibration examples are personal data (a failure is added to what is seen, so
    that few examples prove nothing).
 5. The trees become SQL expressions. A candidate at its threshold or above is added unless one that overlaps it has a
@@ -77,8 +76,6 @@ IN_RANGE = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}0*(?:25[0-5]|2[0-4
 FILL = "\ufdd0"
 #: Characters kept before and after a span, and of a span itself, for its features.
 CONTEXT, VALUE = 40, 300
-#: Base matches from which training examples are made.
-SAMPLE = 20_000
 SEED = 11
 ROUNDS, DEPTH, STEP = 25, 4, 0.2
 PRECISION = 0.95
@@ -218,9 +215,9 @@ def features(span: Column) -> Column:
 
 
 def examples(table: DataFrame) -> DataFrame:
-    """kind, value, before, after, label, part: base matches of a bounded sample, rewritten and spoilt."""
+    """kind, value, before, after, label, part: all base matches, rewritten and spoilt."""
     seeds = table.select(F.explode("base").alias("s")).select("s.*")
-    seeds = seeds.orderBy(F.xxhash64(F.lit(SEED), "value", "before", "after", "from"), "value", "from").limit(SAMPLE)
+    seeds = seeds.orderBy(F.xxhash64(F.lit(SEED), "value", "before", "after", "from"), "value", "from")
     value, digits = F.col("value"), _digits(F.col("value"))
     kind = {k: F.col("kind") == i for i, k in enumerate(KINDS)}
     four = F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2))
