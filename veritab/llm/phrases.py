@@ -52,6 +52,8 @@ SLICE = 4 << 20
 PART_BYTES = 24 << 20
 #: Counts of words that a task gathers before it hands them on.
 GATHER = 1 << 20
+#: Counts of phrases, which are strings, that a task gathers before it hands them on.
+GATHER_PHRASES = 1 << 19
 #: Languages (and shards) whose local support goes to the tasks; in any others every run is a candidate.
 MOST_GROUPS = 500_000
 #: The number of a group is a multiple of this, from its language, plus its shard.
@@ -233,10 +235,10 @@ def global_counts(docs: DataFrame, candidates: KeySet, support: int) -> DataFram
     def run(batches):
         known, held = KeySet(share.value), []
         for batch in batches:
-            if sum(map(len, held)) > GATHER:
-                yield from gathered(held)
-                held = []
             for runs, langs, _, names in _rows(batch):
+                if sum(map(len, held)) > GATHER_PHRASES:
+                    yield from gathered(held)
+                    held = []
                 here = langs[runs.row].astype(np.int64)
                 ids, wide = runs.ids, max(len(runs.words), 1)
                 code, words = here * wide + ids, runs.words.cast(pa.large_string())
