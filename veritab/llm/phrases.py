@@ -51,9 +51,9 @@ SLICE = 4 << 20
 #: Text bytes whose counts meet in one partition.
 PART_BYTES = 24 << 20
 #: Counts of words that a task gathers before it hands them on.
-GATHER = 1 << 20
+GATHER = 1 << 19
 #: Counts of phrases, which are strings, that a task gathers before it hands them on.
-GATHER_PHRASES = 1 << 19
+GATHER_PHRASES = 1 << 18
 #: Languages (and shards) whose local support goes to the tasks; in any others every run is a candidate.
 MOST_GROUPS = 500_000
 #: The number of a group is a multiple of this, from its language, plus its shard.
