@@ -234,6 +234,19 @@ def test_the_calibration_by_brute_force(small):
     assert (model.bias, model.slope) == pytest.approx((bias, slope), rel=1e-4)
 
 
+@pytest.mark.parametrize(("toxic", "clean", "first"), [(152, 1633, 4.85), (223, 2840, 3.53), (284, 1950, 4.69)])
+def test_toxic_curve_of_classes_far_apart(toxic, clean, first):
+    """Whole Newton steps swing to and fro here and end with all scores near zero."""
+    x = np.concatenate([np.linspace(first, first + 1.5, toxic), np.zeros(clean - clean // 20), np.linspace(0, 0.9 * first, clean // 20)])
+    y = np.concatenate([np.ones(toxic), np.zeros(clean)])
+    weight = np.ones(len(x))
+    bias, slope = toxicity.fit_curve(x, y, weight)
+    p = 1 / (1 + np.exp(-(bias + slope * x)))
+    assert (p[y > 0] >= 0.3).all() and (p[y == 0] < 0.3).all()
+    a = np.stack([np.ones_like(x), x], axis=1)
+    assert np.abs(a.T @ (p - y) + 1e-3 * np.array([bias, slope])).max() < 1e-3     # the gradient at the optimum
+
+
 def test_toxic_documents(small):
     docs, labels = small("documents", "sf0.1"), small("labels", "sf0.1")
     got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}

@@ -206,18 +206,32 @@ def karlin_log_k(segments: np.ndarray, clean_words: int, lam: float) -> float:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression on one number, by Newton steps with a small ridge; the slope is not negative."""
+    """Weighted logistic regression on one number, by Newton steps with a small ridge; the slope is not negative.
+
+    A step that does not lower the loss is halved until it does: whole steps swing to and fro where the classes are far
+    apart, and would end anywhere."""
     share = (weight @ y + 0.5) / (weight.sum() + 1.0)
     w = np.array([math.log(share / (1 - share)), 0.0])
     if not len(y) or not 0 < y.sum() < len(y):
         return float(w[0]), 0.0
     a = np.stack([np.ones_like(x), x], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2),
-                               a.T @ (weight * (y - p)) - 1e-3 * w)
-        w = w + np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(weight @ (np.logaddexp(0.0, z) - y * z) + 0.5e-3 * w @ w)
+
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        down = a.T @ (weight * (y - p)) - 1e-3 * w
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), down)
+        size = 1.0
+        while (then := loss(w + size * step)) > now - 1e-4 * size * (down @ step) and size > 1e-10:
+            size /= 2
+        if not then < now:
+            break
+        w, now = w + size * step, then
+        if np.abs(size * step).max() < 1e-8:
             break
     return (float(w[0]), float(w[1])) if w[1] > 0 else (math.log(share / (1 - share)), 0.0)
 
