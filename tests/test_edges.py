@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from veritab.functions import rules as R
-from veritab.functions.stats import materialize_small, top_k_per_key, value_counts
+from veritab.functions.stats import materialize_small, spread, top_k_per_key, value_counts
 from veritab.operators import cluster as C
 from veritab.operators import eda as E
 from veritab.operators import prep as PR
@@ -146,6 +146,17 @@ def test_split_rows_of_a_large_table_stay_in_their_tasks(spark, monkeypatch):
     assert {(r["_split"], r["count"]) for r in data.groupBy("_split").count().collect()} == {("test", 800), ("train", 3200)}
 
 
+def test_rows_of_one_task_among_empty_ones_are_dealt(spark, monkeypatch):
+    """A file of one row group that is cut by its bytes: as many tasks as asked for, but all rows are in one of them."""
+    monkeypatch.setattr("veritab.functions.stats.TASK_ROWS", 100)
+    df = spark.range(1000).repartition(16, F.lit(1))
+    dealt = spread(df, 1000, "id")
+    most = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    assert most < 200 and sorted(r["id"] for r in dealt.collect()) == list(range(1000))
+    even = spark.range(1000).repartition(16)
+    assert spread(even, 1000, "id") is even and spread(df, 100, "id") is df
+
+
 def test_vectors_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr("veritab.functions.stats.TASK_ROWS", 100)
     df = spark.range(1000).coalesce(1).select(F.col("id").cast("double").alias("x"), (F.col("id") * 7 % 31).cast("double").alias("z"))

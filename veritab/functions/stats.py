@@ -49,9 +49,13 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
     """The ``rows`` rows, dealt by the hash of a key of different values over as many tasks as hold ``TASK_ROWS`` each, if
-    the files give fewer tasks than that (a small or well compressed file is one task, whatever its rows)."""
+    one task has more of them than that. The rows of the tasks are counted: a file is cut by its bytes into as many tasks,
+    but all rows of a row group fall to one of them, and the others are empty."""
     tasks = -(-rows // TASK_ROWS)
-    return df.repartition(tasks, qc(key)) if df.rdd.getNumPartitions() < tasks else df
+    if tasks <= 1:
+        return df
+    most = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return df.repartition(tasks, qc(key)) if most > TASK_ROWS else df
 
 
 # --------------------------------------------------------------------------------------------
