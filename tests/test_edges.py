@@ -9,6 +9,7 @@ from veritab.functions import rules as R
 from veritab.functions.stats import materialize_small, spread, top_k_per_key, value_counts
 from veritab.operators import cluster as C
 from veritab.operators import eda as E
+from veritab.operators import models as MD
 from veritab.operators import prep as PR
 from veritab.operators import profile as P
 
@@ -146,6 +147,19 @@ def test_split_rows_of_a_large_table_stay_in_their_tasks(spark, monkeypatch):
     assert {(r["_split"], r["count"]) for r in data.groupBy("_split").count().collect()} == {("test", 800), ("train", 3200)}
 
 
+def test_split_rows_of_a_larger_table_are_held_until_the_vectors_are_made(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") % 2).cast("string").alias("y"), (F.col("id") * 7 % 31).cast("double").alias("x"))
+    want = {tuple(r) for r in PR.prepare(df, "y", ["x"], "Classification").vectors().select("_split", "_rid", "label").collect()}
+    monkeypatch.setattr(PR, "BUCKET_ROWS", 5000)
+    assert PR.prepare(df, "y", ["x"], "Classification").held is None
+    monkeypatch.setattr(PR, "BUCKET_ROWS", 3999)
+    prep = PR.prepare(df, "y", ["x"], "Classification")
+    assert prep.held.storageLevel.useMemory
+    assert {(r["_rid"], r["label"]) for r in prep.vectors().collect()} == {x[1:] for x in want} and len(want) == 4000
+    MD.train_baselines(prep, [MD.LOGISTIC]).release()
+    assert not prep.held.storageLevel.useMemory
+
+
 def test_rows_of_one_task_among_empty_ones_are_dealt(spark, monkeypatch):
     """A file of one row group that is cut by its bytes: as many tasks as asked for, but all rows are in one of them."""
     monkeypatch.setattr("veritab.functions.stats.TASK_ROWS", 100)

@@ -103,6 +103,7 @@ def train_baselines(prep: Prepared, only: list[str] | None = None,
     """Fit each baseline on the train vectors (cached: the models iterate over them) and score the test
     split. The vector frame is checkpointed once, so models never recompute the preprocessing."""
     vec = prep.vectors().checkpoint()
+    prep.release()
     train = vec.where(F.col("_split") == "train").persist()
     test = vec.where(F.col("_split") == "test")
     out = Baselines(prepared=prep, train=train, test=test)

@@ -251,6 +251,12 @@ class Prepared:
     n_classes: int = 0
     n_train: int = 0
     n_test: int = 0
+    held: DataFrame | None = None    # the split rows of a larger table, cached for the passes over them
+
+    def release(self) -> None:
+        """Drop the cached rows once the vectors are made."""
+        if self.held is not None:
+            self.held.unpersist()
 
     def vectors(self) -> DataFrame:
         return self.model.transform(self.data).select("_split", "_rid", "label", "features")
@@ -343,11 +349,14 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, seed: in
     data = drop_null_target(normalise(select_features(df, features, target)), target)
     strat = should_stratify(data, target, task)
     data = train_test_split(data, target, strat, test_fraction, seed)   # narrow over a checkpointed frame
+    counts = {r["_split"]: int(r["count"]) for r in data.groupBy("_split").count().collect()}
+    held = None
+    if sum(counts.values()) > BUCKET_ROWS:
+        held = data.persist()                              # a pass over a checkpoint decodes every column of every row
     train = data.where(F.col("_split") == "train")
     feats = valid_features(train, features)
     kinds = {r["column_name"]: r["kind"] for r in feature_kinds(train, feats).collect()}
     model, names = fit_preprocessing(train, feats, kinds)
-    counts = {r["_split"]: int(r["count"]) for r in data.groupBy("_split").count().collect()}
     n_classes = 0
     if task == "Classification":
         classes = class_index(data, target)
@@ -363,5 +372,5 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, seed: in
         one_hot=[c for c in feats if kinds[c] == "one_hot"],
         ordinal=[c for c in feats if kinds[c] == "ordinal"],
         model=model, feature_names=names, n_classes=n_classes,
-        n_train=counts.get("train", 0), n_test=counts.get("test", 0),
+        n_train=counts.get("train", 0), n_test=counts.get("test", 0), held=held,
     )
