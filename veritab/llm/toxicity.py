@@ -226,10 +226,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
         down = a.T @ (weight * (y - p)) - 1e-3 * w
         step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), down)
         size = 1.0
-        while (then := loss(w + size * step)) > now - 1e-4 * size * (down @ step) and size > 1e-10:
+        while (then := loss(w + size * step)) > now - 1e-4 * size * (down @ step) + 1e-12 * now and size > 1e-10:
             size /= 2
-        if not then < now:
-            break
         w, now = w + size * step, then
         if np.abs(size * step).max() < 1e-8:
             break
