@@ -171,6 +171,19 @@ def test_rows_of_one_task_among_empty_ones_are_dealt(spark, monkeypatch):
     assert spread(even, 1000, "id") is even and spread(df, 100, "id") is df
 
 
+def test_dealt_rows_fill_the_cores_in_whole_rounds(spark, monkeypatch):
+    """Five tasks on four cores take as long as eight, and each is longer."""
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr("veritab.functions.stats.TASK_ROWS", 100)
+    monkeypatch.setattr("veritab.functions.stats.FEW_ROWS", 10)
+    rows = 100 * cores + 50
+    dealt = spread(spark.range(rows).coalesce(1), rows, "id")
+    assert dealt.rdd.getNumPartitions() == 2 * cores and dealt.count() == rows
+    monkeypatch.setattr("veritab.functions.stats.FEW_ROWS", 60)
+    few = spread(spark.range(120).coalesce(1), 120, "id")                  # no more tasks than rows are worth
+    assert few.rdd.getNumPartitions() == 2 and few.count() == 120
+
+
 def test_vectors_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr("veritab.functions.stats.TASK_ROWS", 100)
     df = spark.range(1000).coalesce(1).select(F.col("id").cast("double").alias("x"), (F.col("id") * 7 % 31).cast("double").alias("z"))

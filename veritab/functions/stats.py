@@ -14,6 +14,7 @@ from .types import as_text, is_complex, is_string, qc
 
 BROADCAST_ROWS = 200_000       # largest side we broadcast after counting it
 TASK_ROWS = 250_000            # rows of a task that keeps, or goes over and over, whole rows
+FEW_ROWS = TASK_ROWS // 10     # rows below which a task is not worth its start
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
@@ -50,10 +51,13 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
     """The ``rows`` rows, dealt by the hash of a key of different values over as many tasks as hold ``TASK_ROWS`` each, if
     one task has more of them than that. The rows of the tasks are counted: a file is cut by its bytes into as many tasks,
-    but all rows of a row group fall to one of them, and the others are empty."""
+    but all rows of a row group fall to one of them, and the others are empty. There are more tasks, down to ``FEW_ROWS``
+    each, until the cores run them in whole rounds: fits go over the rows hundreds of times, each time waiting for the last."""
     tasks = -(-rows // TASK_ROWS)
     if tasks <= 1:
         return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(tasks, min(-(-tasks // cores) * cores, rows // FEW_ROWS))
     most = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     return df.repartition(tasks, qc(key)) if most > TASK_ROWS else df
 
