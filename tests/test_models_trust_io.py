@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from veritab.functions import messages as T
@@ -38,6 +39,19 @@ def test_ml_pipeline_regression(spark, reg_150):
     assert ("Random Forest", "RMSE") in met
 
 
+def test_boosting_of_numbers_keeps_no_node_of_each_row(spark):
+    """A level goes over the rows once; caching their nodes takes a second pass and gives the same trees."""
+    rows = [(float(i % 17), float(i * 7 % 23), float((i % 17) * (i * 7 % 23) + i % 3)) for i in range(400)]
+    train = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(
+        spark.createDataFrame(rows, "x double, z double, label double"))
+    boost = dict(MD.regressors(400, 1.0))[MD.BOOSTING]
+    assert not boost.getCacheNodeIds()
+    few = boost.copy({boost.maxIter: 5})
+    plain, kept = few.fit(train), few.copy({few.cacheNodeIds: True}).fit(train)
+    assert plain.treeWeights == kept.treeWeights
+    assert [t.toDebugString.split("\n", 1)[1] for t in plain.trees] == [t.toDebugString.split("\n", 1)[1] for t in kept.trees]
+
+
 def test_validation_flags_multicollinearity(spark, class_150):
     log = TR.run_checks(class_150, "churn", ["age", "income", "region", "occupation"], "Classification",
                         train_score=0.85, test_score=0.5)

@@ -39,8 +39,9 @@ def regressors(n_train: int, label_std: float, forest_depth: int = FOREST_MAX_DE
                              standardization=False, solver="normal")
     rf = RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=forest_depth, featureSubsetStrategy="all",
                                seed=R.SEED, maxMemoryInMB=1024, cacheNodeIds=True)
+    # one shallow tree at a time: walking it costs a level less than caching the node of every row; the trees are the same
     gbt = GBTRegressor(maxIter=BOOST_ROUNDS, stepSize=BOOST_STEP, maxDepth=BOOST_MAX_DEPTH, seed=R.SEED,
-                       cacheNodeIds=True)
+                       cacheNodeIds=False)
     return [(RIDGE, ridge), (FOREST, rf), (BOOSTING, gbt)]
 
 
