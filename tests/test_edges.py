@@ -147,6 +147,19 @@ def test_split_rows_of_a_large_table_stay_in_their_tasks(spark, monkeypatch):
     assert {(r["_split"], r["count"]) for r in data.groupBy("_split").count().collect()} == {("test", 800), ("train", 3200)}
 
 
+def test_narrowing_of_a_large_split_moves_no_rows(spark, monkeypatch):
+    """What each step keeps, one row a class, goes to the rows; dealt by it, all rows would be moved three times."""
+    sides = []
+    monkeypatch.setattr(PR, "maybe_broadcast", lambda df: sides.append((df.columns[1], df.count())) or F.broadcast(df))
+    df = spark.range(4000).select((F.col("id") % 3).cast("string").alias("y"), F.col("id").cast("double").alias("x"))
+    want = {r["x"] for r in PR.train_test_split(df, "y", True).where("_split = 'test'").collect()}
+    assert not sides
+    monkeypatch.setattr(PR, "BUCKET_ROWS", 3999)                 # two buckets, so the counts are narrowed by them too
+    got = PR.train_test_split(df, "y", True).groupBy("y", "_split").count().collect()
+    assert sides == [("_b", 3), ("_h", 3), ("_task", 3), ("_cut", 3)]
+    assert sum(r["count"] for r in got if r["_split"] == "test") == len(want) == 800 and sum(r["count"] for r in got) == 4000
+
+
 def test_split_rows_of_a_larger_table_are_held_until_the_vectors_are_made(spark, monkeypatch):
     df = spark.range(4000).select((F.col("id") % 2).cast("string").alias("y"), (F.col("id") * 7 % 31).cast("double").alias("x"))
     want = {tuple(r) for r in PR.prepare(df, "y", ["x"], "Classification").vectors().select("_split", "_rid", "label").collect()}

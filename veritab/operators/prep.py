@@ -137,8 +137,8 @@ def train_test_split(df: DataFrame, target: str | None = None, stratify: bool =
     bucket, then by hash within that bucket, then (identical rows) by the task of the position, then its rank there. No
     step ranks more than a bucket or what one task has read, so this one algorithm holds for any size, any number of
     groups and any number of identical rows. The keyed rows are checkpointed first so every pass sees the same positions.
-    The last test rows go to the rows of a larger table by broadcast: rows dealt by their group would be as many tasks as
-    there are classes.
+    What narrows and the last test rows go to the rows of a larger table by broadcast: rows dealt by their group would be as
+    many tasks as there are classes, and rows dealt by their bucket would all be moved in each step.
     """
     grp = F.coalesce(qc(target).cast("string"), F.lit("")) if stratify else F.lit("")
     ensure_checkpoint_dir(df.sparkSession)
@@ -152,7 +152,8 @@ def train_test_split(df: DataFrame, target: str | None = None, stratify: bool =
     cut = wanted
     for key in ("_b", "_h", "_task"):
         cut = _narrowed(rows, cut, key)
-        rows = rows.join(cut.select("_g", key), ["_g", key])
+        held = cut.select("_g", key)
+        rows = rows.join(maybe_broadcast(held) if n > BUCKET_ROWS else held, ["_g", key])
         cut = cut.select("_g", "need")
     place = F.row_number().over(Window.partitionBy("_g").orderBy("_rid"))
     last = (rows.withColumn("_place", place).join(cut, "_g").where(F.col("_place") == F.col("need"))
