@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from . import metrics as M
 from .boosting import SoftmaxBoosting
-from .prep import Prepared
+from .cells import CellForest
+from .prep import BUCKET_ROWS, Prepared
 
 LOGISTIC, FOREST, BOOSTING, RIDGE = "Logistic Regression", "Random Forest", "Gradient Boosting", "Ridge Regression"
 FOREST_TREES = 100
@@ -30,7 +31,9 @@ def classifiers(n_train: int, n_classes: int, forest_depth: int = FOREST_MAX_DEP
     rf = RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=forest_depth, featureSubsetStrategy="sqrt",
                                 seed=R.SEED, maxMemoryInMB=1024, cacheNodeIds=True)
     boost = SoftmaxBoosting(n_classes, BOOST_ROUNDS, BOOST_MAX_DEPTH, BOOST_STEP)
-    return [(LOGISTIC, lr), (FOREST, rf), (BOOSTING, boost)]
+    # MLlib keeps a weight and a node of each row for each tree, which outgrows the disk
+    forest = CellForest(rf, max(n_classes, 2), "sqrt") if n_train > BUCKET_ROWS else rf
+    return [(LOGISTIC, lr), (FOREST, forest), (BOOSTING, boost)]
 
 
 def regressors(n_train: int, label_std: float, forest_depth: int = FOREST_MAX_DEPTH):
@@ -124,9 +127,14 @@ def train_baselines(prep: Prepared, only: list[str] | None = None,
         pred = model.transform(test)
         if prep.task == "Classification":
             pred = _score_columns(pred, n_classes)
+            kept = prep.n_train > BUCKET_ROWS              # the metrics go over the scores several times
+            if kept:
+                pred = pred.select("_rid", "label", "prediction", "scores").persist()
             met = M.classification_metrics(pred, "label", "prediction", binary=out.binary,
                                            positive=float(n_classes - 1))
             met = met.unionByName(_auc(pred, n_classes, test_classes))
+            if kept:
+                pred.unpersist()
             pred = pred.select("_rid", "label", "prediction", "scores")
         else:
             met = M.regression_metrics(pred, "label", "prediction")
