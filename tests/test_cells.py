@@ -128,3 +128,8 @@ def test_larger_forests_of_classes_are_grown_on_cells_and_others_on_rows():
     assert type(dict(MD.classifiers(400, 3))[MD.FOREST]) is RandomForestClassifier
     forest = dict(MD.classifiers(2_000_000, 3))[MD.FOREST]
     assert type(forest) is C.CellForest and (forest.mllib.getNumTrees(), forest.mllib.getMaxDepth()) == (100, 30)
+
+
+def test_larger_forests_of_numbers_are_grown_on_cells_and_others_on_rows():
+    assert type(dict(MD.regressors(400, 1.0))[MD.FOREST]) is RandomForestRegressor
+    assert type(dict(MD.regressors(2_000_000, 1.0))[MD.FOREST]) is C.CellForest

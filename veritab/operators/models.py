@@ -45,6 +45,8 @@ def regressors(n_train: int, label_std: float, forest_depth: int = FOREST_MAX_DE
     # one shallow tree at a time: walking it costs a level less than caching the node of every row; the trees are the same
     gbt = GBTRegressor(maxIter=BOOST_ROUNDS, stepSize=BOOST_STEP, maxDepth=BOOST_MAX_DEPTH, seed=R.SEED,
                        cacheNodeIds=False)
+    if n_train > BUCKET_ROWS:
+        return [(RIDGE, ridge), (FOREST, CellForest(rf)), (BOOSTING, gbt)]
     return [(RIDGE, ridge), (FOREST, rf), (BOOSTING, gbt)]
 
 
