@@ -133,3 +133,14 @@ def test_larger_forests_of_classes_are_grown_on_cells_and_others_on_rows():
 def test_larger_forests_of_numbers_are_grown_on_cells_and_others_on_rows():
     assert type(dict(MD.regressors(400, 1.0))[MD.FOREST]) is RandomForestRegressor
     assert type(dict(MD.regressors(2_000_000, 1.0))[MD.FOREST]) is C.CellForest
+
+
+def test_larger_boosting_of_numbers_is_grown_on_cells_unless_there_are_too_many(spark, monkeypatch):
+    assert type(dict(MD.regressors(400, 1.0))[MD.BOOSTING]) is GBTRegressor
+    boost = dict(MD.regressors(2_000_000, 1.0))[MD.BOOSTING]
+    assert type(boost) is C.CellBoosting and boost.mllib.getMaxIter() == 100
+    x, y = rows(400)
+    monkeypatch.setattr(C, "TREE_CELLS", 100)
+    df = frame(spark, x, y)
+    gbt = GBTRegressor(maxIter=2, maxDepth=2, seed=1)
+    assert predictions(C.CellBoosting(gbt).fit(df), df) == predictions(gbt.fit(df), df)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from . import metrics as M
 from .boosting import SoftmaxBoosting
-from .cells import CellForest
+from .cells import CellBoosting, CellForest
 from .prep import BUCKET_ROWS, Prepared
 
 LOGISTIC, FOREST, BOOSTING, RIDGE = "Logistic Regression", "Random Forest", "Gradient Boosting", "Ridge Regression"
@@ -46,7 +46,7 @@ def regressors(n_train: int, label_std: float, forest_depth: int = FOREST_MAX_DE
     gbt = GBTRegressor(maxIter=BOOST_ROUNDS, stepSize=BOOST_STEP, maxDepth=BOOST_MAX_DEPTH, seed=R.SEED,
                        cacheNodeIds=False)
     if n_train > BUCKET_ROWS:
-        return [(RIDGE, ridge), (FOREST, CellForest(rf)), (BOOSTING, gbt)]
+        return [(RIDGE, ridge), (FOREST, CellForest(rf)), (BOOSTING, CellBoosting(gbt))]
     return [(RIDGE, ridge), (FOREST, rf), (BOOSTING, gbt)]
 
 
