@@ -144,3 +144,15 @@ def test_larger_boosting_of_numbers_is_grown_on_cells_unless_there_are_too_many(
     df = frame(spark, x, y)
     gbt = GBTRegressor(maxIter=2, maxDepth=2, seed=1)
     assert predictions(C.CellBoosting(gbt).fit(df), df) == predictions(gbt.fit(df), df)
+
+
+def test_forest_and_boosting_of_numbers_bin_the_rows_once(spark, monkeypatch):
+    x, y = rows(300)
+    df, dealt = frame(spark, x, y), []
+    deal = C.dealt_rows
+    monkeypatch.setattr(C, "dealt_rows", lambda *a: dealt.append(1) or deal(*a))
+    models = dict(MD.regressors(2_000_000, 1.0, 4))
+    for name in (MD.FOREST, MD.BOOSTING):
+        models[name].mllib = models[name].mllib.copy({models[name].mllib.maxDepth: 2})
+        assert models[name].fit(df).transform(df).count() == 300
+    assert len(dealt) == 1

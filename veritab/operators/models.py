@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..session import collect_garbage
 from . import metrics as M
 from .boosting import SoftmaxBoosting
 from .cells import CellBoosting, CellForest
@@ -46,7 +47,8 @@ def regressors(n_train: int, label_std: float, forest_depth: int = FOREST_MAX_DE
     gbt = GBTRegressor(maxIter=BOOST_ROUNDS, stepSize=BOOST_STEP, maxDepth=BOOST_MAX_DEPTH, seed=R.SEED,
                        cacheNodeIds=False)
     if n_train > BUCKET_ROWS:
-        return [(RIDGE, ridge), (FOREST, CellForest(rf)), (BOOSTING, CellBoosting(gbt))]
+        binned: dict = {}                                  # both go over the same rows
+        return [(RIDGE, ridge), (FOREST, CellForest(rf, binned=binned)), (BOOSTING, CellBoosting(gbt, binned))]
     return [(RIDGE, ridge), (FOREST, rf), (BOOSTING, gbt)]
 
 
@@ -108,6 +110,10 @@ def train_baselines(prep: Prepared, only: list[str] | None = None,
                     forest_depth: int = FOREST_MAX_DEPTH) -> Baselines:
     """Fit each baseline on the train vectors (cached: the models iterate over them) and score the test
     split. The vector frame is checkpointed once, so models never recompute the preprocessing."""
+    large = prep.n_train > BUCKET_ROWS
+    spark = prep.data.sparkSession
+    if large:
+        collect_garbage(spark)                             # the rows as they were dealt for the split
     vec = prep.vectors().checkpoint()
     prep.release()
     train = vec.where(F.col("_split") == "train").persist()
@@ -125,17 +131,18 @@ def train_baselines(prep: Prepared, only: list[str] | None = None,
     for order, (name, est) in enumerate(models):
         if only and name not in only:
             continue
+        if large:
+            collect_garbage(spark)                         # what the vectors or the model before have moved
         model = est.fit(train)
         pred = model.transform(test)
         if prep.task == "Classification":
             pred = _score_columns(pred, n_classes)
-            kept = prep.n_train > BUCKET_ROWS              # the metrics go over the scores several times
-            if kept:
+            if large:                                      # the metrics go over the scores several times
                 pred = pred.select("_rid", "label", "prediction", "scores").persist()
             met = M.classification_metrics(pred, "label", "prediction", binary=out.binary,
                                            positive=float(n_classes - 1))
             met = met.unionByName(_auc(pred, n_classes, test_classes))
-            if kept:
+            if large:
                 pred.unpersist()
             pred = pred.select("_rid", "label", "prediction", "scores")
         else:

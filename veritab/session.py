@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,6 +60,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files and checkpoints of frames that are gone: it does so when the driver collects its
+    garbage, which a driver with memory to spare may not do during a whole job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for derived files (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark)
