@@ -1,13 +1,15 @@
 """Gradient-boosted trees for any number of classes on binned features, one softmax over all of them.
 
-Features are cut into at most ``BINS`` bins at quantiles. The rows become blocks of bytes (bins, labels, scores) that stay
-distributed. A level of all trees of a round (one tree a class, or one for two classes) is one Spark job: each task counts
-gradients, curvatures and rows by (tree, node, feature, bin) with numpy, the counts of all tasks are added up by (tree,
-node, feature), and only the best split of each comes to the driver. After a round the blocks get their new scores;
+Features are cut into at most ``BINS`` bins at quantiles. A table of at most ``LOCAL_CELLS`` bins fits a single small task,
+which grows the trees level by level without a job for each: for little data, jobs would take all of the time.
+
+Rows of a larger table that have the same bins become one cell with its rows of each class (``cells.py``): they have the same
+scores in every round. Cells of at most ``LOCAL_CELLS`` codes are again grown in a single task. More of them become blocks of
+bytes (codes, rows of each class, scores) that stay distributed. A level of all trees of a round (one tree a class, or one for
+two classes) is one Spark job: each task counts gradients, curvatures and rows by (tree, node, feature, bin) with numpy. The
+counts of all tasks are added up by (tree, node, feature), and only the best split of each comes to the driver; counts of at
+most ``DRIVER_BYTES`` are added up there. After a round the blocks get their new scores, and count the root of the next one;
 every ``CHECKPOINT`` rounds they are checkpointed, so the lineage stays short and lost executors cost little.
-
-A table of at most ``LOCAL_CELLS`` bins fits a single small task. There the same code runs on its blocks without a job for
-each level: for little data, jobs would take all of the time.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_sources
+from .cells import Bundles, cell_numbers, dealt_rows, to_bins, unblocked
 
 BINS = 255
 BLOCK_ROWS = 1 << 15
 CHECKPOINT = 10
 LOCAL_CELLS = 4_000_000
 MIN_LEAF_ROWS, MIN_CURVATURE = 20, 1e-3
+DRIVER_BYTES = 16 << 20
 _BLOCK = "bins binary, labels binary, scores binary"
+_CELLS = "codes binary, rows binary, scores binary, root binary"
 
 
 @dataclass
@@ -128,34 +133,169 @@ class _Local:
         self.scores = advanced(self.bins, self.scores, trees)
 
 
-class _Distributed:
-    """Blocks as rows of a cached frame."""
+class _Cells:
+    """Cells in the memory of one task; the node of each in the trees of the round and the counts are kept from level to level."""
+
+    def __init__(self, codes, rows, scores, bundles: Bundles):
+        self.codes, self.rows, self.scores, self.bundles = codes, rows, scores, bundles
+        self.columns = [np.ascontiguousarray(codes[:, g]) for g in range(codes.shape[1])]
+        self.flat, self.at = np.ascontiguousarray(codes).ravel(), np.arange(len(codes)) * codes.shape[1]
+        self.total = rows.sum(axis=1)
+        self.known, self.level = None, 0
+
+    def step(self, tree: Tree, node: np.ndarray) -> np.ndarray:
+        """The nodes a level further down; cells stay in leaves."""
+        leaf, feature = tree.feature < 0, np.maximum(tree.feature, 0).astype(np.intp)
+        down = np.where(leaf, np.arange(len(leaf)), 2 * np.arange(len(leaf)) + 1)
+        cut = np.where(leaf, BINS + 1, tree.cut).astype(np.int16)
+        code = self.bundles.group_of[feature].take(node, mode="clip")        # clip: without a check of the bounds
+        code += self.at
+        code = (feature * (BINS + 1)).take(node, mode="clip") + self.flat.take(code, mode="clip")
+        right = self.bundles.bin_of.take(code, mode="clip") > cut.take(node, mode="clip")
+        node = down.take(node, mode="clip")
+        node += right
+        return node
 
-    def __init__(self, blocks: DataFrame, features: int):
-        self.features, self.rounds = features, 0
-        self.blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    def counts(self, trees, level):
+        """As ``level_counts``, by the bins that a feature has."""
+        if not level or self.known is None:
+            p = probabilities(self.scores)[:, -len(trees):]
+            self.g = np.ascontiguousarray((p * self.total[:, None] - self.rows[:, -len(trees):]).T)
+            self.h = np.ascontiguousarray((p * (1 - p) * self.total[:, None]).T)
+            self.known, self.sums = self.walk(trees, level), {}
+        else:
+            self.known = [self.step(t, node) for t, node in zip(trees, self.known, strict=True)]
+        self.level = level
+        first, width = 2 ** level - 1, 2 ** level
+        out: dict = {}
+        for k, tree in enumerate(trees):
+            if level and not (tree.feature[(first - 1) // 2:first] >= 0).any():
+                continue
+            node = np.maximum(self.known[k] - first, -1)    # -1: in a leaf above
+            weights = [self.g[k], self.h[k], self.total]
+            parents, counted = self.sums.get(k), None
+            if level and parents is not None:              # of two children the larger has what the smaller leaves of the parent
+                n = np.bincount(node + 1, minlength=width + 1)[1:].reshape(-1, 2)
+                counted = np.stack([n[:, 0] <= n[:, 1], n[:, 0] > n[:, 1]], axis=1).ravel()
+                rows = np.flatnonzero(np.append(counted, False)[node])
+            elif (node < 0).any():
+                rows = np.flatnonzero(node >= 0)
+            else:
+                rows = None
+            if rows is not None:
+                node, weights = node.take(rows), [w.take(rows) for w in weights]
+            self.sums[k] = []
+            for g, codes in enumerate(self.columns):
+                n = self.bundles.width[g]
+                at = node * n
+                at += codes if rows is None else codes.take(rows)
+                sums = np.stack([np.bincount(at, w, width * n).reshape(width, n) for w in weights])
+                if counted is not None:
+                    split = np.repeat(tree.feature[(first - 1) // 2:first] >= 0, 2)
+                    other = np.arange(width) ^ 1
+                    rest = np.repeat(parents[g], 2, axis=1) - sums[:, other]
+                    sums = np.where(counted[None, :, None], sums, np.where(split[None, :, None], rest, 0))
+                self.sums[k].append(sums)
+                for j, by_bin in self.bundles.by_feature(g, sums):
+                    for i in np.flatnonzero(by_bin[..., 2].sum(axis=1) > 0.5).tolist():
+                        out.setdefault((k, first + i), {})[j] = by_bin[i]
+        return {at: [by[j] for j in range(len(by))] for at, by in out.items()}
+
+    def walk(self, trees, levels: int, nodes=None) -> list[np.ndarray]:
+        """The node of each cell in each tree after so many levels, from the root or the given ones."""
+        nodes = nodes or [np.zeros(len(self.codes), np.int64) for _ in trees]
+        for _ in range(levels):
+            nodes = [self.step(t, node) for t, node in zip(trees, nodes, strict=True)]
+        return nodes
 
     def splits(self, trees, level):
-        features = self.features
+        found = {at: _best_of(sums) for at, sums in self.counts(trees, level).items()}
+        return {at: s for at, s in found.items() if s}
+
+    def advance(self, trees):
+        depth = (len(trees[0].feature) + 1).bit_length() - 2
+        nodes = self.walk(trees, depth - self.level, self.known)
+        self.scores = self.scores + np.stack([t.value.take(node) for t, node in zip(trees, nodes, strict=True)], axis=1)
+
+
+def _best_of(sums: list[np.ndarray]):
+    """The best split of the sums of each feature by its bins; of equal gains that of the first feature."""
+    wide = np.zeros((len(sums), max(len(s) for s in sums), 3))
+    for j, s in enumerate(sums):
+        wide[j, :len(s)] = s
+    return best_split(wide)
+
+
+class _Distributed:
+    """Blocks of cells as rows of a cached frame, each with the counts of the root by its scores."""
+
+    def __init__(self, cells: DataFrame, tasks: int, bundles: Bundles, start: np.ndarray, classes: int, depth: int):
+        self.tasks, self.bundles, self.n_trees, self.classes, self.depth = tasks, bundles, len(start), classes, depth
+        self.rounds, self.before = 0, None
+        held, root = self._held, self._with_root
+
+        def begin(batches):
+            for codes, rows in held(batches, 2):
+                yield root(codes, rows, np.tile(start, (len(rows), 1)))
+        self.blocks = cells.mapInArrow(begin, _CELLS).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @property
+    def _held(self):
+        width, classes, n_trees = len(self.bundles.groups), self.classes, self.n_trees
+
+        def parts(batches, n=3):
+            for batch in batches:
+                for row in zip(*(batch.column(i) for i in range(n)), strict=True):
+                    yield tuple(np.frombuffer(v.as_py(), kind).reshape(-1, w) for v, (kind, w) in zip(
+                        row, ((np.uint8, width), (float, classes), (float, n_trees)), strict=False))
+        return parts
+
+    @property
+    def _with_root(self):
+        bundles, n_trees, depth = self.bundles, self.n_trees, self.depth
+
+        def pack(codes, rows, scores):
+            root = _Cells(codes, rows, scores, bundles).counts([Tree.of_depth(depth) for _ in range(n_trees)], 0)
+            return _batch([(codes.tobytes(), rows.tobytes(), scores.tobytes(), pickle.dumps(root))],
+                          ["codes", "rows", "scores", "root"], [pa.binary()] * 4)
+        return pack
+
+    def _counts(self, trees, level) -> DataFrame:
+        """(tree, node, feature, sums) of each task."""
+        held, bundles = self._held, self.bundles
 
         def count(batches):
             total: dict = {}
-            for block in _blocks(batches, features):
-                for at, sums in level_counts(*block, trees, level).items():
-                    total[at] = total[at] + sums if at in total else sums
-            rows = [(k, node, j, np.ascontiguousarray(sums[j]).tobytes()) for (k, node), sums in total.items() for j in range(features)]
+            if level:
+                found = (_Cells(*parts, bundles).counts(trees, level) for parts in held(batches))
+            else:
+                found = (pickle.loads(r.as_py()) for batch in batches for r in batch.column(0))
+            for counts in found:
+                for at, sums in counts.items():
+                    total[at] = [a + b for a, b in zip(total[at], sums, strict=True)] if at in total else sums
+            rows = [(k, node, j, np.ascontiguousarray(s).tobytes()) for (k, node), sums in total.items() for j, s in enumerate(sums)]
             yield _batch(rows, ["tree", "node", "feature", "sums"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
+        return (self.blocks if level else self.blocks.select("root")).mapInArrow(count, "tree int, node int, feature int, sums binary")
+
+    def splits(self, trees, level):
+        sums = self._counts(trees, level)
+        if self.tasks * len(trees) * 2 ** level * sum(self.bundles.sizes) * 24 <= DRIVER_BYTES:
+            total: dict = {}
+            for r in sums.collect():
+                by = total.setdefault((r["tree"], r["node"]), {})
+                by[r["feature"]] = by.get(r["feature"], 0) + np.frombuffer(r["sums"]).reshape(-1, 3)
+            found = {at: _best_of([by[j] for j in range(len(by))]) for at, by in total.items()}
+            return {at: s for at, s in found.items() if s}
 
         def add(key, batches):
             total = 0
             for batch in batches:
                 for x in batch.column("sums").to_pylist():
-                    total = total + np.frombuffer(x).reshape(1, BINS + 1, 3)
+                    total = total + np.frombuffer(x).reshape(1, -1, 3)
             s = best_split(total)
             rows = [(key[0].as_py(), key[1].as_py(), key[2].as_py(), s[0], s[2], s[3])] if s else []
             yield _batch(rows, ["tree", "node", "feature", "gain", "cut", "sides"],
                          [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.float64())])
-        sums = self.blocks.mapInArrow(count, "tree int, node int, feature int, sums binary")
         found = sums.groupBy("tree", "node", "feature").applyInArrow(
             _first_batches(add), "tree int, node int, feature int, gain double, cut int, sides array<double>").collect()
         best: dict = {}
@@ -164,16 +304,30 @@ class _Distributed:
         return best
 
     def advance(self, trees):
-        features = self.features
+        held, root, bundles = self._held, self._with_root, self.bundles
 
         def run(batches):
-            for bins, labels, scores in _blocks(batches, features):
-                yield _packed(bins, labels, advanced(bins, scores, trees))
-        old, self.rounds = self.blocks, self.rounds + 1
-        new = self.blocks.mapInArrow(run, _BLOCK)
-        self.blocks = new.checkpoint() if self.rounds % CHECKPOINT == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
-        self.blocks.count()
-        old.unpersist()
+            for codes, rows, scores in held(batches):
+                cells = _Cells(codes, rows, scores, bundles)
+                cells.advance(trees)
+                yield root(codes, rows, cells.scores)
+        self._drop()                                       # the blocks have been made since
+        self.before, self.rounds = self.blocks, self.rounds + 1
+        new = self.blocks.mapInArrow(run, _CELLS)
+        if self.rounds % CHECKPOINT == 0:
+            self.blocks = new.checkpoint()
+            self._drop()
+        else:
+            self.blocks = new.persist(StorageLevel.MEMORY_AND_DISK)     # made by the job of the next root
+
+    def _drop(self):
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
+
+    def release(self):
+        self._drop()
+        self.blocks.unpersist()
 
 
 def _first_batches(add):
@@ -236,10 +390,6 @@ def bin_edges(train: DataFrame, features: int) -> list[np.ndarray]:
     return [np.unique(np.array(row[j] or [], float)) for j in range(features)]
 
 
-def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
-
-
 @dataclass
 class SoftmaxBoosting:
     """Estimator: ``fit`` a frame with ``features`` (vector) and ``label`` (0, 1, ...)."""
@@ -263,6 +413,12 @@ class SoftmaxBoosting:
             return SoftmaxBoostingModel([], [], start, self.classes, 0)
         edges = bin_edges(train, features)
 
+        grown = self._on_cells if n * features > LOCAL_CELLS else self._on_rows
+        return SoftmaxBoostingModel(grown(train, n, edges, start), edges, start, self.classes, features)
+
+    def _on_rows(self, train: DataFrame, n: int, edges: list, start: np.ndarray) -> list:
+        features, n_trees, rounds, depth, step = len(edges), len(start), self.rounds, self.depth, self.step
+
         def pack(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, BLOCK_ROWS):
@@ -270,20 +426,42 @@ class SoftmaxBoosting:
                     x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
                     labels = part.column("label").to_numpy(zero_copy_only=False).astype(np.int32)
                     yield _packed(to_bins(x, edges), labels, np.tile(start, (len(labels), 1)))
+
+        def run(batches):
+            held = list(_blocks(batches, features))
+            trees = grow(_Local(held), n_trees, rounds, depth, step) if held else []
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trees)], pa.binary())], names=["trees"])
         blocks = train.select(vector_to_array("features").alias("x"), "label").mapInArrow(pack, _BLOCK).checkpoint()
-        if n * features <= LOCAL_CELLS:
-            n_trees, rounds, depth, step = len(start), self.rounds, self.depth, self.step
-
-            def run(batches):
-                held = list(_blocks(batches, features))
-                trees = grow(_Local(held), n_trees, rounds, depth, step) if held else []
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trees)], pa.binary())], names=["trees"])
-            trees = pickle.loads(blocks.coalesce(1).mapInArrow(run, "trees binary").first()["trees"])
-        else:
-            source = _Distributed(blocks, features)
-            trees = grow(source, len(start), self.rounds, self.depth, self.step)
-            source.blocks.unpersist()
-        return SoftmaxBoostingModel(trees, edges, start, self.classes, features)
+        return pickle.loads(blocks.coalesce(1).mapInArrow(run, "trees binary").first()["trees"])
+
+    def _on_cells(self, train: DataFrame, n: int, edges: list, start: np.ndarray) -> list:
+        bundles, classes = Bundles(edges), max(self.classes, 2)
+        width, n_trees, rounds, depth, step = len(bundles.groups), len(start), self.rounds, self.depth, self.step
+
+        def add_up(batches):
+            for codes, labels in unblocked(batches, width, np.int32):
+                first, cell = cell_numbers(codes)
+                rows = np.bincount(cell * classes + labels, minlength=len(first) * classes).reshape(-1, classes).astype(float)
+                for at in range(0, len(first), BLOCK_ROWS):
+                    yield _batch([(codes[first[at:at + BLOCK_ROWS]].tobytes(), rows[at:at + BLOCK_ROWS].tobytes())],
+                                 ["codes", "rows"], [pa.binary(), pa.binary()])
+
+        def run(batches):
+            parts = [(np.frombuffer(c.as_py(), np.uint8).reshape(-1, width), np.frombuffer(r.as_py()).reshape(-1, classes))
+                     for b in batches for c, r in zip(b.column("codes"), b.column("rows"), strict=True)]
+            codes, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+            trees = grow(_Cells(codes, rows, np.tile(start, (len(rows), 1)), bundles), n_trees, rounds, depth, step)
+            yield _batch([(pickle.dumps(trees),)], ["trees"], [pa.binary()])
+        dealt = dealt_rows(train, n, edges, bundles, classes)
+        count = dealt.agg(F.sum("cells"), F.count("cells")).first()
+        tasks = max(count[1], min(train.sparkSession.sparkContext.defaultParallelism, -(-count[0] // BLOCK_ROWS)))
+        cells = dealt.mapInArrow(add_up, "codes binary, rows binary").repartition(tasks).checkpoint()
+        if count[0] * width <= LOCAL_CELLS:
+            return pickle.loads(cells.coalesce(1).mapInArrow(run, "trees binary").first()["trees"])
+        source = _Distributed(cells, tasks, bundles, start, classes, depth)
+        trees = grow(source, n_trees, rounds, depth, step)
+        source.release()
+        return trees
 
 
 @dataclass

@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_sources
-from .boosting import to_bins
 
 MAX_BINS = 32                  # as MLlib's trees have by default
 BLOCK_ROWS = 1 << 19
@@ -81,6 +80,10 @@ def _matrix(column, features: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
 
 
+def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
+
+
 class Bundles:
     """Features whose bins together have at most ``CODES`` combinations share one code of a byte. Sums by code are the sums
     by the bins of all its features, so a tree counts once a bundle instead of once a feature."""
@@ -296,7 +299,7 @@ def _block(rows, names, kinds):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def _unblocked(batches, width: int, kind):
+def unblocked(batches, width: int, kind):
     """(codes, labels) of each block."""
     for b in batches:
         for c, y in zip(b.column("codes"), b.column("labels"), strict=True):
@@ -332,7 +335,7 @@ class CellForest:
             drawn = range(low, min(low + at_once, n_trees))
 
             def draw(batches, drawn=drawn):
-                for codes, labels in _unblocked(batches, width, kind):
+                for codes, labels in unblocked(batches, width, kind):
                     first, cell = cell_numbers(codes)
                     n, mark = len(labels), int(np.frombuffer(codes[first].tobytes(), np.uint8).sum())
                     for t in drawn:
@@ -388,7 +391,7 @@ class CellBoosting:
         width = len(bundles.groups)
 
         def add_up(batches):
-            for codes, labels in _unblocked(batches, width, np.float64):
+            for codes, labels in unblocked(batches, width, np.float64):
                 first, cell = cell_numbers(codes)
                 sums = np.stack([np.bincount(cell, labels, len(first)), np.bincount(cell, minlength=len(first))], axis=1)
                 yield _block([(codes[first].tobytes(), sums.tobytes())], ["codes", "sums"], [pa.binary(), pa.binary()])
